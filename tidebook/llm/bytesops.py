@@ -123,3 +123,29 @@ def walk(moves: np.ndarray, width: int, shift: int, classes: np.ndarray, data: n
     back = np.empty(len(at), np.int64)
     back[order] = np.arange(len(at))
     return total[back], state[back] // width
+
+
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The groups of rows with equal ``keys`` in batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(n, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), n]
+        if held and tuple(c[0] for c in cols) != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            held.append(batch.slice(a, b - a))
+            if b < n:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)

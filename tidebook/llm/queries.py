@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, sharding, token_counts
+from . import decontamination, language_id, mixing, near_duplicates, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of the package."""
     return {
         "op2_token_counts": token_counts.query,
+        "op3_decontamination": decontamination.query,
         "op4_language_id": language_id.query,
+        "op7_near_duplicates": near_duplicates.query,
         "op8_sharding": sharding.query,
         "op8b_shard_places": sharding.query_nocrc,
         "op9_mixing": mixing.query,
