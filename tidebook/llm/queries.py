@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, mixing, near_duplicates, sharding, token_counts
+from . import decontamination, language_id, mixing, near_duplicates, sharding, token_counts, token_tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.query,
         "op8b_shard_places": sharding.query_nocrc,
         "op9_mixing": mixing.query,
+        "op10_token_tables": token_tables.query,
     }
 
 
