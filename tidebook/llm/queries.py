@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, mixing, near_duplicates, sharding, token_counts, token_tables, toxicity
+from . import decontamination, embedding_dedup, language_id, mixing, near_duplicates, sharding, token_counts, token_tables, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of the package."""
     return {
+        "op1_embedding_dedup": embedding_dedup.query,
         "op2_token_counts": token_counts.query,
         "op3_decontamination": decontamination.query,
         "op4_language_id": language_id.query,
