@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, language_id, mixing, near_duplicates, sharding, token_counts, token_tables, toxicity
+from . import decontamination, embedding_dedup, language_id, masked_lm, mixing, near_duplicates, sharding, token_counts, token_tables, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": token_counts.query,
         "op3_decontamination": decontamination.query,
         "op4_language_id": language_id.query,
+        "op5_masked_lm": masked_lm.query,
         "op6_toxicity": toxicity.query,
         "op7_near_duplicates": near_duplicates.query,
         "op8_sharding": sharding.query,
