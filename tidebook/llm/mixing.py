@@ -8,8 +8,8 @@ Nothing is random: a lost task that runs again draws the same counts.
 Defined cases: a null source is a source of its own; a null identifier is hashed as empty text, so
 such rows of one source share a draw; sources without a weight (when weights are given) have rate 0;
 an empty table gives an empty one; other columns are carried along, but for ``copy`` and
-``shuffle_key``, which are replaced. Rates above ``MOST_RATE`` are refused, as exp(-rate) would
-be too small to invert.
+``shuffle_key``, which are replaced. No document has a mean rate above ``MOST_RATE``: very small
+sources fall short of their weight rather than repeat a document without end.
 """
 
 from __future__ import annotations
@@ -40,8 +40,7 @@ def rates(df: DataFrame, weights: dict[str | None, float] | None = None, power:
         counts = counts.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("w", F.coalesce("w", F.lit(0.0)))
     whole = counts.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
     rate = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") / F.col("n")).otherwise(F.lit(0.0))
-    known = counts.join(F.broadcast(whole)).withColumn("rate", rate)
-    known = known.withColumn("rate", F.when(F.col("rate") <= MOST_RATE, F.col("rate")).otherwise(F.raise_error(F.lit("a repetition rate is too large")).cast("double")))
+    known = counts.join(F.broadcast(whole)).withColumn("rate", F.least(rate, F.lit(MOST_RATE)))
     most = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
     first = F.exp(-F.col("rate"))
     start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("ladder"))
@@ -78,7 +77,7 @@ def oracle() -> str:
     number = "CAST('0x' || substr(md5({0}), 1, 12) AS BIGINT)"
     return f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), {POWER}) AS w FROM documents GROUP BY source),
-rates AS (SELECT source, w / (SELECT sum(w) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts),
+rates AS (SELECT source, least(w / (SELECT sum(w) FROM counts) * (SELECT sum(n) FROM counts) / n, {MOST_RATE}) AS rate FROM counts),
 ladder AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
   UNION ALL

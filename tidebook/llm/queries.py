@@ -11,7 +11,10 @@ from . import decontamination, embedding_dedup, language_id, masked_lm, mixing,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of the package."""
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_embedding_dedup": embedding_dedup.query,
         "op2_token_counts": token_counts.query,
         "op3_decontamination": decontamination.query,

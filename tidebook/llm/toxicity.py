@@ -133,23 +133,25 @@ def training_sample(df: DataFrame, labels: DataFrame, text: str = "text", key: s
     return [t for _, _, t in found], np.array([y for _, y, _ in found], np.int64)
 
 
+def scores(weight: np.ndarray, constant: float, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The probability of the toxic class for each text."""
+    total, count = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
+    for where, bucket in grams(data):
+        sums = np.append(0.0, np.cumsum(weight[bucket], dtype=np.float64))
+        edge = np.searchsorted(where, at)
+        total += np.diff(sums[edge])
+        count += np.diff(edge)
+    return 1 / (1 + np.exp(-np.clip(total / (count + PAD) + constant, -500, 500)))
+
+
 def scored(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows ``(key, score)`` with the probability of the toxic class."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, constant = sent.value
         for whole in batches:
             for batch in slices(whole, "__text"):
-                data, at = buffers(batch.column("__text"))
-                total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-                for where, bucket in grams(data):
-                    run_ = np.append(0.0, np.cumsum(weight[bucket], dtype=np.float64))
-                    edge = np.searchsorted(where, at)
-                    total += np.diff(run_[edge])
-                    count += np.diff(edge)
-                margin = total / (count + PAD) + constant
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500))))], names=[key, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(scores(*sent.value, *buffers(batch.column("__text"))))], names=[key, "score"])
 
     return df.select(F.col(key).cast("long").alias(key), bag_text(F.col(text)).alias("__text")).mapInArrow(run, f"{key} long, score double")
 
@@ -160,6 +162,20 @@ def toxicity(df: DataFrame, labels: DataFrame, learn_from: DataFrame | None = No
     return scored(df, model, text, key).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def accepted(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that score under ``threshold``, learned from its labelled rows; each row is judged by its own text."""
+    sent = df.sparkSession.sparkContext.broadcast(train(*training_sample(df, labels, text, key)))
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "__bag"):
+                good = scores(*sent.value, *buffers(batch.column("__bag"))) < threshold
+                yield batch.select(columns).filter(pa.array(good))
+
+    return df.select("*", bag_text(F.col(text)).alias("__bag")).mapInArrow(run, df.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score, learned from labels with checksum mod 5 other than 0."""
     labels = table(spark, sf_dir, "labels").where(~held_out(0, 5))
