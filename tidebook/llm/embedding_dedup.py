@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .bytesops import runs
 from .common import components, table, written
 
-COSINE, TREES, SPILL, LEAF, BLOCK, SAMPLE, SEED = 0.95, 8, 0.055, 256, 1024, 16_384, 42
+COSINE, TREES, SPILL, LEAF, BLOCK, SAMPLE, SEED = 0.95, 5, 0.02, 256, 1024, 16_384, 42
 
 
 class Forest:
@@ -73,9 +73,28 @@ class Forest:
         return np.concatenate(rows), np.concatenate(codes)
 
 
-def unit_vectors(column: pa.Array) -> np.ndarray:
-    """A list column of one length as rows of length 1, in double precision."""
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def packed(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes, in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    exact = (short == x).all(axis=1)
+    return [(s if e else r).tobytes() for s, r, e in zip(short, x, exact)]
+
+
+def unpacked(rows: list[bytes], dim: int) -> np.ndarray:
+    """The rows of ``packed``."""
+    if all(len(r) == 4 * dim for r in rows):
+        return np.frombuffer(b"".join(rows), np.float32).reshape(-1, dim).astype(np.float64)
+    return np.array([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64) for r in rows], np.float64)
+
+
+def plain(column: pa.Array) -> np.ndarray:
+    """A list column of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, in double precision."""
     scale = np.abs(x).max(axis=1, keepdims=True)  # keeps very large and very small components in range
     x = x / scale
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -96,7 +115,7 @@ def indexed(vectors: DataFrame, dim: int) -> DataFrame:
     if not n:
         levels, sample = 0, np.zeros((1, dim))
     else:
-        sample = unit_vectors(few.column("v").combine_chunks())
+        sample = unit(plain(few.column("v").combine_chunks()))
         levels = int(max(0, min(np.ceil(np.log2(n / LEAF)), np.log2(SAMPLE / 8))))
     sent = spark.sparkContext.broadcast(Forest(sample, levels))
     types = [("leaf", pa.int64()), ("id", pa.int64()), ("copies", pa.int64()), ("leaves", pa.list_(pa.int32())), ("v", pa.binary())]
@@ -106,14 +125,14 @@ def indexed(vectors: DataFrame, dim: int) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
-                x = unit_vectors(batch.column("v"))
-                rows, codes = sent.value.leaves(x)
+                x = plain(batch.column("v"))
+                rows, codes = sent.value.leaves(unit(x))
                 order = np.lexsort((codes, rows))
                 rows, codes = rows[order], codes[order]
                 edges = np.searchsorted(rows, np.arange(len(x) + 1)).astype(np.int32)
                 of = pa.array(rows)
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(codes.astype(np.int32)))
-                raw = pa.array([r.tobytes() for r in x], pa.binary())
+                raw = pa.array(packed(x), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(codes), batch.column("id").take(of), batch.column("copies").take(of), lists.take(of), raw.take(of)], schema=schema)
 
     return vectors.select("id", "copies", "v").mapInArrow(run, "leaf long, id long, copies long, leaves array<int>, v binary")
@@ -132,7 +151,7 @@ def smallest_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         least = new
 
 
-def compared(rows: DataFrame) -> DataFrame:
+def compared(rows: DataFrame, dim: int) -> DataFrame:
     """Rows ``(id, links, least)``: links counted in one leaf block, and the smallest identifier linked within it."""
     sizes = rows.groupBy("leaf").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -149,7 +168,7 @@ def compared(rows: DataFrame) -> DataFrame:
                 continue
             leaf, i, j = (part.column(c)[0].as_py() for c in ("leaf", "i", "j"))
             ids, own, copies = (part.column(c).to_numpy() for c in ("id", "own", "copies"))
-            x = np.frombuffer(b"".join(part.column("v").to_pylist()), np.float64).reshape(n, -1)
+            x = unit(unpacked(part.column("v").to_pylist(), dim))
             lists = part.column("leaves").combine_chunks()
             counts = lists.value_lengths().to_numpy()
             held = np.full((n, counts.max()), -1, np.int32)  # leaves before this one
@@ -189,7 +208,7 @@ def embedding_duplicates(df: DataFrame, vector: str = "embedding", key: str = "v
     good = written(good, "vectors")
     classes = written(good.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), "classes")
     dims = [r[0] for r in classes.select(F.size("v")).distinct().collect()]  # lengths of vectors: few
-    parts = [compared(indexed(classes.where(F.size("v") == d), d)) for d in dims]
+    parts = [compared(indexed(classes.where(F.size("v") == d), d), d) for d in dims]
     found = parts[0] if parts else df.sparkSession.createDataFrame([], "id long, links long, least long")
     for other in parts[1:]:
         found = found.unionByName(other)
