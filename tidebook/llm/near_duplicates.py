@@ -12,10 +12,10 @@ to their weighted Jaccard similarity. A process ends once it is later than all t
 
 Search. Texts with equal words are one class, of which one text goes on. ``BANDS`` bands of ``ROWS``
 registers are hashed; a pair at 0.8 misses all bands with probability 3e-5. (1) In each bucket every
-text is verified against the bucket's smallest identifier, which takes one pair a text however large the
+text is verified against the one that shares most buckets with others, which takes one pair a text however large the
 bucket. (2) Buckets whose texts are not yet in one component are compared in blocks of ``BLOCK`` texts by
 registers; pairs of different components with ``AGREE`` or more equal registers (at 0.8 all but 1 in
-10,000) are verified too. So no bucket is capped, and a large group of copies costs linear work.
+10,000) are verified too, inside the blocks: only links are written. So no bucket is capped, and a large group of copies costs linear work.
 Each verification counts the shingles of both whole texts.
 
 Defined cases: rows whose text is null or has no word, or whose identifier is null, are linked with
@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import buffers, mix, runs, shingles, slices, word_hashes
-from .common import components, table, words_of, written
+from .common import bounded, components, table, words_of, written
 
-SIZE, SIMILARITY, BANDS, ROWS, AGREE, BLOCK = 5, 0.8, 20, 4, 50, 512
+SIZE, SIMILARITY, BANDS, ROWS, AGREE, BLOCK = 5, 0.8, 20, 4, 50, 256
 REGISTERS = BANDS * ROWS
+POINTS = 32_768  # drawn at once for all processes, beyond one each
 _U = np.uint64
 _LOW = _U((1 << 44) - 1)
 
@@ -62,7 +63,7 @@ def bag_minhash(items: np.ndarray, of: np.ndarray, weights: np.ndarray, texts: i
     stream = mix(items[take] ^ (octave.astype(_U) * _U(0xD1B54A32D192ED03)))
     time, count, turn = np.zeros(len(take)), np.zeros(len(take), np.int64), 0
     while len(take):
-        points = 1 if turn < 2 else 16
+        points = 1 if turn < 2 else int(np.clip(POINTS // len(take), 1, 16))
         draw = mix(stream[:, None] + (count[:, None] + np.arange(1, points + 1)).astype(_U) * _U(0x9E3779B97F4A7C15))
         at = time[:, None] + np.cumsum(-np.log1p(-(draw >> _U(11)).astype(float) * 2.0**-53) / length[:, None], axis=1)
         more = mix(draw ^ _U(0xA0761D6478BD642F))
@@ -95,7 +96,7 @@ def signatures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("digest"), pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * BANDS), flat), pa.array([r.tobytes() for r in small], pa.binary())], schema=schema)
 
     rows = df.select(F.col(key).cast("long").alias(key), words_of(F.col(text)).alias("__words")).where((F.col("__words") != "") & F.col(key).isNotNull())
-    return rows.withColumn("digest", F.md5("__words")).mapInArrow(run, f"{key} long, digest string, bands array<long>, registers binary")
+    return rows.withColumn("digest", F.md5("__words")).transform(bounded).mapInArrow(run, f"{key} long, digest string, bands array<long>, registers binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -116,34 +117,54 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "wa", "wb").transform(bounded).mapInArrow(run, "a long, b long")
+
+
+def elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' multisets as sets, the k-th equal shingle counting as one of its own; offsets of each text's, sorted."""
+    items, of, weights = weighted(*shingles(*word_hashes(*buffers(column)), SIZE))
+    repeat = np.repeat(np.arange(len(items)), weights)
+    turn = np.arange(len(repeat)) - np.repeat(np.cumsum(weights) - weights, weights)
+    keys = mix(items[repeat] + turn.astype(_U) * _U(0xD1B54A32D192ED03))
+    order = np.lexsort((keys, of[repeat]))
+    return keys[order], np.searchsorted(of[repeat], np.arange(len(column) + 1))
 
 
 def across(rows: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and ``AGREE`` registers.
+    """The linked pairs of different components that share a bucket and ``AGREE`` registers.
 
-    ``rows`` has ``(bucket, n, id, component, registers)``. A bucket's rows are dealt into blocks; each
-    pair of blocks is compared in one piece, wherever Spark puts it.
+    ``rows`` has ``(bucket, band, n, id, component, registers, words)``. A bucket's rows are dealt into blocks; each pair
+    of blocks is compared in one piece, wherever Spark puts it. A pair is verified in its first common band only, and
+    in place, so that nothing but links is written.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "registers")
+    dealt = dealt.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "registers", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, "bucket", "i", "j"):
             part = part.combine_chunks()
-            i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+            i, j, band = (part.column(c)[0].as_py() for c in ("i", "j", "band"))
             own, ids, comp = (part.column(c).to_numpy() for c in ("own", "id", "component"))
             regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u4").reshape(len(ids), -1)
+            sets, at = None, None
             for x in np.flatnonzero(own == i):
                 ys = np.flatnonzero((comp != comp[x]) & (own == j) & ((ids > ids[x]) if i == j else True))
-                ys = ys[(regs[ys] == regs[x]).sum(axis=1) >= AGREE]
+                same = regs[ys] == regs[x]
+                ys, same = ys[keep := same.sum(axis=1) >= AGREE], same[keep]
+                ys = ys[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+                if not len(ys):
+                    continue
+                if sets is None:
+                    sets, at = elements(part.column("words").combine_chunks())
+                mine, sizes = sets[at[x] : at[x + 1]], at[ys + 1] - at[ys]
+                both = np.array([np.count_nonzero(mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs) for theirs in (sets[at[y] : at[y + 1]] for y in ys)])
+                ys = ys[both >= SIMILARITY * (len(mine) + sizes - both) - 1e-9]
                 if len(ys):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[ys])), pa.array(np.maximum(ids[x], ids[ys]))], names=["a", "b"])
 
-    found = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
-    return found.distinct()
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(bounded).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -153,22 +174,26 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     """
     signed = written(signatures(df, text, key), "signatures")
     classes = written(signed.groupBy("digest").agg(F.min(key).alias("id"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")
-    rows = classes.select("id", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    shared = written(rows.join(sizes, "bucket"), "buckets")
+    rows = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(rows.join(sizes, "bucket"), "buckets")
+    # a text that meets most others is likely the one that its group's copies were made from
+    degrees = met.groupBy("id").agg(F.sum("n").alias("degree"))
+    shared = met.join(degrees, "id")
+    centres = shared.groupBy("bucket").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("centre"))
 
     # every text that shares a bucket, once
-    wanted = shared.select("id").distinct()
+    wanted = degrees.select("id")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text")).join(wanted, "id", "left_semi")
     texts = written(texts.dropDuplicates(["id"]).select("id", words_of(F.col("__text")).alias("words")), "texts")
 
-    stars = shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    stars = met.join(centres, "bucket").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = written(verified(stars, texts), "links")
     first = components(links)
-    placed = written(shared.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")).select("bucket", "n", "id", "component"), "placed")
+    placed = written(met.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")).select("bucket", "band", "n", "id", "component"), "placed")
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = placed.join(open_, "bucket", "left_semi").join(classes.select("id", "registers"), "id")
-    more = written(verified(across(rest), texts), "links")
+    rest = placed.join(open_, "bucket", "left_semi").join(classes.select("id", "registers"), "id").join(texts, "id")
+    more = written(across(rest), "links")
     found = components(links.unionByName(more))
 
     members = signed.select(key, "digest").join(classes.select("digest", F.col("id").alias("exact_id")), "digest")
