@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import books, ledgers, positions, scalars
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Every query by name."""
+    return positions.QUERIES | books.QUERIES | ledgers.QUERIES | scalars.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for those that it can express."""
+    return positions.SQL | books.SQL | ledgers.SQL | scalars.SQL
