@@ -36,7 +36,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 400_000) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of whole rows of about ``most`` bytes of text, so working memory is bounded by it or by one text."""
     _, at = buffers(batch.column(column))
     first = 0

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 8_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +44,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def hash_bound(n: int, k: int) -> int:
+    """A bound that all but surely at least ``k`` of ``n`` distinct 64-bit hashes do not exceed, and few more.
+
+    Filtering by it before taking the ``k`` smallest keeps what tasks hand over small, however many tasks there are.
+    """
+    share = min(1.0, (k + 8 * k**0.5 + 16) / max(n, 1))
+    return min(2**63 - 1, int(-(2**63) + share * 2**64))
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_BYTES``, so that a task's memory does not grow with the texts' lengths."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("-1", "-1b") or int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import buffers, mix, slices, word_hashes
-from .common import table, words_of, written
+from .common import bounded, table, words_of, written
 
 WINDOW, SUBSTITUTIONS, LEAST, BITS, MOST_BITS = 13, 2, 5, 11, 27
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -82,7 +82,7 @@ def item_seeds(benchmark: DataFrame, masks: list[tuple[int, ...]], text: str, ke
                     hashes, starts, of = hashes[use], starts[use], of[use]
                     yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids.take(pa.array(of)), pa.array(sizes[of]), pa.array(starts - at[of]), pa.array(context(words, at, of, starts, 1), pa.binary())], names=["hash", "item_id", "item_words", "item_at", "item_context"])
 
-    return benchmark.select(F.col(key).cast("long").alias(key), words_of(F.col(text)).alias("__text")).mapInArrow(run, "hash long, item_id long, item_words long, item_at long, item_context binary")
+    return benchmark.select(F.col(key).cast("long").alias(key), words_of(F.col(text)).alias("__text")).transform(bounded).mapInArrow(run, "hash long, item_id long, item_words long, item_at long, item_context binary")
 
 
 def bitmap(known: DataFrame) -> tuple[bytes, int]:
@@ -143,9 +143,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
             keep = np.flatnonzero(matched > 0)
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(keep)), batch.column("item_id").take(pa.array(keep)), *(pa.array(x[keep]) for x in (matched, first, last))], schema=schema)
 
-    found = df.select(F.col(key).cast("long").alias(key), words_of(F.col(text)).alias("__text")).mapInArrow(hits, f"{key} long, hash long, at long, context binary")
-    pairs = found.join(known, "hash").select(key, "item_id", "item_words", "at", "context", "item_context")
-    return pairs.mapInArrow(verify, f"{key} long, item_id long, matched long, first_word long, last_word long").groupBy(key, "item_id").agg(F.max("matched").alias("matched"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
+    found = df.select(F.col(key).cast("long").alias(key), words_of(F.col(text)).alias("__text")).transform(bounded).mapInArrow(hits, f"{key} long, hash long, at long, context binary")
+    # dealt out anew, so that no task holds two Python workers
+    pairs = found.join(known, "hash").select(key, "item_id", "item_words", "at", "context", "item_context").repartition(key, "at")
+    return pairs.transform(bounded).mapInArrow(verify, f"{key} long, item_id long, matched long, first_word long, last_word long").groupBy(key, "item_id").agg(F.max("matched").alias("matched"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import runs
-from .common import components, table, written
+from .common import bounded, components, hash_bound, table, written
 
 COSINE, TREES, SPILL, LEAF, BLOCK, SAMPLE, SEED = 0.95, 5, 0.02, 256, 1024, 16_384, 42
 
@@ -110,8 +110,8 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 def indexed(vectors: DataFrame, dim: int) -> DataFrame:
     """Rows ``(leaf, id, copies, leaves, v)``: every vector of ``dim`` components in each leaf that holds it."""
     spark = vectors.sparkSession
-    few = vectors.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(SAMPLE).select("v").toArrow()
     n = vectors.count()
+    few = vectors.select("v", F.xxhash64("v").alias("h")).where(F.col("h") <= hash_bound(n, SAMPLE)).orderBy("h", "v").limit(SAMPLE).select("v").toArrow()
     if not n:
         levels, sample = 0, np.zeros((1, dim))
     else:
@@ -135,7 +135,7 @@ def indexed(vectors: DataFrame, dim: int) -> DataFrame:
                 raw = pa.array(packed(x), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(codes), batch.column("id").take(of), batch.column("copies").take(of), lists.take(of), raw.take(of)], schema=schema)
 
-    return vectors.select("id", "copies", "v").mapInArrow(run, "leaf long, id long, copies long, leaves array<int>, v binary")
+    return vectors.select("id", "copies", "v").transform(bounded).mapInArrow(run, "leaf long, id long, copies long, leaves array<int>, v binary")
 
 
 def smallest_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -199,7 +199,7 @@ def compared(rows: DataFrame, dim: int) -> DataFrame:
             if len(keep):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep]), pa.array(ids[least[keep]])], schema=schema)
 
-    return dealt.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").mapInArrow(run, "id long, links long, least long")
+    return dealt.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").transform(bounded).mapInArrow(run, "id long, links long, least long")
 
 
 def embedding_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bytesops import buffers, slices, walk
-from .common import letters_of, table
+from .common import bounded, hash_bound, letters_of, table
 
 TRAIN_DOCS, TRAIN_BYTES, BLOCK, SHIFT = 64, 32768, 1024, 2
 
@@ -89,7 +89,10 @@ def parsers(samples: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, int, li
 
 def training_sample(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> tuple[tuple[str, bytes], ...]:
     """The bounded training text of each language (at most ``TRAIN_BYTES`` bytes)."""
-    rows = df.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), letters_of(F.col(text)).alias("t")).where("lang IS NOT NULL AND t <> ''").where(F.octet_length("t") <= TRAIN_BYTES // 4)
+    rows = df.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), F.col(text).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
+    bounds = {r["lang"]: hash_bound(r["n"], 4 * TRAIN_DOCS) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    near = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]) if bounds else F.create_map(F.lit(""), F.lit(0))
+    rows = rows.where(F.col("h") <= near[F.col("lang")]).withColumn("t", letters_of(F.col("t"))).where((F.col("t") != "") & (F.octet_length("t") <= TRAIN_BYTES // 4))
     least = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= TRAIN_DOCS)
     run = least.withColumn("sum", F.sum(F.octet_length("t") + 1).over(W.partitionBy("lang").orderBy("k")))
     texts: dict[str, list[tuple[int, str]]] = {}
@@ -122,7 +125,7 @@ def identified(df: DataFrame, samples: tuple[tuple[str, bytes], ...], text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__text", 16_000_000):
+            for batch in slices(whole, "__text", 4_000_000):
                 data, at = buffers(batch.column("__text"))
                 best = np.full(batch.num_rows, len(names) - 1)
                 score, bits = np.zeros(batch.num_rows), np.full(batch.num_rows, np.nan)
@@ -134,7 +137,7 @@ def identified(df: DataFrame, samples: tuple[tuple[str, bytes], ...], text: str
                     score, bits = np.where(has, np.clip(lead, 0, 1), 0.0), np.where(has, order[:, 0], np.nan)
                 yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array(names[best], pa.string()), pa.array(score), pa.array(bits, from_pandas=True)], schema=schema)
 
-    return df.select(key, letters_of(F.col(text)).alias("__text")).mapInArrow(run, f"{key} long, lang_pred string, score double, bits double")
+    return df.select(key, letters_of(F.col(text)).alias("__text")).transform(bounded).mapInArrow(run, f"{key} long, lang_pred string, score double, bits double")
 
 
 def held_out(remainder: int, of: int, key: str = "doc_id") -> Column:

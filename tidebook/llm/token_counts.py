@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import buffers, slices, walk
-from .common import table
+from .common import bounded, table
 
 MARK, BLOCK, SHIFT = "▁", 512, 7
 VOCABULARY = "piece_bpe_32k.model"
@@ -130,13 +130,13 @@ def token_counts(df: DataFrame, name: str = VOCABULARY, text: str = "text", key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__text", 16_000_000):
+            for batch in slices(whole, "__text", 4_000_000):
                 data, at = buffers(batch.column("__text"))
                 words = np.bincount(np.searchsorted(at, np.flatnonzero(data == 32), "right") - 1, minlength=batch.num_rows)
                 yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array(words), pa.array(automaton(name).counts(data, at))], names=[key, "n_words", "n_tokens"])
 
     trimmed = F.when(F.trim(marked) == "", F.lit("")).otherwise(F.rtrim(marked))
-    return df.select(key, trimmed.alias("__text")).mapInArrow(run, f"{key} long, n_words long, n_tokens long")
+    return df.select(key, trimmed.alias("__text")).transform(bounded).mapInArrow(run, f"{key} long, n_words long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

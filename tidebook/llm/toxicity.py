@@ -26,14 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .bytesops import _powers, _tables, buffers, mix, slices
-from .common import table, words_of
+from .common import bounded, hash_bound, table, words_of
 from .language_id import held_out
 
 SIZES, BUCKETS, DIM, PAD = (3, 4, 5), 1 << 17, 4, 300
-TRAIN_ROWS, TRAIN_BYTES, LEAST_DOCS, STEPS, EPOCHS, BATCH, RATE, DECAY = (4000, 2000), 20_000, 3, 300, 6, 64, 0.5, 1e-5
+TRAIN_ROWS, TRAIN_BYTES, LEAST_DOCS, STEPS, EPOCHS, BATCH, RATE, DECAY = (3000, 1500), 20_000, 3, 300, 6, 64, 0.5, 1e-5
 _U = np.uint64
 
 
@@ -83,9 +82,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 42) -> tuple[np.ndar
     parts, seen = [], np.zeros(BUCKETS, np.int64)
     for i in range(0, n, 256):
         of, bucket, share = bags(*buffers(column.slice(i, 256)))
-        parts.append((of + i, bucket.astype(np.int32), share.astype(np.float32)))
+        parts.append([(of + i).astype(np.int32), bucket.astype(np.int32), share.astype(np.float32)])
         seen += np.bincount(bucket, minlength=BUCKETS)
-    of, bucket, share = (np.concatenate(x) for x in zip(*parts))
+    of = np.concatenate([p.pop(0) for p in parts])
+    bucket = np.concatenate([p.pop(0) for p in parts])
+    share = np.concatenate([p.pop(0) for p in parts])
     keep = seen[bucket] >= LEAST_DOCS
     of, bucket, share = of[keep], bucket[keep], share[keep]
     first = np.searchsorted(of, np.arange(n + 1))
@@ -125,12 +126,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 42) -> tuple[np.ndar
 def training_sample(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[list[str], np.ndarray]:
     """At most ``TRAIN_ROWS`` texts of the classes with their labels, in a fixed order."""
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND __key IS NOT NULL").distinct()
-    rank = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("__key"), "__key"))
-    few = known.withColumn("k", rank).where(F.col("k") <= F.when(F.col("y") == 1, TRAIN_ROWS[1]).otherwise(TRAIN_ROWS[0]))  # bounded
+    known = known.withColumn("h", F.xxhash64("__key"))
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    parts = [known.where((F.col("y") == y) & (F.col("h") <= hash_bound(sizes.get(y, 0), k))).orderBy("h", "__key").limit(k) for y, k in enumerate(TRAIN_ROWS)]
+    few = parts[0].unionByName(parts[1])  # bounded
     rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(few), "__key")
-    rows = rows.where(F.octet_length(F.coalesce("__text", F.lit(""))) <= TRAIN_BYTES).select("__key", "y", "k", bag_text(F.col("__text")).alias("t"))
-    found = sorted((r["k"], r["y"], r["t"]) for r in rows.collect())
-    return [t for _, _, t in found], np.array([y for _, y, _ in found], np.int64)
+    rows = rows.where(F.octet_length(F.coalesce("__text", F.lit(""))) <= TRAIN_BYTES).select("__key", "y", "h", bag_text(F.col("__text")).alias("t"))
+    found = rows.toArrow().sort_by([("h", "ascending"), ("y", "ascending"), ("t", "ascending")])
+    return found.column("t").to_pylist(), found.column("y").to_numpy().astype(np.int64)
 
 
 def scores(weight: np.ndarray, constant: float, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -153,7 +156,7 @@ def scored(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", k
             for batch in slices(whole, "__text"):
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(scores(*sent.value, *buffers(batch.column("__text"))))], names=[key, "score"])
 
-    return df.select(F.col(key).cast("long").alias(key), bag_text(F.col(text)).alias("__text")).mapInArrow(run, f"{key} long, score double")
+    return df.select(F.col(key).cast("long").alias(key), bag_text(F.col(text)).alias("__text")).transform(bounded).mapInArrow(run, f"{key} long, score double")
 
 
 def toxicity(df: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -173,7 +176,7 @@ def accepted(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
                 good = scores(*sent.value, *buffers(batch.column("__bag"))) < threshold
                 yield batch.select(columns).filter(pa.array(good))
 
-    return df.select("*", bag_text(F.col(text)).alias("__bag")).mapInArrow(run, df.schema)
+    return df.select("*", bag_text(F.col(text)).alias("__bag")).transform(bounded).mapInArrow(run, df.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
