@@ -79,3 +79,27 @@ def zero_quote(notional: pd.Series, mm: pd.Series, tav: pd.Series, side: pd.Seri
         return _out(sign * q)
 
     return pd.Series([one(r) for r in _rows(notional, mm, tav, side, fraction)], dtype=object)
+
+
+def isolated_change(p: int, new: int, allocated: int, value: int, new_value: int, requirement: int, increase: int, profit: int) -> int:
+    """Margin that moves into an isolated position whose size goes from ``p`` to ``new`` (negative: out of it).
+
+    ``value`` and ``new_value`` are allocated margin plus unrealised profit before and after; ``requirement`` is the new position's,
+    ``increase`` that of the added part, ``profit`` the trade's profit less its fee. A closed position gives its margin back;
+    a turned one is filled up to its requirement; a grown one gets what profit leaves of the increase; a reduced
+    one gives what exceeds its share of the old value (rounded up) and its requirement, at most what it has.
+    """
+    if new == 0:
+        return -max(allocated, 0)
+    if (p > 0) != (new > 0) and p != 0:
+        return requirement - new_value
+    if abs(new) >= abs(p):
+        return max(increase - profit, 0)
+    share = -(-value * abs(new) // abs(p))
+    return -min(max(new_value - max(share, requirement), 0), max(allocated, 0))
+
+
+@F.pandas_udf(T.DecimalType(38, 0))
+def isolated_margin_change(p: pd.Series, new: pd.Series, allocated: pd.Series, value: pd.Series, new_value: pd.Series, requirement: pd.Series, increase: pd.Series, profit: pd.Series) -> pd.Series:
+    """``isolated_change`` of each row."""
+    return pd.Series([None if r is None else _out(isolated_change(*r)) for r in _rows(p, new, allocated, value, new_value, requirement, increase, profit)], dtype=object)
