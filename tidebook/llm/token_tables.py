@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -34,11 +35,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import mix
-from .common import scratch_path, table, written
+from .common import bounded, scratch_path, table, written
 
 MAGIC, BLOCK, RESTART, BLOOM_BITS, BLOOM_HASHES, END_ID = b"TBSST001", 64_000, 16, 10, 7, 0
 FOOTER = struct.Struct("<QQQQQQI8s")
-VOCABULARY, CACHE = "byte_bpe_50k.json", 400_000
+VOCABULARY, CACHE, LONG = "byte_bpe_50k.json", 400_000, 12
+RUNS = re.compile(r"[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")  # pre-tokens of common words: letters, digits, signs without the apostrophe
+RUN = b"\xff\xff"  # stands for white space that must be encoded with its surroundings; no id is 65,535
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 16-bit integers."""
+    return struct.pack(f"<{len(ids)}H", *ids)
 
 
 class Encoder:
@@ -51,28 +59,35 @@ class Encoder:
     class Words(dict):
         """Ids of a word (with a space in front, if ``space``), filled by the library when missing."""
 
-        def __init__(self, tokenizer, space: bool, bare: frozenset[str], odd: set[str]) -> None:
-            self.tokenizer, self.model, self.space, self.odd = tokenizer, tokenizer.model, " " if space else "", odd
+        def __init__(self, tokenizer, bare: Encoder.Words | None) -> None:
+            self.tokenizer, self.tokenize, self.space = tokenizer, tokenizer.model.tokenize, "" if bare is None else " "
+            self.bare = self if bare is None else bare
             keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
             rest = [b for b in range(256) if b not in keep]
             self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
-            self.ends = {}
-            for c in bare:
-                self.ends[c] = np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u2").tobytes()
+            self.lead = self.space.translate(self.letters)
+            self.line = packed(tokenizer.encode("\n", add_special_tokens=False).ids)
 
         def __missing__(self, word: str) -> bytes:
-            if len(self) >= CACHE:
-                self.clear()
             if not word or word[0].isspace() or word[-1].isspace():
-                self.odd.add(word)
-            if word.isalpha() and max(word) < "ɐ":  # one pre-token: the model alone decides
-                text = (self.space + word).encode().decode("latin-1").translate(self.letters)
-                out = np.array([t.id for t in self.model.tokenize(text)], "<u2").tobytes()
-            elif word[-1:] in self.ends and word[:-1].isalpha() and max(word) < "ɐ":
-                out = self[word[:-1]] + self.ends[word[-1]]
+                return RUN
+            if word.isascii() and word.isalpha():  # one pre-token: the model alone decides
+                out = packed([t.id for t in self.tokenize(self.lead + word)])
             else:
-                out = np.array(self.tokenizer.encode(self.space + word, add_special_tokens=False).ids, "<u2").tobytes()
-            self[word] = out
+                runs = RUNS.findall(word)
+                if sum(map(len, runs)) < len(word) or "\n\n" in word or "<|" in word:
+                    out = packed(self.tokenizer.encode(self.space + word, add_special_tokens=False).ids)
+                elif len(runs) > 1:
+                    out = self[runs[0]] + b"".join([self.line if r == "\n" else self.bare[r] for r in runs[1:]])
+                else:
+                    out = packed([t.id for t in self.tokenize(self.lead + word.encode().decode("latin-1").translate(self.letters))])
+            if len(word) <= LONG:  # longer ones seldom return
+                if len(self) >= CACHE:  # short words return more often: they stay while there is room
+                    short = {w: v for w, v in self.items() if len(w) <= LONG - 4}
+                    self.clear()
+                    if len(short) < CACHE * 3 // 4:
+                        self.update(short)
+                self[word] = out
             return out
 
     def __init__(self, path: str) -> None:
@@ -80,21 +95,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 65536:
+        if self.tokenizer.get_vocab_size() > 65535:
             raise ValueError("ids of this vocabulary do not fit into 16 bits")
-        self.odd: set[str] = {""}
-        self.first, self.next = (self.Words(self.tokenizer, s, frozenset(".,;:!?"), self.odd) for s in (False, True))
-        self.end = struct.pack("<H", END_ID)
+        self.first = self.Words(self.tokenizer, None)
+        self.next = self.Words(self.tokenizer, self.first)
+        self.end = packed([END_ID])
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
         head, *rest = text.split(" ")
         out = self.first[head] + b"".join(map(self.next.__getitem__, rest))
-        if head in self.odd or not self.odd.isdisjoint(rest):
-            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(self.odd) > CACHE:
-            self.odd.clear(), self.odd.add(""), self.first.clear(), self.next.clear()
+        if RUN in out:
+            out = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return out + self.end
 
 
@@ -270,7 +283,7 @@ def write_tables(df: DataFrame, folder: str, vocabulary: str, text: str = "text"
     rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias("__text"), F.xxhash64(text).alias("__h"))
     order = [F.col(key).asc_nulls_first(), F.col("__h")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(key, "__text")
-    return written(ranged.mapInArrow(run, "shard long, path string, entries long, tokens long"), "manifest")
+    return written(ranged.transform(bounded).mapInArrow(run, "shard long, path string, entries long, tokens long"), "manifest")
 
 
 def read_tables(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
@@ -301,7 +314,7 @@ def read_tables(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFr
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], schema=schema)
 
     listed = spark.createDataFrame(files, "shard long, path string, start long").repartition(max(1, len(files)), "shard")
-    return listed.mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
+    return listed.transform(bounded).mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_tables(df: DataFrame, text: str = "text", key: str = "doc_id", folder: str | None = None) -> DataFrame:
