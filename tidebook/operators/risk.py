@@ -7,6 +7,7 @@ collateral plus the positions' profit in collateral units; requirements are noti
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import trunc_div
@@ -34,7 +35,7 @@ def funding_owed(position: Column, last_prefix: Column, market_prefix: Column, m
 
 
 def position_margins(positions: DataFrame, markets: DataFrame, fractions: tuple[int, int, int] = FRACTIONS) -> DataFrame:
-    """Each position with its notional, profit and three requirements; brands of the longest name pay double initial margin."""
+    """Each position with its notional, profit and three requirements; markets of more than 45 lots pay double initial margin."""
     joined = positions.join(markets, "market")
     notional = F.abs("position") * F.col("mark")
     own = F.when(F.col("lots") > 45, F.lit(fractions[0] * 2)).otherwise(F.lit(0))
@@ -69,14 +70,16 @@ def liquidation_candidates(risk: DataFrame, margins: DataFrame) -> DataFrame:
 def deleverage_pairs(risk: DataFrame, margins: DataFrame) -> DataFrame:
     """For each position of a bankrupt or fully liquidated account the best counterparty: opposite side, large enough, most profit (ties: smallest account).
 
-    One aggregate by market over structs; no pair is written but the best, found by a join on market and side.
+    Both kinds of rows are ordered by size within market and side, the largest first, and a running maximum over the counterparties
+    gives each weak position's best: one sort, and no pair is ever made.
     """
-    rows = margins.join(risk.select("account", "health"), "account").where("position <> 0")
-    weak = rows.where("health >= 3").select("market", "account", "position")
-    strong = rows.where("health <= 1").select("market", F.col("account").alias("other"), F.col("position").alias("other_position"), "pnl")
-    pairs = weak.join(strong, "market").where("(position > 0) <> (other_position > 0) AND abs(other_position) >= abs(position)")
-    best = pairs.groupBy("market", "account", "position").agg(F.max(F.struct("pnl", (-F.col("other")).alias("n"))).alias("b"))
-    return best.select("market", "account", "position", (-F.col("b.n")).alias("counterparty"))
+    rows = margins.join(risk.select("account", "health"), "account").where("position <> 0 AND (health >= 3 OR health <= 1)")
+    weak = F.col("health") >= 3
+    side = F.when(weak, -F.signum("position")).otherwise(F.signum("position"))
+    w = W.partitionBy("market", "side").orderBy(F.desc("size"), "weak").rowsBetween(W.unboundedPreceding, 0)
+    best = F.max(F.when(~F.col("weak"), F.struct("pnl", (-F.col("account")).alias("n")))).over(w)
+    out = rows.select("market", "account", "position", "pnl", weak.alias("weak"), side.alias("side"), F.abs("position").alias("size")).withColumn("b", best)
+    return out.where("weak AND b IS NOT NULL").select("market", "account", "position", (-F.col("b.n")).alias("counterparty"))
 
 
 def zero_prices(risk: DataFrame, margins: DataFrame, fraction: int = FRACTIONS[1]) -> DataFrame:
