@@ -10,7 +10,7 @@ from ..sources.tables import accounts, fills, resting_orders, samples, sql
 
 LOG = "log AS (SELECT event_id AS seq, ts, kind, account, value, event_id // 64 AS block FROM samples)"
 SUMMARY = """summary AS (SELECT block, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, CAST(sum(value) AS BIGINT) AS amount, arg_max(value, seq) FILTER (WHERE value > 0) AS last_positive FROM log GROUP BY block)"""
-NOW = 1_000_000_000_000
+NOW = 870_000_000_000
 
 
 def _log(spark, d):
@@ -44,7 +44,7 @@ QUERIES = {
     "kinds_by_hour": lambda s, d: ledger.kinds_by_hour(_log(s, d), to_hour(F.col("ts"))),
     "transfer_double_entry": lambda s, d: ledger.double_entry(_transfers(s, d), -1),
     "soft_withdrawals": lambda s, d: ledger.soft_withdrawals(fills(s, d).join(accounts(s, d), F.col("taker") == F.col("account")).select("account", (F.col("quote") - 500_000).alias("amount"), F.greatest(F.col("collateral"), F.lit(0).cast("long")).alias("available"))),
-    "fifo_unlock_heads": lambda s, d: ledger.fifo_heads(_unlocks(s, d), NOW),
+    "fifo_unlock_heads": lambda s, d: ledger.fifo_heads(_unlocks(s, d), NOW).fillna(0, ["head_ts", "head_amount"]),
     "delta_encoded_accounts": lambda s, d: ledger.delta_encoded(accounts(s, d), 128),
     "account_deltas": lambda s, d: ledger.account_deltas(positions.position_fold(fills(s, d).where(F.col("ok") % 2 == 0)), positions.position_fold(fills(s, d))),
     "last_market_updates": lambda s, d: ledger.last_values(samples(s, d), "market", ["ts", "event_id"], ["ts", "value", "kind"]),
@@ -67,7 +67,7 @@ SELECT pool, holder, CAST(value AS BIGINT) AS value, CAST(CASE WHEN op THEN 0 EL
 SELECT CAST(account AS BIGINT) AS account, CAST(sum(x) AS BIGINT) AS balance FROM (SELECT s AS account, -a - f AS x FROM t UNION ALL SELECT r, a FROM t UNION ALL SELECT -1, f FROM t) GROUP BY 1"""),
     "soft_withdrawals": sql("fills", "accounts", body=""", r AS (SELECT quote - 500000 AS amount, greatest(collateral, 0) AS available FROM fills JOIN accounts ON taker = account)
 SELECT CASE WHEN amount <= 0 THEN 'violation' WHEN amount <= available THEN 'applied' ELSE 'noop' END AS status, count(*) AS n, CAST(sum(CASE WHEN amount > 0 AND amount <= available THEN -amount ELSE 0 END) AS BIGINT) AS debit FROM r GROUP BY 1"""),
-    "fifo_unlock_heads": sql("book", body=f"""SELECT account, min(ts) FILTER (WHERE ts <= {NOW}) AS head_ts, first(base ORDER BY ts, nonce) FILTER (WHERE ts <= {NOW}) AS head_amount, CAST(coalesce(sum(base) FILTER (WHERE ts <= {NOW}), 0) AS BIGINT) AS matured, CAST(coalesce(sum(base) FILTER (WHERE ts > {NOW}), 0) AS BIGINT) AS pending FROM book GROUP BY account"""),
+    "fifo_unlock_heads": sql("book", body=f"""SELECT account, coalesce(min(ts) FILTER (WHERE ts <= {NOW}), 0) AS head_ts, coalesce(first(base ORDER BY ts, nonce) FILTER (WHERE ts <= {NOW}), 0) AS head_amount, CAST(coalesce(sum(base) FILTER (WHERE ts <= {NOW}), 0) AS BIGINT) AS matured, CAST(coalesce(sum(base) FILTER (WHERE ts > {NOW}), 0) AS BIGINT) AS pending FROM book GROUP BY account"""),
     "delta_encoded_accounts": sql("accounts", body="SELECT account, account - coalesce(lag(account) OVER (ORDER BY account), 0) AS delta FROM (SELECT DISTINCT account FROM accounts)"),
     "account_deltas": sql("fills", body="SELECT taker AS account, market, CAST(sum(side * base) AS BIGINT) AS delta FROM fills WHERE ok % 2 <> 0 GROUP BY 1, 2 HAVING sum(side * base) <> 0"),
     "last_market_updates": sql("samples", body="SELECT market, ts, value, kind FROM samples QUALIFY row_number() OVER (PARTITION BY market ORDER BY ts DESC, event_id DESC) = 1"),
