@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import trunc_div
 from ..functions.wide import mul_div, product_at_most, zero_price, zero_quote
-from ..model.units import MARGIN_SCALE
+from ..model.units import MARGIN_SCALE, UNIFIED
 
 FRACTIONS = (500, 300, 200)  # initial, maintenance, close-out, in 1e-4
 WIDE = "decimal(38,0)"
@@ -123,3 +123,13 @@ def exits(positions: DataFrame, markets: DataFrame, expired: Column) -> DataFram
 def halves(x: Column) -> Column:
     """Half of a signed amount, rounded toward zero."""
     return trunc_div(x, 2)
+
+
+def asset_balances(balances: DataFrame) -> DataFrame:
+    """What of an asset is free: ``(account, mode, is_margin_asset, collateral, balance, locked)``.
+
+    In unified mode a margin asset is read from the collateral, else from the asset's balance; what orders lock is taken off, down to 0.
+    """
+    unified = (F.col("mode") == UNIFIED) & F.col("is_margin_asset")
+    held = F.when(unified, F.col("collateral")).otherwise(F.col("balance"))
+    return balances.select("account", F.greatest(held - F.col("locked"), F.lit(0).cast("long")).alias("available"))

@@ -24,6 +24,11 @@ def _risk(spark, d):
     return risk.account_risk(accounts(spark, d), _margins(spark, d))
 
 
+def _health_changes(spark, d):
+    early = risk.position_margins(positions.position_fold(fills(spark, d).where(F.col("ok") % 2 == 0)), markets(spark, d))
+    return risk.health_improved(risk.account_risk(accounts(spark, d), early), _risk(spark, d))
+
+
 def _risk_sql(body: str) -> str:
     return sql("fills", "markets", "accounts", body=f", {POSITIONS}, {MARGINS}, {RISK}\n{body}")
 
@@ -51,6 +56,8 @@ QUERIES = {
     "liquidation_candidates": lambda s, d: risk.liquidation_candidates(_risk(s, d), _margins(s, d)),
     "deleverage_pairs": lambda s, d: risk.deleverage_pairs(_risk(s, d), _margins(s, d)),
     "zero_prices": lambda s, d: risk.zero_prices(_risk(s, d), _margins(s, d)),
+    "health_changes": _health_changes,
+    "balances_by_mode": lambda s, d: risk.asset_balances(accounts(s, d).select("account", (F.col("nation") % 2).alias("mode"), (F.col("nation") % 3 == 0).alias("is_margin_asset"), "collateral", (F.col("account") * 10).alias("balance"), (F.col("account") % 100 * 5_000).alias("locked"))),
     "expired_market_exits": lambda s, d: risk.exits(positions.position_fold(fills(s, d)), markets(s, d), F.col("lots") <= 5),
     "pool_share_values": lambda s, d: risk.share_values(accounts(s, d).select(F.col("nation").cast("long").alias("pool"), F.col("account").alias("holder"), (F.col("account") % 97 + 1).alias("shares"), F.when(F.col("nation") == 3, 0).otherwise(100_000).cast("long").alias("total"), F.col("collateral").alias("tav"))),
     "entry_quotes": lambda s, d: folds.entry_quotes(fills(s, d)),
@@ -86,6 +93,11 @@ y AS (SELECT *, mark * mm * 10000 - tav * s * mark * 300 AS p, n * mm * 10000 -
 z AS (SELECT *, CASE WHEN p >= 0 THEN p // d ELSE -((-p + d - 1) // d) END AS down, CASE WHEN p >= 0 THEN (p + d - 1) // d ELSE -((-p) // d) END AS up FROM y)
 SELECT account, market, CAST(least(greatest(CASE WHEN s > 0 THEN up ELSE down END, 1), 4294967295) AS BIGINT) AS zero_price,
  CAST(sign(q) * CASE WHEN sign(q) = s THEN (abs(q) + d - 1) // d ELSE abs(q) // d END AS BIGINT) AS zero_quote FROM z"""),
+    "health_changes": _risk_sql(""", before AS (SELECT taker AS account, market, sum(side * base) AS position, sum(-side * quote) AS cash FROM fills WHERE ok % 2 = 0 GROUP BY ALL),
+bs AS (SELECT account, sum(CAST(position * mark + cash AS HUGEINT)) AS pnl, sum(CAST(abs(position) * mark AS HUGEINT) * greatest(CASE WHEN lots > 45 THEN 1000 ELSE 500 END, 300) * 100) AS im, sum(CAST(abs(position) * mark AS HUGEINT) * 30000) AS mm FROM before JOIN markets USING (market) GROUP BY account),
+x AS (SELECT a.account, CAST(a.collateral AS HUGEINT) * 1000000 + coalesce(bs.pnl, 0) * 10 AS t1, coalesce(bs.im, 0) AS i1, coalesce(bs.mm, 0) AS m1, f.tav AS t2, f.im AS i2, f.mm AS m2 FROM accounts a LEFT JOIN bs USING (account) JOIN flat f USING (account))
+SELECT account, t1 * m2 <= t2 * m1 AS improved, (t2 >= i2 OR t1 * m2 <= t2 * m1) AND (NOT t1 >= i1 OR t2 >= i2) AS valid_change FROM x"""),
+    "balances_by_mode": sql("accounts", body="""SELECT account, CAST(CASE WHEN nation % 2 = 1 AND nation % 3 = 0 THEN greatest(collateral - account % 100 * 5000, 0) ELSE greatest(account * 10 - account % 100 * 5000, 0) END AS BIGINT) AS available FROM accounts"""),
     "expired_market_exits": sql("fills", "markets", body=f", {POSITIONS} SELECT account, CAST(sum(position * mark + cash) AS BIGINT) AS settled, CAST(sum(abs(position)) AS BIGINT) AS lots FROM positions JOIN markets USING (market) WHERE lots <= 5 AND position <> 0 GROUP BY account"),
     "pool_share_values": sql("accounts", body="""SELECT CAST(nation AS BIGINT) AS pool, account AS holder, CAST(CASE WHEN nation = 3 THEN (account % 97 + 1) * 1000 ELSE CAST(account % 97 + 1 AS HUGEINT) * abs(collateral) // 100000000000 END AS BIGINT) AS value FROM accounts"""),
     "entry_quotes": sql("fills", body=""", steps AS (SELECT taker AS account, market, side * base AS d, quote AS q, row_number() OVER (PARTITION BY taker, market ORDER BY ts, ok, ln) AS n FROM fills),
