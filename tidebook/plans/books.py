@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import book, folds, funding
+from ..operators import book, folds, funding, orders
 from ..sources.tables import fills, markets, resting_orders, samples, sql
 
 TARGET, INDEX = 20_000, 5_000
@@ -32,6 +32,12 @@ QUERIES = {
     "book_crossings": lambda s, d: book.crossings(resting_orders(s, d)),
     "order_size_checks": lambda s, d: book.size_checks(resting_orders(s, d), 2, 500, 40_000),
     "position_tied_sizes": lambda s, d: fills(s, d).groupBy(F.col("taker").alias("account"), "market").agg(F.sum(F.col("side") * F.col("base")).alias("position")).join(markets(s, d), "market").select("account", "market", book.tied_size(F.col("position"), 2_000_000, F.col("mark")).alias("size")),
+    "order_flags": lambda s, d: resting_orders(s, d).select("nonce", orders.reduces(F.col("account") - 700, F.col("is_ask")).alias("reduces"), orders.triggered(F.lit(450), F.col("price") * (F.col("nonce") % 3), F.col("is_ask"), F.col("nonce") % 2 == 0).alias("triggered"), orders.switched_off(F.col("account") % 5 * F.col("ts"), F.col("ts") * 2).alias("off")),
+    "order_counters": lambda s, d: orders.counters(resting_orders(s, d).select("account", "market", F.when(F.col("nonce") % 4 == 0, -1).otherwise(1).cast("long").alias("change"), (F.col("nonce") % 3 == 0).alias("tied"))),
+    "order_families": lambda s, d: orders.families(resting_orders(s, d).select(F.col("nonce").alias("order_id"), F.when(F.col("nonce") % 4 != 0, F.col("nonce") - F.col("nonce") % 4).alias("parent_id"), "base")),
+    "funding_settlements": lambda s, d: orders.settlements(fills(s, d).groupBy(F.col("taker").alias("account"), (F.col("market") % 10).alias("market")).agg(F.sum(F.col("side") * F.col("base")).alias("position")).withColumn("last_prefix", F.col("account") * 1000), funding.funding_prefix(_minutes(s, d), INDEX).groupBy("market").agg(F.max_by("prefix", "hour").alias("prefix"))),
+    "position_usdc": lambda s, d: fills(s, d).select("ok", "ln", orders.position_usdc(F.col("quote") * 1000 - 2_000_000_000, F.col("side") * F.col("base"), F.col("quote")).alias("usdc")),
+    "sample_hash_chain": lambda s, d: orders.hash_chain(samples(s, d).select("market", F.col("event_id").alias("seq"), "value")),
     "minute_premiums": _minutes,
     "premium_sums": lambda s, d: funding.premium_sums(_minutes(s, d)),
     "funding_prefix": lambda s, d: funding.funding_prefix(_minutes(s, d), INDEX),
@@ -53,6 +59,18 @@ SQL = {
     "book_crossings": sql("book", body="SELECT market, max(price) FILTER (WHERE is_ask = 0) AS bid, min(price) FILTER (WHERE is_ask = 1) AS ask, coalesce(max(price) FILTER (WHERE is_ask = 0) >= min(price) FILTER (WHERE is_ask = 1), false) AS crossed FROM book GROUP BY market"),
     "order_size_checks": sql("book", body="SELECT market, CASE WHEN base * price > 40000 THEN 'over_limit' WHEN base < 2 OR base * price < 500 THEN 'too_small' ELSE 'ok' END AS rule, count(*) AS n FROM book GROUP BY 1, 2"),
     "position_tied_sizes": sql("fills", "markets", body="SELECT account, market, CAST(least(abs(position), 281474976710655, 2000000 // mark) AS BIGINT) AS size FROM (SELECT taker AS account, market, sum(side * base) AS position FROM fills GROUP BY 1, 2) JOIN markets USING (market)"),
+    "order_flags": sql("book", body="SELECT nonce, CASE WHEN is_ask = 1 THEN account > 700 ELSE account < 700 END AS reduces, t = 0 OR CASE WHEN (is_ask = 1) = (nonce % 2 = 0) THEN 450 <= t ELSE 450 >= t END AS triggered, account % 5 * ts <> 0 AND account % 5 * ts <= ts * 2 AS off FROM (SELECT *, price * (nonce % 3) AS t FROM book)"),
+    "order_counters": sql("book", body="SELECT account, market, CAST(sum(c) AS BIGINT) AS open_orders, CAST(sum(CASE WHEN nonce % 3 = 0 THEN c ELSE 0 END) AS BIGINT) AS tied_orders FROM (SELECT *, CASE WHEN nonce % 4 = 0 THEN -1 ELSE 1 END AS c FROM book) GROUP BY 1, 2"),
+    "order_families": sql("book", body="SELECT c.nonce AS order_id, p.nonce AS parent_id, c.base, p.base AS parent_base, c.base > p.base AS larger FROM book c JOIN book p ON c.nonce % 4 <> 0 AND p.nonce = c.nonce - c.nonce % 4"),
+    "funding_settlements": sql("fills", "samples", body=f""", {MINUTES}, hours AS (SELECT market, minute // 3600000 AS hour, CAST(sum(premium) AS BIGINT) AS s FROM minutes GROUP BY 1, 2),
+a AS (SELECT *, CAST(sign(s) AS BIGINT) * (abs(s) // 60) AS avg FROM hours), f AS (SELECT *, greatest(least(avg + greatest(least(100 - avg, 500), -500), 40000), -40000) AS f FROM a),
+p AS (SELECT market, CAST(sum(sign(f) * (abs(f) // 8) * {INDEX}) AS BIGINT) AS prefix FROM f GROUP BY market),
+x AS (SELECT taker AS account, market % 10 AS market, sum(side * base) AS position FROM fills GROUP BY 1, 2)
+SELECT account, CAST(sum(position * (account * 1000 - prefix)) AS BIGINT) AS funding FROM x JOIN p USING (market) GROUP BY account"""),
+    "position_usdc": sql("fills", body="SELECT ok, ln, (v - ((v % 1000000) + 1000000) % 1000000) // 1000000 - side * quote AS usdc FROM (SELECT *, quote * 1000 - 2000000000 AS v FROM fills)"),
+    "sample_hash_chain": sql("samples", body=""", s AS (SELECT market, event_id, value, row_number() OVER (PARTITION BY market ORDER BY event_id) AS k FROM samples),
+c AS (SELECT market, k, sha256('|' || event_id || '|' || value) AS h FROM s WHERE k = 1 UNION ALL SELECT s.market, s.k, sha256(c.h || '|' || s.event_id || '|' || s.value) FROM c JOIN s ON s.market = c.market AND s.k = c.k + 1)
+SELECT market, h AS digest, k AS n FROM c QUALIFY row_number() OVER (PARTITION BY market ORDER BY k DESC) = 1""").replace("WITH ", "WITH RECURSIVE ", 1),
     "minute_premiums": sql("samples", body=f", {MINUTES} SELECT * FROM minutes"),
     "premium_sums": sql("samples", body=f", {MINUTES} SELECT market, minute, CAST(sum(premium) OVER (PARTITION BY market, minute // 3600000 ORDER BY minute ROWS UNBOUNDED PRECEDING) AS BIGINT) AS premium_sum FROM minutes"),
     "funding_prefix": sql("samples", body=f""", {MINUTES}, hours AS (SELECT market, minute // 3600000 * 3600000 AS hour, CAST(sum(premium) AS BIGINT) AS s, count(*) AS n FROM minutes GROUP BY 1, 2),
