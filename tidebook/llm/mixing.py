@@ -38,9 +38,9 @@ def rates(df: DataFrame, weights: dict[str | None, float] | None = None, power:
     else:
         given = df.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()] or [(None, 0.0)], "s string, w double")
         counts = counts.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    whole = counts.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    rate = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") / F.col("n")).otherwise(F.lit(0.0))
-    known = counts.join(F.broadcast(whole)).withColumn("rate", F.least(rate, F.lit(MOST_RATE)))
+    whole = counts.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    rate = F.col("w") / F.lit(whole["w"]) * F.lit(whole["n"]) / F.col("n") if whole["w"] else F.lit(0.0)
+    known = counts.withColumn("rate", F.least(rate, F.lit(MOST_RATE)))
     most = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
     first = F.exp(-F.col("rate"))
     start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("ladder"))
