@@ -1,5 +1,6 @@
 """Token counts, languages, toxicity, language model, decontamination against plain versions."""
 
+import collections
 import itertools
 import math
 import random
@@ -146,6 +147,35 @@ def test_language_model(spark, docs):
     assert masked_lm.pseudo_likelihood(nothing(spark)).count() == 0
 
 
+def test_language_model_tells_rare_words_apart(spark, monkeypatch):
+    rare = [f"r{i}q" for i in range(3000)]
+    rows = [(i, f"{prose(i, 40, 1500)} {' '.join(rare[i::50])} {' '.join(rare[:20]) if i % 2 else ''}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = collections.Counter(w for _, t in rows for w in words(t))
+    new = spark.createDataFrame([(-1, "r1q r7q"), (-2, "r1q qqqq"), (-3, rows[4][1]), (-4, rows[4][1])], "doc_id long, text string")
+    got = []
+    for known in (1, masked_lm.KNOWN):  # all counts joined, all counts looked up
+        monkeypatch.setattr(masked_lm, "KNOWN", known)
+        counts = masked_lm.word_counts(df)
+        model = masked_lm.vocabulary(df, counts=counts)
+        net = masked_lm.fresh(model.counts)
+        ids = {w: int(model.encode(word_hashes(*buffers(pa.array([w])))[0])[0]) for w in [*seen, "qqqq"]}
+        sums = collections.Counter()
+        for w, n in seen.items():
+            sums[ids[w]] += n
+        text = {r["doc_id"]: r["text"] for r in df.union(new).collect()}
+        plain = {r["doc_id"]: r["log_prob"] for r in masked_lm.scored(df.union(new), model, net).collect()}
+        out = {r["doc_id"]: r for r in masked_lm.scored(df.union(new), model, net, counts=counts).collect()}
+        for i, r in out.items():
+            own = sum(math.log((seen[w] or 0.5) / (sums[ids[w]] + 0.5)) for w in words(text[i]) if ids[w] >= masked_lm.VOCABULARY - masked_lm.WORDS)
+            assert math.isclose(r["log_prob"], plain[i] + own, rel_tol=1e-6) and math.isclose(r["mean_log_prob"], r["log_prob"] / r["n_words"])
+        assert out[-3]["log_prob"] == out[-4]["log_prob"] and len(out) == len(text)
+        got.append([out[i]["log_prob"] for i in sorted(out)])
+    assert np.allclose(*got, rtol=1e-6)
+    scores = {r["doc_id"]: r["log_prob"] for r in masked_lm.pseudo_likelihood(df.union(new)).collect()}
+    assert len(scores) == 54 and all(v < 0 for v in scores.values())
+
+
 def test_masks_hit_every_placement():
     n, spans = decontamination.WINDOW, decontamination.MASKS
     for k in range(decontamination.SUBSTITUTIONS + 1):

@@ -6,12 +6,17 @@ the concatenated window, and a two-step softmax (a word's class, then the word i
 prediction costs ``CLASSES`` + ``WORDS`` outputs instead of their product.
 
 Vocabulary: the most frequent words of the whole corpus, counted over all documents, in order of count, dealt into classes
-of ``WORDS``; words beyond it fall into ``WORDS`` hashed entries, the last class. Output biases start from the corpus
-counts, so the untrained network is the unigram model.
+of ``WORDS``; words beyond it share ``WORDS`` hashed entries of the network, the last class. Output biases start from the
+corpus counts, so the untrained network is the unigram model.
+
+Words that share an entry are told apart by their own counts, all of which are kept: the log-probability of a word is that of its
+entry plus log(n(word) / (n(entry) + ``UNSEEN``)); all words that the corpus lacks count as one of ``UNSEEN`` occurrences. Words that make
+up at least 1 / ``KNOWN`` of the corpus (so at most ``KNOWN`` words) are looked up inside tasks, the others are joined with the table
+of counts. That table, of one row a distinct word, is what is gathered, and grows with the corpus.
 
 Training: every task trains the network, from one start, on all its documents: of each run of ``MASK`` words one is masked
 (by a hash of its place) and predicted. The tasks' weights are averaged by an aggregate over the
-weights' numbers, weighted by predictions, which is the only thing gathered besides the counts; the model's
+weights' numbers, weighted by predictions, which is the only thing gathered besides the counts; the network's
 size is fixed. The averages depend on how the input is split into tasks, but not on the order in which tasks run.
 
 Defined cases: texts that are null or have no word have 0 words, log-probability 0 and no mean; an empty corpus gives the
@@ -33,6 +38,7 @@ from .common import bounded, table, words_of, written
 CLASSES, WORDS, SIDE, DIM, HIDDEN = 32, 32, 2, 16, 24
 MASK, BATCH, RATE, SEED, HELD = 8, 1024, 0.05, 42, 1_000_000
 VOCABULARY = CLASSES * WORDS
+KNOWN, UNSEEN, SCALE = 1 << 20, 0.5, 1e9
 _U = np.uint64
 SHAPES = {"e": (VOCABULARY + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (CLASSES, HIDDEN, WORDS), "ob": (CLASSES, WORDS)}
 
@@ -65,32 +71,64 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(words_of(F.col(text)).alias("__words")).transform(bounded).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def entry(hashes: np.ndarray) -> np.ndarray:
+    """The shared entry, from 0, of each word without an entry of its own."""
+    return (mix(hashes + _U(77)) % _U(WORDS)).astype(np.int64)
+
+
+def places(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash stands in the sorted ``words``, and whether it does."""
+    if not len(words):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return at, words[at] == hashes
+
+
 class Vocabulary:
-    """Ids of words by their hashes, and the corpus counts of the ids."""
+    """Ids of words by their hashes, the corpus counts of the ids, and the counts of the known words that share an id."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, rest: int) -> None:
+    def __init__(self, words: np.ndarray, counts: np.ndarray, rest: np.ndarray, known: np.ndarray, known_counts: np.ndarray) -> None:
         order = np.argsort(words)
         self.words, self.ids = words[order], order
         self.counts = np.full(VOCABULARY, 0.5)
         self.counts[: len(words)] += counts
-        self.counts[VOCABULARY - WORDS :] += rest / WORDS
+        self.counts[VOCABULARY - WORDS :] += rest
+        order = np.argsort(known)
+        self.known, self.logs = known[order], np.log(known_counts[order])
+        self.rest = np.log(rest + UNSEEN)
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         """The id of each word."""
-        other = VOCABULARY - WORDS + (mix(hashes + _U(77)) % _U(WORDS)).astype(np.int64)
-        if not len(self.words):
-            return other
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.ids[at], other)
+        at, own = places(self.words, hashes)
+        return np.where(own, self.ids[at] if len(self.ids) else 0, VOCABULARY - WORDS + entry(hashes))
+
+    def within(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log-probability of each word within its id, and the places of the words whose log count is still to be added."""
+        out = np.zeros(len(ids))
+        rare = np.flatnonzero(ids >= VOCABULARY - WORDS)
+        at, found = places(self.known, hashes[rare])
+        out[rare] = -self.rest[ids[rare] - (VOCABULARY - WORDS)]
+        out[rare[found]] += self.logs[at[found]]
+        return out, rare[~found]
+
+
+def vocabulary(df: DataFrame, text: str = "text", counts: DataFrame | None = None) -> Vocabulary:
+    """The most frequent words over all rows, from their written ``counts`` (at most ``KNOWN`` + ``VOCABULARY`` rows reach the driver)."""
+    counts = written(word_counts(df, text), "counts") if counts is None else counts
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - WORDS).collect()
+    words, n = np.array([r["word"] for r in top], np.int64).view(_U), np.array([r["n"] for r in top], np.float64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(WORDS)
+        for batch in batches:
+            out += np.bincount(entry(batch.column("word").to_numpy().view(_U)), batch.column("n").to_numpy(), WORDS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(WORDS)), pa.array(out.astype(np.int64))], names=["i", "n"])
 
-def vocabulary(df: DataFrame, text: str = "text") -> Vocabulary:
-    """The most frequent words over all rows (at most ``VOCABULARY`` rows reach the driver)."""
-    counts = written(word_counts(df, text), "counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - WORDS).collect()
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n = np.array([r["n"] for r in top], np.float64)
-    return Vocabulary(np.array([r["word"] for r in top], np.int64).view(_U), n, total - int(n.sum()))
+    rest = np.zeros(WORDS)
+    for r in counts.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        rest[r["i"]] = r["n"]
+    known = counts.where(F.col("n") * KNOWN >= int(rest.sum())).toArrow()
+    return Vocabulary(words, n, rest - np.bincount(entry(words), n, WORDS), known.column("word").to_numpy().view(_U), known.column("n").to_numpy())
 
 
 def fresh(counts: np.ndarray, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -226,9 +264,10 @@ def trained(df: DataFrame, words: Vocabulary, text: str = "text") -> dict[str, n
     return unpacked(flat[1:] / flat[0])
 
 
-def scored(df: DataFrame, words: Vocabulary, net: dict[str, np.ndarray], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows ``(key, n_words, log_prob, mean_log_prob)``."""
+def scored(df: DataFrame, words: Vocabulary, net: dict[str, np.ndarray], text: str = "text", key: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
+    """Rows ``(key, n_words, log_prob, mean_log_prob)``; without the ``counts`` of words, of the network's ids only."""
     sent = df.sparkSession.sparkContext.broadcast((words, net))
+    whole_words = counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = sent.value
@@ -236,22 +275,30 @@ def scored(df: DataFrame, words: Vocabulary, net: dict[str, np.ndarray], text: s
             for batch in slices(whole, "__words"):
                 hashes, at = word_hashes(*buffers(batch.column("__words")))
                 ids = known.encode(hashes)
-                each = np.zeros(len(ids))
+                each, far = known.within(hashes, ids) if whole_words else (np.zeros(len(ids)), np.zeros(0, np.int64))
                 for i in range(0, len(ids), 16_384):
                     where = np.arange(i, min(len(ids), i + 16_384))
-                    each[where] = log_probabilities(model, windows(ids, at, where), ids[where])
+                    each[where] += log_probabilities(model, windows(ids, at, where), ids[where])
                 n = np.diff(at)
                 total = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)).astype(float)
-                mean = np.where(n > 0, total / np.maximum(n, 1), np.nan)
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n), pa.array(total), pa.array(mean, from_pandas=True)], names=[key, "n_words", "log_prob", "mean_log_prob"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, at).astype(np.int32)), pa.array(hashes[far].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column(key), pa.array(n), pa.array(total), lists], names=["__row", key, "n_words", "log_prob", "__far"])
 
-    return df.select(F.col(key).cast("long").alias(key), words_of(F.col(text)).alias("__words")).transform(bounded).mapInArrow(run, f"{key} long, n_words long, log_prob double, mean_log_prob double")
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), F.col(key).cast("long").alias(key), words_of(F.col(text)).alias("__words"))
+    out = rows.transform(bounded).mapInArrow(run, f"__row long, {key} long, n_words long, log_prob double, __far array<long>")
+    if whole_words:
+        out = written(out, "scored")
+        logs = out.select("__row", F.explode("__far").alias("word")).join(counts, "word", "left").select("__row", F.round(F.log(F.coalesce("n", F.lit(UNSEEN))) * SCALE).cast("long").alias("v"))
+        # whole numbers, so that equal texts get equal sums in any order
+        out = out.join(logs.groupBy("__row").agg(F.sum("v").alias("v")), "__row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("v", F.lit(0)) / SCALE)
+    return out.select(key, "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
 def pseudo_likelihood(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Train on ``df`` and score every row of it."""
-    words = vocabulary(df, text)
-    return scored(df, words, trained(df, words, text), text, key)
+    counts = written(word_counts(df, text), "counts")
+    words = vocabulary(df, text, counts)
+    return scored(df, words, trained(df, words, text), text, key, counts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
