@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidebook.llm import embedding_dedup, mixing, near_duplicates, sharding, token_tables
@@ -167,6 +168,18 @@ def test_mixing(spark):
     assert mixing.poisson_mix(awkward(spark)).columns[:5] == corpus_pipeline.COLUMNS and mixing.poisson_mix(nothing(spark)).count() == 0
 
 
+def test_mixing_small_sources_reach_their_weight(spark):
+    df = spark.range(50_000).selectExpr("id AS doc_id", "CASE WHEN id < 10 THEN 'small' WHEN id = 10 THEN 'one' ELSE 'big' END AS source")
+    out = mixing.poisson_mix(df, {"small": 2, "one": 1, "big": 1})
+    n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    for source, want in (("small", 25_000), ("one", 12_500), ("big", 12_500)):
+        assert abs(n[source] - want) < 5 * math.sqrt(want)
+    each = out.where("source <> 'big'").groupBy("doc_id").agg(F.max("copy").alias("last"), F.count("*").alias("n")).collect()
+    assert len(each) == 11 and all(r["last"] == r["n"] - 1 for r in each) and len({r["n"] for r in each}) > 5
+    assert out.select("doc_id", "copy").distinct().count() == sum(n.values())
+    assert {r["source"]: round(r["rate"]) for r in mixing.rates(df, {"small": 2, "one": 1, "big": 1}).collect()} == {"small": 2500, "one": 12_500, "big": 0}
+
+
 def test_table_file():
     rng = random.Random(6)
     keys = sorted([None, None, -5] + [rng.randrange(-(10**6), 10**6) for _ in range(5000)] + [77] * 40, key=token_tables.key_of)

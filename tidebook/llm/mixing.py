@@ -8,8 +8,9 @@ Nothing is random: a lost task that runs again draws the same counts.
 Defined cases: a null source is a source of its own; a null identifier is hashed as empty text, so
 such rows of one source share a draw; sources without a weight (when weights are given) have rate 0;
 an empty table gives an empty one; other columns are carried along, but for ``copy`` and
-``shuffle_key``, which are replaced. No document has a mean rate above ``MOST_RATE``: very small
-sources fall short of their weight rather than repeat a document without end.
+``shuffle_key``, which are replaced. Rates have no upper end: one above ``MOST_RATE`` is split into the fewest
+equal parts that are not, as Poisson counts add up; each part draws at a number of its own, hashed from seed, identifier
+and part (the first part without its number, so rates of one part draw as ever). ``oracle`` still cuts rates at ``MOST_RATE``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SEED, POWER, MOST_RATE, DIGITS, SMALL = 42, 0.5, 500.0, 12, 100_000
+SEED, POWER, MOST_RATE, DIGITS, SMALL, RUN = 42, 0.5, 500.0, 12, 100_000, 4096
 
 
 def hashed(*parts: Column) -> Column:
@@ -28,7 +29,7 @@ def hashed(*parts: Column) -> Column:
 
 
 def rates(df: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER) -> DataFrame:
-    """Rows ``(source, n, rate, ladder)``; ``ladder`` holds the cumulative distribution from count 0 on.
+    """Rows ``(source, n, rate, parts, ladder)``; ``ladder`` holds the cumulative distribution of one of ``parts`` equal parts from count 0 on.
 
     Without ``weights`` the target share of a source is in proportion to n to the ``power``.
     """
@@ -40,16 +41,16 @@ def rates(df: DataFrame, weights: dict[str | None, float] | None = None, power:
         counts = counts.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("w", F.coalesce("w", F.lit(0.0)))
     whole = counts.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     rate = F.col("w") / F.lit(whole["w"]) * F.lit(whole["n"]) / F.col("n") if whole["w"] else F.lit(0.0)
-    known = counts.withColumn("rate", F.least(rate, F.lit(MOST_RATE)))
-    most = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    first = F.exp(-F.col("rate"))
+    known = counts.withColumn("rate", rate).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE)).cast("long")).withColumn("part", F.col("rate") / F.col("parts"))
+    most = F.ceil(F.col("part") + 12 * F.sqrt("part") + 30).cast("int")
+    first = F.exp(-F.col("part"))
     start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("ladder"))
 
     def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * F.col("rate") / k
+        p = acc["p"] * F.col("part") / k
         return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.concat(acc["ladder"], F.array(acc["c"] + p)).alias("ladder"))
 
-    return known.select("source", "n", "rate", F.aggregate(F.sequence(F.lit(1), most), start, step)["ladder"].alias("ladder"))
+    return known.select("source", "n", "rate", "parts", F.aggregate(F.sequence(F.lit(1), most), start, step)["ladder"].alias("ladder"))
 
 
 def poisson_mix(df: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER, seed: int = SEED, key: str = "doc_id") -> DataFrame:
@@ -58,12 +59,14 @@ def poisson_mix(df: DataFrame, weights: dict[str | None, float] | None = None, p
     Adds ``copy`` (from 0) and ``shuffle_key``, by which the result is sorted. The table of sources is
     broadcast only if it has at most ``SMALL`` rows; beyond, it is joined by source.
     """
-    known = rates(df, weights, power).withColumnRenamed("source", "__source").select("__source", "ladder").where(F.col("ladder")[0] < 1)
+    known = rates(df, weights, power).withColumnRenamed("source", "__source").select("__source", F.col("parts").alias("__parts"), "ladder").where(F.col("ladder")[0] < 1)
     known = F.broadcast(known) if known.limit(SMALL + 1).count() <= SMALL else known
-    u = (hashed(F.lit(seed), F.col(key)) + F.lit(0.5)) / F.lit(float(16**DIGITS))
-    drawn = df.drop("copy", "shuffle_key").join(known, F.col("source").eqNullSafe(F.col("__source")))
-    drawn = drawn.withColumn("__u", u).withColumn("__n", F.size(F.filter("ladder", lambda c: c < F.col("__u")))).drop("ladder", "__source", "__u")
-    copies = drawn.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1), lambda p: (F.when(p == 0, hashed(F.lit(seed), F.col(key))).otherwise(hashed(F.lit(seed), F.col(key), p)) + F.lit(0.5)) / F.lit(float(16**DIGITS)))
+    n = F.aggregate(draws, F.lit(0).cast("long"), lambda acc, u: acc + F.size(F.filter("ladder", lambda c: c < u)))
+    drawn = df.drop("copy", "shuffle_key").join(known, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", n).drop("ladder", "__source", "__parts")
+    # in runs, so that no array holds all copies of a document
+    runs = drawn.where("__n > 0").withColumn("__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(RUN).cast("long"))))
+    copies = runs.withColumn("copy", F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + RUN, F.col("__n")) - 1))).withColumn("copy", F.col("copy").cast("int")).drop("__n", "__first")
     return copies.withColumn("shuffle_key", hashed(F.lit(seed + 1), F.col(key), F.col("copy"))).orderBy("shuffle_key", key, "copy")
 
 
