@@ -96,6 +96,22 @@ def test_language_accuracy_and_cases(spark, docs):
     assert language_id.identified(nothing(spark), train).count() == 0
 
 
+def test_language_of_long_or_repeated_texts_is_learned(spark):
+    rng = random.Random(8)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
+    same = text("pqrs", 100)
+    rows = [(i, text("abcd", 4000), "long") for i in range(6)] + [(10 + i, text("日本語x", 4000), "wide") for i in range(6)]
+    rows += [(100 + i, same.upper() if i % 2 else same, "copies") for i in range(2000)] + [(3000 + i, text("ijkl", 60), "copies") for i in range(5)]
+    rows += [(4000 + i, "123 !", "none") for i in range(500)] + [(5000, text("tuvw", 50), "none")]
+    train = dict(language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert set(train) == {"long", "wide", "copies", "none"} and all(len(t) <= language_id.TRAIN_BYTES for t in train.values())
+    assert len(train["long"]) > 30_000 and len(train["wide"]) > 8_000 and train["wide"].decode()
+    assert train["copies"].decode().count(same) == 1 and all(r[1].encode() in train["copies"] for r in rows if r[0] in range(3000, 3005))
+    new = spark.createDataFrame([(1, text("abcd", 30)), (2, text("日本語x", 30)), (3, text("ijkl", 30)), (4, text("tuvw", 30))], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identified(new, tuple(sorted(train.items()))).collect()}
+    assert got == {1: "long", 2: "wide", 3: "copies", 4: "none"}
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     bad = ["grimbol", "snarfex", "wozzlet"]
@@ -183,6 +199,22 @@ def test_masks_hit_every_placement():
             assert any(not any(w - at in mask for w in wrong) for mask in spans for at in range(n - mask[-1]))
 
 
+def test_short_items_with_replaced_words(spark):
+    pad, items, docs, want = prose(4, 30), [], [], set()
+    for n in range(decontamination.LEAST, decontamination.WINDOW):
+        k, item = decontamination.allowed(n), [f"q{n}i{j}" for j in range(n)]
+        assert k == (2 if n >= 10 else 1)
+        items.append((n, " ".join(item)))
+        for wrong in [w for m in range(k + 2) for w in itertools.combinations(range(n), m)]:
+            text = " ".join("zzz" if j in wrong else w for j, w in enumerate(item))
+            docs.append((len(docs), text if len(docs) % 2 else f"{pad} {text} {pad}"))
+            want |= {(docs[-1][0], n, n - len(wrong), 0 if docs[-1][0] % 2 else 30)} if len(wrong) <= k else set()
+        docs.append((len(docs), " ".join(item[1:])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["matched"], r["first_word"]) for r in decontamination.contamination(df, bench).collect()}
+    assert got == want
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     item = [f"q{rng.randrange(9999)}" for _ in range(20)]

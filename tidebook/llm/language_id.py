@@ -9,9 +9,9 @@ The automaton and the restart at its root make a complete automaton (state, byte
 ended), so whole texts run through one table lookup a byte and language, in lockstep over many
 blocks. Texts are cut into blocks of ``BLOCK`` bytes; a phrase may not span two blocks.
 
-Training text is a bounded sample: the ``TRAIN_DOCS`` labelled documents a language with the
-smallest hashes, whole letters-only texts of at most ``TRAIN_BYTES`` // 4 bytes, until ``TRAIN_BYTES``
-are reached. Only this sample is sent to the executors.
+Training text is a bounded sample: the ``TRAIN_DOCS`` distinct labelled texts (letters only) a language with the
+smallest hashes, until ``TRAIN_BYTES`` are reached; of a text of ``TRAIN_BYTES`` // 4 bytes or more an excerpt below that, at a hashed
+place, is taken. So every language with a labelled letter is learned. Only this sample is sent to the executors.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; without any labelled
 text all get ``und``; rows without language are not learned from; bytes never seen in training are
@@ -87,12 +87,20 @@ def parsers(samples: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, int, li
     return classes, width, out
 
 
+def excerpt(text: Column, most: int) -> Column:
+    """``text``, or about ``most`` (and no more) bytes of it from a hashed place on."""
+    size = F.length(text)
+    n = F.floor(size * F.lit(float(most)) / F.octet_length(text)).cast("int")
+    piece = F.substring(text, (F.pmod(F.xxhash64(text, F.lit(1)), size - n + 1) + 1).cast("int"), n)
+    return F.when(F.octet_length(text) <= most, text).when(F.octet_length(piece) <= most, piece).otherwise(F.substring(piece, 1, most // 4))
+
+
 def training_sample(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> tuple[tuple[str, bytes], ...]:
     """The bounded training text of each language (at most ``TRAIN_BYTES`` bytes)."""
-    rows = df.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), F.col(text).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
-    bounds = {r["lang"]: hash_bound(r["n"], 4 * TRAIN_DOCS) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = df.select(F.col(lang).cast("string").alias("lang"), letters_of(F.col(text)).alias("t")).where("lang IS NOT NULL AND t <> ''").withColumn("h", F.xxhash64("t"))
+    bounds = {r["lang"]: hash_bound(r["n"], 4 * TRAIN_DOCS) for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     near = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]) if bounds else F.create_map(F.lit(""), F.lit(0))
-    rows = rows.where(F.col("h") <= near[F.col("lang")]).withColumn("t", letters_of(F.col("t"))).where((F.col("t") != "") & (F.octet_length("t") <= TRAIN_BYTES // 4))
+    rows = rows.where(F.col("h") <= near[F.col("lang")]).withColumn("t", excerpt(F.col("t"), TRAIN_BYTES // 4 - 1)).dropDuplicates(["lang", "h"])
     least = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= TRAIN_DOCS)
     run = least.withColumn("sum", F.sum(F.octet_length("t") + 1).over(W.partitionBy("lang").orderBy("k")))
     texts: dict[str, list[tuple[int, str]]] = {}
