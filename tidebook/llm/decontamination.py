@@ -6,8 +6,9 @@ test tries all placements). The seed hashes of the benchmark are joined with tho
 documents, and each hit is verified on the words around it: a document holds a benchmark passage if
 13 aligned words of both, in one piece, agree in all but two places.
 
-Items of ``LEAST`` to 12 words must occur whole and unchanged: each such length adds a mask without
-gaps. Shorter items never match.
+Items of ``LEAST`` to 12 words must occur whole, but for one replaced word (two from 10 words on): the same share as in
+a window. The words of each such length are cut into two groups more than may be wrong, and each way to leave out as many groups as may be
+wrong is a mask, so one mask sees none of the replaced words. Shorter items never match.
 
 A bitmap of the benchmark's hashes (``BITS`` bits a hash, 16 MB at most whatever the benchmark's size)
 is sent to the executors, so that only words around probable hits leave a document's task; all else is
@@ -21,6 +22,7 @@ ignored by ``contamination`` and kept by ``decontaminated``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +68,19 @@ def lengths_of(benchmark: DataFrame, text: str) -> list[int]:
     return sorted(r[0] for r in benchmark.select(words.alias("n")).where((F.col("n") >= LEAST) & (F.col("n") < WINDOW)).distinct().collect())
 
 
-def item_seeds(benchmark: DataFrame, masks: list[tuple[int, ...]], text: str, key: str) -> DataFrame:
-    """Rows ``(hash, item_id, item_words, item_at, item_context)`` of every seed of the benchmark."""
+def allowed(n: int) -> int:
+    """How many words of a whole item of ``n`` < ``WINDOW`` words may be replaced."""
+    return round(SUBSTITUTIONS * n / WINDOW)
+
+
+def masks_of(n: int) -> list[tuple[int, ...]]:
+    """Masks over a whole item of ``n`` words, of which one misses any ``allowed(n)`` places."""
+    groups = np.array_split(np.arange(n), allowed(n) + 2)
+    return [tuple(int(k) for g in kept for k in g) for kept in combinations(groups, 2)]
+
+
+def item_seeds(benchmark: DataFrame, masks: list[tuple[int, tuple[int, ...]]], text: str, key: str) -> DataFrame:
+    """Rows ``(hash, item_id, item_words, item_at, item_context)`` of every seed of the benchmark; a mask's length is 0 if it serves all windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -75,10 +88,10 @@ def item_seeds(benchmark: DataFrame, masks: list[tuple[int, ...]], text: str, ke
                 words, at = word_hashes(*buffers(batch.column("__text")))
                 ids, sizes = batch.column(key), np.diff(at)
                 text_of = np.repeat(np.arange(len(sizes)), sizes)
-                for m, mask in enumerate(masks):
+                for m, (n, mask) in enumerate(masks):
                     hashes, starts = seeds(words, at, mask, m)
                     of = text_of[starts]
-                    use = (sizes[of] >= WINDOW) if m < len(MASKS) else (sizes[of] == len(mask))
+                    use = (sizes[of] == n) & (starts == at[of]) if n else (sizes[of] >= WINDOW)
                     hashes, starts, of = hashes[use], starts[use], of[use]
                     yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids.take(pa.array(of)), pa.array(sizes[of]), pa.array(starts - at[of]), pa.array(context(words, at, of, starts, 1), pa.binary())], names=["hash", "item_id", "item_words", "item_at", "item_context"])
 
@@ -101,7 +114,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
     ``matched`` is the most agreeing words of a window, the others are the span of words, from 0, over all windows.
     """
-    masks = [*MASKS, *(tuple(range(n)) for n in lengths_of(benchmark, item_text))]
+    masks = [*((0, mask) for mask in MASKS), *((n, mask) for n in lengths_of(benchmark, item_text) for mask in masks_of(n))]
     known = written(item_seeds(benchmark, masks, item_text, item_key), "seeds")
     bits, log = bitmap(known)
     sent = df.sparkSession.sparkContext.broadcast(bits)
@@ -113,7 +126,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
                 words, at = word_hashes(*buffers(batch.column("__text")))
                 ids = batch.column(key)
                 text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                for m, mask in enumerate(masks):
+                for m, (_, mask) in enumerate(masks):
                     hashes, starts = seeds(words, at, mask, m)
                     places = hashes >> _U(64 - log)
                     maybe = np.flatnonzero(table[places >> _U(3)] >> (places & _U(7)).astype(np.uint8) & 1)
@@ -137,9 +150,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
             first = at - (WINDOW - 1) + good.argmax(axis=1)
             last = at - (WINDOW - 1) + good.shape[1] - 1 - good[:, ::-1].argmax(axis=1) + WINDOW - 1
             matched = np.where(good, agree, 0).max(axis=1)
-            run = np.logical_and.accumulate(same[:, WINDOW - 1 :], axis=1).sum(axis=1)
-            short = (sizes < WINDOW) & (run >= sizes)
-            first, last, matched = np.where(short, at, first), np.where(short, at + sizes - 1, last), np.where(short, sizes, matched)
+            end = np.minimum(sizes, WINDOW) - 1
+            whole, hit = (x[:, WINDOW - 1 :].cumsum(axis=1)[np.arange(len(sizes)), end] for x in (inside, same))
+            short = (sizes < WINDOW) & (whole == sizes) & (hit >= sizes - np.array([allowed(n) for n in range(WINDOW + 1)])[end + 1])
+            first, last, matched = np.where(short, at, first), np.where(short, at + sizes - 1, last), np.where(short, hit, matched)
             keep = np.flatnonzero(matched > 0)
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(keep)), batch.column("item_id").take(pa.array(keep)), *(pa.array(x[keep]) for x in (matched, first, last))], schema=schema)
 
