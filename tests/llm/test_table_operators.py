@@ -165,6 +165,8 @@ def test_mixing(spark):
     keys = [r["shuffle_key"] for r in out.collect()]
     assert keys == sorted(keys) and out.columns == ["doc_id", "source", "copy", "shuffle_key"]
     assert mixing.poisson_mix(df, {"mid": 1}).where("source IS NULL OR source = 'big'").count() == 0
+    clash = spark.createDataFrame([(i, "x" * (i * 1000), "s", 1, 2, 3, 4) for i in range(9)] + [(None, None, None, 1, 2, 3, 4)] * 2, "doc_id long, text string, source string, ladder int, parts int, n int, rate int")
+    assert mixing.poisson_mix(clash).columns == [*clash.columns, "copy", "shuffle_key"] and mixing.poisson_mix(clash).where("ladder = 1 AND parts = 2 AND n = 3 AND rate = 4").count() == mixing.poisson_mix(clash).count()
     assert mixing.poisson_mix(awkward(spark)).columns[:5] == corpus_pipeline.COLUMNS and mixing.poisson_mix(nothing(spark)).count() == 0
 
 
@@ -180,6 +182,19 @@ def test_mixing_small_sources_reach_their_weight(spark):
     assert {r["source"]: round(r["rate"]) for r in mixing.rates(df, {"small": 2, "one": 1, "big": 1}).collect()} == {"small": 2500, "one": 12_500, "big": 0}
 
 
+def test_mixing_of_equal_weights_in_sql(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text", "'x' AS lang", "CASE WHEN id < 4 THEN 'tiny' WHEN id < 6 THEN NULL ELSE 'big' END AS source", "1L AS n_chars")
+    want = df.toPandas()
+    c = duckdb.connect()
+    c.register("documents", want)
+    rows = c.sql(mixing.oracle(0.0)).df()
+    out = mixing.poisson_mix(df, power=0.0).toPandas()
+    key = lambda t: sorted(zip(t["doc_id"], t["copy"], t["shuffle_key"]))
+    assert key(rows) == key(out)
+    n = out.groupby(out["source"].fillna("none")).size()
+    assert all(abs(n[s] - 20_000 / 3) < 5 * math.sqrt(20_000 / 3) for s in ("tiny", "none", "big"))
+
+
 def test_table_file():
     rng = random.Random(6)
     keys = sorted([None, None, -5] + [rng.randrange(-(10**6), 10**6) for _ in range(5000)] + [77] * 40, key=token_tables.key_of)

@@ -5,12 +5,14 @@ draws its count from the Poisson distribution of that mean, by inverting the dis
 in (0, 1) hashed from seed and identifier, is repeated that often, and all copies are sorted by a hash.
 Nothing is random: a lost task that runs again draws the same counts.
 
+Rates have no upper end: one above ``MOST_RATE`` is split into the fewest equal parts that are not, as Poisson counts add
+up; each part draws at a number of its own, hashed from seed, identifier and part (the first part without its number). A
+part's count is found by bisection in its source's cumulative distribution, which has some 800 steps at most.
+
 Defined cases: a null source is a source of its own; a null identifier is hashed as empty text, so
 such rows of one source share a draw; sources without a weight (when weights are given) have rate 0;
-an empty table gives an empty one; other columns are carried along, but for ``copy`` and
-``shuffle_key``, which are replaced. Rates have no upper end: one above ``MOST_RATE`` is split into the fewest
-equal parts that are not, as Poisson counts add up; each part draws at a number of its own, hashed from seed, identifier
-and part (the first part without its number, so rates of one part draw as ever). ``oracle`` still cuts rates at ``MOST_RATE``.
+an empty table gives an empty one; null, empty and very long texts are carried along like other columns, whatever
+their names, but for ``copy`` and ``shuffle_key``, which are replaced.
 """
 
 from __future__ import annotations
@@ -53,17 +55,24 @@ def rates(df: DataFrame, weights: dict[str | None, float] | None = None, power:
     return known.select("source", "n", "rate", "parts", F.aggregate(F.sequence(F.lit(1), most), start, step)["ladder"].alias("ladder"))
 
 
+def below(ladder: Column, u: Column) -> Column:
+    """How many of the ascending ``ladder``'s values are below ``u``, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(10, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(ladder, at + s - 1) < u, F.lit(False)), at + s).otherwise(at))
+
+
 def poisson_mix(df: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """``df`` with each row repeated by its draw and shuffled globally.
 
     Adds ``copy`` (from 0) and ``shuffle_key``, by which the result is sorted. The table of sources is
     broadcast only if it has at most ``SMALL`` rows; beyond, it is joined by source.
     """
-    known = rates(df, weights, power).withColumnRenamed("source", "__source").select("__source", F.col("parts").alias("__parts"), "ladder").where(F.col("ladder")[0] < 1)
+    known = rates(df, weights, power).where(F.col("ladder")[0] < 1)
+    known = known.select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("ladder").alias("__ladder"))
     known = F.broadcast(known) if known.limit(SMALL + 1).count() <= SMALL else known
     draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1), lambda p: (F.when(p == 0, hashed(F.lit(seed), F.col(key))).otherwise(hashed(F.lit(seed), F.col(key), p)) + F.lit(0.5)) / F.lit(float(16**DIGITS)))
-    n = F.aggregate(draws, F.lit(0).cast("long"), lambda acc, u: acc + F.size(F.filter("ladder", lambda c: c < u)))
-    drawn = df.drop("copy", "shuffle_key").join(known, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", n).drop("ladder", "__source", "__parts")
+    n = F.aggregate(draws, F.lit(0).cast("long"), lambda acc, u: acc + below(F.col("__ladder"), u))
+    drawn = df.drop("copy", "shuffle_key").join(known, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", n).drop("__ladder", "__source", "__parts")
     # in runs, so that no array holds all copies of a document
     runs = drawn.where("__n > 0").withColumn("__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(RUN).cast("long"))))
     copies = runs.withColumn("copy", F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + RUN, F.col("__n")) - 1))).withColumn("copy", F.col("copy").cast("int")).drop("__n", "__first")
@@ -75,18 +84,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents"))
 
 
-def oracle() -> str:
+def oracle(power: float = POWER) -> str:
     """The same in SQL; the recursion sums each source's distribution."""
     number = "CAST('0x' || substr(md5({0}), 1, 12) AS BIGINT)"
     return f"""
-WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), {POWER}) AS w FROM documents GROUP BY source),
-rates AS (SELECT source, least(w / (SELECT sum(w) FROM counts) * (SELECT sum(n) FROM counts) / n, {MOST_RATE}) AS rate FROM counts),
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), {power}) AS w FROM documents GROUP BY source),
+whole AS (SELECT source, w / (SELECT sum(w) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts),
+rates AS (SELECT source, CAST(greatest(1, ceil(rate / {MOST_RATE})) AS BIGINT) AS parts, rate / greatest(1, ceil(rate / {MOST_RATE})) AS rate FROM whole),
 ladder AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM ladder WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
-drawn AS (SELECT *, ({number.format("concat_ws('|', '42', CAST(doc_id AS VARCHAR))")} + 0.5) / {float(16**DIGITS)} AS u FROM documents),
-counted AS (SELECT d.doc_id, any_value(d.u) AS u, count(*) FILTER (WHERE l.c < d.u) AS n FROM drawn d JOIN ladder l ON d.source IS NOT DISTINCT FROM l.source GROUP BY d.doc_id),
+parts AS (SELECT d.doc_id, d.source, unnest(range(0, parts)) AS part FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+drawn AS (SELECT *, ({number.format("concat_ws('|', '42', coalesce(CAST(doc_id AS VARCHAR), ''), CASE WHEN part > 0 THEN CAST(part AS VARCHAR) END)")} + 0.5) / {float(16**DIGITS)} AS u FROM parts),
+counted AS (SELECT d.doc_id, count(*) FILTER (WHERE l.c < d.u) AS n FROM drawn d JOIN ladder l ON d.source IS NOT DISTINCT FROM l.source GROUP BY d.doc_id),
 copies AS (SELECT doc_id, unnest(range(0, n)) AS copy FROM counted WHERE n > 0)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(copy AS INTEGER) AS copy,
        {number.format("concat_ws('|', '43', CAST(doc_id AS VARCHAR), CAST(copy AS VARCHAR))")} AS shuffle_key
