@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BATCH_BYTES = 8_000_000
+BATCH_BYTES, HOT_ROWS, HOT_KEYS = 8_000_000, 1000, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,12 @@ def letters_of(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary folder set.
+    Only where the session names none and runs on one machine is a temporary folder set; elsewhere that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidebook-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -72,6 +74,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``values``, which has one row a key, with the key's number of ``rows`` as ``n``; ``n`` is dropped.
+
+    A key of more than ``HOT_ROWS`` (and ``total`` / ``HOT_KEYS``) rows is split by a hash of the column ``by`` into pieces of about
+    that many, and its value is repeated for each piece. Only hot keys and their counts are broadcast: at most ``HOT_KEYS`` rows
+    of two numbers, as ``total`` is the number of ``rows`` (or more).
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    pieces = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
+    hot = values.where(F.col("n") > most).select(key, F.col("n"))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__piece", F.pmod(F.xxhash64(by), pieces).cast("int")).drop("n")
+    right = values.withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("n")
+    return left.join(right, [key, "__piece"]).drop("__piece")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: rows ``(id, component)``.
 
@@ -79,7 +96,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     to its smallest neighbour, then the smaller ones (large star and small star), until no edge
     changes; every round is written to the shared folder. Only ids with an edge are returned.
     Edges with a null end and self loops are ignored. Each node's minimum is found by an aggregate
-    that combines before the shuffle, so a node with very many neighbours is no single task's group.
+    that combines before the shuffle and joined back in pieces, so a node with very many neighbours is no single task's group.
     """
     now = written(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
@@ -87,11 +104,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     before = None
     while True:
+        total = 2 * now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, least, "u", "v", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, "u", "v", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

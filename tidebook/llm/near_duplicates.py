@@ -11,12 +11,16 @@ only, and keeps each register's earliest time. Two texts agree on a register wit
 to their weighted Jaccard similarity. A process ends once it is later than all the text's registers.
 
 Search. Texts with equal words are one class, of which one text goes on. ``BANDS`` bands of ``ROWS``
-registers are hashed; a pair at 0.8 misses all bands with probability 3e-5. (1) In each bucket every
-text is verified against the one that shares most buckets with others, which takes one pair a text however large the
-bucket. (2) Buckets whose texts are not yet in one component are compared in blocks of ``BLOCK`` texts by
-registers; pairs of different components with ``AGREE`` or more equal registers (at 0.8 all but 1 in
-10,000) are verified too, inside the blocks: only links are written. So no bucket is capped, and a large group of copies costs linear work.
-Each verification counts the shingles of both whole texts.
+registers are hashed; a pair at 0.8 misses all bands with probability 3e-5. A pair is a candidate if it shares a bucket and agrees
+on ``AGREE`` or more registers (at 0.8 all but 1 in 10,000 do), and is verified by counting the shingles of both whole texts.
+(1) In each bucket every text is paired with the one that shares most buckets with others, which takes one pair a text however large the
+bucket. (2) Buckets whose texts are not yet in one component are compared by registers alone, in blocks of ``BLOCK`` texts; what
+comes out are the texts that have a candidate of another component. (3) Only these texts are fetched, dealt into blocks of
+about ``BLOCK_BYTES``, and each two blocks of a bucket are verified in one task; a pair is skipped once other links have joined it.
+
+Cost. Steps 1 and 2 move each text once and each signature once a block. Step 3 moves a bucket's remaining texts as often as
+they fill blocks: a bucket of texts that all lie just under the threshold is compared whole, with bytes x bytes / ``BLOCK_BYTES``
+moved, the least for comparing all pairs in bounded memory. No bucket is capped and only links that join components are written.
 
 Defined cases: rows whose text is null or has no word, or whose identifier is null, are linked with
 nothing and kept; rows with one identifier count as one document; extra columns are ignored by
@@ -33,9 +37,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import buffers, mix, runs, shingles, slices, word_hashes
-from .common import bounded, components, table, words_of, written
+from .common import bounded, components, spread_join, table, words_of, written
 
-SIZE, SIMILARITY, BANDS, ROWS, AGREE, BLOCK = 5, 0.8, 20, 4, 50, 256
+SIZE, SIMILARITY, BANDS, ROWS, AGREE, BLOCK, BLOCK_BYTES = 5, 0.8, 20, 4, 50, 4096, 8_000_000
 REGISTERS = BANDS * ROWS
 POINTS = 32_768  # drawn at once for all processes, beyond one each
 _U = np.uint64
@@ -78,13 +82,14 @@ def bag_minhash(items: np.ndarray, of: np.ndarray, weights: np.ndarray, texts: i
 
 
 def signatures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows ``(key, digest, bands, registers)`` of the texts that have a word and an identifier."""
-    schema = pa.schema([(key, pa.int64()), ("digest", pa.string()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
+    """Rows ``(key, digest, bytes, bands, registers)`` of the texts that have a word and an identifier."""
+    schema = pa.schema([(key, pa.int64()), ("digest", pa.string()), ("bytes", pa.int64()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__words"):
-                hashes, of = shingles(*word_hashes(*buffers(batch.column("__words"))), SIZE)
+                data, at = buffers(batch.column("__words"))
+                hashes, of = shingles(*word_hashes(data, at), SIZE)
                 times = bag_minhash(*weighted(hashes, of), batch.num_rows)
                 codes = mix(times.view(_U))
                 bands = np.full((len(codes), BANDS), 1, _U) * (np.arange(1, BANDS + 1, dtype=_U))
@@ -93,10 +98,32 @@ def signatures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                     bands ^= bands >> _U(31)
                 flat = pa.array(mix(bands).view(np.int64).ravel())
                 small = (codes >> _U(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("digest"), pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * BANDS), flat), pa.array([r.tobytes() for r in small], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("digest"), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * BANDS), flat), pa.array([r.tobytes() for r in small], pa.binary())], schema=schema)
 
     rows = df.select(F.col(key).cast("long").alias(key), words_of(F.col(text)).alias("__words")).where((F.col("__words") != "") & F.col(key).isNotNull())
-    return rows.withColumn("digest", F.md5("__words")).transform(bounded).mapInArrow(run, f"{key} long, digest string, bands array<long>, registers binary")
+    return rows.withColumn("digest", F.md5("__words")).transform(bounded).mapInArrow(run, f"{key} long, digest string, bytes long, bands array<long>, registers binary")
+
+
+def ends(pairs: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with the ``columns`` of both ends, named with ``_a`` and ``_b``; ``values`` is keyed by ``id``. Ends of very many pairs are no single task's group."""
+    total = pairs.count()
+    counts = {side: pairs.groupBy(side).agg(F.count("*").alias("n")) for side in "ab"}
+    for side, other in ("ab", "ba"):
+        own = values.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)).join(counts[side], side)
+        pairs = spread_join(pairs, own, side, other, total)
+    return pairs
+
+
+def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that agree on ``AGREE`` or more registers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("registers_a", "registers_b"))
+                yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= AGREE))
+
+    return ends(pairs, classes, "registers").select("a", "b", "registers_a", "registers_b").transform(bounded).mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -104,9 +131,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for half in slices(whole, "wa"):
-                for batch in slices(half, "wb"):
-                    sides = [weighted(*shingles(*word_hashes(*buffers(batch.column(c))), SIZE)) for c in ("wa", "wb")]
+            for half in slices(whole, "words_a"):
+                for batch in slices(half, "words_b"):
+                    sides = [weighted(*shingles(*word_hashes(*buffers(batch.column(c))), SIZE)) for c in ("words_a", "words_b")]
                     (ka, ta, na), (kb, tb, nb) = sides
                     n = batch.num_rows
                     _, ia, ib = np.intersect1d(ka | (ta.astype(_U) << _U(44)), kb | (tb.astype(_U) << _U(44)), assume_unique=True, return_indices=True)
@@ -115,9 +142,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     keep = np.flatnonzero(both >= SIMILARITY * either - 1e-9)
                     yield batch.select(["a", "b"]).take(pa.array(keep))
 
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return both.select("a", "b", "wa", "wb").transform(bounded).mapInArrow(run, "a long, b long")
+    return ends(pairs, texts, "words").select("a", "b", "words_a", "words_b").transform(bounded).mapInArrow(run, "a long, b long")
 
 
 def elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,41 +155,76 @@ def elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.searchsorted(of[repeat], np.arange(len(column) + 1))
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """The linked pairs of different components that share a bucket and ``AGREE`` registers.
+def dealt(rows: DataFrame, blocks: str) -> DataFrame:
+    """``rows`` once for each pair of blocks ``(i, j)`` of their bucket that holds their ``own`` block."""
+    n = F.col(blocks)
+    out = rows.withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    out = out.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", blocks)
+    return out.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(bounded)
+
+
+def rivals(part: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a block pair the rows of other components that agree on ``AGREE`` registers, each pair once and in its first common band only."""
+    i, j, band = (part.column(c)[0].as_py() for c in ("i", "j", "band"))
+    own, ids, comp = (part.column(c).to_numpy() for c in ("own", "id", "component"))
+    regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u4").reshape(len(ids), -1)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    small = (regs & 255).astype(np.uint8)  # a first look at a quarter of the bytes: equal registers have equal low bytes
+    for x in left:
+        ys = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
+        ys = ys[(small[ys] == small[x]).sum(axis=1, dtype=np.uint8) >= AGREE]
+        same = regs[ys] == regs[x]
+        ys, same = ys[keep := same.sum(axis=1) >= AGREE], same[keep]
+        ys = ys[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(ys):
+            yield int(x), ys
+
+
+def contested(rows: DataFrame) -> DataFrame:
+    """The ``(bucket, id)`` of rows with a candidate of another component; ``rows`` has ``(bucket, band, n, id, component, registers)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, "bucket", "i", "j"):
+            part, found = part.combine_chunks(), set()
+            for x, ys in rivals(part):
+                found.add(x)
+                found.update(ys.tolist())
+            if found:
+                yield part.select(["bucket", "id"]).take(sorted(found)).combine_chunks().to_batches()[0]
 
-    ``rows`` has ``(bucket, band, n, id, component, registers, words)``. A bucket's rows are dealt into blocks; each pair
-    of blocks is compared in one piece, wherever Spark puts it. A pair is verified in its first common band only, and
-    in place, so that nothing but links is written.
-    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "registers", "words")
+    return dealt(rows.withColumn("blocks", blocks).drop("n"), "blocks").mapInArrow(run, "bucket long, id long").distinct()
+
+
+def across(rows: DataFrame) -> DataFrame:
+    """Links between components, as ``(a, b)`` of components; ``rows`` has ``(bucket, band, blocks, id, component, registers, words)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, "bucket", "i", "j"):
             part = part.combine_chunks()
-            i, j, band = (part.column(c)[0].as_py() for c in ("i", "j", "band"))
-            own, ids, comp = (part.column(c).to_numpy() for c in ("own", "id", "component"))
-            regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u4").reshape(len(ids), -1)
-            sets, at = None, None
-            for x in np.flatnonzero(own == i):
-                ys = np.flatnonzero((comp != comp[x]) & (own == j) & ((ids > ids[x]) if i == j else True))
-                same = regs[ys] == regs[x]
-                ys, same = ys[keep := same.sum(axis=1) >= AGREE], same[keep]
-                ys = ys[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-                if not len(ys):
-                    continue
+            comp, sets, at = part.column("component").to_numpy(), None, None
+            now = {int(c): int(c) for c in comp}  # components as joined here so far
+
+            def root(c: int) -> int:
+                while now[c] != c:
+                    now[c] = c = now[now[c]]
+                return c
+
+            for x, ys in rivals(part):
                 if sets is None:
                     sets, at = elements(part.column("words").combine_chunks())
-                mine, sizes = sets[at[x] : at[x + 1]], at[ys + 1] - at[ys]
-                both = np.array([np.count_nonzero(mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs) for theirs in (sets[at[y] : at[y + 1]] for y in ys)])
-                ys = ys[both >= SIMILARITY * (len(mine) + sizes - both) - 1e-9]
-                if len(ys):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[ys])), pa.array(np.maximum(ids[x], ids[ys]))], names=["a", "b"])
+                mine = sets[at[x] : at[x + 1]]
+                for y in ys.tolist():
+                    a, b = root(int(comp[x])), root(int(comp[y]))
+                    theirs = sets[at[y] : at[y + 1]]
+                    if a == b or min(len(mine), len(theirs)) < SIMILARITY * max(len(mine), len(theirs)) - 1e-9:
+                        continue
+                    both = np.count_nonzero(mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs)
+                    if both >= SIMILARITY * (len(mine) + len(theirs) - both) - 1e-9:
+                        now[max(a, b)] = min(a, b)
+                        yield pa.RecordBatch.from_arrays([pa.array([min(a, b)]), pa.array([max(a, b)])], names=["a", "b"])
 
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(bounded).mapInArrow(run, "a long, b long")
+    return dealt(rows, "blocks").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -173,42 +233,59 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     ``exact_id`` is the smallest identifier with the same words, ``component_id`` the smallest one reachable by links.
     """
     signed = written(signatures(df, text, key), "signatures")
-    classes = written(signed.groupBy("digest").agg(F.min(key).alias("id"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")
+    firsts = (F.first(c).alias(c) for c in ("bytes", "bands", "registers"))
+    classes = written(signed.groupBy("digest").agg(F.min(key).alias("id"), F.count("*").alias("n"), *firsts), "classes")
+    n_classes = classes.count()
     rows = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(rows.join(sizes, "bucket"), "buckets")
-    # a text that meets most others is likely the one that its group's copies were made from
-    degrees = met.groupBy("id").agg(F.sum("n").alias("degree"))
-    shared = met.join(degrees, "id")
-    centres = shared.groupBy("bucket").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("centre"))
-
-    # every text that shares a bucket, once
-    wanted = degrees.select("id")
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text")).join(wanted, "id", "left_semi")
-    texts = written(texts.dropDuplicates(["id"]).select("id", words_of(F.col("__text")).alias("words")), "texts")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    met = written(spread_join(rows, sizes, "bucket", "id", BANDS * n_classes), "buckets")
+    n_met = met.count()
 
-    stars = met.join(centres, "bucket").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(verified(stars, texts), "links")
+    # a text that meets most others is likely the one that its group's copies were made from
+    degrees = met.groupBy("id").agg(F.sum("size").alias("degree"))
+    shared = met.select("bucket", "id").join(degrees, "id")
+    centres = shared.groupBy("bucket").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("centre"), F.count("*").alias("n"))
+    stars = spread_join(met.select("bucket", "id"), centres, "bucket", "id", n_met).where("id <> centre")
+    stars = written(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    near = written(agreeing(stars, classes), "candidates")
+    links = written(verified(near, texts_of(df, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), text, key)), "links")
     first = components(links)
-    placed = written(met.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")).select("bucket", "band", "n", "id", "component"), "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = placed.join(open_, "bucket", "left_semi").join(classes.select("id", "registers"), "id").join(texts, "id")
-    more = written(across(rest), "links")
-    found = components(links.unionByName(more))
 
-    members = signed.select(key, "digest").join(classes.select("digest", F.col("id").alias("exact_id")), "digest")
-    members = members.join(found.withColumnRenamed("id", "exact_id"), "exact_id", "left").groupBy(F.col(key).alias("__key"))
-    members = members.agg(F.min("exact_id").alias("exact_id"), F.min(F.coalesce("component", "exact_id")).alias("component_id"))
-    own = F.col(key).cast("long")
-    out = df.select(own.alias(key)).join(members, F.col(key) == F.col("__key"), "left")
-    out = out.select(key, F.coalesce("exact_id", key).alias("exact_id"), F.coalesce("component_id", key).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    placed = written(met.join(first, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component")), "placed")
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("bucket", "n", F.col("n").alias("size"))
+    rest = spread_join(placed, open_, "bucket", "id", n_met).withColumnRenamed("size", "n").join(classes.select("id", "registers"), "id")
+    hits = written(contested(rest), "contested")
+    texts = texts_of(df, hits.select("id").distinct(), text, key)
+    fights = written(hits.join(rest.drop("n"), ["bucket", "id"]).join(classes.select("id", "bytes"), "id"), "fights")
+    blocks = F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK)).cast("int")
+    sized = fights.groupBy("bucket").agg(blocks.alias("blocks"), F.count("*").alias("n"))
+    more = written(across(spread_join(fights.drop("bytes"), sized, "bucket", "id", n_met).join(texts, "id")), "links")
+    second = components(more).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+
+    every = classes.select("digest", F.col("id").alias("exact_id"), "n").join(first.withColumnRenamed("id", "exact_id"), "exact_id", "left")
+    every = written(every.withColumn("component", F.coalesce("component", "exact_id")), "joined")
+    groups = every.groupBy("component").agg(F.count("*").alias("n")).join(second, "component", "left").withColumn("joined", F.coalesce("joined", "component"))
+    every = spread_join(every.withColumnRenamed("n", "copies"), groups, "component", "exact_id", n_classes).select("digest", "exact_id", "joined", F.col("copies").alias("n"))
+    members = spread_join(signed.select(F.col(key).alias("__key"), "digest"), every, "digest", "__key", signed.count()).groupBy("__key")
+    members = members.agg(F.min("exact_id").alias("exact_id"), F.min("joined").alias("component_id"))
+    own = df.select(F.col(key).cast("long").alias(key))
+    known = own.where(F.col(key).isNotNull()).join(members, F.col(key) == F.col("__key"), "left")
+    known = known.select(key, F.coalesce("exact_id", key).alias("exact_id"), F.coalesce("component_id", key).alias("component_id"))
+    missing = own.where(F.col(key).isNull()).select(key, F.col(key).alias("exact_id"), F.col(key).alias("component_id"))
+    return known.unionByName(missing).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+
+
+def texts_of(df: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
+    """Rows ``(id, words)`` of the ``wanted`` identifiers."""
+    found = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text")).join(wanted, "id", "left_semi")
+    return written(found.dropDuplicates(["id"]).select("id", words_of(F.col("__text")).alias("words")), "texts")
 
 
 def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` with one document of each component, that of the smallest identifier."""
     out = written(near_duplicates(df, text, key).where(~F.col("kept")).select(F.col(key).alias("__out")).distinct(), "dropped")
-    return df.join(out, F.col(key).cast("long") == F.col("__out"), "left_anti")
+    kept = df.where(F.col(key).isNotNull()).join(out, F.col(key).cast("long") == F.col("__out"), "left_anti")
+    return kept.unionByName(df.where(F.col(key).isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
