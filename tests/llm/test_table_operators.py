@@ -99,9 +99,37 @@ def test_near_duplicate_cases(spark):
     assert near_duplicates.near_duplicates(nothing(spark)).count() == 0 and near_duplicates.deduplicated(nothing(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_embeddings(spark, monkeypatch, block):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+@pytest.mark.parametrize("dim", [384, 1024])
+def test_forest_copies_and_recall(dim):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((16_384, dim))
+    a = embedding_dedup.unit(x[:800])
+    z = rng.standard_normal(a.shape)
+    z = embedding_dedup.unit(z - (z * a).sum(axis=1, keepdims=True) * a)
+    b = 0.951 * a + math.sqrt(1 - 0.951**2) * z  # pairs at cosine 0.951
+    x, met, copies = embedding_dedup.unit(x), np.zeros(800, bool), []
+    for tree in range(embedding_dedup.TREES):
+        cuts = embedding_dedup.fitted(x, tree, 0, 11)
+        row, _, done = embedding_dedup.descended(x, tree, 0, cuts)
+        copies.append(len(row) / len(x))
+        deeper = [embedding_dedup.descended(v, tree, 0, cuts) for v in (a, b)]
+        one, two = (set(zip(r.tolist(), n.tolist())) for r, n, _ in deeper)
+        met[[r for r, _ in one & two]] = True
+        assert not done.any()
+    assert max(copies) <= 6 and met.mean() >= 0.98
+
+
+def test_dense_vectors_are_not_split():
+    rng = np.random.default_rng(9)
+    x = embedding_dedup.unit(np.ones(64) + rng.standard_normal((500, 64)) * 0.01)
+    row, node, done = embedding_dedup.descended(x, 0, 0, embedding_dedup.fitted(x, 0, 0, 5))
+    assert len(row) == 500 and done.all() and set(node) == {0}
+
+
+@pytest.mark.parametrize("block, leaf, big, sample", [(1024, 256, 4096, 16_384), (16, 64, 60, 64)])
+def test_embeddings(spark, monkeypatch, block, leaf, big, sample):
+    for name, value in (("BLOCK", block), ("LEAF", leaf), ("BIG", big), ("SAMPLE", sample), ("PIECE", 200)):
+        monkeypatch.setattr(embedding_dedup, name, value)
     rng = np.random.default_rng(4)
     x = rng.standard_normal((700, 24)).astype(np.float32)
     for i in range(0, 300, 3):
