@@ -141,9 +141,9 @@ def test_toxicity(spark):
 
 def test_language_model(spark, docs):
     model = masked_lm.vocabulary(docs)
-    net = masked_lm.trained(docs, model)
+    net = masked_lm.trained(masked_lm.encoded(docs, model), model)
     df = docs.limit(20)
-    got = {r["doc_id"]: r for r in masked_lm.scored(df, model, net).collect()}
+    got = {r["doc_id"]: r for r in masked_lm.scored(masked_lm.encoded(df, model), net).collect()}
     total = count = uniform = 0
     for r in df.collect():
         ids = model.encode(word_hashes(*buffers(pa.array([" ".join(words(r["text"]))])))[0])
@@ -180,8 +180,9 @@ def test_language_model_tells_rare_words_apart(spark, monkeypatch):
         for w, n in seen.items():
             sums[ids[w]] += n
         text = {r["doc_id"]: r["text"] for r in df.union(new).collect()}
-        plain = {r["doc_id"]: r["log_prob"] for r in masked_lm.scored(df.union(new), model, net).collect()}
-        out = {r["doc_id"]: r for r in masked_lm.scored(df.union(new), model, net, counts=counts).collect()}
+        every = masked_lm.encoded(df.union(new), model)
+        plain = {r["doc_id"]: r["log_prob"] for r in masked_lm.scored(every, net).collect()}
+        out = {r["doc_id"]: r for r in masked_lm.scored(every, net, counts=counts).collect()}
         for i, r in out.items():
             own = sum(math.log((seen[w] or 0.5) / (sums[ids[w]] + 0.5)) for w in words(text[i]) if ids[w] >= masked_lm.VOCABULARY - masked_lm.WORDS)
             assert math.isclose(r["log_prob"], plain[i] + own, rel_tol=1e-6) and math.isclose(r["mean_log_prob"], r["log_prob"] / r["n_words"])
@@ -192,6 +193,25 @@ def test_language_model_tells_rare_words_apart(spark, monkeypatch):
     assert len(scores) == 54 and all(v < 0 for v in scores.values())
 
 
+def test_language_model_does_not_depend_on_the_split(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(masked_lm, "SHARD_WORDS", 3000)  # so many shards that they are added in two steps
+    monkeypatch.setattr(masked_lm, "CHUNK", 1000)
+    got = []
+    for files in (4, 40):
+        docs.repartition(files).write.parquet(str(tmp_path / str(files)))
+        got.append({r["doc_id"]: r["log_prob"] for r in masked_lm.pseudo_likelihood(spark.read.parquet(str(tmp_path / str(files)))).collect()})
+    assert len(got[0]) == docs.count() and all(math.isclose(v, got[1][k], rel_tol=1e-6) for k, v in got[0].items())
+
+
+def test_every_place_is_masked_in_turn():
+    rng = np.random.default_rng(3)
+    sizes = [1, 7, 8, 9, 100, 0, 3]
+    ids, at = rng.integers(0, 100, sum(sizes)), np.append(0, np.cumsum(sizes))
+    turns = [masked_lm.masked(ids, at, t) for t in range(masked_lm.ROUNDS)]
+    assert all(len(t) == len(set(t.tolist())) == sum(-(-n // masked_lm.MASK) for n in sizes) for t in turns)
+    assert all((np.diff(np.sort(t)) <= 2 * masked_lm.MASK).all() for t in turns) and set(turns[0].tolist()) != set(turns[1].tolist())
+
+
 def test_masks_hit_every_placement():
     n, spans = decontamination.WINDOW, decontamination.MASKS
     for k in range(decontamination.SUBSTITUTIONS + 1):

@@ -5,7 +5,7 @@ of the conditional log-probabilities of all its words. The network has an embedd
 the concatenated window, and a two-step softmax (a word's class, then the word in its class), so a
 prediction costs ``CLASSES`` + ``WORDS`` outputs instead of their product.
 
-Vocabulary: the most frequent words of the whole corpus, counted over all documents, in order of count, dealt into classes
+Vocabulary: the most frequent words of the whole corpus, counted over all documents, in order of count, dealt into ``CLASSES`` classes
 of ``WORDS``; words beyond it share ``WORDS`` hashed entries of the network, the last class. Output biases start from the
 corpus counts, so the untrained network is the unigram model.
 
@@ -14,13 +14,17 @@ entry plus log(n(word) / (n(entry) + ``UNSEEN``)); all words that the corpus lac
 up at least 1 / ``KNOWN`` of the corpus (so at most ``KNOWN`` words) are looked up inside tasks, the others are joined with the table
 of counts. That table, of one row a distinct word, is what is gathered, and grows with the corpus.
 
-Training: every task trains the network, from one start, on all its documents: of each run of ``MASK`` words one is masked
-(by a hash of its place) and predicted. The tasks' weights are averaged by an aggregate over the
-weights' numbers, weighted by predictions, which is the only thing gathered besides the counts; the network's
-size is fixed. The averages depend on how the input is split into tasks, but not on the order in which tasks run.
+Encoding. Texts are cut into words once; their ids (two bytes a word) are written, and training and scoring read these.
+
+Training: documents are dealt by a hash into shards of about ``SHARD_WORDS`` words, so there are more shards in a larger corpus, and
+each shard's documents are taken in order of the hash. In each of ``ROUNDS`` rounds every shard trains the network, from the last
+round's average, on all its documents: of each run of ``MASK`` words one is masked (at a hashed place, another one in each round) and predicted. The shards' weights
+are averaged, weighted by predictions, by sums of ``FAN`` arrays at a time in order of shard. What is gathered besides the counts is one array a shard.
+Neither shards nor order nor sums depend on how the input is split into files or tasks, so the scores don't.
 
 Defined cases: texts that are null or have no word have 0 words, log-probability 0 and no mean; an empty corpus gives the
-uniform model; extra columns are ignored; equal texts get equal scores.
+uniform model; very long texts are trained and scored whole, in pieces of bounded memory; null identifiers and repeated rows are scored like
+others; extra columns are ignored; equal texts get equal scores.
 """
 
 from __future__ import annotations
@@ -35,8 +39,9 @@ from pyspark.sql import functions as F
 from .bytesops import buffers, mix, slices, word_hashes
 from .common import bounded, table, words_of, written
 
-CLASSES, WORDS, SIDE, DIM, HIDDEN = 32, 32, 2, 16, 24
-MASK, BATCH, RATE, SEED, HELD = 8, 1024, 0.05, 42, 1_000_000
+CLASSES, WORDS, SIDE, DIM, HIDDEN = 64, 64, 2, 16, 24
+MASK, ROUNDS, FIRST_BATCH, BATCH, RATE, SEED, HELD = 8, 2, 256, 4096, 0.05, 42, 1_000_000
+SHARD_WORDS, CHUNK, FAN = 4_000_000, 65_536, 16
 VOCABULARY = CLASSES * WORDS
 KNOWN, UNSEEN, SCALE = 1 << 20, 0.5, 1e9
 _U = np.uint64
@@ -96,6 +101,7 @@ class Vocabulary:
         order = np.argsort(known)
         self.known, self.logs = known[order], np.log(known_counts[order])
         self.rest = np.log(rest + UNSEEN)
+        self.total = int(counts.sum() + rest.sum())  # words of the corpus
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         """The id of each word."""
@@ -143,15 +149,18 @@ def fresh(counts: np.ndarray, seed: int = SEED) -> dict[str, np.ndarray]:
     return net
 
 
-def windows(ids: np.ndarray, at: np.ndarray, where: np.ndarray) -> np.ndarray:
+def neighbours(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with room for ``SIDE`` ids ``VOCABULARY`` on both sides of each text, and each id's place there."""
+    place = np.arange(len(ids)) + np.repeat(np.arange(len(at) - 1) * 2 * SIDE + SIDE, np.diff(at))
+    room = np.full(len(ids) + 2 * SIDE * (len(at) - 1), VOCABULARY, np.int64)
+    room[place] = ids
+    return room, place
+
+
+def windows(room: np.ndarray, place: np.ndarray, where: np.ndarray) -> np.ndarray:
     """The ids around each place; beyond the text's ends the id ``VOCABULARY``."""
-    text = np.searchsorted(at, where, "right") - 1
-    first, end = at[text], at[text + 1]
-    out = np.empty((len(where), 2 * SIDE), np.int64)
-    for k, d in enumerate([d for d in range(-SIDE, SIDE + 1) if d]):
-        p = where + d
-        out[:, k] = np.where((p >= first) & (p < end), ids[np.clip(p, 0, len(ids) - 1)], VOCABULARY)
-    return out
+    p = place[where]
+    return np.stack([room[p + d] for d in range(-SIDE, SIDE + 1) if d], axis=1)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -187,7 +196,7 @@ def log_probabilities(net: dict[str, np.ndarray], ctx: np.ndarray, target: np.nd
 
 
 def step(net: dict[str, np.ndarray], sums: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> None:
-    """One AdaGrad step on a batch."""
+    """One AdaGrad step on a batch; only the embeddings of the batch's ids change."""
     n = len(target)
     x, h, lp = forward(net, ctx)
     d = np.exp(lp)
@@ -195,16 +204,21 @@ def step(net: dict[str, np.ndarray], sums: dict[str, np.ndarray], ctx: np.ndarra
     g = {"c": h.T @ d, "cb": d.sum(axis=0), "o": np.zeros_like(net["o"]), "ob": np.zeros_like(net["ob"])}
     dh = d @ net["c"].T
     for c, rows in by_class(target):
-        q = np.exp(softmax(h[rows] @ net["o"][c] + net["ob"][c]))
+        own = h[rows]
+        q = np.exp(softmax(own @ net["o"][c] + net["ob"][c]))
         q[np.arange(len(rows)), target[rows] % WORDS] -= 1
-        g["o"][c], g["ob"][c] = h[rows].T @ q, q.sum(axis=0)
+        g["o"][c], g["ob"][c] = own.T @ q, q.sum(axis=0)
         dh[rows] += q @ net["o"][c].T
     dh *= h > 0
     g["w"], g["b"] = x.T @ dh, dh.sum(axis=0)
-    dx = (dh @ net["w"].T).reshape(-1, DIM)
     flat = ctx.ravel()
-    g["e"] = np.stack([np.bincount(flat, dx[:, k], VOCABULARY + 1) for k in range(DIM)], axis=1).astype(np.float32)
-    g["e"][VOCABULARY] = 0
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    edge = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    used = flat[order][edge]
+    ge = np.add.reduceat((dh @ net["w"].T).reshape(-1, DIM)[order], edge, axis=0) / np.float32(n)
+    ge[used == VOCABULARY] = 0
+    sums["e"][used] += ge * ge
+    net["e"][used] -= np.float32(RATE) * ge / np.sqrt(sums["e"][used])
     for k, v in g.items():
         v /= n
         sums[k] += v * v
@@ -226,71 +240,152 @@ def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def trained(df: DataFrame, words: Vocabulary, text: str = "text") -> dict[str, np.ndarray]:
-    """The average of the networks that the tasks train on their documents."""
+def encoded(df: DataFrame, words: Vocabulary, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Rows ``(row, key, n_words, digest, ids, base, far)``, written: the ids of the words (two bytes each), the sum of the log-probabilities of known words
+    within their ids, and the hashes of the words whose counts are still to be joined."""
     sent = df.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        net = fresh(known.counts)
-        sums = {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
-        seen = 0
         for whole in batches:
             for batch in slices(whole, "__words"):
                 hashes, at = word_hashes(*buffers(batch.column("__words")))
-                if not len(hashes):
-                    continue
-                ids = known.encode(hashes)
-                # one place of each run of MASK words of a text, chosen by a hash of its words
-                lead = np.repeat(at[:-1], np.diff(at))
-                lead = np.flatnonzero((np.arange(len(ids)) - lead) % MASK == 0)
-                end = np.repeat(at[1:], np.diff(at))[lead]
-                where = lead + (mix(hashes[lead] + _U(5)) % np.minimum(MASK, end - lead).astype(_U)).astype(np.int64)
-                where = where[np.argsort(mix(hashes[where] ^ where.astype(_U)))]
-                for i in range(0, len(where), BATCH):
-                    part = where[i : i + BATCH]
-                    step(net, sums, windows(ids, at, part), ids[part])
-                seen += len(where)
-        if seen:
-            flat = packed(net).astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat))), pa.array(np.append(float(seen), flat))], names=["i", "v"])
-
-    rows = df.select(words_of(F.col(text)).alias("__words")).where("__words <> ''").transform(bounded).mapInArrow(run, "i long, v double")
-    sums = rows.groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    if not sums.num_rows:
-        return fresh(words.counts)
-    flat = np.zeros(sums.num_rows)
-    flat[sums.column("i").to_numpy() + 1] = sums.column("v").to_numpy()
-    return unpacked(flat[1:] / flat[0])
-
-
-def scored(df: DataFrame, words: Vocabulary, net: dict[str, np.ndarray], text: str = "text", key: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
-    """Rows ``(key, n_words, log_prob, mean_log_prob)``; without the ``counts`` of words, of the network's ids only."""
-    sent = df.sparkSession.sparkContext.broadcast((words, net))
-    whole_words = counts is not None
+                ids, n = known.encode(hashes), np.diff(at)
+                each, far = known.within(hashes, ids)
+                base = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)).astype(float)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, at).astype(np.int32)), pa.array(hashes[far].view(np.int64)))
+                short = ids.astype("<u2")
+                rows = pa.array([short[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column(key), pa.array(n), batch.column("digest"), rows, pa.array(base), lists], names=["row", key, "n_words", "digest", "ids", "base", "far"])
+
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), F.col(key).cast("long").alias(key), words_of(F.col(text)).alias("__words")).withColumn("digest", F.xxhash64("__words", key))
+    return written(rows.transform(bounded).mapInArrow(run, f"row long, {key} long, n_words long, digest long, ids binary, base double, far array<long>"), "encoded")
+
+
+def flat_ids(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some texts in one array, and the offsets of each text's."""
+    return np.frombuffer(b"".join(rows), "<u2").astype(np.int64), np.append(0, np.cumsum([len(r) // 2 for r in rows], dtype=np.int64))
+
+
+def masked(ids: np.ndarray, at: np.ndarray, turn: int) -> np.ndarray:
+    """One place of each run of ``MASK`` words of a text, chosen by a hash of its words and another one in each round, in hashed order."""
+    lead = np.repeat(at[:-1], np.diff(at))
+    lead = np.flatnonzero((np.arange(len(ids)) - lead) % MASK == 0)
+    size = np.minimum(MASK, np.repeat(at[1:], np.diff(at))[lead] - lead)
+    where = lead + ((mix(ids[lead].astype(_U) + lead.astype(_U) * _U(77) + _U(5)) % _U(MASK)).astype(np.int64) + turn * MASK // ROUNDS) % size
+    return where[np.argsort(mix(ids[where].astype(_U) ^ where.astype(_U)))]
+
+
+def shard_rows(rows: DataFrame, start: dict[str, np.ndarray], turn: int) -> DataFrame:
+    """Rows ``(shard, seen, net)``: the network that each shard trains from ``start``, times its number of predictions; ``rows`` are sorted by shard."""
+    sent = rows.sparkSession.sparkContext.broadcast(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = sent.value
+        shard, held, size = None, [], 0
+        net, sums, seen = {}, {}, 0
+
+        def learn() -> int:
+            ids, edges = flat_ids(held)
+            where, around = masked(ids, edges, turn), neighbours(ids, edges)
+            at = 0
+            while at < len(where):  # the first batches of a shard are small, so that small corpora are learned too
+                part = where[at : at + min(BATCH, max(FIRST_BATCH, (seen + at) // 16))]
+                step(net, sums, windows(*around, part), ids[part])
+                at += len(part)
+            return len(where)
+
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([float(seen)]), pa.array([(packed(net).astype(np.float64) * seen).tobytes()], pa.binary())], names=["shard", "seen", "net"])
+
+        for batch in batches:
+            for own, row in zip(batch.column("shard").to_pylist(), batch.column("ids")):
+                if own != shard:
+                    if held:
+                        seen += learn()
+                    if shard is not None:
+                        yield result()
+                    shard, held, size, seen = own, [], 0, 0
+                    net, sums = {k: v.copy() for k, v in sent.value.items()}, {k: np.full(s, 1e-6, np.float32) for k, s in SHAPES.items()}
+                held.append(row.as_py())
+                size += len(held[-1]) // 2
+                if size >= CHUNK:
+                    seen += learn()
+                    held, size = [], 0
+        if held:
+            seen += learn()
+        if shard is not None:
+            yield result()
+
+    return rows.transform(bounded).mapInArrow(run, "shard long, seen double, net binary")
+
+
+def added(rows: DataFrame) -> DataFrame:
+    """The sums of ``FAN`` shards' rows each, added in order of shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, seen, total = None, 0.0, None
+        for batch in batches:
+            for own, n, net in zip(*(batch.column(c) for c in ("group", "seen", "net"))):
+                x = np.frombuffer(net.as_py(), np.float64)
+                if own.as_py() != group:
+                    if total is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([seen]), pa.array([total.tobytes()], pa.binary())], names=["shard", "seen", "net"])
+                    group, seen, total = own.as_py(), 0.0, np.zeros(len(x))
+                seen, total = seen + n.as_py(), total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([seen]), pa.array([total.tobytes()], pa.binary())], names=["shard", "seen", "net"])
+
+    grouped = rows.withColumn("group", F.floor(F.col("shard") / FAN)).repartition("group").sortWithinPartitions("group", "shard")
+    return grouped.transform(bounded).mapInArrow(run, "shard long, seen double, net binary")
+
+
+def trained(ids: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
+    """The network after ``ROUNDS`` rounds over all ``encoded`` rows."""
+    shards = max(1, -(-words.total // SHARD_WORDS))
+    rows = ids.where("n_words > 0").select(F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard"), "digest", "ids")
+    net = fresh(words.counts)
+    for turn in range(ROUNDS):
+        found, left = shard_rows(rows.repartition("shard").sortWithinPartitions("shard", "digest", "ids"), net, turn), shards
+        while left > FAN:
+            found, left = added(found), -(-left // FAN)
+        parts = sorted(found.collect(), key=lambda r: r["shard"])  # at most FAN arrays
+        if not parts:
+            break
+        net = unpacked(sum(np.frombuffer(r["net"], np.float64) for r in parts) / sum(r["seen"] for r in parts))
+    return net
+
+
+def scored(ids: DataFrame, net: dict[str, np.ndarray], key: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
+    """Rows ``(key, n_words, log_prob, mean_log_prob)`` of ``encoded`` rows; without the ``counts`` of words, of the network's ids only."""
+    sent = ids.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = {k: v.astype(np.float64) for k, v in sent.value.items()}
         for whole in batches:
-            for batch in slices(whole, "__words"):
-                hashes, at = word_hashes(*buffers(batch.column("__words")))
-                ids = known.encode(hashes)
-                each, far = known.within(hashes, ids) if whole_words else (np.zeros(len(ids)), np.zeros(0, np.int64))
-                for i in range(0, len(ids), 16_384):
-                    where = np.arange(i, min(len(ids), i + 16_384))
-                    each[where] += log_probabilities(model, windows(ids, at, where), ids[where])
+            sizes = np.cumsum(whole.column("n_words").to_numpy())
+            first = 0
+            while first < whole.num_rows:
+                last = max(first + 1, int(np.searchsorted(sizes, sizes[first] + CHUNK, "right")))
+                batch = whole.slice(first, last - first)
+                first = last
+                flat, at = flat_ids(batch.column("ids").to_pylist())
+                each = np.zeros(len(flat))
+                around = neighbours(flat, at)
+                for i in range(0, len(flat), 16_384):
+                    where = np.arange(i, min(len(flat), i + 16_384))
+                    each[where] = log_probabilities(model, windows(*around, where), flat[where])
                 n = np.diff(at)
-                total = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)).astype(float)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, at).astype(np.int32)), pa.array(hashes[far].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column(key), pa.array(n), pa.array(total), lists], names=["__row", key, "n_words", "log_prob", "__far"])
+                # double precision, rounded, so that equal texts get equal sums in any block
+                total = np.round(np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)).astype(float), 6)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column(key), pa.array(n), pa.array(total)], names=["row", key, "n_words", "log_prob"])
 
-    rows = df.select(F.monotonically_increasing_id().alias("__row"), F.col(key).cast("long").alias(key), words_of(F.col(text)).alias("__words"))
-    out = rows.transform(bounded).mapInArrow(run, f"__row long, {key} long, n_words long, log_prob double, __far array<long>")
-    if whole_words:
-        out = written(out, "scored")
-        logs = out.select("__row", F.explode("__far").alias("word")).join(counts, "word", "left").select("__row", F.round(F.log(F.coalesce("n", F.lit(UNSEEN))) * SCALE).cast("long").alias("v"))
+    out = ids.select("row", key, "n_words", "ids").transform(bounded).mapInArrow(run, f"row long, {key} long, n_words long, log_prob double")
+    if counts is not None:
+        logs = ids.select("row", F.explode("far").alias("word")).join(counts, "word", "left").select("row", F.round(F.log(F.coalesce("n", F.lit(UNSEEN))) * SCALE).cast("long").alias("v"))
         # whole numbers, so that equal texts get equal sums in any order
-        out = out.join(logs.groupBy("__row").agg(F.sum("v").alias("v")), "__row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("v", F.lit(0)) / SCALE)
+        logs = logs.groupBy("row").agg(F.sum("v").alias("v"))
+        rest = ids.select("row", "base").join(logs, "row", "left").select("row", (F.col("base") + F.coalesce("v", F.lit(0)) / SCALE).alias("rest"))
+        out = out.join(rest, "row").withColumn("log_prob", F.col("log_prob") + F.col("rest"))
     return out.select(key, "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
@@ -298,7 +393,8 @@ def pseudo_likelihood(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     """Train on ``df`` and score every row of it."""
     counts = written(word_counts(df, text), "counts")
     words = vocabulary(df, text, counts)
-    return scored(df, words, trained(df, words, text), text, key, counts)
+    ids = encoded(df, words, text, key)
+    return scored(ids, trained(ids, words), key, counts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
