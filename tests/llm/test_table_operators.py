@@ -260,6 +260,35 @@ def test_token_tables(spark):
     assert token_tables.token_tables(nothing(spark)).count() == 0
 
 
+def test_encoder_is_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_tables.VOCABULARY)
+    plain, encoder = Tokenizer.from_file(path), token_tables.encoder(path)
+    assert encoder.by_words
+    rng = random.Random(11)
+    parts = ["a", "Word", " ", "  ", "\n", "\n\n", "\t", "'s", "don't", "12", "3,4.5", "…", "é", "ñandú", "日本", "🎉", "<|endoftext|>", "\u00a0", "\u3000", "_", "--", "!?", "x1y2", "'", "“q”", "\r\n", "ß", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    bad = [t for t in texts if encoder(t) != token_tables.packed(plain.encode(t, add_special_tokens=False).ids + [0])]
+    assert not bad
+    other = token_tables.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert not other.by_words and other("It's  a Test") == token_tables.packed(whole.encode("It's  a Test", add_special_tokens=False).ids + [0])
+
+
+def test_texts_just_under_the_threshold(spark):
+    base = prose(21, 60).split()
+    rows = []
+    for i in range(300):  # pairs differ in two of sixty words: about 0.7 of their shingles agree
+        w = list(base)
+        w[10 + i % 40] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    want = plain_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(df).collect()} == want
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = corpus_pipeline.run(spark, DATA).collect()

@@ -55,6 +55,9 @@ def test_token_counts(spark, docs):
         got = sorted((r["n_tokens"] for r in token_counts.token_counts(df).collect()))
         assert got == sorted(plain_count(r["text"], pieces, longest) for r in df.collect())
     assert token_counts.token_counts(nothing(spark)).count() == 0
+    spaced = spark.createDataFrame([(1, "a\u00a0b"), (2, "\u3000a\u2003b \x1c c\x85"), (3, "\u00a0\u2028")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(spaced).collect()}
+    assert [got[i][0] for i in (1, 2, 3)] == [2, 3, 0] and all(got[r["doc_id"]][1] == plain_count(r["text"], pieces, longest) for r in spaced.collect())
 
 
 def test_automaton_on_random_vocabularies():
@@ -139,6 +142,42 @@ def test_toxicity(spark):
     assert toxicity.accepted(nothing(spark), lab).count() == 0
 
 
+def bucket_of(gram):
+    """The bucket of an n-gram by its definition: a polynomial of letter hashes, finished with the size."""
+    mask, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    total = sum(mix((c + 1) * odd & mask) * pow(odd, k, 1 << 64) for k, c in enumerate(gram)) & mask
+    return mix((total + len(gram)) & mask) % toxicity.BUCKETS
+
+
+def test_toxicity_sample_and_scores_are_the_plain_ones(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(i, rng.randint(5, 40)), None) for i in range(300)] + [(7, "another text", None), (7, "another text", None), (400, "x" * 30_000, None), (401, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t long")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(0, 5000)] + [(7, 1), (7, 0)], "doc_id long, toxic int")
+    texts, y = toxicity.training_sample(df, lab)
+    known = [i for i in range(300)]
+    assert len(texts) == 302 and sorted(y.tolist()) == sorted([i % 2 for i in known] + [0, 1])  # 401: an empty text; 7: both labels, one text
+    weight, constant = toxicity.train(texts, y)
+    got = {(r["doc_id"], round(r["score"], 9)) for r in toxicity.scored(df, (weight, constant)).collect()}
+    want = set()
+    for i, text, _ in rows:
+        padded = f" {' '.join(words(text))} ".encode() if words(text) else b""
+        total = count = 0
+        for n in toxicity.SIZES:
+            for k in range(len(padded) - n + 1):
+                if b" " not in padded[k + 1 : k + n - 1]:
+                    count += 1
+                    total += float(weight[bucket_of(padded[k : k + n])])
+        want.add((i, round(1 / (1 + math.exp(-(total / (count + toxicity.PAD) + constant))), 9)))
+    assert got == want
+
+
 def test_language_model(spark, docs):
     model = masked_lm.vocabulary(docs)
     net = masked_lm.trained(masked_lm.encoded(docs, model), model)
@@ -221,9 +260,9 @@ def test_masks_hit_every_placement():
 
 def test_short_items_with_replaced_words(spark):
     pad, items, docs, want = prose(4, 30), [], [], set()
-    for n in range(decontamination.LEAST, decontamination.WINDOW):
+    for n in range(1, decontamination.WINDOW):
         k, item = decontamination.allowed(n), [f"q{n}i{j}" for j in range(n)]
-        assert k == (2 if n >= 10 else 1)
+        assert k == (2 if n >= 10 else 1 if n >= 5 else 0)
         items.append((n, " ".join(item)))
         for wrong in [w for m in range(k + 2) for w in itertools.combinations(range(n), m)]:
             text = " ".join("zzz" if j in wrong else w for j, w in enumerate(item))
@@ -235,6 +274,37 @@ def test_short_items_with_replaced_words(spark):
     assert got == want
 
 
+def plain_contamination(docs, items):
+    """All windows of all documents against all items, word by word."""
+    found = set()
+    for (d, text), (i, item) in itertools.product(docs, items):
+        a, b = words(text), words(item)
+        n = min(len(b), decontamination.WINDOW)
+        wrong = decontamination.allowed(n) if n < decontamination.WINDOW else decontamination.SUBSTITUTIONS
+        if n and any(sum(x != y for x, y in zip(a[p : p + n], b[q : q + n])) <= wrong for p in range(len(a) - n + 1) for q in range(len(b) - n + 1)):
+            found.add((d, i))
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(12)
+    items = [(i, prose(50 + i, rng.choice([1, 2, 3, 4, 5, 8, 11, 12, 13, 20, 40]), 60)) for i in range(25)]
+    docs = []
+    for d in range(60):
+        w = prose(500 + d, 80, 60).split()
+        for _ in range(3):
+            part = rng.choice(items)[1].split()
+            at = rng.randrange(max(1, len(part) - 13)) if len(part) > 13 else 0
+            part = part[at : at + 14]
+            for _ in range(rng.randrange(4)):
+                part[rng.randrange(len(part))] = "zz"
+            p = rng.randrange(len(w))
+            w[p:p] = part
+        docs.append((d, " ".join(w)))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == plain_contamination(docs, items)
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     item = [f"q{rng.randrange(9999)}" for _ in range(20)]
@@ -248,6 +318,9 @@ def test_decontamination(spark):
     df = awkward(spark, more)
     got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contamination(df, bench).collect()}
     assert set(got) == {(30, 1), (31, 1), (33, 1), (35, 2), (37, None)}
+    words3 = bench.union(spark.createDataFrame([(9, "Beta, gamma: delta!", 1)], bench.schema))
+    assert {r["doc_id"] for r in decontamination.contamination(df, words3).where("item_id = 9").collect()} == {35, 36}
+    assert decontamination.contamination(df, words3, least=4).where("item_id = 9").count() == 0
     r = got[30, 1]
     assert (r["matched"], r["first_word"], r["last_word"]) == (13, 30, 49) and got[31, 1]["matched"] >= 11
     clean = decontamination.decontaminated(df, bench)

@@ -75,7 +75,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str, total: int) -> DataFrame:
-    """The inner join of ``rows`` with ``values``, which has one row a key, with the key's number of ``rows`` as ``n``; ``n`` is dropped.
+    """The inner join of ``rows`` with ``values``, which has few rows a key, each with the key's number of ``rows`` as ``n``; ``n`` is dropped.
 
     A key of more than ``HOT_ROWS`` (and ``total`` / ``HOT_KEYS``) rows is split by a hash of the column ``by`` into pieces of about
     that many, and its value is repeated for each piece. Only hot keys and their counts are broadcast: at most ``HOT_KEYS`` rows
@@ -83,7 +83,7 @@ def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str, total: in
     """
     most = max(HOT_ROWS, total // HOT_KEYS)
     pieces = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
-    hot = values.where(F.col("n") > most).select(key, F.col("n"))
+    hot = values.where(F.col("n") > most).select(key, "n").distinct()
     left = rows.join(F.broadcast(hot), key, "left").withColumn("__piece", F.pmod(F.xxhash64(by), pieces).cast("int")).drop("n")
     right = values.withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("n")
     return left.join(right, [key, "__piece"]).drop("__piece")

@@ -11,7 +11,8 @@ blocks. Texts are cut into blocks of ``BLOCK`` bytes; a phrase may not span two
 
 Training text is a bounded sample: the ``TRAIN_DOCS`` distinct labelled texts (letters only) a language with the
 smallest hashes, until ``TRAIN_BYTES`` are reached; of a text of ``TRAIN_BYTES`` // 4 bytes or more an excerpt below that, at a hashed
-place, is taken. So every language with a labelled letter is learned. Only this sample is sent to the executors.
+place, is taken. So every language with a labelled letter is learned. Only this sample is sent to the executors: the model holds one automaton
+a language, so its size grows with the number of labelled languages (some 10 MB each), not with the rows.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; without any labelled
 text all get ``und``; rows without language are not learned from; bytes never seen in training are
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bytesops import buffers, slices, walk
-from .common import bounded, hash_bound, letters_of, table
+from .common import bounded, letters_of, table
 
 TRAIN_DOCS, TRAIN_BYTES, BLOCK, SHIFT = 64, 32768, 1024, 2
 
@@ -98,9 +99,10 @@ def excerpt(text: Column, most: int) -> Column:
 def training_sample(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> tuple[tuple[str, bytes], ...]:
     """The bounded training text of each language (at most ``TRAIN_BYTES`` bytes)."""
     rows = df.select(F.col(lang).cast("string").alias("lang"), letters_of(F.col(text)).alias("t")).where("lang IS NOT NULL AND t <> ''").withColumn("h", F.xxhash64("t"))
-    bounds = {r["lang"]: hash_bound(r["n"], 4 * TRAIN_DOCS) for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    near = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]) if bounds else F.create_map(F.lit(""), F.lit(0))
-    rows = rows.where(F.col("h") <= near[F.col("lang")]).withColumn("t", excerpt(F.col("t"), TRAIN_BYTES // 4 - 1)).dropDuplicates(["lang", "h"])
+    counts = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    k = 4 * TRAIN_DOCS
+    share = F.least(F.lit(1.0), (k + 8 * k**0.5 + 16) / F.col("n"))  # all but surely at least k hashes are below it
+    rows = rows.join(F.broadcast(counts), "lang").where(F.col("h") / 2.0**64 + 0.5 <= share).withColumn("t", excerpt(F.col("t"), TRAIN_BYTES // 4 - 1)).dropDuplicates(["lang", "h"])
     least = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= TRAIN_DOCS)
     run = least.withColumn("sum", F.sum(F.octet_length("t") + 1).over(W.partitionBy("lang").orderBy("k")))
     texts: dict[str, list[tuple[int, str]]] = {}

@@ -188,10 +188,18 @@ def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def log_probabilities(net: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The conditional log-probability of each target."""
-    _, h, lp = forward(net, ctx)
-    out = lp[np.arange(len(target)), target // WORDS].astype(np.float64)
+    h = net["e"][ctx].reshape(len(ctx), -1) @ net["w"]
+    h += net["b"]
+    np.maximum(h, 0, out=h)
+
+    def picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        x -= x.max(axis=1, keepdims=True)
+        chosen = x[np.arange(len(x)), at]
+        return chosen - np.log(np.exp(x, out=x).sum(axis=1))
+
+    out = picked(h @ net["c"] + net["cb"], target // WORDS).astype(np.float64)
     for c, rows in by_class(target):
-        out[rows] += softmax(h[rows] @ net["o"][c] + net["ob"][c])[np.arange(len(rows)), target[rows] % WORDS]
+        out[rows] += picked(h[rows] @ net["o"][c] + net["ob"][c], target[rows] % WORDS)
     return out
 
 

@@ -5,7 +5,8 @@ numbers, and p(r) gives shard ``p(r) % shards`` and slot ``p(r) // shards``. Any
 the seed can compute a row's place without reading data, and shard sizes differ by one row at most.
 
 Null keys are numbered first; equal keys are numbered in the order of their text checksum and size,
-so rows that tie in all of these are interchangeable. An empty table gives an empty result.
+so rows that tie in all of these are interchangeable. An empty table gives an empty result; null texts count as empty, very long ones
+only by checksum and size, as texts are not moved; extra columns are carried along, but for ``shard`` and ``slot``, which are replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ piece is ever built.
 Every single byte is a piece too, so any text can be cut: characters that the vocabulary lacks count
 one token a byte.
 
-Defined cases: null, empty and blank texts have 0 tokens; extra columns are ignored.
+Space characters are those of Unicode. Defined cases: null, empty and blank texts have 0 tokens; null identifiers and repeated rows
+are counted like others; very long texts are cut between words into ranges that run side by side; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import bounded, table
 
 MARK, BLOCK, SHIFT = "▁", 512, 7
 VOCABULARY = "piece_bpe_32k.model"
+SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def vocabulary(name: str = VOCABULARY) -> list[bytes]:
@@ -126,7 +128,7 @@ def automaton(name: str) -> Automaton:
 
 def token_counts(df: DataFrame, name: str = VOCABULARY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows ``(key, n_words, n_tokens)``."""
-    marked = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit(""))), r"\s+", " ")
+    marked = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit(""))), SPACES, " ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

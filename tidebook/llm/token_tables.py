@@ -18,6 +18,7 @@ no file and no rows; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
@@ -49,11 +50,20 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}H", *ids)
 
 
+def splits_words(file: dict) -> bool:
+    """Whether a tokenizer file cuts texts by the byte-level pattern and nothing else, so that words can be encoded one by one."""
+    cut = file.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    marked = [t["content"] for t in file.get("added_tokens", [])]
+    return bool(plain and file.get("normalizer") is None and file["model"]["type"] == "BPE" and all(t.startswith("<|") for t in marked))
+
+
 class Encoder:
     """Byte-level BPE ids of texts as little-endian 16-bit integers (the vocabulary has under 65,536 ids).
 
     The tokenizer never merges across the start of a word with its one space in front, so words are
-    encoded by the library once and kept; texts with runs of white space are encoded whole.
+    encoded by the library once and kept; texts with runs of white space are encoded whole. That holds for files with the byte-level
+    pre-tokenizer and no normalizer (``by_words``); with any other file every text is encoded whole by the library.
     """
 
     class Words(dict):
@@ -97,6 +107,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65535:
             raise ValueError("ids of this vocabulary do not fit into 16 bits")
+        with open(path, encoding="utf-8") as file:
+            self.by_words = splits_words(json.load(file))
         self.first = self.Words(self.tokenizer, None)
         self.next = self.Words(self.tokenizer, self.first)
         self.end = packed([END_ID])
@@ -104,6 +116,8 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
+        if not self.by_words:
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
         head, *rest = text.split(" ")
         out = self.first[head] + b"".join(map(self.next.__getitem__, rest))
         if RUN in out:

@@ -8,14 +8,15 @@ or unseen word shares most of its n-grams with the words it comes from, so it sh
 As all is linear up to the softmax, each n-gram adds one number to its text's margin; whole texts are
 scored by one table lookup an n-gram on Arrow buffers.
 
-Training uses a bounded sample: the ``TRAIN_ROWS`` labelled documents (clean, toxic) with the smallest
-hashes of their identifier, texts of at most ``TRAIN_BYTES`` bytes. Each bag also holds ``PAD`` zero vectors, so
+Training uses a bounded sample: of the documents of at most ``TRAIN_BYTES`` bytes that have a label the ``TRAIN_ROWS``
+(clean, toxic) with the smallest hashes of their identifier. Each bag also holds ``PAD`` zero vectors, so
 that a few rare n-grams do not decide short texts. N-grams found in fewer than
 ``LEAST_DOCS`` training texts keep the zero vector.
 
 Defined cases: null and empty texts, and those without words, get the score of an empty bag; without labels of
 both classes every score is the share of toxic labels in the sample (0 without any); labels that are
-null or have no document are ignored; extra columns are ignored.
+null or have no document of that size are ignored; of texts that share an identifier one is learned from, all are
+scored; very long texts are scored whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import _powers, _tables, buffers, mix, slices
-from .common import bounded, hash_bound, table, words_of
+from .common import bounded, hash_bound, table, words_of, written
 from .language_id import held_out
 
 SIZES, BUCKETS, DIM, PAD = (3, 4, 5), 1 << 17, 4, 300
@@ -126,12 +127,13 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 42) -> tuple[np.ndar
 def training_sample(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[list[str], np.ndarray]:
     """At most ``TRAIN_ROWS`` texts of the classes with their labels, in a fixed order."""
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND __key IS NOT NULL").distinct()
-    known = known.withColumn("h", F.xxhash64("__key"))
+    short = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.octet_length(F.coalesce("__text", F.lit(""))) <= TRAIN_BYTES).withColumn("t", F.xxhash64("__text"))
+    # of texts under one identifier the one of smallest hash; labels without a short document take no place
+    known = written(known.join(short.groupBy("__key").agg(F.min("t").alias("t")), "__key").withColumn("h", F.xxhash64("__key")), "labelled")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = [known.where((F.col("y") == y) & (F.col("h") <= hash_bound(sizes.get(y, 0), k))).orderBy("h", "__key").limit(k) for y, k in enumerate(TRAIN_ROWS)]
     few = parts[0].unionByName(parts[1])  # bounded
-    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(few), "__key")
-    rows = rows.where(F.octet_length(F.coalesce("__text", F.lit(""))) <= TRAIN_BYTES).select("__key", "y", "h", bag_text(F.col("__text")).alias("t"))
+    rows = short.join(F.broadcast(few), ["__key", "t"]).dropDuplicates(["__key", "y"]).select("y", "h", bag_text(F.col("__text")).alias("t"))
     found = rows.toArrow().sort_by([("h", "ascending"), ("y", "ascending"), ("t", "ascending")])
     return found.column("t").to_pylist(), found.column("y").to_numpy().astype(np.int64)
 
