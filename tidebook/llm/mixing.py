@@ -9,6 +9,9 @@ Rates have no upper end: one above ``MOST_RATE`` is split into the fewest equal
 up; each part draws at a number of its own, hashed from seed, identifier and part (the first part without its number). A
 part's count is found by bisection in its source's cumulative distribution, which has some 800 steps at most.
 
+Shuffle: the sort key is a uniform 48-bit hash, so its ranges are known beforehand. Copies are dealt to the range of their
+key and sorted there: one pass and one shuffle, without a sample of the keys.
+
 Defined cases: a null source is a source of its own; a null identifier is hashed as empty text, so
 such rows of one source share a draw; sources without a weight (when weights are given) have rate 0;
 an empty table gives an empty one; null, empty and very long texts are carried along like other columns, whatever
@@ -74,9 +77,12 @@ def poisson_mix(df: DataFrame, weights: dict[str | None, float] | None = None, p
     n = F.aggregate(draws, F.lit(0).cast("long"), lambda acc, u: acc + below(F.col("__ladder"), u))
     drawn = df.drop("copy", "shuffle_key").join(known, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", n).drop("__ladder", "__source", "__parts")
     # in runs, so that no array holds all copies of a document
-    runs = drawn.where("__n > 0").withColumn("__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(RUN).cast("long"))))
+    starts = F.when(F.col("__n") > 0, F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(RUN).cast("long")))
+    runs = drawn.withColumn("__first", F.explode(starts))
     copies = runs.withColumn("copy", F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + RUN, F.col("__n")) - 1))).withColumn("copy", F.col("copy").cast("int")).drop("__n", "__first")
-    return copies.withColumn("shuffle_key", hashed(F.lit(seed + 1), F.col(key), F.col("copy"))).orderBy("shuffle_key", key, "copy")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = copies.withColumn("shuffle_key", hashed(F.lit(seed + 1), F.col(key), F.col("copy")))
+    return keyed.repartitionById(parts, F.floor(F.col("shuffle_key") / F.lit(float(16**DIGITS)) * parts).cast("int")).sortWithinPartitions("shuffle_key", key, "copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
