@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .bytesops import buffers, mix, runs, shingles, slices, word_hashes
 from .common import bounded, components, spread_join, table, words_of, written
 
-SIZE, SIMILARITY, BANDS, ROWS, AGREE, BLOCK, BLOCK_BYTES = 5, 0.8, 20, 4, 50, 4096, 8_000_000
+SIZE, SIMILARITY, BANDS, ROWS, AGREE, BLOCK, BLOCK_BYTES = 5, 0.8, 20, 4, 50, 1024, 8_000_000
 REGISTERS = BANDS * ROWS
 POINTS = 32_768  # drawn at once for all processes, beyond one each
 _U = np.uint64
