@@ -301,3 +301,49 @@ def test_pipeline(spark):
     assert out and sorted(r["start"] for r in out) == list(np.cumsum([0] + [r["n_tokens"] for r in sorted(out, key=lambda r: r["start"])])[:-1])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    bench = [(1, prose(77, 16, 9000)), (2, "three odd words")]
+    more = [(60 + i, prose(900 + i, 50)) for i in range(20)] + [(90, f"{prose(7, 30)} {bench[0][1]} {prose(8, 30)}"), (91, "they say three odd words often"), (None, prose(31, 40)), (92, prose(61, 70_000, 3000))]
+    for name, df in (("documents", awkward(spark, more)), ("labels", spark.createDataFrame([(i, 0) for i in range(4, 80)] + [(None, 1)], "doc_id long, toxic int")), ("benchmark", spark.createDataFrame(bench, "item_id long, text string"))):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = docs if not kept else spark.read.parquet(str(tmp_path / list(kept)[-1]))
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.columns == corpus_pipeline.COLUMNS
+        kept[name] = out.collect()
+    assert len(kept["toxicity"]) == 15 + len(more)  # no toxic label, so nothing is toxic
+    texts = {r["doc_id"]: r["text"] for r in kept["toxicity"] if r["doc_id"] is not None}
+    groups = plain_groups(sorted(texts.items()))
+    assert {r["doc_id"] for r in kept["near_duplicates"]} - {None} == set(groups.values())
+    assert sum(r["doc_id"] is None for r in kept["near_duplicates"]) == 2
+    before = {r["doc_id"] for r in kept["near_duplicates"]}
+    assert before - {r["doc_id"] for r in kept["decontamination"]} == {90, 91}
+    n, sources = len(kept["decontamination"]), Counter(r["source"] for r in kept["decontamination"])
+    rates = {s: math.sqrt(k) / sum(map(math.sqrt, sources.values())) * n / k for s, k in sources.items()}
+    want = Counter()
+    for r in kept["decontamination"]:
+        import hashlib
+
+        key = "42|" + ("" if r["doc_id"] is None else str(r["doc_id"]))
+        u, rate = (int(hashlib.md5(key.encode()).hexdigest()[:12], 16) + 0.5) / 16**12, rates[r["source"]]
+        p = c = math.exp(-rate)
+        k = 0
+        while c < u:
+            k, p = k + 1, p * rate / (k + 1)
+            c += p
+        want[r["doc_id"]] += k
+    assert Counter(r["doc_id"] for r in kept["mixing"]) == +want
+    plain, start, rows = Tokenizer.from_file(public_tokenizers.path(token_tables.VOCABULARY)), 0, []
+    for i, t in sorted(((r["doc_id"], r["text"]) for r in kept["mixing"]), key=lambda r: (token_tables.key_of(r[0]), r[1] or "")):
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [0]
+        rows.append((i, start, len(ids)))
+        start += len(ids)
+    last = corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(str(tmp_path / "mixing")), str(tmp_path)).collect()
+    assert sorted((r["start"], r["doc_id"]) for r in last if r["doc_id"] is not None) == [(s, i) for i, s, _ in rows if i is not None] and sum(r["n_tokens"] for r in last) == start

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontamination, embedding_dedup, language_id, masked_lm, mixing, near_duplicates, sharding, token_counts, token_tables, toxicity
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Every query of the package."""
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
 
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every query of the package."""
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
         "op1_embedding_dedup": embedding_dedup.query,
         "op2_token_counts": token_counts.query,
         "op3_decontamination": decontamination.query,
