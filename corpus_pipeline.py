@@ -2,6 +2,11 @@
 
 Toxic documents go; of each group of near duplicates one document stays; documents that hold a benchmark passage go;
 sources are mixed to their target weights; the rest is encoded into table files of token ids.
+
+Defined cases, the same in all stages: a null or empty text is not toxic, duplicates and holds nothing, and gives the end id alone; rows with
+one identifier count as one document where duplicates and benchmark passages are judged, and each by its own text for toxicity; rows with a null identifier are never duplicates,
+and are judged together against the benchmark; a null source is a source of its own; very long texts are worked on whole; equal rows share their fate, but for the
+number of their copies; an empty table gives an empty result; columns other than those of ``documents`` are left out by the first stage.
 """
 
 from __future__ import annotations
