@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import ceil_div, clamp, euclid_div, floor_div, median3, next_hour, order_index, order_market, order_nonce, path_bits, to_hour, trunc_div
 from tidebook.functions.wide import mul_div, product_at_most, zero_price, zero_quote
-from tidebook.operators.folds import Book, change_position, sign
+from tidebook.operators.folds import change_position, sign
 
 EDGES = [-(2**40), -3601, -60, -7, -1, 0, 1, 7, 59, 60, 3_600_000, 3_600_001, 2**40]
 
@@ -70,32 +70,3 @@ def test_change_position(trades):
         r, cash = r + more, cash - sign(d) * q
     assert p == sum(d for d, _ in trades) and e >= 0 and (p != 0 or e == 0)
     assert r == sign(p) * e + cash  # profit is entry value plus net cash, whatever was rounded
-
-
-def order(i, ask, price, base, account=None, immediate=False, post=False, expiry=None):
-    return {"id": i, "account": account or i, "is_ask": ask, "price": price, "left": base, "n": i, "immediate": immediate, "post_only": post, "expiry": expiry}
-
-
-def test_matching_steps():
-    book = Book()
-    assert book.submit(order(1, 1, 100, 5), 0) == [] and book.submit(order(2, 1, 99, 5), 0) == [] and book.submit(order(3, 1, 99, 5), 0) == []
-    assert book.submit(order(4, 0, 99, 7), 0) == [("trade", 4, 2, 99, 5), ("trade", 4, 3, 99, 2)]  # price, then time
-    assert book.submit(order(5, 0, 98, 1, immediate=True), 0) == [("cancel", 5, None, None, 1)]
-    assert book.submit(order(6, 0, 99, 1, post=True), 0) == [("cancel", 6, None, None, 1)]
-    assert book.submit(order(7, 0, 99, 1, account=3), 0) == [("self", 7, 3, 99, 1)]
-    book.submit(order(8, 1, 98, 4, expiry=10), 0)
-    assert book.submit(order(9, 0, 100, 9), 10) == [("expire", None, 8, 98, 4), ("trade", 9, 3, 99, 2), ("trade", 9, 1, 100, 5)]
-    assert book.best(0)["left"] == 2
-
-
-def test_matching_conserves(spark):
-    from tidebook.plans.books import QUERIES
-
-    events = QUERIES["matching_replay"](spark, "/root/testdata/sf0.001").toPandas()
-    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey").toPandas()
-    sizes = {k: k % 50 + 1 for k in orders["o_orderkey"]}
-    used = {}
-    for r in events[events["kind"].isin(["trade", "self"])].itertuples():
-        for who in (r.taker, r.maker):
-            used[int(who)] = used.get(int(who), 0) + r.base
-    assert used and all(n <= sizes[k] for k, n in used.items())

@@ -15,12 +15,6 @@ def test_unlocks(spark):
     assert [r["outcome"] for r in sorted(out, key=lambda r: r["seq"])] == ["queued"] * 8 + ["full"] * 2
 
 
-def test_stack(spark):
-    rows = [(1, 0, [1, 2, 3]), (1, 1, []), (1, 2, [4, 5, 6, 7, 8, 9]), (1, 3, [9] * 7), (1, 4, [1, 2, 3, 4]), (1, 5, None)]
-    got = queues.instruction_stack(spark.createDataFrame(rows, "market long, seq long, pushes array<long>")).orderBy("seq").collect()
-    assert [(r["popped"], r["outcome"], r["size"]) for r in got] == [(None, "applied", 3), (3, "applied", 2), (2, "applied", 7), (None, "rejected", 7), (None, "rejected", 7), (9, "applied", 6)]
-
-
 def test_isolated():
     assert isolated_change(10, 0, 50, 60, 0, 0, 0, 0) == -50 and isolated_change(10, 0, -5, 0, 0, 0, 0, 0) == 0
     assert isolated_change(10, -5, 50, 60, 20, 35, 0, 0) == 15

@@ -41,3 +41,20 @@ def split_base(x: Column, base: int, digits: int) -> Column:
 def le_bytes(x: Column, n: int) -> Column:
     """The bytes of a non-negative integer, the lowest first."""
     return split_base(x, 256, n)
+
+
+def join_bytes(parts: Column) -> Column:
+    """The integer of little-endian bytes (at most 7)."""
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(1).cast("long").alias("unit"))
+    return F.aggregate(parts, start, lambda acc, b: F.struct((acc["sum"] + acc["unit"] * b).alias("sum"), (acc["unit"] * 256).alias("unit")))["sum"]
+
+
+def rotl32(x: Column, k: int) -> Column:
+    """A 32-bit word turned left by ``k`` bits; to the right by 32 - ``k``."""
+    return F.shiftleft(x.cast("long"), k).bitwiseAND(F.lit(2**32 - 1)).bitwiseOR(F.shiftrightunsigned(x.cast("long"), 32 - k))
+
+
+def packed_fields(size: int, *fields: tuple[Column, int]) -> Column:
+    """Integers as big-endian hexadecimal fields of so many bytes each, one after another, filled up with zero bytes to ``size``."""
+    parts = [F.lpad(F.lower(F.hex(x.cast("long"))), 2 * n, "0") for x, n in fields]
+    return F.rpad(F.concat(*parts), 2 * size, "0")

@@ -1,18 +1,17 @@
 """Ordered folds: state that depends on the order of a key's rows.
 
 Rows are dealt out by key, sorted, and streamed through each task with the state of one key at a time, so a key with
-very many rows needs time but no memory. Arithmetic is in Python integers, exact at any width.
+very many rows needs time but no memory beyond that state. Arithmetic is in Python integers, exact at any width.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from .positions import parties
 
 BATCH = 10_000
 
@@ -80,77 +79,11 @@ def change_position(p: int, e: int, d: int, q: int) -> tuple[int, int, int]:
 
 
 def entry_quotes(fills: DataFrame) -> DataFrame:
-    """Final position, entry quote and realised profit of each taker and market, folded in fill order."""
+    """Final position, entry quote and realised profit of each party (takers and makers) and market, folded in fill order."""
 
     def step(state, row):
         p, e, r = state
-        p, e, more = change_position(p, e, row["side"] * row["base"], row["quote"])
+        p, e, more = change_position(p, e, row["d"], row["quote"])
         return (p, e, r + more), []
 
-    rows = fills.select(F.col("taker").alias("account"), "market", "ts", "ok", "ln", "side", "base", "quote")
-    return ordered_fold(rows, ["account", "market"], ["ts", "ok", "ln"], lambda k: (0, 0, 0), step, lambda k, s: [(*k, s[0], Decimal(s[1]), Decimal(s[2]))], "account long, market long, position long, entry_quote decimal(38,0), realised decimal(38,0)")
-
-
-class Book:
-    """One market's resting orders by price-time priority."""
-
-    def __init__(self) -> None:
-        self.sides: dict[int, list] = {0: [], 1: []}  # heaps of (price key, nonce, order)
-
-    def best(self, is_ask: int) -> dict | None:
-        """The best live order of a side."""
-        side = self.sides[is_ask]
-        while side and side[0][2]["left"] == 0:
-            heapq.heappop(side)
-        return side[0][2] if side else None
-
-    def rest(self, order: dict) -> None:
-        """Put an order on its side, behind equals."""
-        key = order["price"] if order["is_ask"] else -order["price"]
-        heapq.heappush(self.sides[order["is_ask"]], (key, order["n"], order))
-
-    def submit(self, order: dict, now: int) -> list[tuple]:
-        """Match an order; events ``(kind, taker, maker, price, base)``.
-
-        The steps in order: no crossing order (immediate ones are cancelled, others rest); self trade (an expired maker is cancelled, a post-only
-        taker too, else both shrink without a trade); expired maker cancelled; post-only taker cancelled; else a trade at the maker's price.
-        """
-        events = []
-        while order["left"]:
-            maker = self.best(1 - order["is_ask"])
-            crosses = maker is not None and (maker["price"] >= order["price"] if order["is_ask"] else maker["price"] <= order["price"])
-            if not crosses:
-                if order["immediate"]:
-                    events.append(("cancel", order["id"], None, None, order["left"]))
-                else:
-                    self.rest(order)
-                break
-            expired = maker["expiry"] is not None and maker["expiry"] <= now
-            size = min(order["left"], maker["left"])
-            if expired:
-                events.append(("expire", None, maker["id"], maker["price"], maker["left"]))
-                maker["left"] = 0
-            elif order["post_only"]:
-                events.append(("cancel", order["id"], None, None, order["left"]))
-                break
-            else:
-                kind = "self" if maker["account"] == order["account"] else "trade"
-                events.append((kind, order["id"], maker["id"], maker["price"], size))
-                order["left"] -= size
-                maker["left"] -= size
-        return events
-
-
-def matched(orders: DataFrame) -> DataFrame:
-    """Replay of orders ``(market, ts, id, account, is_ask, price, base, immediate, post_only, expiry)`` by market.
-
-    Returns the events ``(market, seq, kind, taker, maker, price, base)``. Markets are independent here: no account risk gate joins them.
-    """
-
-    def step(state, row):
-        book, n, seq = state
-        order = {"id": row["id"], "account": row["account"], "is_ask": row["is_ask"], "price": row["price"], "left": row["base"], "n": n, "immediate": row["immediate"], "post_only": row["post_only"], "expiry": row["expiry"]}
-        out = [(row["market"], seq + i, *e) for i, e in enumerate(book.submit(order, row["ts"]))]
-        return (book, n + 1, seq + len(out)), out
-
-    return ordered_fold(orders, ["market"], ["ts", "id"], lambda k: (Book(), 0, 0), step, lambda k, s: [], "market long, seq long, kind string, taker long, maker long, price long, base long")
+    return ordered_fold(parties(fills), ["account", "market"], ["ts", "ok", "ln"], lambda k: (0, 0, 0), step, lambda k, s: [(*k, s[0], Decimal(s[1]), Decimal(s[2]))], "account long, market long, position long, entry_quote decimal(38,0), realised decimal(38,0)")

@@ -22,10 +22,11 @@ def premium(bid: Column, ask: Column, index: Column) -> Column:
 
 
 def minute_premiums(samples: DataFrame, index: int) -> DataFrame:
-    """One premium a market and minute, of its last sample (the sample is the bid if over the index, else the ask)."""
-    last = samples.groupBy("market", to_minute(F.col("ts")).alias("minute")).agg(F.max(F.struct("ts", "event_id", "value")).alias("x"))
-    v, i = F.col("x.value"), F.lit(index).cast("long")
-    return last.select("market", "minute", premium(F.when(v > i, v).otherwise(F.lit(0)), F.when(v < i, v).otherwise(F.lit(0)), i).alias("premium"))
+    """One premium a market and minute: its last sample of even number is the impact bid, its last of odd number the ask (none: 0, read as the index)."""
+    key, bid = F.struct("ts", "event_id"), F.col("event_id") % 2 == 0
+    last = samples.groupBy("market", to_minute(F.col("ts")).alias("minute")).agg(F.max_by("value", F.when(bid, key)).alias("bid"), F.max_by("value", F.when(~bid, key)).alias("ask"))
+    zero = F.lit(0).cast("long")
+    return last.select("market", "minute", premium(F.coalesce("bid", zero), F.coalesce("ask", zero), F.lit(index).cast("long")).alias("premium"))
 
 
 def premium_sums(minutes: DataFrame) -> DataFrame:
@@ -65,9 +66,15 @@ def premium_permitted(created: Column, last_premium: Column) -> Column:
 
 
 def due_flags(samples: DataFrame) -> DataFrame:
-    """Each sample, against the one before it in its market: is funding due, is a premium due, is one permitted."""
-    before = F.lag("ts").over(W.partitionBy("market").orderBy("ts", "event_id"))
-    rows = samples.select("market", "event_id", "ts", before.alias("last")).where("last IS NOT NULL")
+    """Each sample, against the one before it in its market: is funding due, is a premium due, is one permitted.
+
+    The sample before is the last of the same hour, or of the nearest earlier hour that has samples, taken from a table of one row an hour.
+    """
+    rows = samples.withColumn("hour", to_hour(F.col("ts")))
+    ends = rows.groupBy("market", "hour").agg(F.max("ts").alias("end"))
+    ends = ends.select("market", "hour", F.lag("end").over(W.partitionBy("market").orderBy("hour")).alias("edge"))
+    inside = F.lag("ts").over(W.partitionBy("market", "hour").orderBy("ts", "event_id"))
+    rows = rows.select("market", "hour", "event_id", "ts", inside.alias("inside")).join(ends, ["market", "hour"]).withColumn("last", F.coalesce("inside", "edge")).where("last IS NOT NULL")
     return rows.select("market", "event_id", funding_due(F.col("ts"), F.col("last")).alias("funding"), premium_due(F.col("ts"), F.col("last")).alias("premium"), premium_permitted(F.col("ts"), F.col("last")).alias("permitted"))
 
 

@@ -27,16 +27,27 @@ def batches(summary: DataFrame, size: int) -> DataFrame:
     return merged.withColumn("whole", F.col("last_block") - F.col("first_block") + 1 == F.col("n_blocks"))
 
 
+def edges(groups: DataFrame, value: str, parts: int = 64) -> DataFrame:
+    """``(g, edge)``: for each group number ``g`` the ``value`` of the nearest earlier group, by windows over ``parts`` ranges of groups and one over the ranges."""
+    low, high = groups.agg(F.min("g"), F.max("g")).first()
+    width = max(1, ((high or 0) - (low or 0)) // parts + 1)
+    rows = groups.select("g", value, F.call_function("div", F.col("g") - (low or 0), F.lit(width).cast("long")).alias("part"))
+    ends = rows.groupBy("part").agg(F.max_by(value, "g").alias("last"))  # at most as many rows as parts
+    before = ends.select("part", F.lag("last").over(W.orderBy("part")).alias("before"))
+    inside = F.lag(value).over(W.partitionBy("part").orderBy("g"))
+    return rows.withColumn("inside", inside).join(F.broadcast(before), "part").select("g", F.coalesce("inside", "before").alias("edge"))
+
+
 def continuity(log: DataFrame, group: int) -> DataFrame:
     """Rows whose time is before that of the row before, found per group of ``group`` rows and across the groups' edges.
 
-    The groups' edges are compared in a small table of one row a group, so no window holds the whole log.
+    The row before is the last of the same group, or of the nearest earlier group that has rows; no window holds the whole log.
     """
     g = blocks(log, group)
     inside = F.lag("ts").over(W.partitionBy("block").orderBy("seq"))
     rows = g.select("seq", "ts", "block", inside.alias("before"))
-    ends = g.groupBy((F.col("block") + 1).alias("block")).agg(F.max_by("ts", "seq").alias("edge"))
-    joined = rows.join(ends, "block", "left").withColumn("before", F.coalesce("before", "edge"))
+    ends = edges(g.groupBy(F.col("block").alias("g")).agg(F.max_by("ts", "seq").alias("last")), "last")
+    joined = rows.join(ends.withColumnRenamed("g", "block"), "block", "left").withColumn("before", F.coalesce("before", "edge"))
     return joined.select("seq", (F.col("ts") < F.col("before")).alias("backwards")).where("backwards IS NOT NULL")
 
 
@@ -77,12 +88,11 @@ def fifo_heads(unlocks: DataFrame, now: int) -> DataFrame:
 def delta_encoded(accounts: DataFrame, group: int = 4096) -> DataFrame:
     """Sorted distinct account numbers as differences from the one before (the first: from 0).
 
-    The account before is the last of the same group of ``group`` numbers, or of the nearest earlier group, taken from a small table.
+    The account before is the last of the same group of ``group`` numbers, or of the nearest earlier group.
     """
     a = accounts.select("account").distinct().withColumn("g", F.call_function("div", F.col("account"), F.lit(group).cast("long")))
     inside = F.lag("account").over(W.partitionBy("g").orderBy("account"))
-    ends = a.groupBy("g").agg(F.max("account").alias("last"))
-    edge = ends.select("g", F.lag("last").over(W.orderBy("g")).alias("edge"))  # one row a group
+    edge = edges(a.groupBy("g").agg(F.max("account").alias("last")), "last")
     rows = a.select("account", "g", inside.alias("before")).join(edge, "g")
     return rows.select("account", (F.col("account") - F.coalesce("before", "edge", F.lit(0).cast("long"))).alias("delta"))
 
@@ -93,9 +103,14 @@ def account_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.groupBy("account", "market").agg(F.sum("d").alias("delta")).where("delta <> 0")
 
 
-def last_values(updates: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
+def last_values(updates: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The last update of each key."""
-    return updates.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v")).select(key, "v.*")
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v")).select(*keys, "v.*")
+
+
+def last_fields(updates: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
+    """The last value of each field of each key, where updates set some fields and leave the others null; without keys, one row."""
+    return updates.groupBy(*keys).agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields))
 
 
 def nonce_gaps(log: DataFrame) -> DataFrame:
@@ -107,8 +122,3 @@ def rule_report(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Violations by rule, in one pass: an array of the broken rules is exploded and counted."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
     return rows.select(F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("violations"))
-
-
-def share_prices(pools: DataFrame) -> DataFrame:
-    """Whether operators hold their least share of the pool: operator x 10,000 >= total x rate."""
-    return pools.withColumn("enough", F.col("operator") * 10_000 >= F.col("total") * F.col("min_rate"))

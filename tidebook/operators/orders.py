@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import euclid_div, sgn
-from ..functions.wide import mul_div
 from ..model.units import COLLATERAL_SCALE
 from .folds import ordered_fold
 
@@ -60,11 +59,6 @@ def position_usdc(allocated: Column, position: Column, entry_quote: Column) -> C
     return euclid_div(allocated, COLLATERAL_SCALE) - sgn(position) * entry_quote
 
 
-def burnable(available: Column, total: Column, tav: Column) -> Column:
-    """Shares worth an amount."""
-    return mul_div(available, total, F.abs(tav))
-
-
 def hash_chain(log: DataFrame, key: str = "market") -> DataFrame:
     """A SHA-256 chain over each key's rows ``(key, seq, value)`` in order: h' = sha256(h || '|' || seq || '|' || value), in hex, from the empty text.
 

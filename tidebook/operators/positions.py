@@ -27,7 +27,7 @@ def running_position(fills: DataFrame) -> DataFrame:
 
 def fees_by_account(fills: DataFrame) -> DataFrame:
     """Taker fees in collateral units (quote x rate)."""
-    return fills.groupBy(F.col("taker").alias("account")).agg(F.sum((F.col("quote") * F.col("fee_rate")).cast("decimal(38,0)")).cast("decimal(38,0)").alias("fee"))
+    return fills.groupBy(F.col("taker").alias("account")).agg(F.sum((F.col("quote").cast("decimal(38,0)") * F.col("fee_rate")).cast("decimal(38,0)")).cast("decimal(38,0)").alias("fee"))
 
 
 def fee_flows(fills: DataFrame, fee_account: int = -1, maker_part: int = 4) -> DataFrame:
@@ -35,9 +35,10 @@ def fee_flows(fills: DataFrame, fee_account: int = -1, maker_part: int = 4) -> D
 
     The maker's rate is the taker's divided by ``maker_part``.
     """
-    taker = F.col("quote") * F.col("fee_rate")
-    maker = F.col("quote") * F.call_function("div", F.col("fee_rate"), F.lit(maker_part).cast("long"))
-    rows = F.array(F.struct(F.col("taker").alias("account"), (-taker).alias("amount")), F.struct((-F.col("maker") - 2).alias("account"), (-maker).alias("amount")), F.struct(F.lit(fee_account).cast("long").alias("account"), (taker + maker).alias("amount")))
+    quote = F.col("quote").cast("decimal(38,0)")
+    taker = (quote * F.col("fee_rate")).cast("decimal(38,0)")
+    maker = (quote * F.call_function("div", F.col("fee_rate"), F.lit(maker_part).cast("long"))).cast("decimal(38,0)")
+    rows = F.array(F.struct(F.col("taker").alias("account"), (-taker).cast("decimal(38,0)").alias("amount")), F.struct((-F.col("maker") - 2).alias("account"), (-maker).cast("decimal(38,0)").alias("amount")), F.struct(F.lit(fee_account).cast("long").alias("account"), (taker + maker).cast("decimal(38,0)").alias("amount")))
     return fills.select(F.inline(rows)).groupBy("account").agg(F.sum(F.col("amount").cast("decimal(38,0)")).cast("decimal(38,0)").alias("amount"))
 
 
@@ -47,13 +48,6 @@ def unrealised(position: Column, mark: Column, entry_quote: Column, multiplier:
     return F.when(position > 0, value).otherwise(-value)
 
 
-def marked_positions(positions: DataFrame, markets: DataFrame) -> DataFrame:
-    """Positions joined with their markets' marks: notional and profit against net cash."""
-    joined = positions.join(markets, "market")
-    notional = F.abs("position") * F.col("mark")
-    return joined.select("account", "market", "brand", "position", "cash", "mark", notional.alias("notional"), (F.col("position") * F.col("mark") + F.col("cash")).alias("pnl"))
-
-
 def open_interest(fills: DataFrame) -> DataFrame:
     """Open interest of each market: half the sum of all parties' absolute positions, and the longs' side of it."""
     both = fills.select(F.inline(F.array(F.struct("market", F.col("taker").alias("party"), (F.col("side") * F.col("base")).alias("d")), F.struct("market", (-F.col("maker") - 2).alias("party"), (-F.col("side") * F.col("base")).alias("d")))))
@@ -61,29 +55,38 @@ def open_interest(fills: DataFrame) -> DataFrame:
     return net.groupBy("market").agg(F.call_function("div", F.sum(F.abs("p")), F.lit(2).cast("long")).alias("open_interest"), F.sum(F.greatest("p", F.lit(0).cast("long"))).alias("longs"), F.count(F.when(F.col("p") != 0, 1)).alias("parties"))
 
 
-def open_interest_changes(fills: DataFrame) -> DataFrame:
-    """The change of |position| that each fill makes for its taker."""
-    w = W.partitionBy("taker", "market").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
+def parties(fills: DataFrame) -> DataFrame:
+    """Two rows a fill, ``(account, market, ts, ok, ln, d, quote)``: the taker's and the maker's (accounts from -2 down), with opposite signed lots."""
     d = F.col("side") * F.col("base")
-    after = F.sum(d).over(w)
-    return fills.select(F.col("taker").alias("account"), "market", *ORDER, d.alias("d"), after.alias("after")).select("account", "market", *ORDER, (F.abs("after") - F.abs(F.col("after") - F.col("d"))).alias("change"))
+    rows = F.array(F.struct(F.col("taker").alias("account"), d.alias("d")), F.struct((-F.col("maker") - 2).alias("account"), (-d).alias("d")))
+    return fills.select("market", *ORDER, "quote", F.inline(rows)).select("account", "market", *ORDER, "d", "quote")
+
+
+def open_interest_changes(fills: DataFrame) -> DataFrame:
+    """The change of open interest that each fill makes: that of |position| of its taker and of its maker."""
+    w = W.partitionBy("account", "market").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
+    rows = parties(fills).withColumn("after", F.sum("d").over(w))
+    return rows.groupBy("market", *ORDER).agg(F.sum(F.abs("after") - F.abs(F.col("after") - F.col("d"))).alias("change"))
 
 
-def spot_deltas(fills: DataFrame, multiplier: int = 1_000_000) -> DataFrame:
-    """Six signed balance rows a trade (taker, maker and fee account, in base and quote), summed by account and asset.
+def spot_deltas(fills: DataFrame, size_unit: int = 1_000_000, quote_unit: int = 1_000_000, maker_part: int = 4) -> DataFrame:
+    """Six signed balance rows a trade (buyer, seller and fee account, in base and quote), summed by account and asset.
 
-    The buyer pays the fee in base, the seller in quote, each as amount x (multiplier div 1e6) x rate div 1e6. Asset 0 is
-    quote, others are markets + 1. The sums over accounts are 0 for every asset.
+    Amounts are in the assets' own units, ``size_unit`` a lot and ``quote_unit`` a quote unit. The buyer pays its fee in base, the seller in quote: amount x (unit div 1e6) x
+    its rate, which is ``fee_rate`` for the taker and a part of it for the maker. Asset 0 is quote, others are markets + 1. The sums over accounts are 0 for every asset.
     """
-    unit = multiplier // 1_000_000
-    base, quote, rate, side = F.col("base"), F.col("quote"), F.col("fee_rate"), F.col("side")
-    fee = lambda amount: F.call_function("div", amount * unit * rate, F.lit(1_000_000).cast("long"))
-    base_fee, quote_fee = fee(base), fee(quote)
-    buyer, seller = F.when(side > 0, F.col("taker")).otherwise(-F.col("maker") - 2), F.when(side > 0, -F.col("maker") - 2).otherwise(F.col("taker"))
+    wide = lambda x: x.cast("decimal(38,0)")
+    buys = F.col("side") > 0
+    taker, maker = F.col("taker"), -F.col("maker") - 2
+    taker_rate, maker_rate = F.col("fee_rate"), F.call_function("div", F.col("fee_rate"), F.lit(maker_part).cast("long"))
+    buyer, seller = F.when(buys, taker).otherwise(maker), F.when(buys, maker).otherwise(taker)
+    base_fee = wide(wide(F.col("base") * (size_unit // 1_000_000)) * F.when(buys, taker_rate).otherwise(maker_rate))
+    quote_fee = wide(wide(F.col("quote") * (quote_unit // 1_000_000)) * F.when(buys, maker_rate).otherwise(taker_rate))
+    base, quote = wide(wide(F.col("base")) * size_unit), wide(wide(F.col("quote")) * quote_unit)
     asset, cash, house = F.col("market") + 1, F.lit(0).cast("long"), F.lit(-1).cast("long")
-    row = lambda account, what, amount: F.struct(account.alias("account"), what.alias("asset"), amount.alias("amount"))
+    row = lambda account, what, amount: F.struct(account.alias("account"), what.alias("asset"), wide(amount).alias("amount"))
     rows = F.array(row(buyer, asset, base - base_fee), row(buyer, cash, -quote), row(seller, asset, -base), row(seller, cash, quote - quote_fee), row(house, asset, base_fee), row(house, cash, quote_fee))
-    return fills.select(F.inline(rows)).groupBy("account", "asset").agg(F.sum("amount").alias("amount")).where("amount <> 0")
+    return fills.select(F.inline(rows)).groupBy("account", "asset").agg(wide(F.sum("amount")).alias("amount")).where("amount <> 0")
 
 
 def self_trades(fills: DataFrame) -> DataFrame:

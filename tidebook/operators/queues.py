@@ -1,4 +1,4 @@
-"""Bounded queues of an account or market as ordered folds: pending unlocks (first in, first out) and instructions (last in, first out)."""
+"""Bounded queues of an account as ordered folds: pending unlocks, first in, first out."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from .folds import ordered_fold
 
-UNLOCK_SLOTS, STACK_SLOTS, STACK_PUSHES = 8, 9, 6
+UNLOCK_SLOTS = 8
 
 
 def unlock_step(queue: list[tuple[int, int]], row: dict) -> tuple[list[tuple[int, int]], str, int]:
@@ -28,22 +28,3 @@ def pending_unlocks(requests: DataFrame) -> DataFrame:
         return queue, [(row["account"], row["seq"], outcome, amount, len(queue))]
 
     return ordered_fold(requests, ["account"], ["ts", "seq"], lambda k: [], step, lambda k, q: [], "account long, seq long, outcome string, amount long, queued long")
-
-
-def stack_step(stack: list[int], pushes: list[int]) -> tuple[list[int], str]:
-    """Stack and outcome after a step that pops one instruction, if there is any, and pushes others; too many reject the step."""
-    left = stack[:-1]
-    if len(pushes) > STACK_PUSHES or len(left) + len(pushes) > STACK_SLOTS:
-        return stack, "rejected"
-    return left + pushes, "applied"
-
-
-def instruction_stack(steps: DataFrame) -> DataFrame:
-    """Outcomes of steps ``(market, seq, pushes)`` by market: the instruction popped, and the stack's size after."""
-
-    def step(stack, row):
-        top = stack[-1] if stack else None
-        after, outcome = stack_step(stack, row["pushes"] or [])
-        return after, [(row["market"], row["seq"], top if outcome == "applied" else None, outcome, len(after))]
-
-    return ordered_fold(steps, ["market"], ["seq"], lambda k: [], step, lambda k, s: [], "market long, seq long, popped long, outcome string, size long")

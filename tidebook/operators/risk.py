@@ -1,7 +1,8 @@
-"""Margin, account value, health classes and what follows from them.
+"""Margin, account value, health and what follows from them, for cross, isolated and strategy-scoped positions.
 
-Positions have ``(account, market, position, cash, mark, brand)``; accounts ``(account, collateral)``. Account value is
-collateral plus the positions' profit in collateral units; requirements are notional x fraction x 100.
+Positions have ``(account, market, position, entry_quote, last_prefix, fraction, isolated, allocated, open_orders)``, markets
+``(market, mark, multiplier, status, default_fraction, least_fraction, maintenance, close_out, prefix, strategy)``, accounts
+``(account, account_type, collateral, open_orders)``. Collateral, margins and requirements are in 1e-6 of a quote unit. Sums are decimals of 38 digits.
 """
 
 from __future__ import annotations
@@ -12,10 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions import trunc_div
 from ..functions.wide import mul_div, product_at_most, zero_price, zero_quote
-from ..model.units import MARGIN_SCALE, UNIFIED
+from ..model.units import COLLATERAL_SCALE, FULL_LIQUIDATION, INSURANCE_FUND, MARGIN_SCALE, MAX_POSITION, PARTIAL_LIQUIDATION, UNIFIED
 
-FRACTIONS = (500, 300, 200)  # initial, maintenance, close-out, in 1e-4
 WIDE = "decimal(38,0)"
+REQUIREMENTS = ("im", "mm", "cm")
+STATE = ("funded", "tav", *REQUIREMENTS)
+
+
+def wide(x: Column | int) -> Column:
+    """As an integer of 38 digits."""
+    return (x if isinstance(x, Column) else F.lit(x)).cast(WIDE)
 
 
 def health(tav: Column, im: Column, mm: Column, cm: Column) -> Column:
@@ -29,68 +36,104 @@ def effective_fraction(own: Column, default: Column, least: Column) -> Column:
     return F.greatest(F.coalesce(F.when(own != 0, own), default), least)
 
 
-def funding_owed(position: Column, last_prefix: Column, market_prefix: Column, multiplier: int = 1) -> Column:
+def funding_owed(position: Column, last_prefix: Column, market_prefix: Column, multiplier: Column | int = 1) -> Column:
     """Funding since the position last settled."""
     return position * multiplier * (last_prefix - market_prefix)
 
 
-def position_margins(positions: DataFrame, markets: DataFrame, fractions: tuple[int, int, int] = FRACTIONS) -> DataFrame:
-    """Each position with its notional, profit and three requirements; markets of more than 45 lots pay double initial margin."""
+def position_terms(positions: DataFrame, markets: DataFrame) -> DataFrame:
+    """Each position with its notional (0 in expired markets), gain, funding and three requirements.
+
+    The gain of a long is its notional at the mark less the entry quote; of a short (and of none) the entry quote less the notional.
+    """
     joined = positions.join(markets, "market")
-    notional = F.abs("position") * F.col("mark")
-    own = F.when(F.col("lots") > 45, F.lit(fractions[0] * 2)).otherwise(F.lit(0))
-    first = effective_fraction(own, F.lit(fractions[0]), F.lit(fractions[1]))
-    out = joined.select("account", "market", "position", "mark", notional.alias("notional"), (F.col("position") * F.col("mark") + F.col("cash")).alias("pnl"), first.alias("fraction"))
-    dec = F.col("notional").cast(WIDE)
-    return out.withColumns({n: (dec * f * MARGIN_SCALE).cast(WIDE) for n, f in (("im", F.col("fraction")), ("mm", F.lit(fractions[1])), ("cm", F.lit(fractions[2])))})
+    marked = wide(F.abs("position")) * F.col("mark") * F.col("multiplier")
+    joined = joined.withColumn("marked", wide(marked))
+    notional = wide(F.col("marked") * F.col("status"))
+    gain = wide(F.when(F.col("position") > 0, F.col("marked") - F.col("entry_quote")).otherwise(F.col("entry_quote") - F.col("marked")))
+    owed = wide(funding_owed(wide(F.col("position")), F.col("last_prefix"), F.col("prefix"), F.col("multiplier")))
+    own = effective_fraction(F.col("fraction"), F.col("default_fraction"), F.col("least_fraction"))
+    out = joined.select("account", "market", "position", "isolated", "allocated", "open_orders", "strategy", "status", "mark", "maintenance", notional.alias("notional"), gain.alias("gain"), owed.alias("funding"), own.alias("im_fraction"), "close_out")
+    fractions = zip(REQUIREMENTS, ("im_fraction", "maintenance", "close_out"))
+    return out.withColumns({n: wide(F.col("notional") * F.col(f) * MARGIN_SCALE) for n, f in fractions})
+
+
+def cross_sums(terms: DataFrame, *keys: str) -> DataFrame:
+    """Gain, funding, requirements and number of the cross positions, by account (and other keys)."""
+    return terms.where("NOT isolated").groupBy(*keys).agg(*(wide(F.sum(c)).alias(c) for c in ("gain", "funding", *REQUIREMENTS)), F.count(F.when(F.col("position") != 0, 1)).alias("n_positions"))
+
+
+def _valued(rows: DataFrame, margin: Column) -> DataFrame:
+    """Adds ``funded`` (margin and funding), ``tav`` and ``health``."""
+    rows = rows.withColumn("funded", wide(wide(margin) + F.col("funding")))
+    rows = rows.withColumn("tav", wide(F.col("funded") + F.col("gain") * COLLATERAL_SCALE))
+    return rows.withColumn("health", health(*(F.col(c) for c in ("tav", *REQUIREMENTS))))
+
+
+def cross_risk(accounts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(account, account_type, open_orders, funded, tav, im, mm, cm, health)`` of every account over its cross positions."""
+    joined = accounts.join(cross_sums(terms, "account"), "account", "left").withColumns({c: F.coalesce(F.col(c), wide(0)) for c in ("gain", "funding", *REQUIREMENTS)})
+    return _valued(joined, F.col("collateral")).select("account", "account_type", "open_orders", *STATE, "health")
 
 
-def account_risk(accounts: DataFrame, margins: DataFrame) -> DataFrame:
-    """``(account, tav, im, mm, cm, health)`` of every account; those without positions have no requirement."""
-    sums = margins.groupBy("account").agg(F.sum(F.col("pnl").cast(WIDE)).cast(WIDE).alias("pnl"), *(F.sum(c).cast(WIDE).alias(c) for c in ("im", "mm", "cm")))
-    zero = F.lit(0).cast(WIDE)
-    joined = accounts.join(sums, "account", "left").withColumns({c: F.coalesce(F.col(c), zero) for c in ("pnl", "im", "mm", "cm")})
-    # collateral x 1e6 keeps the synthetic positions from dwarfing it
-    tav = (F.col("collateral").cast(WIDE) * 1_000_000 + F.col("pnl") * 10).cast(WIDE)
-    return joined.select("account", tav.alias("tav"), "im", "mm", "cm").withColumn("health", health(F.col("tav"), F.col("im"), F.col("mm"), F.col("cm")))
+def isolated_risk(terms: DataFrame) -> DataFrame:
+    """``(account, market, funded, tav, im, mm, cm, health)`` of every isolated position: its own margin, funding, gain and requirements."""
+    return _valued(terms.where("isolated"), F.col("allocated")).select("account", "market", *STATE, "health")
+
+
+def strategy_risk(funds: DataFrame, terms: DataFrame) -> DataFrame:
+    """Risk of insurance funds by strategy: ``(account, strategy, collateral)`` with the cross positions in that strategy's markets only."""
+    joined = funds.join(cross_sums(terms, "account", "strategy"), ["account", "strategy"], "left").withColumns({c: F.coalesce(F.col(c), wide(0)) for c in ("gain", "funding", *REQUIREMENTS)})
+    return _valued(joined, F.col("collateral")).select("account", "strategy", *STATE, "health")
+
+
+def position_risk(terms: DataFrame, cross: DataFrame) -> DataFrame:
+    """Each position with the risk that applies to it: its own if isolated, else its account's; and the open orders that count."""
+    own = _valued(terms.where("isolated"), F.col("allocated")).join(cross.select("account", "account_type"), "account")
+    both = terms.where("NOT isolated").drop(*REQUIREMENTS, "open_orders").join(cross, "account")
+    columns = ["account", "market", "position", "isolated", "status", "mark", "maintenance", "notional", "gain", "account_type", "open_orders", *STATE, "health"]
+    return own.select(columns).unionByName(both.select(columns))
 
 
 def available_collateral(risk: DataFrame) -> DataFrame:
-    """What healthy accounts can withdraw: account value above the initial requirement."""
-    free = F.when((F.col("tav") >= F.col("im")) & (F.col("tav") >= 0), (F.col("tav") - F.col("im")).cast(WIDE)).otherwise(F.lit(0).cast(WIDE))
+    """What healthy accounts can withdraw: account value above the initial requirement, at most the funded collateral; nothing if that is negative."""
+    free = F.when((F.col("tav") >= F.col("im")) & (F.col("funded") >= 0), F.least(wide(F.col("tav") - F.col("im")), F.col("funded"))).otherwise(wide(0))
     return risk.select("account", free.alias("available"))
 
 
-def liquidation_candidates(risk: DataFrame, margins: DataFrame) -> DataFrame:
-    """Positions of accounts in partial liquidation (health 2 or, for the ladder, worse), with notional, largest first per account."""
-    at_risk = risk.where("health >= 2").select("account", "health")
-    return margins.where("position <> 0").join(at_risk, "account").select("account", "market", "position", "notional", "health")
+def liquidations(rows: DataFrame) -> DataFrame:
+    """The orders that partial liquidation allows, of ``position_risk`` rows: active market, health exactly 2, no insurance fund.
+
+    The order is immediate and reduce-only, sells longs and buys shorts, at the zero price, up to the position's size.
+    """
+    ok = (F.col("status") == 1) & (F.col("health") == PARTIAL_LIQUIDATION) & (F.col("account_type") != INSURANCE_FUND) & (F.col("position") != 0) & (F.col("mm") != 0)
+    price = zero_price(F.col("mark"), F.col("mm"), F.col("tav"), F.signum("position").cast("long"), F.col("maintenance"))
+    return rows.where(ok).select("account", "market", (F.col("position") > 0).alias("is_ask"), F.abs("position").alias("base"), price.cast("long").alias("price"))
+
+
+def zero_prices(rows: DataFrame) -> DataFrame:
+    """Zero price and zero quote of the positions at health 2 or worse; exact wide integers in Arrow batches."""
+    rows = rows.where("position <> 0 AND health >= 2 AND mm <> 0")
+    side = F.signum("position").cast("long")
+    return rows.select("account", "market", zero_price(F.col("mark"), F.col("mm"), F.col("tav"), side, F.col("maintenance")).cast("long").alias("zero_price"), zero_quote(F.col("notional"), F.col("mm"), F.col("tav"), side, F.col("maintenance")).alias("zero_quote"))
 
 
-def deleverage_pairs(risk: DataFrame, margins: DataFrame) -> DataFrame:
-    """For each position of a bankrupt or fully liquidated account the best counterparty: opposite side, large enough, most profit (ties: smallest account).
+def deleverages(rows: DataFrame) -> DataFrame:
+    """Positions to be closed against a counterparty at their zero quote, with the best counterparty: opposite side, large enough, most gain (ties: smallest account).
 
+    To be closed: health 3 or 4, active market, no open orders unless an insurance fund. A counterparty is no insurance fund, and the quote must be over 0 and at most 2^56.
     Both kinds of rows are ordered by size within market and side, the largest first, and a running maximum over the counterparties
-    gives each weak position's best: one sort, and no pair is ever made.
+    gives each position's best: one sort, and no pair is ever made.
     """
-    rows = margins.join(risk.select("account", "health"), "account").where("position <> 0 AND (health >= 3 OR health <= 1)")
-    weak = F.col("health") >= 3
-    side = F.when(weak, -F.signum("position")).otherwise(F.signum("position"))
-    w = W.partitionBy("market", "side").orderBy(F.desc("size"), "weak").rowsBetween(W.unboundedPreceding, 0)
-    best = F.max(F.when(~F.col("weak"), F.struct("pnl", (-F.col("account")).alias("n")))).over(w)
-    out = rows.select("market", "account", "position", "pnl", weak.alias("weak"), side.alias("side"), F.abs("position").alias("size")).withColumn("b", best)
-    return out.where("weak AND b IS NOT NULL").select("market", "account", "position", (-F.col("b.n")).alias("counterparty"))
-
-
-def zero_prices(risk: DataFrame, margins: DataFrame, fraction: int = FRACTIONS[1]) -> DataFrame:
-    """Zero price and zero quote of the positions of accounts below maintenance; exact wide integers in Arrow batches."""
-    rows = margins.where("position <> 0").join(risk.where("health >= 2").select("account", "tav", F.col("mm").alias("all_mm")), "account")
-    side, f = F.signum("position").cast("long"), F.lit(fraction).cast("long")
-    return rows.select(
-        "account", "market",
-        zero_price(F.col("mark"), F.col("all_mm"), F.col("tav"), side, f).cast("long").alias("zero_price"),
-        zero_quote(F.col("notional"), F.col("all_mm"), F.col("tav"), side, f).alias("zero_quote"),
-    )
+    rows = rows.where("position <> 0 AND status = 1")
+    quote = zero_quote(F.col("notional"), F.col("mm"), F.col("tav"), F.signum("position").cast("long"), F.col("maintenance"))
+    weak = rows.where((F.col("health") >= FULL_LIQUIDATION) & ((F.col("open_orders") == 0) | (F.col("account_type") == INSURANCE_FUND)) & (F.col("mm") != 0))
+    weak = weak.select("market", "account", "position", (-F.signum("position")).alias("side"), F.lit(True).alias("weak"), "gain", quote.alias("quote")).where((F.col("quote") > 0) & (F.col("quote") <= MAX_POSITION + 1))
+    offers = rows.where(F.col("account_type") != INSURANCE_FUND).select("market", "account", "position", F.signum("position").alias("side"), F.lit(False).alias("weak"), "gain", wide(0).alias("quote"))
+    w = W.partitionBy("market", "side").orderBy(F.desc(F.abs("position")), "weak").rowsBetween(W.unboundedPreceding, 0)
+    best = F.max(F.when(~F.col("weak"), F.struct("gain", (-F.col("account")).alias("n")))).over(w)
+    out = weak.unionByName(offers).withColumn("b", best)
+    return out.where("weak AND b IS NOT NULL").select("market", "account", "position", "quote", (-F.col("b.n")).alias("counterparty"))
 
 
 def health_improved(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -105,19 +148,27 @@ def health_improved(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def share_values(holdings: DataFrame) -> DataFrame:
     """Value of pool shares: shares x 1000 in an empty pool, else shares x |TAV| div (total x 1e6); ``(pool, holder, shares, total, tav)``."""
-    value = F.when(F.col("total") == 0, (F.col("shares") * 1000).cast(WIDE)).otherwise(mul_div(F.col("shares"), F.abs("tav"), (F.col("total") * 1_000_000).cast(WIDE)))
+    value = F.when(F.col("total") == 0, wide(F.col("shares") * 1000)).otherwise(mul_div(F.col("shares"), F.abs("tav"), wide(F.col("total") * COLLATERAL_SCALE)))
     return holdings.select("pool", "holder", value.alias("value"))
 
 
-def isolated_value(allocated: Column, funding: Column, pnl: Column) -> Column:
-    """Account value of an isolated position."""
-    return allocated + funding + pnl * 1_000_000
+def exits(terms: DataFrame) -> DataFrame:
+    """What leaves expired markets: by account the funding, gain (x 1e6) and allocated margin of its positions there."""
+    delta = wide(F.col("funding") + F.col("gain") * COLLATERAL_SCALE + F.col("allocated"))
+    return terms.where("status = 0 AND position <> 0").groupBy("account").agg(wide(F.sum(delta)).alias("collateral"), F.sum(F.abs("position")).alias("lots"))
 
 
-def exits(positions: DataFrame, markets: DataFrame, expired: Column) -> DataFrame:
-    """Settlement of the positions of expired markets, summed by account, and the open interest that leaves."""
-    rows = positions.join(markets.where(expired), "market").where("position <> 0")
-    return rows.groupBy("account").agg(F.sum(F.col("position") * F.col("mark") + F.col("cash")).alias("settled"), F.sum(F.abs("position")).alias("lots"))
+def trade_gates(trades: DataFrame) -> DataFrame:
+    """Why a trade cancels its taker, if it does; ``(before, after, open_interest, new_open_interest, mark, multiplier, limit, fund)``.
+
+    Refused are, unless a fund takes part: trades that don't reduce while the open notional is over the limit, and trades that bring it over; and always those that break the 56-bit bounds.
+    """
+    reduces = (F.abs("after") < F.abs("before")) & (F.signum("after") != -F.signum("before"))
+    unit = F.col("mark") * F.col("multiplier")
+    old, new = F.col("open_interest") * unit, F.col("new_open_interest") * unit
+    full, over = (old > F.col("limit")) & ~reduces & ~F.col("fund"), (old <= F.col("limit")) & (new > F.col("limit")) & ~F.col("fund")
+    reason = F.when(F.greatest(F.abs("after"), F.col("new_open_interest"), new) > MAX_POSITION, "bounds").when(full, "full").when(over, "over").otherwise("passed")
+    return trades.withColumn("gate", reason)
 
 
 def halves(x: Column) -> Column:

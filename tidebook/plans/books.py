@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import book, folds, funding, orders
+from ..operators import book, funding, orders
 from ..sources.tables import fills, markets, resting_orders, samples, sql
 
 TARGET, INDEX = 20_000, 5_000
@@ -12,8 +12,9 @@ PRIORITY = "PARTITION BY market, is_ask ORDER BY CASE WHEN is_ask = 1 THEN price
 IMPACTS = f"""w AS (SELECT market, is_ask, price, base, coalesce(sum(base) OVER b, 0) AS b, coalesce(sum(base * price) OVER b, 0) AS q FROM book WINDOW b AS ({PRIORITY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 hit AS (SELECT market, is_ask, b + ({TARGET} - q + price - 1) // price AS lots, q + ({TARGET} - q + price - 1) // price * price AS quote FROM w WHERE q < {TARGET} AND q + base * price >= {TARGET}),
 impacts AS (SELECT s.market, s.is_ask, CAST(coalesce(CASE WHEN s.is_ask = 1 THEN (quote + lots - 1) // lots ELSE quote // lots END, 0) AS BIGINT) AS impact FROM (SELECT DISTINCT market, is_ask FROM book) s LEFT JOIN hit h ON s.market = h.market AND s.is_ask = h.is_ask)"""
-MINUTES = f"""last AS (SELECT market, ts // 60000 * 60000 AS minute, value AS v, row_number() OVER (PARTITION BY market, ts // 60000 ORDER BY ts DESC, event_id DESC) AS k FROM samples),
-minutes AS (SELECT market, minute, CAST(sign(v - {INDEX}) AS BIGINT) * (CASE WHEN v = 0 THEN 0 ELSE abs(v - {INDEX}) END * 1000000 // {INDEX}) AS premium FROM last WHERE k = 1)"""
+MINUTES = f"""last AS (SELECT market, ts // 60000 * 60000 AS minute, coalesce(nullif(coalesce(last(value ORDER BY ts, event_id) FILTER (WHERE event_id % 2 = 0), 0), 0), {INDEX}) AS bid, coalesce(nullif(coalesce(last(value ORDER BY ts, event_id) FILTER (WHERE event_id % 2 = 1), 0), 0), {INDEX}) AS ask FROM samples GROUP BY 1, 2),
+xs AS (SELECT market, minute, greatest(0, bid - {INDEX}) - greatest(0, {INDEX} - ask) AS x FROM last),
+minutes AS (SELECT market, minute, CAST(sign(x) AS BIGINT) * (abs(x) * 1000000 // {INDEX}) AS premium FROM xs)"""
 
 
 def _minutes(spark, d):
@@ -30,7 +31,7 @@ QUERIES = {
     "order_indices": lambda s, d: book.packed_indices(resting_orders(s, d)),
     "locked_balances": lambda s, d: book.locked_balances(resting_orders(s, d)),
     "book_crossings": lambda s, d: book.crossings(resting_orders(s, d)),
-    "order_size_checks": lambda s, d: book.size_checks(resting_orders(s, d), 2, 500, 40_000),
+    "order_size_checks": lambda s, d: book.size_checks(resting_orders(s, d).withColumns({"twap": F.col("nonce") % 9 == 0, "immediate": F.col("nonce") % 7 == 0}), 2, 500, 40_000),
     "position_tied_sizes": lambda s, d: fills(s, d).groupBy(F.col("taker").alias("account"), "market").agg(F.sum(F.col("side") * F.col("base")).alias("position")).join(markets(s, d), "market").select("account", "market", book.tied_size(F.col("position"), 2_000_000, F.col("mark")).alias("size")),
     "order_flags": lambda s, d: resting_orders(s, d).select("nonce", orders.reduces(F.col("account") - 700, F.col("is_ask")).alias("reduces"), orders.triggered(F.lit(450), F.col("price") * (F.col("nonce") % 3), F.col("is_ask"), F.col("nonce") % 2 == 0).alias("triggered"), orders.switched_off(F.col("account") % 5 * F.col("ts"), F.col("ts") * 2).alias("off")),
     "order_counters": lambda s, d: orders.counters(resting_orders(s, d).select("account", "market", F.when(F.col("nonce") % 4 == 0, -1).otherwise(1).cast("long").alias("change"), (F.col("nonce") % 3 == 0).alias("tied"))),
@@ -44,7 +45,6 @@ QUERIES = {
     "due_flags": lambda s, d: funding.due_flags(samples(s, d)),
     "hourly_ohlc": lambda s, d: funding.hourly_ohlc(samples(s, d)),
     "oracle_updates": lambda s, d: samples(s, d).select("event_id", funding.oracle_rule(F.col("value"), F.abs("value") % 7 * 1_000_000_000, F.abs("value") % 100_000_000).alias("taken")),
-    "matching_replay": lambda s, d: folds.matched(resting_orders(s, d).select("market", "ts", F.col("nonce").alias("id"), "account", "is_ask", (F.col("price") - F.col("is_ask") * 400).alias("price"), "base", (F.col("nonce") % 7 == 0).alias("immediate"), (F.col("nonce") % 11 == 0).alias("post_only"), F.when(F.col("nonce") % 5 == 0, F.col("ts") + 86_400_000 * 200).alias("expiry"))),
 }
 
 SQL = {
@@ -57,7 +57,7 @@ SQL = {
     "order_indices": sql("book", body="SELECT nonce, market * 281474976710656 + nonce AS order_index, market AS unpacked_market, nonce AS unpacked_nonce FROM book"),
     "locked_balances": sql("book", body="SELECT account, is_ask, CAST(sum(CASE WHEN is_ask = 1 THEN base * 10 ELSE base * price END) AS BIGINT) AS locked, count(*) AS n_orders FROM book GROUP BY 1, 2"),
     "book_crossings": sql("book", body="SELECT market, max(price) FILTER (WHERE is_ask = 0) AS bid, min(price) FILTER (WHERE is_ask = 1) AS ask, coalesce(max(price) FILTER (WHERE is_ask = 0) >= min(price) FILTER (WHERE is_ask = 1), false) AS crossed FROM book GROUP BY market"),
-    "order_size_checks": sql("book", body="SELECT market, CASE WHEN base * price > 40000 THEN 'over_limit' WHEN base < 2 OR base * price < 500 THEN 'too_small' ELSE 'ok' END AS rule, count(*) AS n FROM book GROUP BY 1, 2"),
+    "order_size_checks": sql("book", body="SELECT market, CASE WHEN base * price > 40000 THEN 'over_limit' WHEN (base < 2 OR base * price < 500) AND nonce % 9 <> 0 AND nonce % 7 <> 0 THEN 'too_small' ELSE 'ok' END AS rule, count(*) AS n FROM book GROUP BY 1, 2"),
     "position_tied_sizes": sql("fills", "markets", body="SELECT account, market, CAST(least(abs(position), 281474976710655, 2000000 // mark) AS BIGINT) AS size FROM (SELECT taker AS account, market, sum(side * base) AS position FROM fills GROUP BY 1, 2) JOIN markets USING (market)"),
     "order_flags": sql("book", body="SELECT nonce, CASE WHEN is_ask = 1 THEN account > 700 ELSE account < 700 END AS reduces, t = 0 OR CASE WHEN (is_ask = 1) = (nonce % 2 = 0) THEN 450 <= t ELSE 450 >= t END AS triggered, account % 5 * ts <> 0 AND account % 5 * ts <= ts * 2 AS off FROM (SELECT *, price * (nonce % 3) AS t FROM book)"),
     "order_counters": sql("book", body="SELECT account, market, CAST(sum(c) AS BIGINT) AS open_orders, CAST(sum(CASE WHEN nonce % 3 = 0 THEN c ELSE 0 END) AS BIGINT) AS tied_orders FROM (SELECT *, CASE WHEN nonce % 4 = 0 THEN -1 ELSE 1 END AS c FROM book) GROUP BY 1, 2"),

@@ -47,10 +47,10 @@ QUERIES = {
     "fifo_unlock_heads": lambda s, d: ledger.fifo_heads(_unlocks(s, d), NOW).fillna(0, ["head_ts", "head_amount"]),
     "delta_encoded_accounts": lambda s, d: ledger.delta_encoded(accounts(s, d), 128),
     "account_deltas": lambda s, d: ledger.account_deltas(positions.position_fold(fills(s, d).where(F.col("ok") % 2 == 0)), positions.position_fold(fills(s, d))),
-    "last_market_updates": lambda s, d: ledger.last_values(samples(s, d), "market", ["ts", "event_id"], ["ts", "value", "kind"]),
+    "last_market_updates": lambda s, d: ledger.last_values(samples(s, d), ["market"], ["ts", "event_id"], ["ts", "value", "kind"]),
     "account_nonce_gaps": lambda s, d: ledger.nonce_gaps(_log(s, d)),
-    "range_check_report": lambda s, d: ledger.rule_report(fills(s, d), {"base_6_bits": in_bits(F.col("base"), 5), "quote_23_bits": in_bits(F.col("quote"), 23), "fee_16_bits": in_bits(F.col("fee_rate"), 16), "own_account": F.col("taker") != F.col("maker")}),
-    "operator_least_shares": lambda s, d: ledger.share_prices(accounts(s, d).groupBy(F.col("nation").cast("long").alias("pool")).agg(F.max("collateral").alias("operator"), F.sum(F.abs("collateral")).alias("total")).withColumn("min_rate", F.lit(300).cast("long"))),
+    "range_check_report": lambda s, d: ledger.rule_report(fills(s, d), {"base_5_bits": in_bits(F.col("base"), 5), "quote_23_bits": in_bits(F.col("quote"), 23), "fee_16_bits": in_bits(F.col("fee_rate"), 16), "own_account": F.col("taker") != F.col("maker")}),
+    "operator_least_shares": lambda s, d: accounts(s, d).groupBy(F.col("nation").cast("long").alias("pool")).agg(F.max("collateral").alias("operator"), F.sum(F.abs("collateral")).alias("total")).withColumn("min_rate", F.lit(300).cast("long")).withColumn("enough", pools.holds_least(F.col("operator"), F.col("total"), F.col("min_rate"))),
 }
 
 SQL = {
@@ -72,6 +72,6 @@ SELECT CASE WHEN amount <= 0 THEN 'violation' WHEN amount <= available THEN 'app
     "account_deltas": sql("fills", body="SELECT taker AS account, market, CAST(sum(side * base) AS BIGINT) AS delta FROM fills WHERE ok % 2 <> 0 GROUP BY 1, 2 HAVING sum(side * base) <> 0"),
     "last_market_updates": sql("samples", body="SELECT market, ts, value, kind FROM samples QUALIFY row_number() OVER (PARTITION BY market ORDER BY ts DESC, event_id DESC) = 1"),
     "account_nonce_gaps": sql("samples", body=f", {LOG} SELECT account, count(*) AS n, min(seq) AS low, max(seq) AS high, max(seq) - min(seq) + 1 - count(*) AS missing FROM log GROUP BY account"),
-    "range_check_report": sql("fills", body="""SELECT rule, count(*) AS violations FROM (SELECT unnest([CASE WHEN base > 31 THEN 'base_6_bits' END, CASE WHEN quote > 8388607 THEN 'quote_23_bits' END, CASE WHEN fee_rate > 65535 THEN 'fee_16_bits' END, CASE WHEN taker = maker THEN 'own_account' END]) AS rule FROM fills) WHERE rule IS NOT NULL GROUP BY rule"""),
+    "range_check_report": sql("fills", body="""SELECT rule, count(*) AS violations FROM (SELECT unnest([CASE WHEN base > 31 THEN 'base_5_bits' END, CASE WHEN quote > 8388607 THEN 'quote_23_bits' END, CASE WHEN fee_rate > 65535 THEN 'fee_16_bits' END, CASE WHEN taker = maker THEN 'own_account' END]) AS rule FROM fills) WHERE rule IS NOT NULL GROUP BY rule"""),
     "operator_least_shares": sql("accounts", body="SELECT pool, operator, total, min_rate, operator * 10000 >= total * min_rate AS enough FROM (SELECT CAST(nation AS BIGINT) AS pool, max(collateral) AS operator, CAST(sum(abs(collateral)) AS BIGINT) AS total, CAST(300 AS BIGINT) AS min_rate FROM accounts GROUP BY 1)"),
 }

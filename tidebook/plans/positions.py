@@ -4,103 +4,142 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..model.units import INSURANCE_FUND
 from ..operators import folds, positions, risk
-from ..sources.tables import accounts, fills, markets, sql
+from ..sources.tables import accounts, fills, margin_accounts, margin_positions, perps, sql
 
 POSITIONS = """positions AS (SELECT taker AS account, market, CAST(sum(side * base) AS BIGINT) AS position, CAST(sum(-side * quote) AS BIGINT) AS cash FROM fills GROUP BY ALL)"""
-MARGINS = """margins AS (SELECT account, market, position, mark, lots, brand, abs(position) * mark AS notional, position * mark + cash AS pnl,
- greatest(CASE WHEN lots > 45 THEN 1000 ELSE 500 END, 300) AS fraction FROM positions JOIN markets USING (market))"""
-RISK = """sums AS (SELECT account, sum(CAST(pnl AS HUGEINT)) AS pnl, sum(CAST(notional AS HUGEINT) * fraction * 100) AS im, sum(CAST(notional AS HUGEINT) * 30000) AS mm, sum(CAST(notional AS HUGEINT) * 20000) AS cm FROM margins GROUP BY account),
-flat AS (SELECT account, CAST(collateral AS HUGEINT) * 1000000 + coalesce(pnl, 0) * 10 AS tav, coalesce(im, 0) AS im, coalesce(mm, 0) AS mm, coalesce(cm, 0) AS cm FROM accounts LEFT JOIN sums USING (account)),
-risk AS (SELECT account, CAST(tav AS BIGINT) AS tav, CAST(im AS BIGINT) AS im, CAST(mm AS BIGINT) AS mm, CAST(cm AS BIGINT) AS cm,
- CAST(CASE WHEN tav < 0 THEN 4 ELSE CAST(im > tav AS INTEGER) + CAST(mm > tav AS INTEGER) + CAST(cm > tav AS INTEGER) END AS INTEGER) AS health FROM flat)"""
+HEALTH = "CAST(CASE WHEN tav < 0 THEN 4 ELSE CAST(im > tav AS INTEGER) + CAST(mm > tav AS INTEGER) + CAST(cm > tav AS INTEGER) END AS INTEGER) AS health"
+TERMS = """t0 AS (SELECT h.*, mark, status, strategy, CAST(abs(position) AS HUGEINT) * mark AS marked, CAST(position AS HUGEINT) * (last_prefix - prefix) AS funding,
+ greatest(CASE WHEN fraction <> 0 THEN fraction ELSE 500 END, least_fraction) AS f FROM held h JOIN perps USING (market)),
+terms AS (SELECT *, marked * status AS notional, CASE WHEN position > 0 THEN marked - entry_quote ELSE entry_quote - marked END AS gain, marked * status * f * 100 AS im, marked * status * 30000 AS mm, marked * status * 20000 AS cm FROM t0)"""
+CROSS = f"""sums AS (SELECT account, sum(gain) AS gain, sum(funding) AS funding, sum(im) AS im, sum(mm) AS mm, sum(cm) AS cm, count(*) FILTER (WHERE position <> 0) AS n_positions FROM terms WHERE NOT isolated GROUP BY account),
+valued AS (SELECT o.*, collateral + coalesce(funding, 0) AS funded, collateral + coalesce(funding, 0) + coalesce(gain, 0) * 1000000 AS tav, coalesce(im, 0) AS im, coalesce(mm, 0) AS mm, coalesce(cm, 0) AS cm FROM owners o LEFT JOIN sums USING (account)),
+risk AS (SELECT *, {HEALTH} FROM valued)"""
+ISOLATED = f"lone AS (SELECT *, {HEALTH} FROM (SELECT *, allocated + funding AS funded, allocated + funding + gain * 1000000 AS tav FROM terms WHERE isolated))"
+APPLIED = f"""{ISOLATED},
+applied AS (SELECT l.account, market, position, isolated, status, mark, notional, gain, account_type, l.open_orders, tav, l.im, l.mm, l.cm, l.health FROM lone l JOIN (SELECT account, account_type FROM owners) USING (account)
+ UNION ALL SELECT t.account, market, position, isolated, status, mark, notional, gain, account_type, r.open_orders, tav, r.im, r.mm, r.cm, r.health FROM terms t JOIN risk r USING (account) WHERE NOT isolated)"""
+ZERO = """x AS (SELECT *, CAST(sign(position) AS HUGEINT) AS s FROM applied WHERE position <> 0 AND health >= 2 AND mm <> 0),
+y AS (SELECT *, CAST(mark AS HUGEINT) * mm * 10000 - tav * s * mark * 300 AS p, notional * mm * 10000 - notional * 300 * tav * s AS q, mm * 10000 AS d FROM x),
+z AS (SELECT *, CASE WHEN p >= 0 THEN p // d ELSE -((-p + d - 1) // d) END AS down, CASE WHEN p >= 0 THEN (p + d - 1) // d ELSE -((-p) // d) END AS up FROM y),
+zero AS (SELECT *, CAST(least(greatest(CASE WHEN s > 0 THEN up ELSE down END, 1), 4294967295) AS BIGINT) AS zero_price, sign(q) * CASE WHEN sign(q) = s THEN (abs(q) + d - 1) // d ELSE abs(q) // d END AS zero_quote FROM z)"""
+WIDE_STATE = "CAST(funded AS VARCHAR) AS funded, CAST(tav AS VARCHAR) AS tav, CAST(im AS VARCHAR) AS im, CAST(mm AS VARCHAR) AS mm, CAST(cm AS VARCHAR) AS cm, health"
 
 
-def _margins(spark, d):
-    return risk.position_margins(positions.position_fold(fills(spark, d)), markets(spark, d))
+def _terms(spark, d):
+    return risk.position_terms(margin_positions(fills(spark, d)), perps(spark, d))
 
 
-def _risk(spark, d):
-    return risk.account_risk(accounts(spark, d), _margins(spark, d))
+def _cross(spark, d, terms=None):
+    return risk.cross_risk(margin_accounts(spark, d), _terms(spark, d) if terms is None else terms)
+
+
+def _applied(spark, d):
+    terms = _terms(spark, d)
+    return risk.position_risk(terms, _cross(spark, d, terms))
 
 
 def _health_changes(spark, d):
-    early = risk.position_margins(positions.position_fold(fills(spark, d).where(F.col("ok") % 2 == 0)), markets(spark, d))
-    return risk.health_improved(risk.account_risk(accounts(spark, d), early), _risk(spark, d))
+    early = risk.position_terms(margin_positions(fills(spark, d).where(F.col("ok") % 2 == 0)), perps(spark, d))
+    return risk.health_improved(_cross(spark, d, early), _cross(spark, d))
+
+
+def _strategies(spark, d):
+    funds = margin_accounts(spark, d).where(F.col("account_type") == INSURANCE_FUND)
+    return risk.strategy_risk(funds.select("account", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("strategy"), "collateral"), _terms(spark, d))
+
+
+def _gates(spark, d):
+    trades = fills(spark, d).join(perps(spark, d).select(F.col("market"), "mark", "multiplier"), "market")
+    signed = F.col("side") * F.col("base")
+    return risk.trade_gates(trades.select("ok", "ln", (F.col("taker") % 21 - 10).alias("before"), (F.col("taker") % 21 - 10 + signed).alias("after"), (F.col("market") % 50).alias("open_interest"), (F.col("market") % 50 + signed).alias("new_open_interest"), "mark", "multiplier", F.lit(4_000_000).cast("long").alias("limit"), (F.col("taker") % 40 == 0).alias("fund"))).select("ok", "ln", "gate")
 
 
 def _risk_sql(body: str) -> str:
-    return sql("fills", "markets", "accounts", body=f", {POSITIONS}, {MARGINS}, {RISK}\n{body}")
+    return sql("fills", "perps", "owners", "held", body=f", {TERMS}, {CROSS}\n{body}")
 
 
-def _long(query):
-    """The query with its wide integers as bigints, which hold them at the tables' sizes; the operators keep 38 digits."""
-    return lambda s, d: (df := query(s, d)).select(*(F.col(c).cast("long").alias(c) if t.startswith("decimal") else c for c, t in df.dtypes))
+def _exact(query):
+    """The query with its wide integers as text: exact at any size, where the SQL client would make doubles of them."""
+    return lambda s, d: (df := query(s, d)).select(*(F.col(c).cast("string").alias(c) if t.startswith("decimal") else c for c, t in df.dtypes))
 
 
 QUERIES = {
-    "account_health": _risk,
+    "account_health": lambda s, d: _cross(s, d).drop("account_type", "open_orders"),
     "position_fold": lambda s, d: positions.position_fold(fills(s, d)),
     "running_position": lambda s, d: positions.running_position(fills(s, d)),
     "fees_by_account": lambda s, d: positions.fees_by_account(fills(s, d)),
     "fee_flows": lambda s, d: positions.fee_flows(fills(s, d)),
-    "marked_positions": lambda s, d: positions.marked_positions(positions.position_fold(fills(s, d)), markets(s, d)),
+    "marked_positions": lambda s, d: _terms(s, d).select("account", "market", "position", "isolated", "strategy", "notional", "gain", "funding", "im", "mm", "cm"),
     "open_interest": lambda s, d: positions.open_interest(fills(s, d)),
     "open_interest_changes": lambda s, d: positions.open_interest_changes(fills(s, d)),
     "spot_balance_deltas": lambda s, d: positions.spot_deltas(fills(s, d)),
     "self_trades": lambda s, d: positions.self_trades(fills(s, d)),
     "position_signs": lambda s, d: positions.signs(fills(s, d)),
-    "margin_requirements": lambda s, d: _margins(s, d).groupBy("account").agg(*(F.sum(c).cast("decimal(38,0)").alias(c) for c in ("im", "mm", "cm")), F.count(F.when(F.col("position") != 0, 1)).alias("n_positions")),
-    "health_classes": lambda s, d: _risk(s, d).groupBy("health").agg(F.count("*").alias("accounts"), F.sum("tav").cast("decimal(38,0)").alias("tav")),
-    "available_collateral": lambda s, d: risk.available_collateral(_risk(s, d)),
-    "liquidation_candidates": lambda s, d: risk.liquidation_candidates(_risk(s, d), _margins(s, d)),
-    "deleverage_pairs": lambda s, d: risk.deleverage_pairs(_risk(s, d), _margins(s, d)),
-    "zero_prices": lambda s, d: risk.zero_prices(_risk(s, d), _margins(s, d)),
+    "margin_requirements": lambda s, d: risk.cross_sums(_terms(s, d), "account").select("account", "im", "mm", "cm", "n_positions"),
+    "cross_position_sums": lambda s, d: risk.cross_sums(_terms(s, d), "account").select("account", "gain", "funding"),
+    "isolated_health": lambda s, d: risk.isolated_risk(_terms(s, d)),
+    "strategy_health": _strategies,
+    "trade_gates": _gates,
+    "health_classes": lambda s, d: _cross(s, d).groupBy("health").agg(F.count("*").alias("accounts"), F.sum("tav").cast("decimal(38,0)").alias("tav")),
+    "available_collateral": lambda s, d: risk.available_collateral(_cross(s, d)),
+    "liquidation_candidates": lambda s, d: risk.liquidations(_applied(s, d)),
+    "deleverage_pairs": lambda s, d: risk.deleverages(_applied(s, d)),
+    "zero_prices": lambda s, d: risk.zero_prices(_applied(s, d)),
     "health_changes": _health_changes,
     "balances_by_mode": lambda s, d: risk.asset_balances(accounts(s, d).select("account", (F.col("nation") % 2).alias("mode"), (F.col("nation") % 3 == 0).alias("is_margin_asset"), "collateral", (F.col("account") * 10).alias("balance"), (F.col("account") % 100 * 5_000).alias("locked"))),
-    "expired_market_exits": lambda s, d: risk.exits(positions.position_fold(fills(s, d)), markets(s, d), F.col("lots") <= 5),
+    "expired_market_exits": lambda s, d: risk.exits(_terms(s, d)),
     "pool_share_values": lambda s, d: risk.share_values(accounts(s, d).select(F.col("nation").cast("long").alias("pool"), F.col("account").alias("holder"), (F.col("account") % 97 + 1).alias("shares"), F.when(F.col("nation") == 3, 0).otherwise(100_000).cast("long").alias("total"), F.col("collateral").alias("tav"))),
     "entry_quotes": lambda s, d: folds.entry_quotes(fills(s, d)),
 }
-QUERIES = {name: _long(query) for name, query in QUERIES.items()}
+QUERIES = {name: _exact(query) for name, query in QUERIES.items()}
 
 SQL = {
-    "account_health": _risk_sql("SELECT account, tav, im, mm, cm, health FROM risk"),
+    "account_health": _risk_sql(f"SELECT account, {WIDE_STATE} FROM risk"),
     "position_fold": sql("fills", body=f", {POSITIONS} SELECT * FROM positions"),
     "running_position": sql("fills", body="SELECT taker AS account, market, ts, ok, ln, CAST(sum(side * base) OVER (PARTITION BY taker, market ORDER BY ts, ok, ln ROWS UNBOUNDED PRECEDING) AS BIGINT) AS position FROM fills"),
-    "fees_by_account": sql("fills", body="SELECT taker AS account, CAST(sum(CAST(quote AS HUGEINT) * fee_rate) AS BIGINT) AS fee FROM fills GROUP BY 1"),
+    "fees_by_account": sql("fills", body="SELECT taker AS account, CAST(sum(CAST(quote AS HUGEINT) * fee_rate) AS VARCHAR) AS fee FROM fills GROUP BY 1"),
     "fee_flows": sql("fills", body=""", rows AS (SELECT taker AS account, -quote * fee_rate AS amount FROM fills UNION ALL SELECT -maker - 2, -quote * (fee_rate // 4) FROM fills UNION ALL SELECT -1, quote * fee_rate + quote * (fee_rate // 4) FROM fills)
-SELECT CAST(account AS BIGINT) AS account, CAST(sum(CAST(amount AS HUGEINT)) AS BIGINT) AS amount FROM rows GROUP BY 1"""),
-    "marked_positions": sql("fills", "markets", body=f", {POSITIONS}, {MARGINS} SELECT account, market, brand, position, notional, mark, pnl, pnl - position * mark AS cash FROM margins"),
+SELECT CAST(account AS BIGINT) AS account, CAST(sum(CAST(amount AS HUGEINT)) AS VARCHAR) AS amount FROM rows GROUP BY 1"""),
+    "marked_positions": _risk_sql("SELECT account, market, position, isolated, strategy, CAST(notional AS VARCHAR) AS notional, CAST(gain AS VARCHAR) AS gain, CAST(funding AS VARCHAR) AS funding, CAST(im AS VARCHAR) AS im, CAST(mm AS VARCHAR) AS mm, CAST(cm AS VARCHAR) AS cm FROM terms"),
     "open_interest": sql("fills", body=""", net AS (SELECT market, party, sum(d) AS p FROM (SELECT market, taker AS party, side * base AS d FROM fills UNION ALL SELECT market, -maker - 2, -side * base FROM fills) GROUP BY ALL)
 SELECT market, CAST(sum(abs(p)) // 2 AS BIGINT) AS open_interest, CAST(sum(greatest(p, 0)) AS BIGINT) AS longs, count(*) FILTER (WHERE p <> 0) AS parties FROM net GROUP BY market"""),
-    "open_interest_changes": sql("fills", body=""", w AS (SELECT taker AS account, market, ts, ok, ln, side * base AS d, sum(side * base) OVER (PARTITION BY taker, market ORDER BY ts, ok, ln ROWS UNBOUNDED PRECEDING) AS after FROM fills)
-SELECT account, market, ts, ok, ln, CAST(abs(after) - abs(after - d) AS BIGINT) AS change FROM w"""),
-    "spot_balance_deltas": sql("fills", body=""", f AS (SELECT *, base * fee_rate // 1000000 AS bf, quote * fee_rate // 1000000 AS qf, CASE WHEN side > 0 THEN taker ELSE -maker - 2 END AS buyer, CASE WHEN side > 0 THEN -maker - 2 ELSE taker END AS seller FROM fills),
-rows AS (SELECT buyer AS account, market + 1 AS asset, base - bf AS amount FROM f UNION ALL SELECT buyer, 0, -quote FROM f UNION ALL SELECT seller, market + 1, -base FROM f UNION ALL SELECT seller, 0, quote - qf FROM f UNION ALL SELECT -1, market + 1, bf FROM f UNION ALL SELECT -1, 0, qf FROM f)
-SELECT CAST(account AS BIGINT) AS account, CAST(asset AS BIGINT) AS asset, CAST(sum(amount) AS BIGINT) AS amount FROM rows GROUP BY 1, 2 HAVING sum(amount) <> 0"""),
+    "open_interest_changes": sql("fills", body=""", p AS (SELECT taker AS account, market, ts, ok, ln, side * base AS d FROM fills UNION ALL SELECT -maker - 2, market, ts, ok, ln, -side * base FROM fills),
+w AS (SELECT *, sum(d) OVER (PARTITION BY account, market ORDER BY ts, ok, ln ROWS UNBOUNDED PRECEDING) AS after FROM p)
+SELECT market, ts, ok, ln, CAST(sum(abs(after) - abs(after - d)) AS BIGINT) AS change FROM w GROUP BY 1, 2, 3, 4"""),
+    "spot_balance_deltas": sql("fills", body=""", f AS (SELECT *, CAST(base AS HUGEINT) * CASE WHEN side > 0 THEN fee_rate ELSE fee_rate // 4 END AS bf, CAST(quote AS HUGEINT) * CASE WHEN side > 0 THEN fee_rate // 4 ELSE fee_rate END AS qf, CASE WHEN side > 0 THEN taker ELSE -maker - 2 END AS buyer, CASE WHEN side > 0 THEN -maker - 2 ELSE taker END AS seller FROM fills),
+rows AS (SELECT buyer AS account, market + 1 AS asset, base * 1000000 - bf AS amount FROM f UNION ALL SELECT buyer, 0, -quote * 1000000 FROM f UNION ALL SELECT seller, market + 1, -base * 1000000 FROM f UNION ALL SELECT seller, 0, quote * 1000000 - qf FROM f UNION ALL SELECT -1, market + 1, bf FROM f UNION ALL SELECT -1, 0, qf FROM f)
+SELECT CAST(account AS BIGINT) AS account, CAST(asset AS BIGINT) AS asset, CAST(sum(amount) AS VARCHAR) AS amount FROM rows GROUP BY 1, 2 HAVING sum(amount) <> 0"""),
     "self_trades": sql("fills", body="SELECT taker, market, ts, ok, ln, base FROM fills WHERE taker = maker"),
     "position_signs": sql("fills", body=f", {POSITIONS} SELECT market, count(*) FILTER (WHERE position > 0) AS longs, count(*) FILTER (WHERE position < 0) AS shorts, count(*) FILTER (WHERE position = 0) AS flats FROM positions GROUP BY market"),
-    "margin_requirements": _risk_sql("SELECT account, CAST(sum(CAST(notional AS HUGEINT) * fraction * 100) AS BIGINT) AS im, CAST(sum(CAST(notional AS HUGEINT) * 30000) AS BIGINT) AS mm, CAST(sum(CAST(notional AS HUGEINT) * 20000) AS BIGINT) AS cm, count(*) FILTER (WHERE position <> 0) AS n_positions FROM margins GROUP BY account"),
-    "health_classes": _risk_sql("SELECT health, count(*) AS accounts, CAST(sum(tav) AS BIGINT) AS tav FROM risk GROUP BY health"),
-    "available_collateral": _risk_sql("SELECT account, CAST(CASE WHEN tav >= im AND tav >= 0 THEN tav - im ELSE 0 END AS BIGINT) AS available FROM risk"),
-    "liquidation_candidates": _risk_sql("SELECT account, market, position, notional, health FROM margins JOIN risk USING (account) WHERE health >= 2 AND position <> 0"),
-    "deleverage_pairs": _risk_sql(""", rows AS (SELECT m.*, health FROM margins m JOIN risk USING (account) WHERE position <> 0)
-SELECT market, account, position, counterparty FROM (SELECT w.market, w.account, w.position, s.account AS counterparty, row_number() OVER (PARTITION BY w.market, w.account ORDER BY s.pnl DESC, s.account) AS k
-FROM rows w JOIN rows s ON w.market = s.market AND w.health >= 3 AND s.health <= 1 AND (w.position > 0) <> (s.position > 0) AND abs(s.position) >= abs(w.position)) WHERE k = 1"""),
-    "zero_prices": _risk_sql(""", x AS (SELECT account, market, CAST(mark AS HUGEINT) AS mark, CAST(notional AS HUGEINT) AS n, CAST(mm AS HUGEINT) AS mm, CAST(tav AS HUGEINT) AS tav, CAST(sign(position) AS HUGEINT) AS s FROM margins JOIN risk USING (account) WHERE health >= 2 AND position <> 0),
-y AS (SELECT *, mark * mm * 10000 - tav * s * mark * 300 AS p, n * mm * 10000 - n * 300 * tav * s AS q, mm * 10000 AS d FROM x),
-z AS (SELECT *, CASE WHEN p >= 0 THEN p // d ELSE -((-p + d - 1) // d) END AS down, CASE WHEN p >= 0 THEN (p + d - 1) // d ELSE -((-p) // d) END AS up FROM y)
-SELECT account, market, CAST(least(greatest(CASE WHEN s > 0 THEN up ELSE down END, 1), 4294967295) AS BIGINT) AS zero_price,
- CAST(sign(q) * CASE WHEN sign(q) = s THEN (abs(q) + d - 1) // d ELSE abs(q) // d END AS BIGINT) AS zero_quote FROM z"""),
-    "health_changes": _risk_sql(""", before AS (SELECT taker AS account, market, sum(side * base) AS position, sum(-side * quote) AS cash FROM fills WHERE ok % 2 = 0 GROUP BY ALL),
-bs AS (SELECT account, sum(CAST(position * mark + cash AS HUGEINT)) AS pnl, sum(CAST(abs(position) * mark AS HUGEINT) * greatest(CASE WHEN lots > 45 THEN 1000 ELSE 500 END, 300) * 100) AS im, sum(CAST(abs(position) * mark AS HUGEINT) * 30000) AS mm FROM before JOIN markets USING (market) GROUP BY account),
-x AS (SELECT a.account, CAST(a.collateral AS HUGEINT) * 1000000 + coalesce(bs.pnl, 0) * 10 AS t1, coalesce(bs.im, 0) AS i1, coalesce(bs.mm, 0) AS m1, f.tav AS t2, f.im AS i2, f.mm AS m2 FROM accounts a LEFT JOIN bs USING (account) JOIN flat f USING (account))
+    "margin_requirements": _risk_sql("SELECT account, CAST(im AS VARCHAR) AS im, CAST(mm AS VARCHAR) AS mm, CAST(cm AS VARCHAR) AS cm, n_positions FROM sums"),
+    "cross_position_sums": _risk_sql("SELECT account, CAST(gain AS VARCHAR) AS gain, CAST(funding AS VARCHAR) AS funding FROM sums"),
+    "isolated_health": _risk_sql(f", {ISOLATED} SELECT account, market, {WIDE_STATE} FROM lone"),
+    "strategy_health": _risk_sql(f""", ss AS (SELECT account, strategy, sum(gain) AS gain, sum(funding) AS funding, sum(im) AS im, sum(mm) AS mm, sum(cm) AS cm FROM terms WHERE NOT isolated GROUP BY 1, 2),
+funds AS (SELECT account, collateral, CAST(unnest(range(0, 4)) AS BIGINT) AS strategy FROM owners WHERE account_type = 3),
+sv AS (SELECT account, strategy, collateral + coalesce(funding, 0) AS funded, collateral + coalesce(funding, 0) + coalesce(gain, 0) * 1000000 AS tav, coalesce(im, 0) AS im, coalesce(mm, 0) AS mm, coalesce(cm, 0) AS cm FROM funds LEFT JOIN ss USING (account, strategy)),
+sr AS (SELECT *, {HEALTH} FROM sv) SELECT account, strategy, {WIDE_STATE} FROM sr"""),
+    "trade_gates": sql("fills", "perps", body=""", t AS (SELECT ok, ln, taker % 21 - 10 AS b, taker % 21 - 10 + side * base AS a, market % 50 * mark AS o, (market % 50 + side * base) * mark AS n, market % 50 + side * base AS oi, taker % 40 = 0 AS fund FROM fills JOIN perps USING (market))
+SELECT ok, ln, CASE WHEN greatest(abs(a), oi, n) > 72057594037927935 THEN 'bounds' WHEN o > 4000000 AND NOT (abs(a) < abs(b) AND sign(a) <> -sign(b)) AND NOT fund THEN 'full' WHEN o <= 4000000 AND n > 4000000 AND NOT fund THEN 'over' ELSE 'passed' END AS gate FROM t"""),
+    "health_classes": _risk_sql("SELECT health, count(*) AS accounts, CAST(sum(tav) AS VARCHAR) AS tav FROM risk GROUP BY health"),
+    "available_collateral": _risk_sql("SELECT account, CAST(CASE WHEN tav >= im AND funded >= 0 THEN least(tav - im, funded) ELSE 0 END AS VARCHAR) AS available FROM risk"),
+    "liquidation_candidates": _risk_sql(f", {APPLIED}, {ZERO} SELECT account, market, position > 0 AS is_ask, abs(position) AS base, zero_price AS price FROM zero WHERE status = 1 AND health = 2 AND account_type <> 3"),
+    "deleverage_pairs": _risk_sql(f""", {APPLIED}, {ZERO},
+weak AS (SELECT * FROM zero WHERE status = 1 AND health >= 3 AND (open_orders = 0 OR account_type = 3) AND zero_quote > 0 AND zero_quote <= 72057594037927936)
+SELECT market, account, position, CAST(quote AS VARCHAR) AS quote, counterparty FROM (SELECT w.market, w.account, w.position, w.zero_quote AS quote, a.account AS counterparty, row_number() OVER (PARTITION BY w.market, w.account ORDER BY a.gain DESC, a.account) AS k
+FROM weak w JOIN applied a ON w.market = a.market AND a.status = 1 AND a.account_type <> 3 AND a.position <> 0 AND (w.position > 0) <> (a.position > 0) AND abs(a.position) >= abs(w.position)) WHERE k = 1"""),
+    "zero_prices": _risk_sql(f", {APPLIED}, {ZERO} SELECT account, market, zero_price, CAST(zero_quote AS VARCHAR) AS zero_quote FROM zero"),
+    "health_changes": _risk_sql(""", early AS (SELECT account, market, position, CASE WHEN position = 0 THEN 0 ELSE net END AS entry_quote FROM (SELECT taker AS account, market, CAST(sum(side * base) AS BIGINT) AS position, CAST(abs(sum(side * quote)) AS BIGINT) AS net FROM fills WHERE ok % 2 = 0 GROUP BY 1, 2)),
+e0 AS (SELECT account, CAST(abs(position) AS HUGEINT) * mark AS marked, entry_quote, position, status, CAST(position AS HUGEINT) * ((account % 201 - 100) * 1000000 - prefix) AS funding, greatest(CASE WHEN account % 3 = 0 THEN 800 ELSE 500 END, least_fraction) AS f FROM early JOIN perps USING (market) WHERE (account + market) % 4 <> 0),
+e1 AS (SELECT account, sum(CASE WHEN position > 0 THEN marked - entry_quote ELSE entry_quote - marked END) * 1000000 + sum(funding) AS v, sum(marked * status * f * 100) AS im, sum(marked * status * 30000) AS mm FROM e0 GROUP BY account),
+x AS (SELECT r.account, r.collateral + coalesce(v, 0) AS t1, coalesce(e1.im, 0) AS i1, coalesce(e1.mm, 0) AS m1, r.tav AS t2, r.im AS i2, r.mm AS m2 FROM risk r LEFT JOIN e1 USING (account))
 SELECT account, t1 * m2 <= t2 * m1 AS improved, (t2 >= i2 OR t1 * m2 <= t2 * m1) AND (NOT t1 >= i1 OR t2 >= i2) AS valid_change FROM x"""),
     "balances_by_mode": sql("accounts", body="""SELECT account, CAST(CASE WHEN nation % 2 = 1 AND nation % 3 = 0 THEN greatest(collateral - account % 100 * 5000, 0) ELSE greatest(account * 10 - account % 100 * 5000, 0) END AS BIGINT) AS available FROM accounts"""),
-    "expired_market_exits": sql("fills", "markets", body=f", {POSITIONS} SELECT account, CAST(sum(position * mark + cash) AS BIGINT) AS settled, CAST(sum(abs(position)) AS BIGINT) AS lots FROM positions JOIN markets USING (market) WHERE lots <= 5 AND position <> 0 GROUP BY account"),
-    "pool_share_values": sql("accounts", body="""SELECT CAST(nation AS BIGINT) AS pool, account AS holder, CAST(CASE WHEN nation = 3 THEN (account % 97 + 1) * 1000 ELSE CAST(account % 97 + 1 AS HUGEINT) * abs(collateral) // 100000000000 END AS BIGINT) AS value FROM accounts"""),
-    "entry_quotes": sql("fills", body=""", steps AS (SELECT taker AS account, market, side * base AS d, quote AS q, row_number() OVER (PARTITION BY taker, market ORDER BY ts, ok, ln) AS n FROM fills),
+    "expired_market_exits": _risk_sql("SELECT account, CAST(sum(funding + gain * 1000000 + allocated) AS VARCHAR) AS collateral, CAST(sum(abs(position)) AS BIGINT) AS lots FROM terms WHERE status = 0 AND position <> 0 GROUP BY account"),
+    "pool_share_values": sql("accounts", body="""SELECT CAST(nation AS BIGINT) AS pool, account AS holder, CAST(CASE WHEN nation = 3 THEN (account % 97 + 1) * 1000 ELSE CAST(account % 97 + 1 AS HUGEINT) * abs(collateral) // 100000000000 END AS VARCHAR) AS value FROM accounts"""),
+    "entry_quotes": sql("fills", body=""", p AS (SELECT taker AS account, market, ts, ok, ln, side * base AS d, quote AS q FROM fills UNION ALL SELECT -maker - 2, market, ts, ok, ln, -side * base, quote FROM fills),
+steps AS (SELECT account, market, d, q, row_number() OVER (PARTITION BY account, market ORDER BY ts, ok, ln) AS n FROM p),
 fold AS (
  SELECT account, market, n, d AS p, CASE WHEN d = 0 THEN CAST(0 AS BIGINT) ELSE q // abs(d) * abs(d) END AS e, CASE WHEN d = 0 THEN CAST(0 AS BIGINT) ELSE CAST(sign(d) AS BIGINT) * (q // abs(d) * abs(d) - q) END AS r FROM steps WHERE n = 1
  UNION ALL
@@ -109,5 +148,5 @@ fold AS (
    CASE WHEN sign(f.p) <> sign(f.p + s.d) THEN CASE WHEN s.d = 0 THEN 0 ELSE s.q // abs(s.d) * abs(f.p + s.d) END
         WHEN sign(s.d) = sign(f.p) THEN f.e + s.q ELSE CASE WHEN f.p = 0 THEN 0 ELSE f.e * abs(f.p + s.d) // abs(f.p) END END AS e2
   FROM fold f JOIN steps s ON s.account = f.account AND s.market = f.market AND s.n = f.n + 1))
-SELECT account, market, p AS position, CAST(e AS BIGINT) AS entry_quote, CAST(r AS BIGINT) AS realised FROM fold QUALIFY row_number() OVER (PARTITION BY account, market ORDER BY n DESC) = 1""").replace("WITH ", "WITH RECURSIVE ", 1),
+SELECT account, market, p AS position, CAST(e AS VARCHAR) AS entry_quote, CAST(r AS VARCHAR) AS realised FROM fold QUALIFY row_number() OVER (PARTITION BY account, market ORDER BY n DESC) = 1""").replace("WITH ", "WITH RECURSIVE ", 1),
 }

@@ -14,6 +14,11 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.BLOCK).option("multiLine", True).json(path)
 
 
+def parsed(lines: DataFrame) -> DataFrame:
+    """Blocks from JSON documents in the column ``value``."""
+    return lines.select(F.from_json("value", schemas.BLOCK).alias("b")).select("b.*")
+
+
 def transactions(blocks: DataFrame) -> DataFrame:
     """One row a transaction with its place in the block and the name of its type; sentinels are null."""
     names = F.create_map(*[x for name, code in units.TX_TYPES.items() for x in (F.lit(code).cast("long"), F.lit(name))])

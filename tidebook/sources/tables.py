@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import millis
+from ..model.units import INSURANCE_FUND, MASTER, PUBLIC_POOL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,33 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("user_id") % 10).alias("market"), millis("ts").alias("ts"), cents("value").alias("value"), "event_id", F.col("event_type").alias("kind"), F.col("user_id").alias("account"))
 
 
+def margin_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(account, account_type, collateral, open_orders)``; the collateral is scaled to the positions that ``margin_positions`` gives."""
+    kind = F.when(F.col("c_custkey") % 40 == 0, F.lit(INSURANCE_FUND)).when(F.col("c_custkey") % 40 == 1, F.lit(PUBLIC_POOL)).otherwise(F.lit(MASTER))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account"), kind.cast("long").alias("account_type"), (cents("c_acctbal") * 100_000_000).alias("collateral"), F.greatest(F.col("c_custkey") % 5 - 2, F.lit(0).cast("long")).alias("open_orders"))
+
+
+def perps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(market, mark, multiplier, status, default_fraction, least_fraction, maintenance, close_out, prefix, strategy)``; parts of size 5 or less are expired (status 0)."""
+    part = table(spark, sf_dir, "part")
+    long = lambda c: c.cast("long")
+    return part.select(
+        F.col("p_partkey").alias("market"), cents("p_retailprice").alias("mark"), long(F.lit(1)).alias("multiplier"), long((F.col("p_size") > 5)).alias("status"),
+        long(F.lit(500)).alias("default_fraction"), long(F.when(F.col("p_size") > 45, 1000).otherwise(300)).alias("least_fraction"), long(F.lit(300)).alias("maintenance"), long(F.lit(200)).alias("close_out"),
+        ((F.col("p_partkey") % 201 - 100) * 1_000_000).alias("prefix"), (F.col("p_partkey") % 4).alias("strategy"),
+    )
+
+
+def margin_positions(fills: DataFrame) -> DataFrame:
+    """``(account, market, position, entry_quote, last_prefix, fraction, isolated, allocated, open_orders)`` of the takers; the entry quote is the size of the net cash."""
+    net = fills.groupBy(F.col("taker").alias("account"), "market").agg(F.sum(F.col("side") * F.col("base")).alias("position"), F.abs(F.sum(F.col("side") * F.col("quote"))).alias("net"))
+    entry = F.when(F.col("position") == 0, F.lit(0).cast("long")).otherwise(F.col("net"))
+    isolated = (F.col("account") + F.col("market")) % 4 == 0
+    out = net.select("account", "market", "position", entry.alias("entry_quote"), ((F.col("account") % 201 - 100) * 1_000_000).alias("last_prefix"), F.when(F.col("account") % 3 == 0, 800).otherwise(0).cast("long").alias("fraction"), isolated.alias("isolated"))
+    allocated = F.when(F.col("isolated"), F.col("entry_quote") * 100_000).otherwise(F.lit(0).cast("long"))
+    return out.select("*", allocated.alias("allocated"), ((F.col("account") + F.col("market")) % 5 == 0).cast("long").alias("open_orders"))
+
+
 #: The same in SQL, as common table expressions.
 SQL = {
     "accounts": "accounts AS (SELECT c_custkey AS account, c_nationkey AS nation, CAST(round(c_acctbal * 100) AS BIGINT) * 1000 AS collateral FROM customer)",
@@ -74,6 +102,12 @@ SQL = {
  epoch_us(l_shipdate) // 1000 AS ts, l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "book": """book AS (SELECT o_custkey % 25 AS market, CAST(o_orderstatus = 'O' AS INTEGER) AS is_ask,
  CAST(floor(o_totalprice) AS BIGINT) % 500 + 1 + CASE WHEN o_orderstatus = 'O' THEN 400 ELSE 0 END AS price, o_orderkey % 50 + 1 AS base, o_orderkey AS nonce, o_custkey AS account, epoch_us(o_orderdate) // 1000 AS ts FROM orders)""",
+    "owners": "owners AS (SELECT c_custkey AS account, CAST(CASE WHEN c_custkey % 40 = 0 THEN 3 WHEN c_custkey % 40 = 1 THEN 2 ELSE 0 END AS BIGINT) AS account_type, CAST(round(c_acctbal * 100) AS BIGINT) * 100000000 AS collateral, greatest(c_custkey % 5 - 2, 0) AS open_orders FROM customer)",
+    "perps": """perps AS (SELECT p_partkey AS market, CAST(round(p_retailprice * 100) AS BIGINT) AS mark, CAST(p_size > 5 AS BIGINT) AS status, CASE WHEN p_size > 45 THEN 1000 ELSE 300 END AS least_fraction,
+ (p_partkey % 201 - 100) * 1000000 AS prefix, p_partkey % 4 AS strategy FROM part)""",
+    "held": """held AS (SELECT account, market, position, CASE WHEN position = 0 THEN 0 ELSE net END AS entry_quote, (account % 201 - 100) * 1000000 AS last_prefix, CASE WHEN account % 3 = 0 THEN 800 ELSE 0 END AS fraction,
+ (account + market) % 4 = 0 AS isolated, CASE WHEN (account + market) % 4 = 0 AND position <> 0 THEN net * 100000 ELSE 0 END AS allocated, CAST((account + market) % 5 = 0 AS BIGINT) AS open_orders
+ FROM (SELECT taker AS account, market, CAST(sum(side * base) AS BIGINT) AS position, CAST(abs(sum(side * quote)) AS BIGINT) AS net FROM fills GROUP BY 1, 2))""",
     "samples": "samples AS (SELECT user_id % 10 AS market, epoch_us(ts) // 1000 AS ts, CAST(round(value * 100) AS BIGINT) AS value, event_id, event_type AS kind, user_id AS account FROM events)",
 }
 

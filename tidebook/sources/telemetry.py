@@ -13,7 +13,7 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
 
     The path's last folders are ``<benchmark>/<release>/<machine>/<yyyymmdd-hhmmss>/``.
     """
-    raw = spark.read.option("wholetext", True).text(path).withColumn("path", F.col("_metadata.file_path")).groupBy("value").agg(F.min("path").alias("path"))
+    raw = spark.read.option("wholetext", True).text(path).withColumn("path", F.col("_metadata.file_path")).groupBy(F.sha2(F.col("value"), 256).alias("digest")).agg(F.min("path").alias("path"), F.any_value("value").alias("value"))
     at = lambda k: F.element_at(F.split("path", "/"), k)
     rows = raw.select(F.from_json("value", schemas.SUMMARY).alias("s"), at(-5).alias("benchmark"), at(-4).alias("release"), at(-3).alias("machine"), F.regexp_extract("path", r"(\d{8}-\d{6})", 1).alias("run"))
     return rows.select("benchmark", "release", "machine", "run", "s.*")
@@ -32,7 +32,11 @@ def grouped(summaries: DataFrame) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Stages and seconds of log lines like ``stage: time: 6.39s`` or ``stage: elapsed_ms=120``; other lines are dropped."""
-    line = spark.read.text(path)
+    return parsed(spark.read.text(path))
+
+
+def parsed(line: DataFrame) -> DataFrame:
+    """The same from lines in the column ``value``."""
     seconds = F.coalesce(F.regexp_extract("value", r"time: ([0-9.]+)s", 1).try_cast("double"), F.regexp_extract("value", r"elapsed_ms\D+(\d+)", 1).try_cast("double") / 1000)
     return line.select(F.regexp_extract("value", r"^\s*([^:]+):", 1).alias("stage"), seconds.alias("seconds")).where("seconds IS NOT NULL")
 
