@@ -14,7 +14,7 @@ Search. Texts with equal words are one class, of which one text goes on. ``BANDS
 registers are hashed; a pair at 0.8 misses all bands with probability 3e-5. A pair is a candidate if it shares a bucket and agrees
 on ``AGREE`` or more registers (at 0.8 all but 1 in 10,000 do), and is verified by counting the shingles of both whole texts.
 (1) In each bucket every text is paired with the one that shares most buckets with others, which takes one pair a text however large the
-bucket. (2) Buckets whose texts are not yet in one component are compared by registers alone, in blocks of ``BLOCK`` texts; what
+bucket. (2) Buckets whose texts are not yet in one component are compared by registers alone, in pairs of blocks (``blocks_of``); what
 comes out are the texts that have a candidate of another component. (3) Only these texts are fetched, dealt into blocks of
 about ``BLOCK_BYTES``, and each two blocks of a bucket are verified in one task; a pair is skipped once other links have joined it.
 
@@ -33,13 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import buffers, mix, runs, shingles, slices, word_hashes
 from .common import bounded, components, spread_join, table, words_of, written
 
-SIZE, SIMILARITY, BANDS, ROWS, AGREE, BLOCK, BLOCK_BYTES = 5, 0.8, 20, 4, 50, 1024, 8_000_000
+SIZE, SIMILARITY, BANDS, ROWS, AGREE, BLOCK, BLOCKS, MOST_BLOCK, BLOCK_BYTES = 5, 0.8, 20, 4, 50, 256, 64, 16_384, 8_000_000
 REGISTERS = BANDS * ROWS
 POINTS = 32_768  # drawn at once for all processes, beyond one each
 _U = np.uint64
@@ -163,6 +163,11 @@ def dealt(rows: DataFrame, blocks: str) -> DataFrame:
     return out.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(bounded)
 
 
+def blocks_of(n: Column) -> Column:
+    """Into how many blocks ``n`` rows are cut: of ``BLOCK`` rows, but at most ``BLOCKS`` as long as these have at most ``MOST_BLOCK`` rows."""
+    return F.greatest(F.ceil(n / MOST_BLOCK), F.least(F.ceil(n / BLOCK), F.lit(BLOCKS))).cast("int")
+
+
 def rivals(part: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of a block pair the rows of other components that agree on ``AGREE`` registers, each pair once and in its first common band only."""
     i, j, band = (part.column(c)[0].as_py() for c in ("i", "j", "band"))
@@ -192,7 +197,7 @@ def contested(rows: DataFrame) -> DataFrame:
             if found:
                 yield part.select(["bucket", "id"]).take(sorted(found)).combine_chunks().to_batches()[0]
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = blocks_of(F.col("n"))
     return dealt(rows.withColumn("blocks", blocks).drop("n"), "blocks").mapInArrow(run, "bucket long, id long").distinct()
 
 
@@ -257,7 +262,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     hits = written(contested(rest), "contested")
     texts = texts_of(df, hits.select("id").distinct(), text, key)
     fights = written(hits.join(rest.drop("n"), ["bucket", "id"]).join(classes.select("id", "bytes"), "id"), "fights")
-    blocks = F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK)).cast("int")
+    blocks = F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), blocks_of(F.count("*"))).cast("int")
     sized = fights.groupBy("bucket").agg(blocks.alias("blocks"), F.count("*").alias("n"))
     more = written(across(spread_join(fights.drop("bytes"), sized, "bucket", "id", n_met).join(texts, "id")), "links")
     second = components(more).select(F.col("id").alias("component"), F.col("component").alias("joined"))
