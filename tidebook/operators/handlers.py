@@ -91,7 +91,7 @@ def minted(log: DataFrame, total: int, value: int) -> DataFrame:
 
 def account_modes(log: DataFrame) -> DataFrame:
     """Changes of asset mode (accounts start simple): a row whose mode differs from the one before; to unified moves the balance into collateral, back moves it out."""
-    mode = F.col("seq") % 3 % 2
+    mode = F.col("value") % 2
     before = F.lag("mode", 1, SIMPLE).over(W.partitionBy("account").orderBy("seq"))
     rows = of(log, "l2_update_account_config").withColumn("mode", mode).withColumn("before", before)
     moved = F.when(F.col("mode") == UNIFIED, F.col("value")).otherwise(-F.col("value"))

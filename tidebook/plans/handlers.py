@@ -174,7 +174,7 @@ SQL = {
     "margin_moves": _move("account|-1|-value", "account|market|value", where="tx_type = 29"),
     "staked_shares": _tx(f"SELECT account, CAST(sum({SHARES}) AS VARCHAR) AS shares, CAST(sum(value) AS BIGINT) AS staked FROM txs WHERE tx_type = 35 GROUP BY account"),
     "minted_shares": _move(f"account|slot|CASE WHEN tx_type = 18 THEN {SHARES} ELSE -({SHARES}) END", where="tx_type IN (18, 19, 30, 40)"),
-    "account_mode_changes": _tx(", m AS (SELECT *, seq % 3 % 2 AS mode, lag(seq % 3 % 2, 1, 0) OVER (PARTITION BY account ORDER BY seq) AS before FROM txs WHERE tx_type = 41) SELECT account, seq, mode, CASE WHEN mode = 1 THEN value ELSE -value END AS to_collateral FROM m WHERE mode <> before"),
+    "account_mode_changes": _tx(", m AS (SELECT *, value % 2 AS mode, lag(value % 2, 1, 0) OVER (PARTITION BY account ORDER BY seq) AS before FROM txs WHERE tx_type = 41) SELECT account, seq, mode, CASE WHEN mode = 1 THEN value ELSE -value END AS to_collateral FROM m WHERE mode <> before"),
     "strategy_moves": _move("account|slot % 4|-value", "account|market % 4|value", where="tx_type = 43 AND value BETWEEN 1 AND 8000 AND slot % 4 <> market % 4"),
     "metadata_stamps": sql("samples", body="""SELECT market, event_id AS seq, row_number() OVER h = 1 AS funding, row_number() OVER m = 1 AS premium, first(ts) OVER h AS last_funding, ts AS last_oracle, first(ts) OVER m AS last_premium FROM samples
 WINDOW h AS (PARTITION BY market, ts // 3600000 ORDER BY ts, event_id), m AS (PARTITION BY market, ts // 60000 ORDER BY ts, event_id)"""),
