@@ -146,13 +146,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' multisets as sets, the k-th equal shingle counting as one of its own; offsets of each text's, sorted."""
-    items, of, weights = weighted(*shingles(*word_hashes(*buffers(column)), SIZE))
-    repeat = np.repeat(np.arange(len(items)), weights)
-    turn = np.arange(len(repeat)) - np.repeat(np.cumsum(weights) - weights, weights)
-    keys = mix(items[repeat] + turn.astype(_U) * _U(0xD1B54A32D192ED03))
-    order = np.lexsort((keys, of[repeat]))
-    return keys[order], np.searchsorted(of[repeat], np.arange(len(column) + 1))
+    """The texts' multisets as sets, the k-th equal shingle counting as one of its own; offsets of each text's, sorted. Worked out in pieces, so that only the elements stay in memory."""
+    found, counts = [], []
+    for piece in slices(pa.RecordBatch.from_arrays([column], names=["words"]), "words"):
+        items, of, weights = weighted(*shingles(*word_hashes(*buffers(piece.column(0))), SIZE))
+        repeat = np.repeat(np.arange(len(items)), weights)
+        turn = np.arange(len(repeat)) - np.repeat(np.cumsum(weights) - weights, weights)
+        keys = mix(items[repeat] + turn.astype(_U) * _U(0xD1B54A32D192ED03))
+        found.append(keys[np.lexsort((keys, of[repeat]))])
+        counts.append(np.bincount(of[repeat], minlength=piece.num_rows))
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
 def dealt(rows: DataFrame, blocks: str) -> DataFrame:
