@@ -41,6 +41,7 @@ from .common import bounded, components, spread_join, table, words_of, written
 
 SIZE, SIMILARITY, BANDS, ROWS, AGREE, BLOCK, BLOCKS, MOST_BLOCK, BLOCK_BYTES = 5, 0.8, 20, 4, 50, 256, 64, 16_384, 8_000_000
 REGISTERS = BANDS * ROWS
+MOST_WANTED = 2_000_000  # identifiers that are broadcast: 16 MB of numbers
 POINTS = 32_768  # drawn at once for all processes, beyond one each
 _U = np.uint64
 _LOW = _U((1 << 44) - 1)
@@ -284,7 +285,13 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 
 def texts_of(df: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows ``(id, words)`` of the ``wanted`` identifiers."""
+    """Rows ``(id, words)`` of the ``wanted`` identifiers.
+
+    Up to ``MOST_WANTED`` identifiers, as counted, are broadcast, so that only the texts found are moved; more are joined by a shuffle of all texts.
+    """
+    wanted = written(wanted, "wanted")
+    if wanted.count() <= MOST_WANTED:
+        wanted = F.broadcast(wanted)
     found = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text")).join(wanted, "id", "left_semi")
     return written(found.dropDuplicates(["id"]).select("id", words_of(F.col("__text")).alias("words")), "texts")
 
