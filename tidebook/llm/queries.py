@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, language_id, masked_lm, mixing, near_duplicates, sharding, token_counts, token_tables, toxicity
+from . import conversations, decontamination, embedding_dedup, language_id, masked_lm, mixing, near_duplicates, secrets, sharding, token_counts, token_tables, toxicity, whitening
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8b_shard_places": sharding.query_nocrc,
         "op9_mixing": mixing.query,
         "op10_token_tables": token_tables.query,
+        "op11_embedding_whitening": whitening.query,
+        "op12_conversation_repair": conversations.query,
+        "op13_secret_scans": secrets.query,
     }
 
 
