@@ -74,19 +74,20 @@ def refined(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(len(a)), np.eye(len(a))
     a = (a + a.T) / (2 * size)
     x = np.linalg.eigh(a.astype(np.float32))[1].astype(np.float64)
-    last = np.inf
-    for turn in range(STEPS):
-        x, values, bound, moved = step(a, x)
-        for k in clusters(values, bound):
-            middle = values[k].mean()
-            inner = x[:, k].T @ (a @ x[:, k] - middle * x[:, k])
-            x[:, k] = x[:, k] @ np.linalg.eigh((inner + inner.T) / 2)[1]
-        if turn > 1 and (moved < 1e-14 or moved >= last):
-            break
-        last = moved
-    wide, values, _, _ = step(a.astype(np.longdouble), x.astype(np.longdouble))
+    for kind, enough in ((np.float64, 1e-13), (np.longdouble, 1e-17)):
+        a, x = a.astype(kind), x.astype(kind)
+        for _ in range(STEPS):
+            x, values, bound, moved = step(a, x)
+            if moved < enough:
+                break
+            for k in clusters(values, bound):
+                inner = x[:, k].T @ (a @ x[:, k] - values[k].mean() * x[:, k])
+                x[:, k] = x[:, k] @ np.linalg.eigh((inner + inner.T).astype(np.float64) / 2)[1]
+    for _ in range(2):  # the last corrections restore orthogonality alone
+        x = x + x @ (np.eye(len(a), dtype=x.dtype) - x.T @ x) / 2
+    values = np.einsum("ij,ij->j", x, a @ x)
     order = np.argsort(-values, kind="stable")
-    return (values[order] * size).astype(np.float64), wide[:, order].astype(np.float64)
+    return (values[order] * size).astype(np.float64), x[:, order].astype(np.float64)
 
 
 def grid(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
