@@ -23,7 +23,8 @@ they fill blocks: a bucket of texts that all lie just under the threshold is com
 moved, the least for comparing all pairs in bounded memory. No bucket is capped and only links that join components are written.
 
 Defined cases: rows whose text is null or has no word, or whose identifier is null, are linked with
-nothing and kept; rows with one identifier count as one document; extra columns are ignored by
+nothing and kept; rows with one identifier count as one document; very long texts are signed whole and compared in blocks of their own; of texts that
+meet equally many others the one of smallest identifier is the centre; extra columns are ignored by
 ``near_duplicates`` and kept by ``deduplicated``; an empty table gives an empty result.
 """
 
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 
 from .bytesops import buffers, mix, runs, shingles, slices, word_hashes
 from .common import bounded, components, spread_join, table, words_of, written
+from .decontamination import bitmap
 
 SIZE, SIMILARITY, BANDS, ROWS, AGREE, BLOCK, BLOCKS, MOST_BLOCK, BLOCK_BYTES = 5, 0.8, 20, 4, 50, 256, 64, 16_384, 8_000_000
 REGISTERS = BANDS * ROWS
-MOST_WANTED = 2_000_000  # identifiers that are broadcast: 16 MB of numbers
 POINTS = 32_768  # drawn at once for all processes, beyond one each
 _U = np.uint64
 _LOW = _U((1 << 44) - 1)
@@ -262,10 +263,10 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     placed = written(met.join(first, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component")), "placed")
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("bucket", "n", F.col("n").alias("size"))
-    rest = spread_join(placed, open_, "bucket", "id", n_met).withColumnRenamed("size", "n").join(classes.select("id", "registers"), "id")
-    hits = written(contested(rest), "contested")
+    rest = written(spread_join(placed, open_, "bucket", "id", n_met).withColumnRenamed("size", "n"), "open")
+    hits = written(contested(rest.join(classes.select("id", "registers"), "id")), "contested")
     texts = texts_of(df, hits.select("id").distinct(), text, key)
-    fights = written(hits.join(rest.drop("n"), ["bucket", "id"]).join(classes.select("id", "bytes"), "id"), "fights")
+    fights = written(hits.join(rest.drop("n"), ["bucket", "id"]).join(classes.select("id", "bytes", "registers"), "id"), "fights")
     blocks = F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), blocks_of(F.count("*"))).cast("int")
     sized = fights.groupBy("bucket").agg(blocks.alias("blocks"), F.count("*").alias("n"))
     more = written(across(spread_join(fights.drop("bytes"), sized, "bucket", "id", n_met).join(texts, "id")), "links")
@@ -287,12 +288,23 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 def texts_of(df: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
     """Rows ``(id, words)`` of the ``wanted`` identifiers.
 
-    Up to ``MOST_WANTED`` identifiers, as counted, are broadcast, so that only the texts found are moved; more are joined by a shuffle of all texts.
+    A bitmap of their hashes (16 MB at most, whatever their number) goes to all tasks, which drop the texts that it rules out before the shuffle; the
+    rest is joined exactly.
     """
     wanted = written(wanted, "wanted")
-    if wanted.count() <= MOST_WANTED:
-        wanted = F.broadcast(wanted)
-    found = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text")).join(wanted, "id", "left_semi")
+    bits, log = bitmap(wanted.select(F.xxhash64("id").alias("hash")))
+    sent = df.sparkSession.sparkContext.broadcast(bits)
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitset = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            places = batch.column("hash").to_numpy().view(_U) >> _U(64 - log)
+            found = bitset[places >> _U(3)] >> (places & _U(7)).astype(np.uint8) & 1
+            yield batch.select(["id", "__text"]).filter(pa.array(found.astype(bool)))
+
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text")).where("id IS NOT NULL").withColumn("hash", F.xxhash64("id"))
+    near = rows.transform(bounded).mapInArrow(maybe, "id long, __text string")
+    found = near.join(wanted, "id", "left_semi")
     return written(found.dropDuplicates(["id"]).select("id", words_of(F.col("__text")).alias("words")), "texts")
 
 
