@@ -29,7 +29,7 @@ from .common import bounded, table
 
 MARK, BLOCK, SHIFT = "▁", 512, 7
 VOCABULARY = "piece_bpe_32k.model"
-SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def vocabulary(name: str = VOCABULARY) -> list[bytes]:
@@ -137,8 +137,8 @@ def token_counts(df: DataFrame, name: str = VOCABULARY, text: str = "text", key:
                 words = np.bincount(np.searchsorted(at, np.flatnonzero(data == 32), "right") - 1, minlength=batch.num_rows)
                 yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array(words), pa.array(automaton(name).counts(data, at))], names=[key, "n_words", "n_tokens"])
 
-    trimmed = F.when(F.trim(marked) == "", F.lit("")).otherwise(F.rtrim(marked))
-    return df.select(key, trimmed.alias("__text")).transform(bounded).mapInArrow(run, f"{key} long, n_words long, n_tokens long")
+    # a text without words is the one space that was put before it
+    return df.select(key, F.rtrim(marked).alias("__text")).transform(bounded).mapInArrow(run, f"{key} long, n_words long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
