@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.wide import mul_div
-from ..model.units import FIRST_SUB_ACCOUNT, SIMPLE, TX_TYPES, UNIFIED
+from ..model.units import MASTER, SIMPLE, SUB, TX_TYPES, UNIFIED
 from .ledger import delta_encoded, last_fields, last_values
 
 WIDE = "decimal(38,0)"
@@ -36,7 +36,7 @@ def market_settings(log: DataFrame) -> DataFrame:
     """Markets that were created, with the last value of what creations, updates and strategy settings gave."""
     rows = of(log, "l1_create_market", "l1_update_market", "l2_update_market_config")
     strategy = F.col("tx_type") == TX_TYPES["l2_update_market_config"]
-    rows = rows.withColumns({"created": F.when(F.col("tx_type") == TX_TYPES["l1_create_market"], F.col("seq")), "strategy": F.when(strategy, F.col("value") % 8), "fraction": F.when(~strategy, F.col("value"))})
+    rows = rows.withColumns({"created": F.when(F.col("tx_type") == TX_TYPES["l1_create_market"], F.col("seq")), "strategy": F.when(strategy, F.col("strategy")), "fraction": F.when(~strategy, F.col("value"))})
     return last_fields(rows, ["market"], "seq", ["created", "strategy", "fraction"]).where("created IS NOT NULL")
 
 
@@ -48,14 +48,13 @@ def asset_settings(log: DataFrame) -> DataFrame:
 
 
 def system_settings(log: DataFrame) -> DataFrame:
-    """The one row of system configuration, by the last value of each field."""
-    return last_fields(of(log, "l1_set_system_config").withColumns({"cooldown": F.when(F.col("seq") % 2 == 0, F.col("value")), "pool": F.when(F.col("seq") % 2 == 1, F.col("account"))}), [], "seq", ["cooldown", "pool"])
+    """The one row of system configuration, by the last value of each field ``(cooldown, pool)`` that a row sets (others: null)."""
+    return last_fields(of(log, "l1_set_system_config"), [], "seq", ["cooldown", "pool"])
 
 
 def sub_accounts(log: DataFrame) -> DataFrame:
     """New sub accounts of each master: their number, and the first and last of their indices."""
-    index = F.col("seq") + FIRST_SUB_ACCOUNT
-    return of(log, "l2_create_sub_account").groupBy("account").agg(F.count("*").alias("n"), F.min(index).alias("first_index"), F.max(index).alias("last_index"))
+    return of(log, "l2_create_sub_account").groupBy("account").agg(F.count("*").alias("n"), F.min("index").alias("first_index"), F.max("index").alias("last_index"))
 
 
 def pool_fees(log: DataFrame) -> DataFrame:
@@ -65,9 +64,9 @@ def pool_fees(log: DataFrame) -> DataFrame:
     return rows.select("slot", "seq", "value", F.coalesce(F.col("value") <= F.col("fee_before"), F.lit(True)).alias("taken"))
 
 
-def leverages(log: DataFrame, least: int) -> DataFrame:
-    """The last margin fraction of each account and market among those that keep the market's least."""
-    return last_values(of(log, "l2_update_leverage").where(F.col("value") >= least), ["account", "market"], ["seq"], ["value"])
+def leverages(log: DataFrame) -> DataFrame:
+    """The last margin fraction of each account and market among those that keep the market's ``least``."""
+    return last_values(of(log, "l2_update_leverage").where("value >= least"), ["account", "market"], ["seq"], ["value"])
 
 
 def margin_moves(log: DataFrame) -> DataFrame:
@@ -89,19 +88,27 @@ def minted(log: DataFrame, total: int, value: int) -> DataFrame:
     return movements(rows, (F.col("account"), F.col("slot"), signed))
 
 
-def account_modes(log: DataFrame) -> DataFrame:
-    """Changes of asset mode (accounts start simple): a row whose mode differs from the one before; to unified moves the balance into collateral, back moves it out."""
-    mode = F.col("value") % 2
-    before = F.lag("mode", 1, SIMPLE).over(W.partitionBy("account").orderBy("seq"))
-    rows = of(log, "l2_update_account_config").withColumn("mode", mode).withColumn("before", before)
-    moved = F.when(F.col("mode") == UNIFIED, F.col("value")).otherwise(-F.col("value"))
-    return rows.where("mode <> before").select("account", "seq", "mode", moved.alias("to_collateral"))
+def account_modes(changes: DataFrame) -> DataFrame:
+    """Requests for an asset mode, whether each is taken, the mode after it and what it moves into collateral; ``(account, seq, mode, account_type, balance, locked, tav, im, funded)``.
 
-
-def strategy_moves(log: DataFrame, available: int) -> DataFrame:
-    """Amounts moved between a fund's strategies, where the source has that much."""
-    rows = of(log, "l2_strategy_transfer").where(F.col("value").between(1, available) & (F.col("slot") % 4 != F.col("market") % 4))
-    return movements(rows, (F.col("account"), F.col("slot") % 4, -F.col("value")), (F.col("account"), F.col("market") % 4, F.col("value")))
+    Accounts start simple. Only masters and sub accounts may ask, and for the other mode only. To unified: the asset's balance moves into collateral. To simple: taken only
+    if nothing is locked, the account value covers the initial requirement, and the funded collateral is not negative; nothing moves. A refused request leaves the mode, so the mode
+    before a row is that of the last one that could not be refused for its state: no row waits for another's outcome.
+    """
+    may = F.col("account_type").isin(MASTER, SUB)
+    ok = may & ((F.col("mode") == UNIFIED) | ((F.col("locked") == 0) & (F.col("tav") >= F.col("im")) & (F.col("funded") >= 0)))
+    w = W.partitionBy("account").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    rows = changes.withColumn("sure", F.when(ok, F.col("mode"))).withColumn("before", F.coalesce(F.last("sure", True).over(w), F.lit(SIMPLE)))
+    taken = F.col("sure").isNotNull() & (F.col("before") != F.col("mode"))
+    after = F.when(taken, F.col("mode")).otherwise(F.col("before"))
+    moved = F.when(taken & (F.col("mode") == UNIFIED), F.col("balance")).otherwise(F.lit(0).cast("long"))
+    return rows.select("account", "seq", taken.alias("taken"), after.cast("long").alias("mode"), moved.alias("to_collateral"))
+
+
+def strategy_moves(log: DataFrame) -> DataFrame:
+    """Amounts moved between a fund's strategies ``from_strategy`` and ``to_strategy``, two different ones, up to the row's ``limit``."""
+    rows = of(log, "l2_strategy_transfer").where("value BETWEEN 1 AND limit AND from_strategy <> to_strategy")
+    return movements(rows, (F.col("account"), F.col("from_strategy"), -F.col("value")), (F.col("account"), F.col("to_strategy"), F.col("value")))
 
 
 def stamps(blocks: DataFrame) -> DataFrame:

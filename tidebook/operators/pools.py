@@ -5,13 +5,18 @@ Wide quotients are exact (Arrow batches of Python integers); all are rounded tow
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wide import mul_div
 from ..model.units import SHARE_TICK, USDC_TICK
+from .folds import ordered_fold
 
 WIDE = "decimal(38,0)"
+EMPTY_VALUE = 1_000  # value of a share in an empty pool
+PRINCIPAL_UNIT = 100  # principals are in hundredths of the precision that staked values have (fixed value)
 STAKE_FACTOR = 10  # a holder's principal in a pool is bound by this many times the staked value
 
 
@@ -45,8 +50,8 @@ def cooled_down(now: Column, entered: Column, cooldown: int, exempt: Column) ->
 
 
 def may_mint(principal: Column, added: Column, staked_value: Column) -> Column:
-    """Whether the principal after a deposit stays within ``STAKE_FACTOR`` times the staked value."""
-    return principal + added <= staked_value * STAKE_FACTOR
+    """Whether the principal after a deposit, in units of ``PRINCIPAL_UNIT`` of the staked value's, stays within ``STAKE_FACTOR`` times that value."""
+    return (principal + added) * PRINCIPAL_UNIT <= staked_value * STAKE_FACTOR
 
 
 def redemptions(holdings: DataFrame, now: int, cooldown: int) -> DataFrame:
@@ -62,3 +67,26 @@ def merged_shares(shares: DataFrame, changes: DataFrame) -> DataFrame:
     """Share lists after changes ``(account, pool, shares)``: upserted by account and pool, empty ones dropped."""
     both = shares.select("account", "pool", "shares").unionByName(changes.select("account", "pool", "shares"))
     return both.groupBy("account", "pool").agg(F.sum("shares").alias("shares")).where("shares <> 0")
+
+
+def pool_ledger(log: DataFrame) -> DataFrame:
+    """Mints and burns of shares in order, with the pool's totals after each; ``(pool, seq, holder, kind, amount)``, ``kind`` being ``mint`` (of a value) or ``burn`` (of shares).
+
+    A mint gives amount x shares div value of the pool (``EMPTY_VALUE`` a share in an empty one), a burn pays shares x value div total; both round down, so holders
+    who stay never lose. A row that would give or pay nothing, or burns more than there is, is refused and changes nothing. Each pool's rows stream through one task with
+    two numbers of state.
+    """
+
+    def step(state, row):
+        total, value = state
+        amount, got = row["amount"], 0
+        if amount > 0 and row["kind"] == "mint":
+            got = amount // EMPTY_VALUE if not total or not value else amount * total // value
+            total, value = (total + got, value + amount) if got else state
+        elif 0 < amount <= total and row["kind"] == "burn":
+            got = amount * value // total
+            total, value = (total - amount, value - got) if got else state
+        return (total, value), [(row["pool"], row["seq"], row["holder"], row["kind"], got > 0, Decimal(got), Decimal(total), Decimal(value))]
+
+    schema = f"pool long, seq long, holder long, kind string, taken boolean, got {WIDE}, total {WIDE}, value {WIDE}"
+    return ordered_fold(log.select("pool", "seq", "holder", "kind", "amount"), ["pool"], ["seq"], lambda k: (0, 0), step, lambda k, s: [], schema)

@@ -18,6 +18,7 @@ from ..model.units import COLLATERAL_SCALE, FULL_LIQUIDATION, INSURANCE_FUND, MA
 WIDE = "decimal(38,0)"
 REQUIREMENTS = ("im", "mm", "cm")
 STATE = ("funded", "tav", *REQUIREMENTS)
+SUMMED = ("gain", "funding", *REQUIREMENTS)
 
 
 def wide(x: Column | int) -> Column:
@@ -72,7 +73,12 @@ def _valued(rows: DataFrame, margin: Column) -> DataFrame:
 
 def cross_risk(accounts: DataFrame, terms: DataFrame) -> DataFrame:
     """``(account, account_type, open_orders, funded, tav, im, mm, cm, health)`` of every account over its cross positions."""
-    joined = accounts.join(cross_sums(terms, "account"), "account", "left").withColumns({c: F.coalesce(F.col(c), wide(0)) for c in ("gain", "funding", *REQUIREMENTS)})
+    return risk_of_sums(accounts, cross_sums(terms, "account"))
+
+
+def risk_of_sums(accounts: DataFrame, sums: DataFrame) -> DataFrame:
+    """The same from the sums of ``cross_sums`` by account."""
+    joined = accounts.join(sums, "account", "left").withColumns({c: F.coalesce(F.col(c), wide(0)) for c in SUMMED})
     return _valued(joined, F.col("collateral")).select("account", "account_type", "open_orders", *STATE, "health")
 
 
@@ -87,12 +93,23 @@ def strategy_risk(funds: DataFrame, terms: DataFrame) -> DataFrame:
     return _valued(joined, F.col("collateral")).select("account", "strategy", *STATE, "health")
 
 
-def position_risk(terms: DataFrame, cross: DataFrame) -> DataFrame:
-    """Each position with the risk that applies to it: its own if isolated, else its account's; and the open orders that count."""
-    own = _valued(terms.where("isolated"), F.col("allocated")).join(cross.select("account", "account_type"), "account")
-    both = terms.where("NOT isolated").drop(*REQUIREMENTS, "open_orders").join(cross, "account")
-    columns = ["account", "market", "position", "isolated", "status", "mark", "maintenance", "notional", "gain", "account_type", "open_orders", *STATE, "health"]
-    return own.select(columns).unionByName(both.select(columns))
+def position_risk(accounts: DataFrame, terms: DataFrame, strategies: DataFrame) -> DataFrame:
+    """Each position with the risk that applies to it, and the open orders that count: its own if isolated; for insurance funds that of
+    the market's strategy, with the balance that ``strategies`` ``(account, strategy, collateral)`` gives it; else its account's.
+
+    One pass: positions are dealt out by account, which has one a market at most, and both kinds of sums are windows over that.
+    """
+    lone, fund = F.col("isolated"), F.col("account_type") == INSURANCE_FUND
+    whole, part = W.partitionBy("account"), W.partitionBy("account", "strategy")
+    sums = {f"{c}_{n}": F.coalesce(wide(F.sum(F.when(~lone, F.col(c))).over(w)), wide(0)) for c in SUMMED for n, w in (("whole", whole), ("part", part))}
+    rows = terms.withColumns(sums).join(accounts.select("account", "account_type", "collateral", F.col("open_orders").alias("account_orders")), "account")
+    rows = rows.join(strategies.select("account", "strategy", F.col("collateral").alias("balance")), ["account", "strategy"], "left")
+    pick = lambda own, of_part, of_whole: wide(F.when(lone, own).when(fund, of_part).otherwise(of_whole))
+    rows = rows.withColumn("own_gain", F.col("gain"))
+    rows = rows.withColumns({c: pick(F.col(c), F.col(f"{c}_part"), F.col(f"{c}_whole")) for c in SUMMED})
+    rows = _valued(rows, pick(F.col("allocated"), F.coalesce("balance", F.lit(0)), F.col("collateral")))
+    rows = rows.withColumns({"gain": F.col("own_gain"), "open_orders": F.when(lone, F.col("open_orders")).otherwise(F.col("account_orders"))})
+    return rows.select("account", "market", "position", "isolated", "strategy", "status", "mark", "maintenance", "notional", "gain", "account_type", "open_orders", *STATE, "health")
 
 
 def available_collateral(risk: DataFrame) -> DataFrame:
@@ -118,22 +135,36 @@ def zero_prices(rows: DataFrame) -> DataFrame:
     return rows.select("account", "market", zero_price(F.col("mark"), F.col("mm"), F.col("tav"), side, F.col("maintenance")).cast("long").alias("zero_price"), zero_quote(F.col("notional"), F.col("mm"), F.col("tav"), side, F.col("maintenance")).alias("zero_quote"))
 
 
-def deleverages(rows: DataFrame) -> DataFrame:
-    """Positions to be closed against a counterparty at their zero quote, with the best counterparty: opposite side, large enough, most gain (ties: smallest account).
+def deleverages(rows: DataFrame, funds: DataFrame) -> DataFrame:
+    """Positions to be closed at their zero quote, ``(market, account, position, quote, counterparty, adl)``.
+
+    To be closed: health 3 or 4, active market, no open orders unless an insurance fund, a quote of at most 2^56 either way. ``adl``: where the quote is positive, the counterparty is
+    the account, no insurance fund, of an opposite position at least as large that gains most (ties: smallest account). Else it is an insurance fund, which may take any quote and side: of ``funds``
+    ``(account, strategy, tav)``, other than the position's own account, that of the most account value in the market's strategy (ties: smallest account).
 
-    To be closed: health 3 or 4, active market, no open orders unless an insurance fund. A counterparty is no insurance fund, and the quote must be over 0 and at most 2^56.
-    Both kinds of rows are ordered by size within market and side, the largest first, and a running maximum over the counterparties
-    gives each position's best: one sort, and no pair is ever made.
+    Sizes are cut into powers of two. Within one, positions and offers are ordered by size, the largest first, and a running maximum gives each position's best offer; what
+    larger sizes offer is carried by a table of one row a market, side and power. No pair is ever made, and a hot market is no single task's group.
     """
     rows = rows.where("position <> 0 AND status = 1")
-    quote = zero_quote(F.col("notional"), F.col("mm"), F.col("tav"), F.signum("position").cast("long"), F.col("maintenance"))
-    weak = rows.where((F.col("health") >= FULL_LIQUIDATION) & ((F.col("open_orders") == 0) | (F.col("account_type") == INSURANCE_FUND)) & (F.col("mm") != 0))
-    weak = weak.select("market", "account", "position", (-F.signum("position")).alias("side"), F.lit(True).alias("weak"), "gain", quote.alias("quote")).where((F.col("quote") > 0) & (F.col("quote") <= MAX_POSITION + 1))
-    offers = rows.where(F.col("account_type") != INSURANCE_FUND).select("market", "account", "position", F.signum("position").alias("side"), F.lit(False).alias("weak"), "gain", wide(0).alias("quote"))
-    w = W.partitionBy("market", "side").orderBy(F.desc(F.abs("position")), "weak").rowsBetween(W.unboundedPreceding, 0)
-    best = F.max(F.when(~F.col("weak"), F.struct("gain", (-F.col("account")).alias("n")))).over(w)
-    out = weak.unionByName(offers).withColumn("b", best)
-    return out.where("weak AND b IS NOT NULL").select("market", "account", "position", "quote", (-F.col("b.n")).alias("counterparty"))
+    fund, sign = F.col("account_type") == INSURANCE_FUND, F.signum("position")
+    weak = (F.col("health") >= FULL_LIQUIDATION) & ((F.col("open_orders") == 0) | fund) & (F.col("mm") != 0)
+    role = lambda when, side, is_weak: F.when(when, F.struct(side.alias("side"), F.lit(is_weak).alias("weak")))
+    roles = F.inline(F.array_compact(F.array(role(weak, -sign, True), role(~fund, sign, False))))
+    size = F.abs("position")
+    both = rows.select("market", "strategy", "account", "position", "gain", "notional", "mm", "tav", "maintenance", F.length(F.bin(size)).alias("power"), roles)
+    offer = F.when(~F.col("weak"), F.struct("gain", (-F.col("account")).alias("n")))
+    w = W.partitionBy("market", "side", "power").orderBy(F.desc(size), "weak").rowsBetween(W.unboundedPreceding, 0)
+    larger = W.partitionBy("market", "side").orderBy(F.desc("power")).rowsBetween(W.unboundedPreceding, -1)
+    edges = both.groupBy("market", "side", "power").agg(F.max(offer).alias("best")).select("market", "side", "power", F.max("best").over(larger).alias("edge"))
+    found = both.withColumn("inside", F.max(offer).over(w)).where("weak").join(edges, ["market", "side", "power"])
+    first = funds.groupBy("strategy").agg(F.max(F.struct("tav", (-F.col("account")).alias("n"))).alias("f"))
+    others = funds.join(first, "strategy").where("-account <> f.n").groupBy("strategy").agg(F.max(F.struct("tav", (-F.col("account")).alias("n"))).alias("g"))
+    found = found.join(first, "strategy", "left").join(others, "strategy", "left")
+    quote = zero_quote(F.col("notional"), F.col("mm"), F.col("tav"), sign.cast("long"), F.col("maintenance"))
+    best, taker = F.greatest("inside", "edge")["n"], F.when(F.col("f.n") != -F.col("account"), -F.col("f.n")).otherwise(-F.col("g.n"))
+    out = found.withColumn("quote", quote).where(F.abs("quote") <= MAX_POSITION + 1).withColumn("adl", (F.col("quote") > 0) & best.isNotNull())
+    out = out.withColumn("counterparty", F.when(F.col("adl"), -best).otherwise(taker))
+    return out.where("counterparty IS NOT NULL").select("market", "account", "position", "quote", "counterparty", "adl")
 
 
 def health_improved(before: DataFrame, after: DataFrame) -> DataFrame:

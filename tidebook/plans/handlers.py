@@ -10,7 +10,7 @@ from ..model import schemas
 from ..model.units import TX_TYPES
 from ..operators import book, handlers, ledger, orders, pools, positions, rules
 from ..sources import blocks, telemetry
-from ..sources.tables import accounts, fills, resting_orders, samples, sql
+from ..sources.tables import accounts, config_changes, fills, resting_orders, samples, sql, transactions
 from ..streaming.windows import funding_hours, tumbling
 from .books import PRIORITY
 
@@ -22,8 +22,7 @@ judged AS (SELECT *, CASE k WHEN 0 THEN 'l2_create_order' WHEN 1 THEN 'l2_transf
  CASE k WHEN 0 THEN v > 0 WHEN 5 THEN v > 0 AND market <= 254 WHEN 1 THEN account <> account // 2 AND v % 5 > 0 WHEN 2 THEN v >= 100 WHEN 3 THEN v % 9 > 0 WHEN 4 THEN v % 9 > 0 ELSE false END AS ok FROM rows)"""
 
 
-def _txs(spark, d):
-    return samples(spark, d).select(F.col("event_id").alias("seq"), "ts", "account", "market", F.abs("value").alias("value"), (F.col("account") % 17).alias("slot"), (F.col("event_id") % 45).alias("tx_type"))
+_txs = transactions
 
 
 def _documents(spark, d):
@@ -110,12 +109,12 @@ QUERIES = {
     "system_settings": lambda s, d: handlers.system_settings(_txs(s, d)).fillna(-1),
     "sub_accounts": lambda s, d: handlers.sub_accounts(_txs(s, d)),
     "pool_fee_changes": lambda s, d: handlers.pool_fees(_txs(s, d)),
-    "leverage_changes": lambda s, d: handlers.leverages(_txs(s, d), 2_000),
+    "leverage_changes": lambda s, d: handlers.leverages(_txs(s, d)),
     "margin_moves": lambda s, d: handlers.margin_moves(_txs(s, d)),
     "staked_shares": lambda s, d: handlers.stakes(_txs(s, d), 1_000_003, 2_000_029),
     "minted_shares": lambda s, d: handlers.minted(_txs(s, d), 1_000_003, 2_000_029),
-    "account_mode_changes": lambda s, d: handlers.account_modes(_txs(s, d)),
-    "strategy_moves": lambda s, d: handlers.strategy_moves(_txs(s, d), 8_000),
+    "account_mode_changes": lambda s, d: handlers.account_modes(config_changes(s, d)),
+    "strategy_moves": lambda s, d: handlers.strategy_moves(_txs(s, d)),
     "metadata_stamps": lambda s, d: handlers.stamps(samples(s, d).withColumnRenamed("event_id", "seq")),
     "due_timers": _timers,
     "merged_batches": lambda s, d: handlers.merged_batches(_batches(s, d)),
@@ -135,14 +134,14 @@ QUERIES = {
     "wide_arithmetic": _wide,
     "isolated_margin_changes": _isolated,
     "staking_values": lambda s, d: accounts(s, d).select("account", pools.staking_value(F.col("account") % 97, F.abs("collateral"), F.lit(1_000).cast("long"), 7).alias("value"), pools.redeemable(F.abs("collateral"), F.col("account") + 5, F.abs("collateral") % 1_000 + 1).alias("burnable")),
-    "mint_limits": lambda s, d: fills(s, d).select("ok", "ln", pools.may_mint(F.col("quote"), F.col("base") * 10_000, F.col("fee_rate") * 5 + F.col("quote") % 300_000).alias("may_mint")),
+    "mint_limits": lambda s, d: fills(s, d).select("ok", "ln", pools.may_mint(F.col("quote"), F.col("base") * 10_000, (F.col("fee_rate") * 5 + F.col("quote") % 300_000) * 60).alias("may_mint")),
     "hourly_windows": lambda s, d: tumbling(samples(s, d).withColumn("at", F.timestamp_millis("ts")), "at").withColumn("start", F.unix_millis("start")),
     "hourly_averages": lambda s, d: funding_hours(samples(s, d).withColumn("at", F.timestamp_millis("ts")), "at").withColumn("start", F.unix_millis("start")),
     "log_stages": _lines,
     "wall_seconds": _wall,
     "array_selection": lambda s, d: accounts(s, d).select("account", F.array_join(F.when(F.col("account") % 2 == 0, F.array(F.col("account"), F.col("nation").cast("long"))).otherwise(F.array(F.lit(0).cast("long"), F.col("account") * 2)), ":").alias("items")),
     "record_selection": lambda s, d: resting_orders(s, d).select("nonce", F.when(F.col("is_ask") == 1, F.struct("price", F.col("base").alias("size"))).otherwise(F.struct((-F.col("price")).alias("price"), (F.col("base") * 2).alias("size"))).alias("r")).select("nonce", "r.price", "r.size"),
-    "last_child_orders": lambda s, d: resting_orders(s, d).groupBy("account").agg(F.array_sort(F.collect_list(F.struct("nonce", "is_ask"))).alias("items")).select("account", F.coalesce(orders.last_match(F.col("items"), "is_ask", F.lit(1))["nonce"], F.lit(0)).alias("last_ask")),
+    "last_child_orders": lambda s, d: resting_orders(s, d).groupBy("account").agg(F.coalesce(F.max(F.when(F.col("is_ask") == 1, F.col("nonce"))), F.lit(0)).alias("last_ask")),
     "word_rotations": lambda s, d: resting_orders(s, d).select("nonce", rotl32(F.col("nonce"), 5).alias("left5"), rotl32(F.col("nonce"), 27).alias("right5"), F.bitwise_not("nonce").bitwiseAND(F.lit(2**32 - 1)).alias("inverted"), join_bytes(le_bytes(F.col("nonce"), 6)).alias("joined")),
     "packed_fields": lambda s, d: resting_orders(s, d).select("nonce", packed_fields(12, (F.lit(7), 1), (F.col("account"), 6), (F.col("price"), 4)).alias("packed"), F.conv(F.hex("nonce"), 16, 2).alias("bits")),
 }
@@ -174,7 +173,10 @@ SQL = {
     "margin_moves": _move("account|-1|-value", "account|market|value", where="tx_type = 29"),
     "staked_shares": _tx(f"SELECT account, CAST(sum({SHARES}) AS VARCHAR) AS shares, CAST(sum(value) AS BIGINT) AS staked FROM txs WHERE tx_type = 35 GROUP BY account"),
     "minted_shares": _move(f"account|slot|CASE WHEN tx_type = 18 THEN {SHARES} ELSE -({SHARES}) END", where="tx_type IN (18, 19, 30, 40)"),
-    "account_mode_changes": _tx(", m AS (SELECT *, value % 2 AS mode, lag(value % 2, 1, 0) OVER (PARTITION BY account ORDER BY seq) AS before FROM txs WHERE tx_type = 41) SELECT account, seq, mode, CASE WHEN mode = 1 THEN value ELSE -value END AS to_collateral FROM m WHERE mode <> before"),
+    "account_mode_changes": sql("samples", "configs", body=""", c AS (SELECT *, CASE WHEN account_type IN (0, 1) AND (mode = 1 OR (locked = 0 AND tav >= im AND funded >= 0)) THEN mode END AS sure FROM configs),
+m AS (SELECT *, coalesce(last_value(sure IGNORE NULLS) OVER (PARTITION BY account ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+t AS (SELECT *, sure IS NOT NULL AND before <> mode AS taken FROM m)
+SELECT account, seq, taken, CASE WHEN taken THEN mode ELSE before END AS mode, CASE WHEN taken AND mode = 1 THEN balance ELSE 0 END AS to_collateral FROM t"""),
     "strategy_moves": _move("account|slot % 4|-value", "account|market % 4|value", where="tx_type = 43 AND value BETWEEN 1 AND 8000 AND slot % 4 <> market % 4"),
     "metadata_stamps": sql("samples", body="""SELECT market, event_id AS seq, row_number() OVER h = 1 AS funding, row_number() OVER m = 1 AS premium, first(ts) OVER h AS last_funding, ts AS last_oracle, first(ts) OVER m AS last_premium FROM samples
 WINDOW h AS (PARTITION BY market, ts // 3600000 ORDER BY ts, event_id), m AS (PARTITION BY market, ts // 60000 ORDER BY ts, event_id)"""),
@@ -206,7 +208,7 @@ SELECT ok, ln, CAST(abs(a - b) AS VARCHAR) AS abs_diff, CAST(abs(a) + abs(b) AS
 SELECT ok, ln, CAST(CASE WHEN n = 0 THEN -greatest(al, 0) WHEN (p > 0) <> (n > 0) AND p <> 0 THEN r - nv WHEN abs(n) >= abs(p) THEN greatest(ln - (ln - 3), 0)
  ELSE -least(greatest(nv - greatest((v * abs(n) + abs(p) - 1) // abs(p), r), 0), greatest(al, 0)) END AS VARCHAR) AS moved FROM x"""),
     "staking_values": sql("accounts", body="SELECT account, CAST(CAST(account % 97 AS HUGEINT) * abs(collateral) // 7000 AS VARCHAR) AS value, CAST(CAST(abs(collateral) AS HUGEINT) * (account + 5) // (abs(collateral) % 1000 + 1) AS VARCHAR) AS burnable FROM accounts"),
-    "mint_limits": sql("fills", body="SELECT ok, ln, quote + base * 10000 <= (fee_rate * 5 + quote % 300000) * 10 AS may_mint FROM fills"),
+    "mint_limits": sql("fills", body="SELECT ok, ln, (quote + base * 10000) * 100 <= (fee_rate * 5 + quote % 300000) * 600 AS may_mint FROM fills"),
     "hourly_windows": sql("samples", body="SELECT market, ts // 3600000 * 3600000 AS start, CAST(sum(value) AS BIGINT) AS total, count(*) AS n, min(value) AS least, max(value) AS most FROM samples GROUP BY 1, 2"),
     "hourly_averages": sql("samples", body="SELECT market, start, CAST(sign(t) AS BIGINT) * (abs(t) // 60) AS average FROM (SELECT market, ts // 3600000 * 3600000 AS start, CAST(sum(value) AS BIGINT) AS t FROM samples GROUP BY 1, 2)"),
     "log_stages": sql("samples", body="SELECT kind AS stage, count(*) AS n, round(sum(CASE WHEN event_id % 3 = 0 THEN abs(value) / 100.0 ELSE abs(value) / 1000.0 END), 3) AS seconds FROM samples WHERE event_id % 3 < 2 GROUP BY kind"),

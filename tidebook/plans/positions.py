@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model.units import INSURANCE_FUND
 from ..operators import folds, positions, risk
-from ..sources.tables import accounts, fills, margin_accounts, margin_positions, perps, sql
+from ..sources.tables import accounts, fills, margin_accounts, margin_positions, perps, sql, strategy_balances
 
 POSITIONS = """positions AS (SELECT taker AS account, market, CAST(sum(side * base) AS BIGINT) AS position, CAST(sum(-side * quote) AS BIGINT) AS cash FROM fills GROUP BY ALL)"""
 HEALTH = "CAST(CASE WHEN tav < 0 THEN 4 ELSE CAST(im > tav AS INTEGER) + CAST(mm > tav AS INTEGER) + CAST(cm > tav AS INTEGER) END AS INTEGER) AS health"
@@ -17,9 +16,14 @@ CROSS = f"""sums AS (SELECT account, sum(gain) AS gain, sum(funding) AS funding,
 valued AS (SELECT o.*, collateral + coalesce(funding, 0) AS funded, collateral + coalesce(funding, 0) + coalesce(gain, 0) * 1000000 AS tav, coalesce(im, 0) AS im, coalesce(mm, 0) AS mm, coalesce(cm, 0) AS cm FROM owners o LEFT JOIN sums USING (account)),
 risk AS (SELECT *, {HEALTH} FROM valued)"""
 ISOLATED = f"lone AS (SELECT *, {HEALTH} FROM (SELECT *, allocated + funding AS funded, allocated + funding + gain * 1000000 AS tav FROM terms WHERE isolated))"
-APPLIED = f"""{ISOLATED},
-applied AS (SELECT l.account, market, position, isolated, status, mark, notional, gain, account_type, l.open_orders, tav, l.im, l.mm, l.cm, l.health FROM lone l JOIN (SELECT account, account_type FROM owners) USING (account)
- UNION ALL SELECT t.account, market, position, isolated, status, mark, notional, gain, account_type, r.open_orders, tav, r.im, r.mm, r.cm, r.health FROM terms t JOIN risk r USING (account) WHERE NOT isolated)"""
+STRATEGIES = f"""ss AS (SELECT account, strategy, sum(gain) AS gain, sum(funding) AS funding, sum(im) AS im, sum(mm) AS mm, sum(cm) AS cm FROM terms WHERE NOT isolated GROUP BY 1, 2),
+fb AS (SELECT account, strategy, collateral // 4 + strategy * 7000000 AS collateral FROM (SELECT account, collateral, CAST(unnest(range(0, 4)) AS BIGINT) AS strategy FROM owners WHERE account_type = 3)),
+sv AS (SELECT account, strategy, collateral + coalesce(funding, 0) AS funded, collateral + coalesce(funding, 0) + coalesce(gain, 0) * 1000000 AS tav, coalesce(im, 0) AS im, coalesce(mm, 0) AS mm, coalesce(cm, 0) AS cm FROM fb LEFT JOIN ss USING (account, strategy)),
+sr AS (SELECT *, {HEALTH} FROM sv)"""
+APPLIED = f"""{ISOLATED}, {STRATEGIES},
+applied AS (SELECT l.account, market, position, isolated, status, strategy, mark, notional, gain, account_type, l.open_orders, tav, l.im, l.mm, l.cm, l.health FROM lone l JOIN (SELECT account, account_type FROM owners) USING (account)
+ UNION ALL SELECT t.account, market, position, isolated, status, strategy, mark, notional, gain, account_type, r.open_orders, tav, r.im, r.mm, r.cm, r.health FROM terms t JOIN risk r USING (account) WHERE NOT isolated AND account_type <> 3
+ UNION ALL SELECT t.account, market, position, isolated, status, t.strategy, mark, notional, gain, account_type, o.open_orders, tav, r.im, r.mm, r.cm, r.health FROM terms t JOIN owners o USING (account) JOIN sr r ON r.account = t.account AND r.strategy = t.strategy WHERE NOT isolated AND account_type = 3)"""
 ZERO = """x AS (SELECT *, CAST(sign(position) AS HUGEINT) AS s FROM applied WHERE position <> 0 AND health >= 2 AND mm <> 0),
 y AS (SELECT *, CAST(mark AS HUGEINT) * mm * 10000 - tav * s * mark * 300 AS p, notional * mm * 10000 - notional * 300 * tav * s AS q, mm * 10000 AS d FROM x),
 z AS (SELECT *, CASE WHEN p >= 0 THEN p // d ELSE -((-p + d - 1) // d) END AS down, CASE WHEN p >= 0 THEN (p + d - 1) // d ELSE -((-p) // d) END AS up FROM y),
@@ -35,9 +39,12 @@ def _cross(spark, d, terms=None):
     return risk.cross_risk(margin_accounts(spark, d), _terms(spark, d) if terms is None else terms)
 
 
+def _funds(spark, d):
+    return strategy_balances(margin_accounts(spark, d))
+
+
 def _applied(spark, d):
-    terms = _terms(spark, d)
-    return risk.position_risk(terms, _cross(spark, d, terms))
+    return risk.position_risk(margin_accounts(spark, d), _terms(spark, d), _funds(spark, d))
 
 
 def _health_changes(spark, d):
@@ -46,8 +53,7 @@ def _health_changes(spark, d):
 
 
 def _strategies(spark, d):
-    funds = margin_accounts(spark, d).where(F.col("account_type") == INSURANCE_FUND)
-    return risk.strategy_risk(funds.select("account", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("strategy"), "collateral"), _terms(spark, d))
+    return risk.strategy_risk(_funds(spark, d), _terms(spark, d))
 
 
 def _gates(spark, d):
@@ -85,7 +91,7 @@ QUERIES = {
     "health_classes": lambda s, d: _cross(s, d).groupBy("health").agg(F.count("*").alias("accounts"), F.sum("tav").cast("decimal(38,0)").alias("tav")),
     "available_collateral": lambda s, d: risk.available_collateral(_cross(s, d)),
     "liquidation_candidates": lambda s, d: risk.liquidations(_applied(s, d)),
-    "deleverage_pairs": lambda s, d: risk.deleverages(_applied(s, d)),
+    "deleverage_pairs": lambda s, d: risk.deleverages(_applied(s, d), _strategies(s, d)),
     "zero_prices": lambda s, d: risk.zero_prices(_applied(s, d)),
     "health_changes": _health_changes,
     "balances_by_mode": lambda s, d: risk.asset_balances(accounts(s, d).select("account", (F.col("nation") % 2).alias("mode"), (F.col("nation") % 3 == 0).alias("is_margin_asset"), "collateral", (F.col("account") * 10).alias("balance"), (F.col("account") % 100 * 5_000).alias("locked"))),
@@ -116,19 +122,19 @@ SELECT CAST(account AS BIGINT) AS account, CAST(asset AS BIGINT) AS asset, CAST(
     "margin_requirements": _risk_sql("SELECT account, CAST(im AS VARCHAR) AS im, CAST(mm AS VARCHAR) AS mm, CAST(cm AS VARCHAR) AS cm, n_positions FROM sums"),
     "cross_position_sums": _risk_sql("SELECT account, CAST(gain AS VARCHAR) AS gain, CAST(funding AS VARCHAR) AS funding FROM sums"),
     "isolated_health": _risk_sql(f", {ISOLATED} SELECT account, market, {WIDE_STATE} FROM lone"),
-    "strategy_health": _risk_sql(f""", ss AS (SELECT account, strategy, sum(gain) AS gain, sum(funding) AS funding, sum(im) AS im, sum(mm) AS mm, sum(cm) AS cm FROM terms WHERE NOT isolated GROUP BY 1, 2),
-funds AS (SELECT account, collateral, CAST(unnest(range(0, 4)) AS BIGINT) AS strategy FROM owners WHERE account_type = 3),
-sv AS (SELECT account, strategy, collateral + coalesce(funding, 0) AS funded, collateral + coalesce(funding, 0) + coalesce(gain, 0) * 1000000 AS tav, coalesce(im, 0) AS im, coalesce(mm, 0) AS mm, coalesce(cm, 0) AS cm FROM funds LEFT JOIN ss USING (account, strategy)),
-sr AS (SELECT *, {HEALTH} FROM sv) SELECT account, strategy, {WIDE_STATE} FROM sr"""),
+    "strategy_health": _risk_sql(f", {STRATEGIES} SELECT account, strategy, {WIDE_STATE} FROM sr"),
     "trade_gates": sql("fills", "perps", body=""", t AS (SELECT ok, ln, taker % 21 - 10 AS b, taker % 21 - 10 + side * base AS a, market % 50 * mark AS o, (market % 50 + side * base) * mark AS n, market % 50 + side * base AS oi, taker % 40 = 0 AS fund FROM fills JOIN perps USING (market))
 SELECT ok, ln, CASE WHEN greatest(abs(a), oi, n) > 72057594037927935 THEN 'bounds' WHEN o > 4000000 AND NOT (abs(a) < abs(b) AND sign(a) <> -sign(b)) AND NOT fund THEN 'full' WHEN o <= 4000000 AND n > 4000000 AND NOT fund THEN 'over' ELSE 'passed' END AS gate FROM t"""),
     "health_classes": _risk_sql("SELECT health, count(*) AS accounts, CAST(sum(tav) AS VARCHAR) AS tav FROM risk GROUP BY health"),
     "available_collateral": _risk_sql("SELECT account, CAST(CASE WHEN tav >= im AND funded >= 0 THEN least(tav - im, funded) ELSE 0 END AS VARCHAR) AS available FROM risk"),
     "liquidation_candidates": _risk_sql(f", {APPLIED}, {ZERO} SELECT account, market, position > 0 AS is_ask, abs(position) AS base, zero_price AS price FROM zero WHERE status = 1 AND health = 2 AND account_type <> 3"),
     "deleverage_pairs": _risk_sql(f""", {APPLIED}, {ZERO},
-weak AS (SELECT * FROM zero WHERE status = 1 AND health >= 3 AND (open_orders = 0 OR account_type = 3) AND zero_quote > 0 AND zero_quote <= 72057594037927936)
-SELECT market, account, position, CAST(quote AS VARCHAR) AS quote, counterparty FROM (SELECT w.market, w.account, w.position, w.zero_quote AS quote, a.account AS counterparty, row_number() OVER (PARTITION BY w.market, w.account ORDER BY a.gain DESC, a.account) AS k
-FROM weak w JOIN applied a ON w.market = a.market AND a.status = 1 AND a.account_type <> 3 AND a.position <> 0 AND (w.position > 0) <> (a.position > 0) AND abs(a.position) >= abs(w.position)) WHERE k = 1"""),
+weak AS (SELECT * FROM zero WHERE status = 1 AND health >= 3 AND (open_orders = 0 OR account_type = 3) AND abs(zero_quote) <= 72057594037927936),
+adl AS (SELECT market, account, other FROM (SELECT w.market, w.account, a.account AS other, row_number() OVER (PARTITION BY w.market, w.account ORDER BY a.gain DESC, a.account) AS k
+ FROM weak w JOIN applied a ON w.market = a.market AND a.status = 1 AND a.account_type <> 3 AND a.position <> 0 AND (w.position > 0) <> (a.position > 0) AND abs(a.position) >= abs(w.position) WHERE w.zero_quote > 0) WHERE k = 1),
+fund AS (SELECT market, account, other FROM (SELECT w.market, w.account, r.account AS other, row_number() OVER (PARTITION BY w.market, w.account ORDER BY r.tav DESC, r.account) AS k FROM weak w JOIN sr r ON r.strategy = w.strategy AND r.account <> w.account) WHERE k = 1)
+SELECT w.market, w.account, w.position, CAST(w.zero_quote AS VARCHAR) AS quote, coalesce(adl.other, fund.other) AS counterparty, adl.other IS NOT NULL AS adl
+FROM weak w LEFT JOIN adl ON adl.market = w.market AND adl.account = w.account LEFT JOIN fund ON fund.market = w.market AND fund.account = w.account WHERE coalesce(adl.other, fund.other) IS NOT NULL"""),
     "zero_prices": _risk_sql(f", {APPLIED}, {ZERO} SELECT account, market, zero_price, CAST(zero_quote AS VARCHAR) AS zero_quote FROM zero"),
     "health_changes": _risk_sql(""", early AS (SELECT account, market, position, CASE WHEN position = 0 THEN 0 ELSE net END AS entry_quote FROM (SELECT taker AS account, market, CAST(sum(side * base) AS BIGINT) AS position, CAST(abs(sum(side * quote)) AS BIGINT) AS net FROM fills WHERE ok % 2 = 0 GROUP BY 1, 2)),
 e0 AS (SELECT account, CAST(abs(position) AS HUGEINT) * mark AS marked, entry_quote, position, status, CAST(position AS HUGEINT) * ((account % 201 - 100) * 1000000 - prefix) AS funding, greatest(CASE WHEN account % 3 = 0 THEN 800 ELSE 500 END, least_fraction) AS f FROM early JOIN perps USING (market) WHERE (account + market) % 4 <> 0),

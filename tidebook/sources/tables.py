@@ -8,10 +8,13 @@ resting orders are orders, and oracle samples are events. Money is in integer ce
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import millis
-from ..model.units import INSURANCE_FUND, MASTER, PUBLIC_POOL
+from ..model.units import FIRST_SUB_ACCOUNT, INSURANCE_FUND, MASTER, PUBLIC_POOL
+
+EVENTS_AFTER = 725_000_000_000  # by so many milliseconds events come after orders
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,14 +88,88 @@ def perps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def margin_positions(fills: DataFrame) -> DataFrame:
     """``(account, market, position, entry_quote, last_prefix, fraction, isolated, allocated, open_orders)`` of the takers; the entry quote is the size of the net cash."""
-    net = fills.groupBy(F.col("taker").alias("account"), "market").agg(F.sum(F.col("side") * F.col("base")).alias("position"), F.abs(F.sum(F.col("side") * F.col("quote"))).alias("net"))
+    return held(fills.groupBy(F.col("taker").alias("account"), "market").agg(F.sum(F.col("side") * F.col("base")).alias("position"), F.sum(F.col("side") * F.col("quote")).alias("net")))
+
+
+def held(nets: DataFrame) -> DataFrame:
+    """``margin_positions`` of net lots and cash ``(account, market, position, net)``; insurance funds have no isolated positions."""
+    net = nets.withColumn("net", F.abs("net"))
     entry = F.when(F.col("position") == 0, F.lit(0).cast("long")).otherwise(F.col("net"))
-    isolated = (F.col("account") + F.col("market")) % 4 == 0
+    isolated = ((F.col("account") + F.col("market")) % 4 == 0) & (F.col("account") % 40 != 0)
     out = net.select("account", "market", "position", entry.alias("entry_quote"), ((F.col("account") % 201 - 100) * 1_000_000).alias("last_prefix"), F.when(F.col("account") % 3 == 0, 800).otherwise(0).cast("long").alias("fraction"), isolated.alias("isolated"))
     allocated = F.when(F.col("isolated"), F.col("entry_quote") * 100_000).otherwise(F.lit(0).cast("long"))
     return out.select("*", allocated.alias("allocated"), ((F.col("account") + F.col("market")) % 5 == 0).cast("long").alias("open_orders"))
 
 
+def strategy_balances(accounts: DataFrame) -> DataFrame:
+    """``(account, strategy, collateral)`` of the insurance funds among ``margin_accounts``: four strategies of a quarter each, and some more in later ones."""
+    four = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))
+    rows = accounts.where(F.col("account_type") == INSURANCE_FUND).select("account", four.alias("strategy"), F.col("collateral"))
+    return rows.select("account", "strategy", (F.call_function("div", F.col("collateral"), F.lit(4).cast("long")) + F.col("strategy") * 7_000_000).alias("collateral"))
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a transaction log: ``(seq, ts, account, market, value, slot, tx_type)`` and the fields that single kinds carry."""
+    e = samples(spark, sf_dir)
+    out = e.select(F.col("event_id").alias("seq"), "ts", "account", "market", F.abs("value").alias("value"), (F.col("account") % 17).alias("slot"), (F.col("event_id") % 45).alias("tx_type"))
+    even = F.col("seq") % 2 == 0
+    return out.withColumns({
+        "strategy": F.col("value") % 8, "cooldown": F.when(even, F.col("value")), "pool": F.when(~even, F.col("account")), "index": F.col("seq") + FIRST_SUB_ACCOUNT,
+        "from_strategy": F.col("slot") % 4, "to_strategy": F.col("market") % 4, "limit": F.lit(8_000).cast("long"), "least": F.lit(2_000).cast("long"),
+    })
+
+
+def config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(account, seq, mode, account_type, balance, locked, tav, im, funded)``: every third event asks for an asset mode, in a state that is made up."""
+    e = samples(spark, sf_dir).where(F.col("event_id") % 3 == 0)
+    v = F.col("value")
+    return e.select(
+        "account", F.col("event_id").alias("seq"), (F.col("event_id") % 2).alias("mode"), (F.col("account") % 5).alias("account_type"), (F.abs(v) * 7).alias("balance"),
+        F.when(F.col("event_id") % 7 == 0, F.abs(v)).otherwise(0).cast("long").alias("locked"), (v * 3).alias("tav"), F.col("account").alias("im"), (v * 2 - F.col("account")).alias("funded"),
+    )
+
+
+def funding_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(market, ts, prefix)`` of 25 markets: the running sum of daily rates, which are made of the day's order totals."""
+    o = table(spark, sf_dir, "orders")
+    days = o.groupBy((F.col("o_custkey") % 25).alias("market"), millis("o_orderdate").alias("ts")).agg(F.sum(cents("o_totalprice") % 2001 - 1000).alias("rate"))
+    w = W.partitionBy("market").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)  # one row a market and day
+    return days.select("market", "ts", F.sum("rate").over(w).alias("prefix"))
+
+
+def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seq, kind, account, to, asset, amount, fee)``: events as deposits, transfers (to the account of half the number) and withdrawals in two assets."""
+    e = samples(spark, sf_dir)
+    k, v = F.col("event_id") % 6, F.abs("value")
+    kind = F.when(k < 2, "deposit").when(k < 4, "transfer").when(k == 4, "l1_withdraw").otherwise("l2_withdraw")
+    half = lambda x: F.call_function("div", x, F.lit(2).cast("long"))
+    return e.select(
+        F.col("event_id").alias("seq"), kind.alias("kind"), "account", half(F.col("account")).alias("to"), (F.call_function("div", F.col("event_id"), F.lit(6).cast("long")) % 2 + 1).alias("asset"),
+        F.when(k < 2, v).when(k < 4, half(v)).otherwise(v * 2).alias("amount"), F.when(k.between(2, 3), 25).otherwise(0).cast("long").alias("fee"),
+    )
+
+
+def timer_arms(orders: DataFrame, events: DataFrame) -> DataFrame:
+    """``(kind, account, id, ts, due)`` of tables or streams: expiries of orders, dead-man switches of their owners, and unlocks made of events, whose times are moved among those of orders."""
+    key, day = F.col("o_orderkey"), 86_400_000
+    ts = millis("o_orderdate")
+    none = F.lit(0).cast("long")
+    row = lambda kind, i, due: F.struct(F.lit(kind).alias("kind"), i.alias("id"), due.alias("due"))
+    armed = F.array(row("expiry", key, F.when(key % 3 > 0, ts + (key % 60 + 1) * day).otherwise(none)), row("switch", none, F.when(key % 4 > 0, ts + (key % 90 + 1) * day).otherwise(none)))
+    first = orders.select(F.col("o_custkey").alias("account"), ts.alias("ts"), F.explode(armed).alias("a")).select("a.kind", "account", "a.id", "ts", "a.due")
+    moved = millis("ts") - EVENTS_AFTER
+    second = events.select(F.lit("unlock").alias("kind"), F.col("user_id").alias("account"), F.col("event_id").alias("id"), moved.alias("ts"), (moved + F.col("event_id") % 400 * day + 1).alias("due"))
+    return first.unionByName(second)
+
+
+def ordered_fills(fills: DataFrame) -> DataFrame:
+    """``(account, market, seq, d, q)`` of both parties (makers from -2 down); ``seq`` follows the fills' order by day, order and line."""
+    seq = F.call_function("div", F.col("ts"), F.lit(86_400_000).cast("long")) * 2**48 + F.col("ok") * 8 + F.col("ln")
+    d = F.col("side") * F.col("base")
+    rows = F.array(F.struct(F.col("taker").alias("account"), d.alias("d")), F.struct((-F.col("maker") - 2).alias("account"), (-d).alias("d")))
+    return fills.select("market", seq.alias("seq"), F.col("quote").alias("q"), F.inline(rows)).select("account", "market", "seq", "d", "q")
+
+
 #: The same in SQL, as common table expressions.
 SQL = {
     "accounts": "accounts AS (SELECT c_custkey AS account, c_nationkey AS nation, CAST(round(c_acctbal * 100) AS BIGINT) * 1000 AS collateral FROM customer)",
@@ -106,8 +183,15 @@ SQL = {
     "perps": """perps AS (SELECT p_partkey AS market, CAST(round(p_retailprice * 100) AS BIGINT) AS mark, CAST(p_size > 5 AS BIGINT) AS status, CASE WHEN p_size > 45 THEN 1000 ELSE 300 END AS least_fraction,
  (p_partkey % 201 - 100) * 1000000 AS prefix, p_partkey % 4 AS strategy FROM part)""",
     "held": """held AS (SELECT account, market, position, CASE WHEN position = 0 THEN 0 ELSE net END AS entry_quote, (account % 201 - 100) * 1000000 AS last_prefix, CASE WHEN account % 3 = 0 THEN 800 ELSE 0 END AS fraction,
- (account + market) % 4 = 0 AS isolated, CASE WHEN (account + market) % 4 = 0 AND position <> 0 THEN net * 100000 ELSE 0 END AS allocated, CAST((account + market) % 5 = 0 AS BIGINT) AS open_orders
+ (account + market) % 4 = 0 AND account % 40 <> 0 AS isolated, CASE WHEN (account + market) % 4 = 0 AND account % 40 <> 0 AND position <> 0 THEN net * 100000 ELSE 0 END AS allocated, CAST((account + market) % 5 = 0 AS BIGINT) AS open_orders
  FROM (SELECT taker AS account, market, CAST(sum(side * base) AS BIGINT) AS position, CAST(abs(sum(side * quote)) AS BIGINT) AS net FROM fills GROUP BY 1, 2))""",
+    "marks": "marks AS (SELECT market, ts, CAST(sum(rate) OVER (PARTITION BY market ORDER BY ts) AS BIGINT) AS prefix FROM (SELECT o_custkey % 25 AS market, epoch_us(o_orderdate) // 1000 AS ts, sum(CAST(round(o_totalprice * 100) AS BIGINT) % 2001 - 1000) AS rate FROM orders GROUP BY 1, 2))",
+    "operations": """operations AS (SELECT event_id AS seq, CASE WHEN event_id % 6 < 2 THEN 'deposit' WHEN event_id % 6 < 4 THEN 'transfer' WHEN event_id % 6 = 4 THEN 'l1_withdraw' ELSE 'l2_withdraw' END AS kind, account, account // 2 AS dest,
+ event_id // 6 % 2 + 1 AS asset, CASE WHEN event_id % 6 < 2 THEN abs(value) WHEN event_id % 6 < 4 THEN abs(value) // 2 ELSE abs(value) * 2 END AS amount, CASE WHEN event_id % 6 BETWEEN 2 AND 3 THEN 25 ELSE 0 END AS fee FROM samples)""",
+    "arms": f"""arms AS (SELECT 'expiry' AS kind, account, nonce AS id, ts, CASE WHEN nonce % 3 > 0 THEN ts + (nonce % 60 + 1) * 86400000 ELSE 0 END AS due FROM book
+ UNION ALL SELECT 'switch', account, 0, ts, CASE WHEN nonce % 4 > 0 THEN ts + (nonce % 90 + 1) * 86400000 ELSE 0 END FROM book
+ UNION ALL SELECT 'unlock', account, event_id, ts - {EVENTS_AFTER}, ts - {EVENTS_AFTER} + event_id % 400 * 86400000 + 1 FROM samples)""",
+    "configs": "configs AS (SELECT account, event_id AS seq, event_id % 2 AS mode, account % 5 AS account_type, abs(value) * 7 AS balance, CASE WHEN event_id % 7 = 0 THEN abs(value) ELSE 0 END AS locked, value * 3 AS tav, account AS im, value * 2 - account AS funded FROM samples WHERE event_id % 3 = 0)",
     "samples": "samples AS (SELECT user_id % 10 AS market, epoch_us(ts) // 1000 AS ts, CAST(round(value * 100) AS BIGINT) AS value, event_id, event_type AS kind, user_id AS account FROM events)",
 }
 

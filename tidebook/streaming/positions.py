@@ -6,31 +6,38 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import change_position
 
-OUT = "account long, market long, position long, entry_quote string, realised string, n long"
+OUT = "account long, market long, position long, entry_quote string, realised string, n long, late array<long>"
 STATE = "position long, entry_quote string, realised string, n long, last long"
 
 
 def fold_positions(fills: DataFrame) -> DataFrame:
     """Update-mode stream of each key's position after a batch.
 
-    ``fills`` has ``(account, market, seq, d, q)``. Within a batch rows are taken in order of ``seq``; a row not after the
-    key's last one raises an error, as the input must be ordered from batch to batch. Amounts are kept as
+    ``fills`` has ``(account, market, seq, d, q)``. Within a batch rows are taken in order of ``seq``. A row not after the last one that its key took in
+    an earlier batch comes too late: it changes nothing, and its ``seq`` is given in ``late``. Amounts are kept as
     text, exact at any width.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        p, e, r, n, last = state.get if state.exists else (0, "0", "0", 0, -1)
-        e, r = int(e), int(r)
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if row.seq <= last:
-                raise ValueError(f"row {row.seq} of {key} came after {last}")
-            p, e, more = change_position(int(p), e, int(row.d), int(row.q))
-            r, n, last = r + more, n + 1, int(row.seq)
+        p, e, r, n, last = state.get if state.exists else (0, "0", "0", 0, None)
+        e, r, done, late = int(e), int(r), last, []
+        for seq, d, q in sorted(row for b in batches for row in zip(b["seq"].tolist(), b["d"].tolist(), b["q"].tolist())):
+            if done is not None and seq <= done:
+                late.append(seq)
+                continue
+            p, e, more = change_position(int(p), e, d, q)
+            r, n, last = r + more, n + 1, seq
         state.update((p, str(e), str(r), n, last))
-        yield pd.DataFrame({"account": [key[0]], "market": [key[1]], "position": [p], "entry_quote": [str(e)], "realised": [str(r)], "n": [n]})
+        yield pd.DataFrame({"account": [key[0]], "market": [key[1]], "position": [p], "entry_quote": [str(e)], "realised": [str(r)], "n": [n], "late": [late]})
 
     return fills.groupBy("account", "market").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def late_rows(versions: DataFrame) -> DataFrame:
+    """The side output ``(account, market, seq)`` of late rows over all batches of ``fold_positions``."""
+    return versions.select("account", "market", F.explode("late").alias("seq"))
