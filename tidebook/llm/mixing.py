@@ -13,7 +13,7 @@ Shuffle: the sort key is a uniform 48-bit hash, so its ranges are known beforeha
 key and sorted there: one pass and one shuffle, without a sample of the keys.
 
 Defined cases: a null source is a source of its own; a null identifier is hashed as empty text, so
-such rows of one source share a draw; sources without a weight (when weights are given) have rate 0;
+such rows of one source share a draw, as do rows that repeat an identifier within a source; sources without a weight (when weights are given) have rate 0;
 an empty table gives an empty one; null, empty and very long texts are carried along like other columns, whatever
 their names, but for ``copy`` and ``shuffle_key``, which are replaced.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SEED, POWER, MOST_RATE, DIGITS, SMALL, RUN = 42, 0.5, 500.0, 12, 100_000, 4096
+SEED, POWER, MOST_RATE, DIGITS, STEPS, RUN = 42, 0.5, 500.0, 12, 2_000_000, 4096
 
 
 def hashed(*parts: Column) -> Column:
@@ -64,22 +64,32 @@ def below(ladder: Column, u: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(ladder, at + s - 1) < u, F.lit(False)), at + s).otherwise(at))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as keep them apart from the columns of ``df``."""
+    taken, mark = {c.lower() for c in df.columns}, "__"
+    while any(f"{mark}{n}" in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def poisson_mix(df: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """``df`` with each row repeated by its draw and shuffled globally.
 
     Adds ``copy`` (from 0) and ``shuffle_key``, by which the result is sorted. The table of sources is
-    broadcast only if it has at most ``SMALL`` rows; beyond, it is joined by source.
+    broadcast only if its ladders have at most ``STEPS`` steps in all, which take 16 MB; beyond, it is joined by source.
     """
+    own, parts_, ladder, n_, first = free_names(df, "source", "parts", "ladder", "n", "first")
     known = rates(df, weights, power).where(F.col("ladder")[0] < 1)
-    known = known.select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("ladder").alias("__ladder"))
-    known = F.broadcast(known) if known.limit(SMALL + 1).count() <= SMALL else known
-    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1), lambda p: (F.when(p == 0, hashed(F.lit(seed), F.col(key))).otherwise(hashed(F.lit(seed), F.col(key), p)) + F.lit(0.5)) / F.lit(float(16**DIGITS)))
-    n = F.aggregate(draws, F.lit(0).cast("long"), lambda acc, u: acc + below(F.col("__ladder"), u))
-    drawn = df.drop("copy", "shuffle_key").join(known, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", n).drop("__ladder", "__source", "__parts")
+    known = known.select(F.col("source").alias(own), F.col("parts").alias(parts_), F.col("ladder").alias(ladder))
+    steps = known.agg(F.sum(F.size(ladder) + 8)).first()[0] or 0
+    known = F.broadcast(known) if steps <= STEPS else known
+    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col(parts_) - 1), lambda p: (F.when(p == 0, hashed(F.lit(seed), F.col(key))).otherwise(hashed(F.lit(seed), F.col(key), p)) + F.lit(0.5)) / F.lit(float(16**DIGITS)))
+    n = F.aggregate(draws, F.lit(0).cast("long"), lambda acc, u: acc + below(F.col(ladder), u))
+    drawn = df.drop("copy", "shuffle_key").join(known, F.col("source").eqNullSafe(F.col(own))).withColumn(n_, n).drop(ladder, own, parts_)
     # in runs, so that no array holds all copies of a document
-    starts = F.when(F.col("__n") > 0, F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(RUN).cast("long")))
-    runs = drawn.withColumn("__first", F.explode(starts))
-    copies = runs.withColumn("copy", F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + RUN, F.col("__n")) - 1))).withColumn("copy", F.col("copy").cast("int")).drop("__n", "__first")
+    starts = F.when(F.col(n_) > 0, F.sequence(F.lit(0).cast("long"), F.col(n_) - 1, F.lit(RUN).cast("long")))
+    runs = drawn.withColumn(first, F.explode(starts))
+    copies = runs.withColumn("copy", F.explode(F.sequence(F.col(first), F.least(F.col(first) + RUN, F.col(n_)) - 1))).withColumn("copy", F.col("copy").cast("int")).drop(n_, first)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = copies.withColumn("shuffle_key", hashed(F.lit(seed + 1), F.col(key), F.col("copy")))
     return keyed.repartitionById(parts, F.floor(F.col("shuffle_key") / F.lit(float(16**DIGITS)) * parts).cast("int")).sortWithinPartitions("shuffle_key", key, "copy")
