@@ -16,7 +16,8 @@ that a few rare n-grams do not decide short texts. N-grams found in fewer than
 Defined cases: null and empty texts, and those without words, get the score of an empty bag; without labels of
 both classes every score is the share of toxic labels in the sample (0 without any); labels that are
 null or have no document of that size are ignored; of texts that share an identifier one is learned from, all are
-scored; very long texts are scored whole; extra columns are ignored.
+scored; very long texts are scored whole; a null identifier is kept and scored, but nothing is learned from it; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from .bytesops import _powers, _tables, buffers, mix, slices
 from .common import bounded, hash_bound, table, words_of, written
 from .language_id import held_out
 
-SIZES, BUCKETS, DIM, PAD = (3, 4, 5), 1 << 17, 4, 300
+SIZES, BUCKETS, DIM, PAD, TOGETHER = (3, 4, 5), 1 << 17, 4, 300, 32
 TRAIN_ROWS, TRAIN_BYTES, LEAST_DOCS, STEPS, EPOCHS, BATCH, RATE, DECAY = (3000, 1500), 20_000, 3, 300, 6, 64, 0.5, 1e-5
 _U = np.uint64
 
@@ -71,7 +72,26 @@ def bags(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return of, keys % BUCKETS, counts / (total[of] + PAD)
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 42) -> tuple[np.ndarray, float]:
+def sample_bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket and share of the n-grams that ``LEAST_DOCS`` texts have, the first of each text's, and in how many texts each bucket occurs.
+
+    Bags are made twice, so that what goes is never held: eight bytes an n-gram that stays are all that is.
+    """
+    seen = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(column), TOGETHER):
+        seen += np.bincount(bags(*buffers(column.slice(i, TOGETHER)))[1], minlength=BUCKETS)
+    buckets, shares, sizes = bytearray(), bytearray(), []
+    for i in range(0, len(column), TOGETHER):
+        block = column.slice(i, TOGETHER)
+        of, bucket, share = bags(*buffers(block))
+        keep = seen[bucket] >= LEAST_DOCS
+        buckets += bucket[keep].astype(np.int32).tobytes()
+        shares += share[keep].astype(np.float32).tobytes()
+        sizes.append(np.bincount(of[keep], minlength=len(block)))
+    return np.frombuffer(buckets, np.int32), np.frombuffer(shares, np.float32), np.append(0, np.cumsum(np.concatenate(sizes))), seen
+
+
+def train(texts: list[str] | pa.Array, labels: np.ndarray, seed: int = 42) -> tuple[np.ndarray, float]:
     """Each bucket's share of the margin (toxic minus clean), and the constant."""
     rng = np.random.default_rng(seed)
     weight = np.zeros(BUCKETS, np.float32)
@@ -79,18 +99,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 42) -> tuple[np.ndar
     if n == 0 or labels.min() == labels.max():
         share = float(np.clip(labels.mean() if n else 0.0, 1e-6, 1 - 1e-6))
         return weight, float(np.log(share / (1 - share)))
-    column = pa.array(texts, pa.large_string())
-    parts, seen = [], np.zeros(BUCKETS, np.int64)
-    for i in range(0, n, 256):
-        of, bucket, share = bags(*buffers(column.slice(i, 256)))
-        parts.append([(of + i).astype(np.int32), bucket.astype(np.int32), share.astype(np.float32)])
-        seen += np.bincount(bucket, minlength=BUCKETS)
-    of = np.concatenate([p.pop(0) for p in parts])
-    bucket = np.concatenate([p.pop(0) for p in parts])
-    share = np.concatenate([p.pop(0) for p in parts])
-    keep = seen[bucket] >= LEAST_DOCS
-    of, bucket, share = of[keep], bucket[keep], share[keep]
-    first = np.searchsorted(of, np.arange(n + 1))
+    bucket, share, first, seen = sample_bags(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
     e = (rng.random((BUCKETS, DIM), np.float32) - 0.5) * 0.1 * (seen >= LEAST_DOCS)[:, None].astype(np.float32)
     w = (rng.random((DIM, 2), np.float32) - 0.5)
     c = np.zeros(2, np.float32)
@@ -124,7 +133,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 42) -> tuple[np.ndar
     return e @ (w[:, 1] - w[:, 0]), float(c[1] - c[0])
 
 
-def training_sample(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[list[str], np.ndarray]:
+def training_sample(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[pa.Array, np.ndarray]:
     """At most ``TRAIN_ROWS`` texts of the classes with their labels, in a fixed order."""
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND __key IS NOT NULL").distinct()
     short = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.octet_length(F.coalesce("__text", F.lit(""))) <= TRAIN_BYTES).withColumn("t", F.xxhash64("__text"))
@@ -135,7 +144,8 @@ def training_sample(df: DataFrame, labels: DataFrame, text: str = "text", key: s
     few = parts[0].unionByName(parts[1])  # bounded
     rows = short.join(F.broadcast(few), ["__key", "t"]).dropDuplicates(["__key", "y"]).select("y", "h", bag_text(F.col("__text")).alias("t"))
     found = rows.toArrow().sort_by([("h", "ascending"), ("y", "ascending"), ("t", "ascending")])
-    return found.column("t").to_pylist(), found.column("y").to_numpy().astype(np.int64)
+    texts = found.column("t").cast(pa.large_string()).combine_chunks()
+    return texts, found.column("y").to_numpy().astype(np.int64)
 
 
 def scores(weight: np.ndarray, constant: float, data: np.ndarray, at: np.ndarray) -> np.ndarray:
