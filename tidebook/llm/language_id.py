@@ -16,7 +16,8 @@ a language, so its size grows with the number of labelled languages (some 10 MB
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; without any labelled
 text all get ``und``; rows without language are not learned from; bytes never seen in training are
-phrases of their own; extra columns are ignored, equal rows get equal results.
+phrases of their own; a null identifier is kept and predicted; very long texts are parsed whole; an empty table gives an empty result; extra
+columns are ignored, equal rows get equal results.
 """
 
 from __future__ import annotations

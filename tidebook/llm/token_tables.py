@@ -11,8 +11,8 @@ so file order is key order. Files are written under a name of their own and rena
 runs again replaces its file by an equal one. The folder must be one that driver and executors share.
 
 Defined cases: a null identifier has the empty key and sorts first; a repeated identifier keeps all
-entries, in order of the text's hash; null and empty texts give the end id alone; an empty table gives
-no file and no rows; extra columns are ignored.
+entries, in order of the text's hash; null and empty texts give the end id alone; very long texts are encoded
+whole and their ids are one value of a block of their own size; an empty table gives no file and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
