@@ -1,11 +1,13 @@
 """Wide unsigned integers as 32 bytes, the highest first.
 
-Spark orders binary values by unsigned bytes, so ``=``, ``<``, ``min`` and ``max`` work on these as they are. Sums go by 32-bit limbs with a carry, in
-built-in functions. A result that does not fit is null.
+Spark orders binary values by unsigned bytes, so ``=``, ``<``, ``min`` and ``max`` work on these as they are. Sums go by 32-bit limbs with a carry, written out limb by
+limb, so that they stay in generated code. A result that does not fit is null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,48 +31,35 @@ def to_hex(x: Column) -> Column:
     return F.regexp_replace(F.lower(F.hex(x)), "^0+(?=.)", "")
 
 
-def limbs(x: Column) -> Column:
+def limbs(x: Column) -> list[Column]:
     """The eight 32-bit limbs, the lowest first."""
     text = F.hex(x)
-    return F.transform(F.sequence(F.lit(LIMBS - 1), F.lit(0)), lambda i: F.conv(F.substring(text, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    return [F.conv(F.substring(text, 8 * i + 1, 8), 16, 10).cast("long") for i in range(LIMBS - 1, -1, -1)]
 
 
-def _joined(parts: Column) -> Column:
-    return F.unhex(F.array_join(F.reverse(F.transform(parts, lambda v: F.lpad(F.hex(v), 8, "0"))), ""))
+def _carried(totals: list[Callable[[Column], Column]]) -> tuple[Column, Column]:
+    """The limbs joined, and what is left over beyond them; each total is a function of the carry from the limb below."""
+    carry, out = F.lit(0).cast("long"), []
+    for total in totals:
+        t = total(carry)
+        carry, low = F.shiftright(t, 32), t.bitwiseAND(F.lit(2**32 - 1))
+        out.append(F.lpad(F.hex(low), 8, "0"))
+    return F.unhex(F.concat(*reversed(out))), carry
 
 
 def add(a: Column, b: Column) -> Column:
     """a + b; null if it takes over 256 bits."""
-    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        total = pair["a"] + pair["b"] + acc["carry"]
-        return F.struct(F.shiftright(total, 32).alias("carry"), F.concat(acc["out"], F.array(total.bitwiseAND(F.lit(2**32 - 1)))).alias("out"))
-
-    pairs = F.zip_with(limbs(a), limbs(b), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
-    done = F.aggregate(pairs, start, step)
-    return F.when(done["carry"] == 0, _joined(done["out"]))
+    out, carry = _carried([lambda c, x=x, y=y: x + y + c for x, y in zip(limbs(a), limbs(b))])
+    return F.when(carry == 0, out)
 
 
 def subtract(a: Column, b: Column) -> Column:
     """a - b; null if b is greater."""
-    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        total = pair["a"] - pair["b"] + acc["carry"]
-        return F.struct(F.shiftright(total, 32).alias("carry"), F.concat(acc["out"], F.array(total.bitwiseAND(F.lit(2**32 - 1)))).alias("out"))
-
-    pairs = F.zip_with(limbs(a), limbs(b), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
-    return F.when(b <= a, _joined(F.aggregate(pairs, start, step)["out"]))
+    out, _ = _carried([lambda c, x=x, y=y: x - y + c for x, y in zip(limbs(a), limbs(b))])
+    return F.when(b <= a, out)
 
 
 def times(a: Column, x: int) -> Column:
-    """a times a constant from 0 to 2^31 - 1; null if it takes over 256 bits."""
-    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, limb: Column) -> Column:
-        total = limb * x + acc["carry"]
-        return F.struct(F.shiftrightunsigned(total, 32).alias("carry"), F.concat(acc["out"], F.array(total.bitwiseAND(F.lit(2**32 - 1)))).alias("out"))
-
-    done = F.aggregate(limbs(a), start, step)
-    return F.when(done["carry"] == 0, _joined(done["out"]))
+    """a times a constant from 0 to 2^30; null if it takes over 256 bits."""
+    out, carry = _carried([lambda c, v=v: v * x + c for v in limbs(a)])
+    return F.when(carry == 0, out)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,13 @@ def mul_div(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([one(r) for r in _rows(a, b, c)], dtype=object)
 
 
+def mul_div_longs(a: Column, b: Column, c: Column) -> Column:
+    """a x b / c of bigints, rounded toward zero, in built-in functions: the product of two fits 38 digits, and less its remainder it divides exactly. Null where c is 0 or the result has over 32 digits."""
+    short = lambda x: x.cast("decimal(19,0)")
+    product, d = (short(a) * short(b)).cast("decimal(38,0)"), F.nullif(short(c), F.lit(0).cast("decimal(19,0)"))
+    return F.try_divide((product - product % d).cast("decimal(38,0)"), d).cast("decimal(38,0)")
+
+
 @F.pandas_udf(T.BooleanType())
 def product_at_most(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Whether a x b <= c x d."""

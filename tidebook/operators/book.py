@@ -6,6 +6,8 @@ descending (bid nonces count down, so an earlier bid has the larger nonce).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from ..functions import ceil_div, order_index, order_market, order_nonce
 from ..model.units import FIRST_BID_NONCE, IMPACT_NOTIONAL, MARGIN_TICK, MAX_BASE
 
 
+LOCK_BITS = 96  # of a locked balance
+
 def running(rows: DataFrame, keys: list[str], level: str, order: list[str | Column], **values: Column) -> DataFrame:
     """``rows`` with the sums of ``values`` over all rows of their keys that come before them by level and order.
 
@@ -91,9 +95,11 @@ def packed_indices(orders: DataFrame) -> DataFrame:
 
 
 def locked_balances(orders: DataFrame, size_unit: int = 10, quote_unit: int = 1) -> DataFrame:
-    """What open orders lock: asks base x size unit, bids base x price x quote unit, by account and side."""
-    lock = F.when(F.col("is_ask") == 1, F.col("base") * size_unit).otherwise(F.col("base") * F.col("price") * quote_unit)
-    return orders.groupBy("account", "is_ask").agg(F.sum(lock).alias("locked"), F.count("*").alias("n_orders"))
+    """What open orders lock: asks base x size unit, bids base x price x quote unit, by account and side; ``fits`` tells whether that stays below 2^96, as a balance must."""
+    wide = lambda x: (x if isinstance(x, Column) else F.lit(Decimal(x))).cast("decimal(38,0)")
+    lock = F.when(F.col("is_ask") == 1, wide(F.col("base") * wide(size_unit))).otherwise(wide(F.col("base") * F.col("price") * wide(quote_unit)))
+    out = orders.groupBy("account", "is_ask").agg(F.sum(lock).cast("decimal(38,0)").alias("locked"), F.count("*").alias("n_orders"))
+    return out.withColumn("fits", F.col("locked") < wide(2**LOCK_BITS))
 
 
 def tied_size(position: Column, limit: Column | int, price: Column, multiplier: int = 1) -> Column:

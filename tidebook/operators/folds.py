@@ -6,6 +6,7 @@ very many rows needs time but no memory beyond that state. Arithmetic is in Pyth
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
@@ -19,7 +20,7 @@ BATCH = 10_000
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, finish: Callable, schema: str) -> DataFrame:
     """Fold the rows of each key in order.
 
-    ``start(key)`` makes a state, ``step(state, row)`` returns ``(state, rows out)`` for each row as a dict, ``finish(key, state)`` the
+    ``start(key)`` makes a state, ``step(state, row)`` returns ``(state, rows out)`` for each row as a named tuple, ``finish(key, state)`` the
     rows at the key's end; rows out are tuples of the schema.
     """
     spark = df.sparkSession
@@ -27,17 +28,18 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(fields)
+    names, places = df.columns, [df.columns.index(k) for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, out = None, None, []
+        key, state, out, make = None, None, [], namedtuple("Row", names)._make
 
         def batch() -> pa.RecordBatch:
             cols = list(zip(*out))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
         for b in batches:
-            for row in b.to_pylist():
-                k = tuple(row[c] for c in keys)
+            for row in map(make, zip(*(c.to_pylist() for c in b.columns))):
+                k = tuple([row[i] for i in places])
                 if k != key:
                     if key is not None:
                         out += finish(key, state)
@@ -83,7 +85,7 @@ def entry_quotes(fills: DataFrame) -> DataFrame:
 
     def step(state, row):
         p, e, r = state
-        p, e, more = change_position(p, e, row["d"], row["quote"])
+        p, e, more = change_position(p, e, row.d, row.quote)
         return (p, e, r + more), []
 
     return ordered_fold(parties(fills), ["account", "market"], ["ts", "ok", "ln"], lambda k: (0, 0, 0), step, lambda k, s: [(*k, s[0], Decimal(s[1]), Decimal(s[2]))], "account long, market long, position long, entry_quote decimal(38,0), realised decimal(38,0)")

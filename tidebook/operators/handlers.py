@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.wide import mul_div
+from ..functions.wide import mul_div_longs
 from ..model.units import MASTER, SIMPLE, SUB, TX_TYPES, UNIFIED
 from .ledger import delta_encoded, last_fields, last_values
 
@@ -76,13 +76,13 @@ def margin_moves(log: DataFrame) -> DataFrame:
 
 def stakes(log: DataFrame, total: int, balance: int) -> DataFrame:
     """Shares that staked amounts buy (amount x total div balance, each rounded down), by account."""
-    shares = mul_div(F.col("value"), F.lit(total).cast("long"), F.lit(balance).cast("long"))
+    shares = mul_div_longs(F.col("value"), F.lit(total).cast("long"), F.lit(balance).cast("long"))
     return of(log, "l2_stake_assets").groupBy("account").agg(F.sum(shares).cast(WIDE).alias("shares"), F.sum("value").alias("staked"))
 
 
 def minted(log: DataFrame, total: int, value: int) -> DataFrame:
     """Shares that deposits into a pool buy, less those burnt, by account and pool."""
-    shares = mul_div(F.col("value"), F.lit(total).cast("long"), F.lit(value).cast("long"))
+    shares = mul_div_longs(F.col("value"), F.lit(total).cast("long"), F.lit(value).cast("long"))
     rows = of(log, "l2_mint_shares", "l2_burn_shares", "l1_burn_shares", "l2_force_burn_shares").withColumn("shares", shares)
     signed = F.when(F.col("tx_type") == TX_TYPES["l2_mint_shares"], F.col("shares")).otherwise(-F.col("shares"))
     return movements(rows, (F.col("account"), F.col("slot"), signed))

@@ -99,8 +99,26 @@ def delta_encoded(accounts: DataFrame, group: int = 4096) -> DataFrame:
 
 def account_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     """Net change of every account and market between two states of ``(account, market, position)``, without zeros."""
-    both = after.select("account", "market", F.col("position").alias("d")).unionByName(before.select("account", "market", (-F.col("position")).alias("d")))
-    return both.groupBy("account", "market").agg(F.sum("d").alias("delta")).where("delta <> 0")
+    return state_deltas(before, after, ["account", "market"], "position")
+
+
+def state_deltas(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Net change of ``value`` by ``keys`` between two states, without zeros: of positions by market, balances by asset, or shares by pool."""
+    kind = after.schema[value].dataType
+    both = after.select(*keys, F.col(value).alias("d")).unionByName(before.select(*keys, (-F.col(value)).cast(kind).alias("d")))
+    return both.groupBy(*keys).agg(F.sum("d").cast(kind if kind.typeName() == "decimal" else "long").alias("delta")).where("delta <> 0")
+
+
+def not_rising(rows: DataFrame, group: int) -> DataFrame:
+    """Rows ``(seq, account)`` of a list that must be sorted and without repeats, whose account is not above that of the row before; with that one as ``before``.
+
+    Found per group of ``group`` rows and across the groups' edges, like ``continuity``.
+    """
+    g = blocks(rows, group)
+    inside = F.lag("account").over(W.partitionBy("block").orderBy("seq"))
+    ends = edges(g.groupBy(F.col("block").alias("g")).agg(F.max_by("account", "seq").alias("last")), "last")
+    joined = g.select("seq", "account", "block", inside.alias("before")).join(ends.withColumnRenamed("g", "block"), "block", "left").withColumn("before", F.coalesce("before", "edge"))
+    return joined.where("account <= before").select("seq", "account", "before")
 
 
 def last_values(updates: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:

@@ -66,6 +66,6 @@ def hash_chain(log: DataFrame, key: str = "market") -> DataFrame:
     """
 
     def step(state, row):
-        return (hashlib.sha256(f"{state[0]}|{row['seq']}|{row['value']}".encode()).hexdigest(), state[1] + 1), []
+        return (hashlib.sha256(f"{state[0]}|{row.seq}|{row.value}".encode()).hexdigest(), state[1] + 1), []
 
     return ordered_fold(log.select(key, "seq", "value"), [key], ["seq"], lambda k: ("", 0), step, lambda k, s: [(k[0], s[0], s[1])], f"{key} long, digest string, n long")

@@ -54,15 +54,21 @@ def may_mint(principal: Column, added: Column, staked_value: Column) -> Column:
     return (principal + added) * PRINCIPAL_UNIT <= staked_value * STAKE_FACTOR
 
 
-def redemptions(holdings: DataFrame, now: int, cooldown: int) -> DataFrame:
-    """Every holder's value, fee and right to redeem; ``(pool, holder, shares, principal, entered, total, tav, rate, is_operator)``."""
+def redemptions(holdings: DataFrame, now: int, cooldown: int, main_pool: int) -> DataFrame:
+    """Every holder's value, fee and right to redeem, for which only the main pool's holders wait; ``(pool, holder, shares, principal, entered, total, tav, rate, is_operator)``."""
     value = mul_div(F.col("shares"), F.abs("tav"), F.col("total"))
     rows = holdings.withColumn("value", value)
     fee = operator_fee(F.col("value"), F.col("principal"), F.col("rate"), F.col("total"), F.col("tav"))
-    free = cooled_down(F.lit(now).cast("long"), F.col("entered"), cooldown, F.col("is_operator"))
+    free = cooled_down(F.lit(now).cast("long"), F.col("entered"), cooldown, F.col("is_operator") | (F.col("pool") != main_pool))
     return rows.select("pool", "holder", "value", F.when(F.col("is_operator"), F.lit(0).cast(WIDE)).otherwise(fee).alias("fee"), free.alias("free"))
 
 
+def share_lookup(holders: DataFrame, shares: DataFrame) -> DataFrame:
+    """Each of ``holders`` ``(account, pool)`` with its ``shares`` ``(account, pool, shares)`` in that pool, summed, 0 where it has none."""
+    held = shares.groupBy("account", "pool").agg(F.sum("shares").alias("shares"))
+    return holders.join(held, ["account", "pool"], "left").fillna(0, ["shares"])
+
+
 def merged_shares(shares: DataFrame, changes: DataFrame) -> DataFrame:
     """Share lists after changes ``(account, pool, shares)``: upserted by account and pool, empty ones dropped."""
     both = shares.select("account", "pool", "shares").unionByName(changes.select("account", "pool", "shares"))
@@ -79,14 +85,14 @@ def pool_ledger(log: DataFrame) -> DataFrame:
 
     def step(state, row):
         total, value = state
-        amount, got = row["amount"], 0
-        if amount > 0 and row["kind"] == "mint":
+        amount, got = row.amount, 0
+        if amount > 0 and row.kind == "mint":
             got = amount // EMPTY_VALUE if not total or not value else amount * total // value
             total, value = (total + got, value + amount) if got else state
-        elif 0 < amount <= total and row["kind"] == "burn":
+        elif 0 < amount <= total and row.kind == "burn":
             got = amount * value // total
             total, value = (total - amount, value - got) if got else state
-        return (total, value), [(row["pool"], row["seq"], row["holder"], row["kind"], got > 0, Decimal(got), Decimal(total), Decimal(value))]
+        return (total, value), [(row.pool, row.seq, row.holder, row.kind, got > 0, Decimal(got), Decimal(total), Decimal(value))]
 
     schema = f"pool long, seq long, holder long, kind string, taken boolean, got {WIDE}, total {WIDE}, value {WIDE}"
     return ordered_fold(log.select("pool", "seq", "holder", "kind", "amount"), ["pool"], ["seq"], lambda k: (0, 0), step, lambda k, s: [], schema)

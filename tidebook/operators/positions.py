@@ -89,6 +89,14 @@ def spot_deltas(fills: DataFrame, size_unit: int = 1_000_000, quote_unit: int =
     return fills.select(F.inline(rows)).groupBy("account", "asset").agg(wide(F.sum("amount")).alias("amount")).where("amount <> 0")
 
 
+def trade_parties(fills: DataFrame, accounts: DataFrame, field: str, fee_account: int) -> DataFrame:
+    """Fills with the ``field`` of their taker's, maker's and fee account, as ``taker_``, ``maker_`` and ``fee_`` field; fills of unknown accounts are left out."""
+    out = fills.withColumn("fee_account", F.lit(fee_account).cast("long"))
+    for name, key in (("taker", "taker"), ("maker", "maker"), ("fee", "fee_account")):
+        out = out.join(accounts.select(F.col("account").alias(key), F.col(field).alias(f"{name}_{field}")), key)
+    return out
+
+
 def self_trades(fills: DataFrame) -> DataFrame:
     """Fills whose two parties are one account."""
     return fills.where("taker = maker").select("taker", "market", *ORDER, "base")

@@ -189,6 +189,14 @@ def exits(terms: DataFrame) -> DataFrame:
     return terms.where("status = 0 AND position <> 0").groupBy("account").agg(wide(F.sum(delta)).alias("collateral"), F.sum(F.abs("position")).alias("lots"))
 
 
+def cleared(positions: DataFrame, markets: DataFrame) -> DataFrame:
+    """Positions after the exit of expired markets, where nothing is left: no lots, entry quote, margin or open orders."""
+    joined = positions.join(markets.select("market", "status"), "market")
+    zero = F.lit(0).cast("long")
+    left = lambda c: F.when(F.col("status") == 0, zero).otherwise(F.col(c)).alias(c)
+    return joined.select("account", "market", *map(left, ("position", "entry_quote", "allocated", "open_orders")), (F.col("status") == 0).alias("expired"))
+
+
 def trade_gates(trades: DataFrame) -> DataFrame:
     """Why a trade cancels its taker, if it does; ``(before, after, open_interest, new_open_interest, mark, multiplier, limit, fund)``.
 

@@ -29,7 +29,7 @@ QUERIES = {
     "impact_mid": lambda s, d: book.impact_mid(book.impact_prices(resting_orders(s, d), TARGET)),
     "next_order_nonces": lambda s, d: book.next_nonces(resting_orders(s, d)),
     "order_indices": lambda s, d: book.packed_indices(resting_orders(s, d)),
-    "locked_balances": lambda s, d: book.locked_balances(resting_orders(s, d)),
+    "locked_balances": lambda s, d: book.locked_balances(resting_orders(s, d)).drop("fits").withColumn("locked", F.col("locked").cast("long")),
     "book_crossings": lambda s, d: book.crossings(resting_orders(s, d)),
     "order_size_checks": lambda s, d: book.size_checks(resting_orders(s, d).withColumns({"twap": F.col("nonce") % 9 == 0, "immediate": F.col("nonce") % 7 == 0}), 2, 500, 40_000),
     "position_tied_sizes": lambda s, d: fills(s, d).groupBy(F.col("taker").alias("account"), "market").agg(F.sum(F.col("side") * F.col("base")).alias("position")).join(markets(s, d), "market").select("account", "market", book.tied_size(F.col("position"), 2_000_000, F.col("mark")).alias("size")),

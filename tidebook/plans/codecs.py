@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import binary, sparse
-from ..operators import increments, ledger, pools, risk, runs
+from ..operators import book, increments, ledger, pools, positions, queues, risk, runs
 from ..sources import reports, telemetry
-from ..sources.tables import fills, held, margin_accounts, perps, samples, sql, table
+from ..sources.tables import fills, held, margin_accounts, margin_positions, perps, resting_orders, samples, sql, table
 from ..streaming.runs import shared_path
 from .positions import SQL as POSITION_SQL
 
@@ -62,9 +62,9 @@ def _wide(spark, d):
 
 
 def _telemetry(spark, d):
-    """One document for each five events of an account, every seventh copied, every 13th cut short, every 17th without a time; then the files' way to a report."""
+    """Four documents an account, every seventh copied, every 13th cut short, every 17th without a time; then the files' way to a report."""
     e = samples(spark, d)
-    k = F.call_function("div", F.col("event_id"), F.lit(5).cast("long"))
+    k = F.col("account") * 4 + F.col("event_id") % 4
     v = F.abs("value")
     number = lambda x: F.format_string("%d.%02d", F.call_function("div", x, F.lit(100).cast("long")), x % 100)
     rows = e.groupBy("account", k.alias("k")).agg(F.sum(v).alias("v"))
@@ -106,7 +106,28 @@ def _pool_ledger(spark, d):
     return out.select("pool", "seq", "holder", "kind", "taken", *(F.col(c).cast("string").alias(c) for c in ("got", "total", "value")))
 
 
+def _unlocks(spark, d):
+    e = samples(spark, d)
+    action = F.when(F.col("event_id") % 3 < 2, "append").otherwise("pop")
+    return queues.pending_unlocks(e.select("account", "ts", F.col("event_id").alias("seq"), action.alias("action"), F.abs("value").alias("amount"), (F.col("ts") + F.col("event_id") % 5 * 86_400_000).alias("unlock_ts")))
+
+
+def _locks(spark, d):
+    return book.locked_balances(resting_orders(spark, d), 10**25, 10**24).withColumn("locked", F.col("locked").cast("string"))
+
+
+def _asset_deltas(spark, d):
+    rows = fills(spark, d)
+    out = ledger.state_deltas(positions.spot_deltas(rows.where("ok % 2 = 0")), positions.spot_deltas(rows), ["account", "asset"], "amount")
+    return out.withColumn("delta", F.col("delta").cast("string"))
+
+
 QUERIES = {
+    "pending_unlocks": _unlocks,
+    "locked_balance_bounds": _locks,
+    "asset_deltas": _asset_deltas,
+    "accounts_not_rising": lambda s, d: ledger.not_rising(samples(s, d).select(F.col("event_id").alias("seq"), "account"), 64),
+    "cleared_positions": lambda s, d: risk.cleared(margin_positions(fills(s, d)), perps(s, d)),
     "risk_increments": _increments,
     "run_statistics": _statistics,
     "document_faults": _faults,
@@ -136,12 +157,25 @@ def _hex(*words: str) -> str:
     return f"lower(coalesce(nullif(ltrim({text}, '0'), ''), '0'))"
 
 
-DOCS = """, r AS (SELECT account, event_id // 5 AS k, sum(abs(value)) AS v FROM samples GROUP BY 1, 2),
+DOCS = """, r AS (SELECT account, account * 4 + event_id % 4 AS k, sum(abs(value)) AS v FROM samples GROUP BY 1, 2),
 docs AS (SELECT 'b' || account % 3 AS benchmark, CASE WHEN k % 11 = 0 THEN 'main' ELSE 'v0.0.' || k % 2 END AS release, 'm' || account % 2 AS machine, '20240101-' || lpad(CAST(k % 4 AS VARCHAR), 6, '0') AS run, CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END AS copies,
- CASE WHEN k % 13 = 0 THEN 'json' WHEN k % 11 = 0 THEN 'release' WHEN k % 17 = 0 OR v = 0 THEN 'wall' ELSE 'none' END AS fault, CASE WHEN k % 3 = 2 THEN round(v / 400.0, 8) ELSE v / 100.0 END AS wall FROM r)"""
+ CASE WHEN k % 13 = 0 THEN 'json' WHEN k % 11 = 0 THEN 'release' WHEN k % 17 = 0 OR v = 0 THEN 'wall' ELSE 'none' END AS fault, CAST(CASE WHEN k % 3 = 2 THEN v * 250000 ELSE v * 1000000 END AS HUGEINT) AS wall FROM r)"""
 SQL = {
-    "run_statistics": sql("samples", body=DOCS + """, g AS (SELECT benchmark, release, machine, run, count(*) AS n, min(wall) AS least, max(wall) AS most, round(avg(wall), 8) AS mean FROM docs WHERE fault = 'none' GROUP BY ALL)
-SELECT *, round(10 * mean / n, 2) AS machines_for_10, round(mean / 60, 8) AS minutes, true AS in_csv FROM g"""),
+    "pending_unlocks": sql("samples", body=""", x AS (SELECT account, event_id AS seq, ts, event_id % 3 < 2 AS append, abs(value) AS amount, ts + event_id % 5 * 86400000 AS due, row_number() OVER (PARTITION BY account ORDER BY ts, event_id) AS i FROM samples),
+run AS (SELECT account, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(due BIGINT, amount BIGINT)[]) AS q, '' AS outcome, CAST(0 AS BIGINT) AS paid FROM (SELECT DISTINCT account FROM x)
+ UNION ALL
+ SELECT x.account, x.i, CASE WHEN append AND len(q) < 8 THEN list_append(q, {'due': due, 'amount': amount}) WHEN NOT append AND len(q) > 0 AND q[1].due <= ts THEN q[2:] ELSE q END,
+  CASE WHEN append THEN CASE WHEN len(q) < 8 THEN 'queued' ELSE 'full' END WHEN len(q) > 0 AND q[1].due <= ts THEN 'paid' ELSE 'none' END,
+  CASE WHEN append THEN CASE WHEN len(q) < 8 THEN amount ELSE 0 END WHEN len(q) > 0 AND q[1].due <= ts THEN q[1].amount ELSE 0 END
+ FROM run JOIN x ON x.account = run.account AND x.i = run.i + 1)
+SELECT account, seq, outcome, paid AS amount, len(q) AS queued FROM run JOIN x USING (account, i)""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "locked_balance_bounds": sql("book", body="""SELECT account, is_ask, CAST(sum(CAST(base AS HUGEINT) * CASE WHEN is_ask = 1 THEN 10 ELSE price END * 1000000000000000000000000) AS VARCHAR) AS locked, count(*) AS n_orders,
+ sum(CAST(base AS HUGEINT) * CASE WHEN is_ask = 1 THEN 10 ELSE price END * 1000000000000000000000000) < 79228162514264337593543950336 AS fits FROM book GROUP BY 1, 2"""),
+    "asset_deltas": POSITION_SQL["spot_balance_deltas"].replace("AS seller FROM fills)", "AS seller FROM fills WHERE ok % 2 <> 0)").replace("AS VARCHAR) AS amount", "AS VARCHAR) AS delta"),
+    "accounts_not_rising": sql("samples", body="SELECT * FROM (SELECT event_id AS seq, account, lag(account) OVER (ORDER BY event_id) AS before FROM samples) WHERE account <= before"),
+    "cleared_positions": sql("fills", "perps", "held", body="SELECT account, market, CASE WHEN status = 0 THEN 0 ELSE position END AS position, CASE WHEN status = 0 THEN 0 ELSE entry_quote END AS entry_quote, CASE WHEN status = 0 THEN 0 ELSE allocated END AS allocated, CASE WHEN status = 0 THEN 0 ELSE open_orders END AS open_orders, status = 0 AS expired FROM held JOIN perps USING (market)"),
+    "run_statistics": sql("samples", body=DOCS + """, g AS (SELECT benchmark, release, machine, run, count(*) AS n, min(wall) AS least, max(wall) AS most, (2 * sum(wall) + count(*)) // (2 * count(*)) AS mean FROM docs WHERE fault = 'none' GROUP BY ALL)
+SELECT benchmark, release, machine, run, n, least / 1e8 AS least, most / 1e8 AS most, mean / 1e8 AS mean, (mean * 2000 + n * 100000000) // (n * 200000000) / 1e2 AS machines_for_10, (2 * mean + 60) // 120 / 1e8 AS minutes, true AS in_csv FROM g"""),
     "document_faults": sql("samples", body=DOCS + " SELECT fault, count(*) AS n, CAST(sum(copies) AS BIGINT) AS files FROM docs GROUP BY fault"),
     "config_defaults": "SELECT p_partkey AS market, CAST(CASE WHEN p_size > 20 THEN p_size ELSE (SELECT max(p_size) FROM part WHERE p_size > 20) END AS BIGINT) AS lots, CASE WHEN p_partkey % 3 > 0 THEN p_brand ELSE (SELECT min(p_brand) FROM part WHERE p_partkey % 3 > 0) END AS brand FROM part",
     "pool_ledger": sql("samples", body=""", x AS (SELECT account % 17 AS pool, event_id AS seq, account AS holder, CASE WHEN event_id % 5 < 3 THEN 'mint' ELSE 'burn' END AS kind, CAST(CASE WHEN event_id % 5 < 3 THEN abs(value) * 1000 ELSE abs(value) % 500 END AS HUGEINT) AS amount, row_number() OVER (PARTITION BY account % 17 ORDER BY event_id) AS i FROM samples),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import join_bytes, le_bytes, packed_fields, rotl32
+from ..functions import join_bytes, le_bytes, packed_fields, rotl32, selects
 from ..functions.wide import isolated_margin_change
 from ..model import schemas
 from ..model.units import TX_TYPES
@@ -72,12 +72,11 @@ def _timers(spark, d):
 
 
 def _wide(spark, d):
-    o = fills(spark, d)
-    w = lambda c: c.cast("decimal(38,0)")
-    a, b = w(F.col("quote") * F.col("side")), w(F.col("base") * 1_000_000)
-    return o.select(
-        "ok", "ln", w(F.abs(a - b)).alias("abs_diff"), w(F.abs(a) + F.abs(b)).alias("abs_sum"), w(-a).alias("negated"), F.signum(a - b).cast("int").alias("compared"), F.least(a, b).alias("least"), F.greatest(a, b).alias("most"),
-        w(F.when(F.abs(a) >= b, F.abs(a) - b).otherwise(0)).alias("left_over"), (F.abs(a) < b).alias("borrow"), w(a * F.col("ln") + b).alias("mul_add"), (F.abs(a) < 2**23).alias("fits"),
+    a, b = F.col("quote") * F.col("side"), F.col("base") * 1_000_000
+    left_over, borrow = selects.try_subtract(a, b)
+    return fills(spark, d).select(
+        "ok", "ln", selects.abs_diff(a, b).alias("abs_diff"), selects.abs_sum(a, b).alias("abs_sum"), selects.negated(a).alias("negated"), selects.compared(a, b).alias("compared"), F.least(selects.wide(a), selects.wide(b)).alias("least"), F.greatest(selects.wide(a), selects.wide(b)).alias("most"),
+        left_over.alias("left_over"), borrow.alias("borrow"), selects.mul_add(a, F.col("ln"), b).alias("mul_add"), selects.fits(a, 23).alias("fits"),
     )
 
 
@@ -124,11 +123,8 @@ QUERIES = {
     "whitelist_faults": lambda s, d: rules.whitelist(_judged(s, d), accounts(s, d).select(F.col("account").alias("account_index"), (F.col("account") % 3).alias("account_type")), s.createDataFrame([(0, k) for k in KINDS] + [(1, "l2_transfer")], "account_type long, kind string")).groupBy("account_type", "kind").agg(F.count("*").alias("n")),
     "transaction_nonce_faults": lambda s, d: rules.nonce_faults(_judged(s, d)).select("account_index", "api_key_index", "before", "nonce"),
     "book_account_orders": lambda s, d: book.account_orders(resting_orders(s, d).where(F.col("nonce") % 2 == 0), resting_orders(s, d).withColumn("base", F.col("base") - (F.col("nonce") % 8 == 0).cast("int"))),
-    "trade_parties": lambda s, d: (
-        fills(s, d).join(accounts(s, d).select(F.col("account").alias("taker"), F.col("nation").alias("taker_nation")), "taker").join(accounts(s, d).select(F.col("account").alias("maker"), F.col("nation").alias("maker_nation")), "maker")
-        .withColumn("fee_account", F.lit(1).cast("long")).join(accounts(s, d).select(F.col("account").alias("fee_account"), F.col("nation").alias("fee_nation")), "fee_account").groupBy("taker_nation", "maker_nation", "fee_nation").agg(F.count("*").alias("n"))
-    ),
-    "pool_share_lookup": lambda s, d: accounts(s, d).select("account", F.col("nation").alias("pool")).join(fills(s, d).where("taker % 2 = 0").groupBy(F.col("taker").alias("account"), (F.col("market") % 25).cast("int").alias("pool")).agg(F.sum("base").alias("shares")), ["account", "pool"], "left").fillna(0, ["shares"]),
+    "trade_parties": lambda s, d: positions.trade_parties(fills(s, d), accounts(s, d), "nation", 1).groupBy("taker_nation", "maker_nation", "fee_nation").agg(F.count("*").alias("n")),
+    "pool_share_lookup": lambda s, d: pools.share_lookup(accounts(s, d).select("account", F.col("nation").alias("pool")), fills(s, d).where("taker % 2 = 0").select(F.col("taker").alias("account"), (F.col("market") % 25).cast("int").alias("pool"), F.col("base").alias("shares"))),
     "impact_targets": lambda s, d: book.impact_prices(_quotes(s, d), F.col("target")),
     "impact_updates": _impact_updates,
     "wide_arithmetic": _wide,
@@ -139,8 +135,8 @@ QUERIES = {
     "hourly_averages": lambda s, d: funding_hours(samples(s, d).withColumn("at", F.timestamp_millis("ts")), "at").withColumn("start", F.unix_millis("start")),
     "log_stages": _lines,
     "wall_seconds": _wall,
-    "array_selection": lambda s, d: accounts(s, d).select("account", F.array_join(F.when(F.col("account") % 2 == 0, F.array(F.col("account"), F.col("nation").cast("long"))).otherwise(F.array(F.lit(0).cast("long"), F.col("account") * 2)), ":").alias("items")),
-    "record_selection": lambda s, d: resting_orders(s, d).select("nonce", F.when(F.col("is_ask") == 1, F.struct("price", F.col("base").alias("size"))).otherwise(F.struct((-F.col("price")).alias("price"), (F.col("base") * 2).alias("size"))).alias("r")).select("nonce", "r.price", "r.size"),
+    "array_selection": lambda s, d: accounts(s, d).select("account", F.array_join(selects.select(F.col("account") % 2 == 0, F.array(F.col("account"), F.col("nation").cast("long")), F.array(F.lit(0).cast("long"), F.col("account") * 2)), ":").alias("items")),
+    "record_selection": lambda s, d: resting_orders(s, d).select("nonce", selects.select_fields(F.col("is_ask") == 1, {"price": F.col("price"), "size": F.col("base")}, {"price": -F.col("price"), "size": F.col("base") * 2}).alias("r")).select("nonce", "r.price", "r.size"),
     "last_child_orders": lambda s, d: resting_orders(s, d).groupBy("account").agg(F.coalesce(F.max(F.when(F.col("is_ask") == 1, F.col("nonce"))), F.lit(0)).alias("last_ask")),
     "word_rotations": lambda s, d: resting_orders(s, d).select("nonce", rotl32(F.col("nonce"), 5).alias("left5"), rotl32(F.col("nonce"), 27).alias("right5"), F.bitwise_not("nonce").bitwiseAND(F.lit(2**32 - 1)).alias("inverted"), join_bytes(le_bytes(F.col("nonce"), 6)).alias("joined")),
     "packed_fields": lambda s, d: resting_orders(s, d).select("nonce", packed_fields(12, (F.lit(7), 1), (F.col("account"), 6), (F.col("price"), 4)).alias("packed"), F.conv(F.hex("nonce"), 16, 2).alias("bits")),

@@ -35,7 +35,7 @@ def _holdings(spark, d):
 
 
 QUERIES = {
-    "pool_redemptions": lambda s, d: pools.redemptions(_holdings(s, d), 1_000_000, 300_000).withColumns({"value": F.col("value").cast("long"), "fee": F.col("fee").cast("long")}),
+    "pool_redemptions": lambda s, d: pools.redemptions(_holdings(s, d), 1_000_000, 300_000, 4).withColumns({"value": F.col("value").cast("long"), "fee": F.col("fee").cast("long")}),
     "merged_shares": lambda s, d: pools.merged_shares(accounts(s, d).select("account", F.col("nation").alias("pool"), (F.col("account") % 7).alias("shares")), fills(s, d).select(F.col("taker").alias("account"), (F.col("market") % 25).cast("int").alias("pool"), (F.col("side") * F.col("base")).alias("shares"))),
     "block_summaries": lambda s, d: ledger.block_summary(_blocks(s, d)),
     "block_batches": lambda s, d: ledger.batches(ledger.block_summary(_blocks(s, d)), 10),
@@ -56,7 +56,7 @@ QUERIES = {
 SQL = {
     "pool_redemptions": sql("accounts", body=""", h AS (SELECT CAST(nation AS BIGINT) AS pool, account AS holder, CAST(account % 97 + 1 AS HUGEINT) AS shares, account % 13 * 100000 AS principal, account * 1000 AS entered, CAST(nation AS HUGEINT) * 10 + 1000 AS total, CAST(abs(collateral) AS HUGEINT) + 1 AS tav, account % 50 = 0 AS op FROM accounts),
 v AS (SELECT *, shares * tav // total AS value FROM h)
-SELECT pool, holder, CAST(value AS BIGINT) AS value, CAST(CASE WHEN op THEN 0 ELSE greatest(value - principal, 0) * 100000 * total // (tav * 1000000) END AS BIGINT) AS fee, op OR 1000000 >= entered + 300000 AS free FROM v"""),
+SELECT pool, holder, CAST(value AS BIGINT) AS value, CAST(CASE WHEN op THEN 0 ELSE greatest(value - principal, 0) * 100000 * total // (tav * 1000000) END AS BIGINT) AS fee, op OR pool <> 4 OR 1000000 >= entered + 300000 AS free FROM v"""),
     "merged_shares": sql("accounts", "fills", body="""SELECT account, CAST(pool AS INTEGER) AS pool, CAST(sum(x) AS BIGINT) AS shares FROM (SELECT account, nation AS pool, account % 7 AS x FROM accounts UNION ALL SELECT taker, market % 25, side * base FROM fills) GROUP BY 1, 2 HAVING sum(x) <> 0"""),
     "block_summaries": sql("samples", body=f", {LOG}, {SUMMARY} SELECT * FROM summary"),
     "block_batches": sql("samples", body=f""", {LOG}, {SUMMARY} SELECT block // 10 AS batch, min(block) AS first_block, max(block) AS last_block, arg_min(first_ts, block) AS first_ts, arg_max(last_ts, block) AS last_ts, CAST(sum(n) AS BIGINT) AS n, CAST(sum(amount) AS BIGINT) AS amount, count(*) AS n_blocks, max(block) - min(block) + 1 = count(*) AS whole FROM summary GROUP BY 1"""),

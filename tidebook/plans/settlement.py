@@ -16,11 +16,11 @@ def _pooled(spark, d):
 
 def _debits(spark, d):
     ops = operations(spark, d)
-    return debits.statuses(ops, debits.ordered_debits(ops)[0]).select("seq", "kind", "status")
+    return debits.statuses(ops, debits.ordered_debits(ops, 2)[0]).select("seq", "kind", "status")
 
 
 def _balances(spark, d):
-    return debits.ordered_debits(operations(spark, d))[1].withColumn("balance", F.col("balance").cast("string"))
+    return debits.ordered_debits(operations(spark, d), 2)[1].withColumn("balance", F.col("balance").cast("string"))
 
 
 def _funding(spark, d):

@@ -32,16 +32,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def summaries(documents: DataFrame) -> DataFrame:
     """The documents' fields and ``wall``, the time of each run; ``fault`` says why a document can't be used: ``json``, ``release`` (not a version), ``wall`` (no time) or null."""
     rows = documents.withColumn("s", F.from_json("content", schemas.SUMMARY, {"columnNameOfCorruptRecord": "corrupt"}))
-    rows = rows.withColumn("wall", F.round(wall(F.col("s.pipelined_seconds"), F.col("s.wall_seconds"), F.col("s.total_txs"), F.col("s.tps")), 8))
+    rows = rows.withColumn("wall", F.round(wall(F.col("s.pipelined_seconds"), F.col("s.wall_seconds"), F.col("s.total_txs"), F.col("s.tps")), 8).try_cast("decimal(18,8)"))
     broken = F.col("s").isNull() | ~F.col("content").rlike(r"\}$")
-    fault = F.when(broken, "json").when(~F.col("release").rlike("^(v0\\.0|radix)"), "release").when(F.coalesce("wall", F.lit(0.0)) == 0, "wall")
+    fault = F.when(broken, "json").when(~F.col("release").rlike("^(v0\\.0|radix)"), "release").when(F.coalesce("wall", F.lit(0)) == 0, "wall")
     return rows.select(*KEYS, "digest", "copies", "wall", fault.alias("fault"))
 
 
 def run_statistics(rows: DataFrame) -> DataFrame:
     """Statistics of the usable ``summaries`` by benchmark, release, machine and run; ``machines_for_10`` is the machines that ten blocks a second would take."""
-    out = rows.where("fault IS NULL").groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("wall").alias("least"), F.max("wall").alias("most"), F.round(F.avg("wall"), 8).alias("mean"))
-    return out.withColumns({"machines_for_10": F.round(10 * F.col("mean") / F.col("n"), 2), "minutes": F.round(F.col("mean") / 60, 8)})
+    n = F.count("*")
+    mean = F.round(F.sum("wall").cast("decimal(28,8)") / n, 8).cast("decimal(18,8)")
+    out = rows.where("fault IS NULL").groupBy(*KEYS).agg(n.alias("n"), F.min("wall").alias("least"), F.max("wall").alias("most"), mean.alias("mean"))
+    # quotients of decimals, so that halves are rounded up whatever the order of the sums
+    out = out.withColumns({"machines_for_10": F.round(F.col("mean") * 10 / F.col("n"), 2), "minutes": F.round(F.col("mean") / 60, 8)})
+    return out.select(*KEYS, "n", *(F.col(c).cast("double").alias(c) for c in ("least", "most", "mean", "machines_for_10", "minutes")))
 
 
 def write_report(report: DataFrame, path: str) -> None:
