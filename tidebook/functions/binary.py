@@ -1,7 +1,7 @@
 """Wide unsigned integers as 32 bytes, the highest first.
 
-Spark orders binary values by unsigned bytes, so ``=``, ``<``, ``min`` and ``max`` work on these as they are. Sums go by 32-bit limbs with a carry, written out limb by
-limb, so that they stay in generated code. A result that does not fit is null.
+Spark orders binary values by unsigned bytes, so ``=``, ``<``, ``min`` and ``max`` work on these as they are. Sums go by 32-bit limbs with a carry, in
+built-in functions. A result that does not fit is null.
 """
 
 from __future__ import annotations
@@ -31,35 +31,38 @@ def to_hex(x: Column) -> Column:
     return F.regexp_replace(F.lower(F.hex(x)), "^0+(?=.)", "")
 
 
-def limbs(x: Column) -> list[Column]:
+def limbs(x: Column) -> Column:
     """The eight 32-bit limbs, the lowest first."""
-    text = F.hex(x)
-    return [F.conv(F.substring(text, 8 * i + 1, 8), 16, 10).cast("long") for i in range(LIMBS - 1, -1, -1)]
+    return F.array(*(F.conv(F.hex(F.substring(x, 4 * i + 1, 4)), 16, 10).cast("long") for i in range(LIMBS - 1, -1, -1)))
 
 
-def _carried(totals: list[Callable[[Column], Column]]) -> tuple[Column, Column]:
-    """The limbs joined, and what is left over beyond them; each total is a function of the carry from the limb below."""
-    carry, out = F.lit(0).cast("long"), []
-    for total in totals:
-        t = total(carry)
-        carry, low = F.shiftright(t, 32), t.bitwiseAND(F.lit(2**32 - 1))
-        out.append(F.lpad(F.hex(low), 8, "0"))
-    return F.unhex(F.concat(*reversed(out))), carry
+def _carried(parts: Column, total: Callable[[Column, Column], Column]) -> Column:
+    """A struct of the limbs, lowest first, and the carry beyond them; ``total`` gives a limb from an element of ``parts`` and the carry from below."""
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        t = total(part, acc["carry"])
+        return F.struct(F.shiftright(t, 32).alias("carry"), F.concat(acc["out"], F.array(t.bitwiseAND(F.lit(2**32 - 1)))).alias("out"))
+
+    return F.aggregate(parts, start, step, lambda acc: F.struct(acc["carry"].alias("carry"), F.unhex(F.array_join(F.reverse(F.transform(acc["out"], lambda v: F.lpad(F.hex(v), 8, "0"))), "")).alias("x")))
+
+
+def _pairs(a: Column, b: Column) -> Column:
+    return F.zip_with(limbs(a), limbs(b), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
 
 
 def add(a: Column, b: Column) -> Column:
     """a + b; null if it takes over 256 bits."""
-    out, carry = _carried([lambda c, x=x, y=y: x + y + c for x, y in zip(limbs(a), limbs(b))])
-    return F.when(carry == 0, out)
+    done = _carried(_pairs(a, b), lambda p, carry: p["a"] + p["b"] + carry)
+    return F.when(done["carry"] == 0, done["x"])
 
 
 def subtract(a: Column, b: Column) -> Column:
     """a - b; null if b is greater."""
-    out, _ = _carried([lambda c, x=x, y=y: x - y + c for x, y in zip(limbs(a), limbs(b))])
-    return F.when(b <= a, out)
+    return F.when(b <= a, _carried(_pairs(a, b), lambda p, carry: p["a"] - p["b"] + carry)["x"])
 
 
 def times(a: Column, x: int) -> Column:
     """a times a constant from 0 to 2^30; null if it takes over 256 bits."""
-    out, carry = _carried([lambda c, v=v: v * x + c for v in limbs(a)])
-    return F.when(carry == 0, out)
+    done = _carried(limbs(a), lambda v, carry: v * x + carry)
+    return F.when(done["carry"] == 0, done["x"])

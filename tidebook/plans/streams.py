@@ -19,9 +19,9 @@ def _timers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resumed(spark: SparkSession, d: str) -> DataFrame:
-    """Half of the fills, in 25 markets; the last batch again, as after a crash; then the other half."""
+    """Half of the fills, in five markets; the last batch again, as after a crash; then the other half."""
     place = runs.shared_path(spark, "fills")
-    rows = ordered_fills(fills(spark, d)).withColumn("market", F.col("market") % 25)
+    rows = ordered_fills(fills(spark, d)).withColumn("market", F.col("market") % 5)
     low, high = rows.agg(F.min("seq"), F.max("seq")).first()
     middle = ((low or 0) + (high or 0)) // 2
     rows.where(F.col("seq") < middle).write.parquet(f"{place}/in/part=0")
@@ -45,7 +45,7 @@ def _late(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"timer_fires": _timers, "resumed_positions": _resumed, "late_rows": _late}
 SQL = {
-    "resumed_positions": POSITION_SQL["entry_quotes"].replace("account, market, ts, ok, ln, side", "account, market % 25 AS market, ts, ok, ln, side").replace("SELECT -maker - 2, market,", "SELECT -maker - 2, market % 25,").replace("CAST(r AS VARCHAR) AS realised FROM", "CAST(r AS VARCHAR) AS realised, n FROM"),
+    "resumed_positions": POSITION_SQL["entry_quotes"].replace("account, market, ts, ok, ln, side", "account, market % 5 AS market, ts, ok, ln, side").replace("SELECT -maker - 2, market,", "SELECT -maker - 2, market % 5,").replace("CAST(r AS VARCHAR) AS realised FROM", "CAST(r AS VARCHAR) AS realised, n FROM"),
     "timer_fires": sql("book", "samples", "arms", body=""", n AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY kind, account, id ORDER BY ts, due), (SELECT max(ts) FROM arms)) AS after FROM arms)
 SELECT kind, account, id, due FROM n WHERE due <> 0 AND due <= after"""),
     "late_rows": sql("samples", body=""", p AS (SELECT account, market, event_id AS seq, event_id * 7 % 192 // 64 AS part FROM samples),
