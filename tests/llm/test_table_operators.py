@@ -52,6 +52,15 @@ def jaccard(a, b):
     return both / max(1, sum(a.values()) + sum(b.values()) - both)
 
 
+def test_signatures_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 400, 40)
+    items, of, w = rng.integers(0, 2**44, sizes.sum()).astype(np.uint64), np.repeat(np.arange(40), sizes), rng.integers(1, 6, sizes.sum())
+    together = near_duplicates.bag_minhash(items, of, w, 40)
+    alone = [near_duplicates.bag_minhash(items[of == k], np.zeros(sizes[k], int), w[of == k], 1) for k in range(40)]
+    assert (together == np.concatenate(alone)).all()
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     for _ in range(5):

@@ -71,7 +71,9 @@ def bag_minhash(items: np.ndarray, of: np.ndarray, weights: np.ndarray, texts: i
     while len(take):
         points = 1 if turn < 2 else int(np.clip(POINTS // len(take), 1, 16))
         draw = mix(stream[:, None] + (count[:, None] + np.arange(1, points + 1)).astype(_U) * _U(0x9E3779B97F4A7C15))
-        at = time[:, None] + np.cumsum(-np.log1p(-(draw >> _U(11)).astype(float) * 2.0**-53) / length[:, None], axis=1)
+        # added one by one, so that times don't depend on how many points are drawn at once
+        steps = -np.log1p(-(draw >> _U(11)).astype(float) * 2.0**-53) / length[:, None]
+        at = np.cumsum(np.concatenate([time[:, None], steps], axis=1), axis=1)[:, 1:]
         more = mix(draw ^ _U(0xA0761D6478BD642F))
         level = np.ceil(floor[:, None] + length[:, None] * (((more >> _U(32)).astype(float) + 0.5) * 2.0**-32))
         slot = text[:, None] * m + (more & _U(0xFFFFFFFF)).astype(np.int64) * m // (1 << 32)
