@@ -11,6 +11,7 @@ SHARE_TICK = 10_000  # pool share rates are in 1e-4
 SECOND_MS, MINUTE_MS, HOUR_MS = 1_000, 60_000, 3_600_000
 PREMIUM_SAMPLES = 60  # premium sums are divided by this, however many samples were taken
 FUNDING_PERIODS = 8  # a funding rate is paid in this many hourly parts
+EMPTY_VALUE = 1_000  # value of a share in an empty pool
 IMPACT_NOTIONAL = 500_000_000  # quote units
 
 # Sentinels, read as null.
@@ -23,7 +24,7 @@ NIL_ORDER = NIL_EXPIRY = NIL_TRIGGER_PRICE = NIL_ASSET = 0
 # Ranges.
 NONCE_BITS = 48
 FIRST_ASK_NONCE, FIRST_BID_NONCE = 1, 2**48 - 1
-MAX_BASE, MAX_PRICE, MAX_POSITION = 2**48 - 1, 2**32 - 1, 2**56 - 1
+MAX_BASE, MAX_PRICE, MAX_POSITION, MAX_TRANSFER = 2**48 - 1, 2**32 - 1, 2**56 - 1, 2**60 - 1
 LAST_PERPS_MARKET, FIRST_SPOT_MARKET, LAST_SPOT_MARKET = 254, 2048, 4094
 TREASURY_ACCOUNT, FIRST_SUB_ACCOUNT = 0, 2**47
 

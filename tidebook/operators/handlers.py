@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.wide import mul_div_longs
-from ..model.units import MASTER, SIMPLE, SUB, TX_TYPES, UNIFIED
+from ..model.units import COLLATERAL_SCALE, EMPTY_VALUE, MASTER, MAX_TRANSFER, SIMPLE, SUB, TX_TYPES, UNIFIED
 from .ledger import delta_encoded, last_fields, last_values
 
 WIDE = "decimal(38,0)"
@@ -70,22 +70,35 @@ def leverages(log: DataFrame) -> DataFrame:
 
 
 def margin_moves(log: DataFrame) -> DataFrame:
-    """Margin moved between an account's collateral (place -1) and its isolated positions (their market)."""
-    return movements(of(log, "l2_update_margin"), (F.col("account"), F.lit(-1).cast("long"), -F.col("value")), (F.col("account"), F.col("market"), F.col("value")))
+    """Collateral moved between an account (place -1) and its isolated positions (their market), of rows with ``(direction, position, isolated, market_status, cross_available, isolated_available)``.
+
+    ``direction`` 1 adds margin, 0 takes it back. A row moves its value in collateral units if the market is active, the position isolated and not empty, the value from 1 to 2^60 - 1, and
+    what it takes from has as much available: the account for added margin, the position for margin taken back. Nulls in these refuse a row.
+    """
+    adds, amount = F.col("direction") == 1, F.col("value").cast(WIDE) * COLLATERAL_SCALE
+    enough = amount <= F.when(adds, F.col("cross_available")).otherwise(F.col("isolated_available"))
+    rows = of(log, "l2_update_margin").where(F.col("direction").isin(0, 1) & (F.col("market_status") == 1) & F.col("isolated") & (F.col("position") != 0) & F.col("value").between(1, MAX_TRANSFER) & enough)
+    signed = F.when(adds, amount).otherwise(-amount)
+    return movements(rows, (F.col("account"), F.lit(-1).cast("long"), -signed), (F.col("account"), F.col("market"), signed))
+
+
+def _worth() -> Column:
+    """What a row's shares are worth in its pool of ``pool_total`` shares and the value ``pool_value``, rounded down; an empty pool has a fixed price."""
+    return F.when(F.col("pool_total") == 0, F.col("value").cast(WIDE) * EMPTY_VALUE).otherwise(mul_div_longs(F.col("value"), F.col("pool_value"), F.col("pool_total")))
 
 
-def stakes(log: DataFrame, total: int, balance: int) -> DataFrame:
-    """Shares that staked amounts buy (amount x total div balance, each rounded down), by account."""
-    shares = mul_div_longs(F.col("value"), F.lit(total).cast("long"), F.lit(balance).cast("long"))
-    return of(log, "l2_stake_assets").groupBy("account").agg(F.sum(shares).cast(WIDE).alias("shares"), F.sum("value").alias("staked"))
+def stakes(log: DataFrame) -> DataFrame:
+    """Shares and their worth that accounts staked, less what they unstaked, at the state of the pool that each row carries; ``staking.staking`` moves that state itself."""
+    sign = F.when(F.col("tx_type") == TX_TYPES["l2_stake_assets"], 1).otherwise(-1)
+    rows = of(log, "l2_stake_assets", "l2_unstake_assets").where("value > 0")
+    return rows.groupBy("account").agg(F.sum(sign * F.col("value")).cast(WIDE).alias("shares"), F.sum(sign * _worth()).cast(WIDE).alias("staked"))
 
 
-def minted(log: DataFrame, total: int, value: int) -> DataFrame:
-    """Shares that deposits into a pool buy, less those burnt, by account and pool."""
-    shares = mul_div_longs(F.col("value"), F.lit(total).cast("long"), F.lit(value).cast("long"))
-    rows = of(log, "l2_mint_shares", "l2_burn_shares", "l1_burn_shares", "l2_force_burn_shares").withColumn("shares", shares)
-    signed = F.when(F.col("tx_type") == TX_TYPES["l2_mint_shares"], F.col("shares")).otherwise(-F.col("shares"))
-    return movements(rows, (F.col("account"), F.col("slot"), signed))
+def minted(log: DataFrame) -> DataFrame:
+    """Shares minted less those burnt, by account and pool (place: the pool), and the money for them (place -1), at the state of the pool that each row carries."""
+    rows = of(log, "l2_mint_shares", "l2_burn_shares", "l1_burn_shares", "l2_force_burn_shares").where("value > 0")
+    sign = F.when(F.col("tx_type") == TX_TYPES["l2_mint_shares"], 1).otherwise(-1)
+    return movements(rows, (F.col("account"), F.col("slot"), sign * F.col("value")), (F.col("account"), F.lit(-1).cast("long"), -sign * _worth()))
 
 
 def account_modes(changes: DataFrame) -> DataFrame:

@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wide import mul_div
-from ..model.units import SHARE_TICK, USDC_TICK
+from ..model.units import EMPTY_VALUE, SHARE_TICK, USDC_TICK
 from .folds import ordered_fold
 
 WIDE = "decimal(38,0)"
-EMPTY_VALUE = 1_000  # value of a share in an empty pool
 PRINCIPAL_UNIT = 100  # principals are in hundredths of the precision that staked values have (fixed value)
 STAKE_FACTOR = 10  # a holder's principal in a pool is bound by this many times the staked value
 

@@ -1,0 +1,125 @@
+"""Staking pools in order: stakes and unstakes at a price that moves with each of them.
+
+``rows`` have ``(pool, seq, ts, holder, kind, shares, is_operator, available, bound)``: ``kind`` is ``stake`` or ``unstake``, ``available`` what the holder can pay (null: anything),
+``bound`` the holder's principal in the main pool, which what stays staked has to carry (null: none). ``seq`` is unique. ``pools`` have
+``(pool, total, balance, operator_shares, min_rate, frozen, lockup)``, one row each; ``holdings`` ``(pool, holder, shares, principal)`` what others than operators hold at first.
+
+A row that breaks a rule changes nothing. Rules: shares are from 1 to 2^60 - 1, as is the total after; nobody unstakes more than they hold; a stake costs at most ``available``, enters no
+frozen pool, and leaves the operator the least share of the pool, unless it is the operator's; an operator's unstake leaves it too, unless the pool is frozen; a holder's unstake leaves
+enough for ``bound``. Rows of unknown pools, of other kinds and with null shares are refused.
+
+What a holder has depends on which rows their pool took, and the pool's price on which rows its holders could cover. So each round streams every holder's rows, with
+the pools' decisions of the round before, then every pool's rows with those of the holders. The first row that was decided otherwise than one by one has seen right numbers
+in the next round, so when a round changes nothing all rows are right. Either stream has a few numbers of state, whatever the number of holders.
+"""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..model.units import EMPTY_VALUE, SHARE_TICK
+from .debits import written
+from .folds import ordered_fold
+from .pools import PRINCIPAL_UNIT, STAKE_FACTOR
+
+MOST, MOST_PRINCIPAL = 2**60, 2**56
+OPEN = "open"
+ROW = "pool long, seq long, ts long, holder long, kind string, shares long, is_operator boolean, available decimal(38,0), bound long, min_rate long, frozen boolean, lockup long"
+HELD = "covered boolean, held long, left long, principal long, principal_left long"
+JUDGED = "ok boolean, amount long"
+MOVED = "taken boolean, held_after long, principal_after long, total long, balance decimal(38,0), pays_at long"
+N = len(ROW.split(", "))
+FIRST = -(2**63)
+
+
+def price(shares: int, total: int, balance: int, unit: int) -> int:
+    """What shares are worth, rounded down, in amounts of ``unit`` parts of the balance."""
+    return shares * EMPTY_VALUE if total == 0 else shares * balance // (total * unit)
+
+
+def hold(state: tuple[int, int], row) -> tuple[tuple[int, int], list]:
+    """One holder's shares and principal after a row, and whether they cover it."""
+    held, principal = state
+    if row.kind == OPEN:
+        return (row.shares, row.amount), []
+    if row.is_operator:
+        return state, [(*row[:N], True, None, None, None, None)]
+    left, rest, covered = held, principal, False
+    if row.shares is not None and 0 < row.shares < MOST:
+        if row.kind == "stake":
+            left, rest = held + row.shares, principal + row.amount
+            covered = left < MOST and rest < MOST_PRINCIPAL
+        elif row.shares <= held:
+            left, rest, covered = held - row.shares, principal - principal * row.shares // held, True
+    if not covered:
+        left, rest = held, principal
+    return (left, rest) if covered and row.ok else state, [(*row[:N], covered, held, left, principal, rest)]
+
+
+def judge(state: tuple[int, int, int], row, unit: int) -> tuple[bool, int, tuple[int, int, int]]:
+    """Whether the pool takes a row that its holder covers, what it moves, and the pool's total, balance and operator's shares after it."""
+    total, balance, own = state
+    n = row.shares
+    if row.min_rate is None or row.kind not in ("stake", "unstake") or n is None or not 0 < n < MOST:
+        return False, 0, state
+    amount = price(n, total, balance, unit)
+    if amount >= MOST:
+        return False, 0, state
+    sign = 1 if row.kind == "stake" else -1
+    after = total + sign * n, balance + sign * amount * unit, own + sign * n * bool(row.is_operator)
+    enough = after[0] * row.min_rate <= after[2] * SHARE_TICK
+    if sign > 0:
+        ok = not row.frozen and after[0] < MOST and (row.available is None or amount * unit <= int(row.available)) and (row.is_operator or enough)
+    else:
+        ok = min(after) >= 0 and (not row.is_operator or row.frozen or enough)
+        if ok and row.bound is not None and not row.is_operator:
+            ok = row.bound * PRINCIPAL_UNIT <= STAKE_FACTOR * price(row.left, after[0], after[1], unit)
+    return (True, amount, after) if ok else (False, 0, state)
+
+
+def pool_step(unit: int):
+    """The step of a pool's stream."""
+
+    def step(state, row):
+        if row.kind == OPEN:
+            return (row.shares, int(row.available), row.left), []
+        ok, amount, after = judge(state, row, unit)
+        taken = ok and row.covered
+        state = after if taken else state
+        pays_at = row.ts + (0 if row.is_operator else row.lockup) if taken and row.kind == "unstake" else None
+        held, principal = (row.left, row.principal_left) if taken else (row.held, row.principal)
+        return state, [(*row[:N], ok, amount, taken, held, principal, state[0], Decimal(state[1]), pays_at)]
+
+    return step
+
+
+def staking(rows: DataFrame, pools: DataFrame, unit: int = 1, holdings: DataFrame | None = None) -> DataFrame:
+    """Every row with ``taken``, the ``amount`` that it moves, what its holder has after it (null for operators), the pool after it, and when an unstake pays.
+
+    Holders wait the pool's lockup (0: paid at once), operators don't.
+    """
+    spark = rows.sparkSession
+    names = [c.split()[0] for c in ROW.split(", ")]
+    empty = spark.createDataFrame([], f"{ROW}, {JUDGED}")
+    opening = pools.select("pool", F.lit(FIRST).cast("long").alias("seq"), F.lit(OPEN).alias("kind"), F.col("total").alias("shares"), F.col("balance").cast("decimal(38,0)").alias("available"), F.col("operator_shares").alias("left"))
+    known = rows.join(pools.select("pool", "min_rate", "frozen", "lockup"), "pool", "left")
+    known = known.withColumns({"available": F.col("available").cast("decimal(38,0)"), "is_operator": F.coalesce("is_operator", F.lit(False)), "lockup": F.coalesce("lockup", F.lit(0)).cast("long")})
+    known = empty.unionByName(known.select(*names).withColumns({"ok": F.lit(True), "amount": F.lit(0).cast("long")}))
+    first = None
+    if holdings is not None:
+        first = holdings.select("pool", "holder", F.lit(FIRST).cast("long").alias("seq"), F.lit(OPEN).alias("kind"), "shares", F.col("principal").alias("amount"))
+        first = empty.unionByName(first, allowMissingColumns=True)
+    decided, before = written(known, "staking"), None
+    while True:
+        asked = decided.select(*names, "ok", "amount")
+        asked = asked if first is None else asked.unionByName(first)
+        covered = ordered_fold(asked, ["pool", "holder"], ["seq"], lambda k: (0, 0), hold, lambda k, s: [], f"{ROW}, {HELD}")
+        streams = covered.unionByName(opening, allowMissingColumns=True)
+        decided = written(ordered_fold(streams, ["pool"], ["seq"], lambda k: (0, 0, 0), pool_step(unit), lambda k, s: [], f"{ROW}, {JUDGED}, {MOVED}"), "staking")
+        state = tuple(decided.agg(F.count_if("ok"), F.sum(F.xxhash64("pool", "seq", "ok", "amount").cast("decimal(38,0)"))).first())
+        if state == before:
+            return decided.select("pool", "seq", "holder", "kind", "shares", "taken", F.when(F.col("taken"), F.col("amount")).otherwise(0).cast("long").alias("amount"), F.col("held_after").alias("held"), F.col("principal_after").alias("principal"), "total", "balance", "pays_at")
+        before = state

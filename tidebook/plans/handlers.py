@@ -110,8 +110,8 @@ QUERIES = {
     "pool_fee_changes": lambda s, d: handlers.pool_fees(_txs(s, d)),
     "leverage_changes": lambda s, d: handlers.leverages(_txs(s, d)),
     "margin_moves": lambda s, d: handlers.margin_moves(_txs(s, d)),
-    "staked_shares": lambda s, d: handlers.stakes(_txs(s, d), 1_000_003, 2_000_029),
-    "minted_shares": lambda s, d: handlers.minted(_txs(s, d), 1_000_003, 2_000_029),
+    "staked_shares": lambda s, d: handlers.stakes(_txs(s, d)),
+    "minted_shares": lambda s, d: handlers.minted(_txs(s, d)),
     "account_mode_changes": lambda s, d: handlers.account_modes(config_changes(s, d)),
     "strategy_moves": lambda s, d: handlers.strategy_moves(_txs(s, d)),
     "metadata_stamps": lambda s, d: handlers.stamps(samples(s, d).withColumnRenamed("event_id", "seq")),
@@ -157,7 +157,8 @@ GOAL = "(5000000000000 // (500 + market % 5 * 100) // 25000)"
 TARGETS = f"""w AS (SELECT market, is_ask, price, base, {GOAL} AS t, coalesce(sum(base) OVER b, 0) AS b, coalesce(sum(base * price) OVER b, 0) AS q FROM book WINDOW b AS ({PRIORITY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 hit AS (SELECT market, is_ask, b + (t - q + price - 1) // price AS lots, q + (t - q + price - 1) // price * price AS quote FROM w WHERE q < t AND q + base * price >= t),
 impacts AS (SELECT s.market, s.is_ask, CAST(coalesce(CASE WHEN s.is_ask = 1 THEN (quote + lots - 1) // lots ELSE quote // lots END, 0) AS BIGINT) AS impact FROM (SELECT DISTINCT market, is_ask FROM book) s LEFT JOIN hit h ON s.market = h.market AND s.is_ask = h.is_ask)"""
-SHARES = "CAST(value AS HUGEINT) * 1000003 // 2000029"
+WORTH = "CAST(value AS HUGEINT) * (market * 1001 + 2000029) // (slot * 7 + 1000003)"
+MARGIN = "value * 1000000 * (seq // 45 % 2 * 2 - 1)"
 SQL = {
     "api_key_changes": _tx("SELECT account, slot, value, tx_type FROM txs WHERE tx_type IN (2, 8) QUALIFY row_number() OVER (PARTITION BY account, slot ORDER BY seq DESC) = 1"),
     "market_settings": _tx("SELECT market, max(seq) FILTER (WHERE tx_type = 3) AS created, coalesce(arg_max(value % 8, seq) FILTER (WHERE tx_type = 44), -1) AS strategy, arg_max(value, seq) FILTER (WHERE tx_type IN (3, 4)) AS fraction FROM txs WHERE tx_type IN (3, 4, 44) GROUP BY market HAVING count(*) FILTER (WHERE tx_type = 3) > 0"),
@@ -166,9 +167,9 @@ SQL = {
     "sub_accounts": _tx("SELECT account, count(*) AS n, min(seq) + 140737488355328 AS first_index, max(seq) + 140737488355328 AS last_index FROM txs WHERE tx_type = 9 GROUP BY account"),
     "pool_fee_changes": _tx("SELECT slot, seq, value, coalesce(value <= min(value) OVER (PARTITION BY slot ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS taken FROM txs WHERE tx_type IN (10, 11, 33)"),
     "leverage_changes": _tx("SELECT account, market, value FROM txs WHERE tx_type = 20 AND value >= 2000 QUALIFY row_number() OVER (PARTITION BY account, market ORDER BY seq DESC) = 1"),
-    "margin_moves": _move("account|-1|-value", "account|market|value", where="tx_type = 29"),
-    "staked_shares": _tx(f"SELECT account, CAST(sum({SHARES}) AS VARCHAR) AS shares, CAST(sum(value) AS BIGINT) AS staked FROM txs WHERE tx_type = 35 GROUP BY account"),
-    "minted_shares": _move(f"account|slot|CASE WHEN tx_type = 18 THEN {SHARES} ELSE -({SHARES}) END", where="tx_type IN (18, 19, 30, 40)"),
+    "margin_moves": _move(f"account|-1|-({MARGIN})", f"account|market|{MARGIN}", where="tx_type = 29 AND market <> 9 AND (account + market) % 4 <> 0 AND seq // 45 % 5 <> 1 AND value > 0 AND value * 1000000 <= CASE WHEN seq // 45 % 2 = 1 THEN (account % 100 + 1) * 200000000 ELSE seq % 7 * 2000000000 END"),
+    "staked_shares": _tx(f"SELECT account, CAST(sum(sign * value) AS VARCHAR) AS shares, CAST(sum(sign * ({WORTH})) AS VARCHAR) AS staked FROM (SELECT *, CASE WHEN tx_type = 35 THEN 1 ELSE -1 END AS sign FROM txs WHERE tx_type IN (35, 36) AND value > 0) GROUP BY account"),
+    "minted_shares": _move("account|slot|CASE WHEN tx_type = 18 THEN value ELSE -value END", f"account|-1|CASE WHEN tx_type = 18 THEN -({WORTH}) ELSE {WORTH} END", where="tx_type IN (18, 19, 30, 40)"),
     "account_mode_changes": sql("samples", "configs", body=""", c AS (SELECT *, CASE WHEN account_type IN (0, 1) AND (mode = 1 OR (locked = 0 AND tav >= im AND funded >= 0)) THEN mode END AS sure FROM configs),
 m AS (SELECT *, coalesce(last_value(sure IGNORE NULLS) OVER (PARTITION BY account ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
 t AS (SELECT *, sure IS NOT NULL AND before <> mode AS taken FROM m)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, debits
-from ..sources.tables import fills, funding_marks, operations, sql
+from ..operators import asof, debits, staking
+from ..sources.tables import fills, funding_marks, operations, sql, stakes
 
 MONTH = 30 * 86_400_000
 
@@ -32,7 +32,12 @@ def _balance(spark, d):
     return out.select("market", *(F.col(c).cast("string").alias(c) for c in ("received", "paid", "outstanding", "total")))
 
 
-QUERIES = {"ordered_debits": _debits, "ordered_balances": _balances, "fill_funding": _funding, "funding_balance": _balance}
+def _staking(spark, d):
+    rows, pools, holdings = stakes(spark, d)
+    return staking.staking(rows, pools, 10, holdings).withColumn("balance", F.col("balance").cast("string"))
+
+
+QUERIES = {"staking_ledger": _staking, "ordered_debits": _debits, "ordered_balances": _balances, "fill_funding": _funding, "funding_balance": _balance}
 
 #: One row after the other, with all balances in a list: account x 2 + asset is an account's place, that of the fee account's cash is 1.
 RUN = """, k AS (SELECT *, row_number() OVER (ORDER BY seq) AS i, account * 2 + asset AS own, account * 2 + 1 AS cash, dest * 2 + asset AS other, amount > 0 AND (kind <> 'transfer' OR account <> dest) AS valid FROM operations),
@@ -49,11 +54,32 @@ s AS (SELECT *, coalesce(sum(d) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 P
 paid AS (SELECT *, CAST(held AS HUGEINT) * (last - prefix) AS funding FROM s)"""
 
 
+#: One row of each pool after the other, with its holders' shares and principals in maps.
+STAKING = """, x AS (SELECT account % 17 AS pool, event_id AS seq, ts, account AS holder, CASE WHEN event_id * 7 % 5 < 3 THEN 'stake' ELSE 'unstake' END AS kind, CASE WHEN event_id * 7 % 5 < 3 THEN 1 ELSE -1 END AS s,
+ CAST(abs(value) AS HUGEINT) AS n, account < 17 AS op, CASE WHEN event_id % 13 = 0 THEN 100000000 END AS available, CASE WHEN event_id % 11 = 0 THEN abs(value) * 300 END AS bound, account % 17 % 8 = 7 AS frozen,
+ row_number() OVER (PARTITION BY account % 17 ORDER BY event_id) AS i FROM samples),
+h AS (SELECT pool, map(list(holder), list(CAST(holder * 100 AS HUGEINT))) AS hs, map(list(holder), list(CAST(holder * 1000 AS HUGEINT))) AS ps FROM (SELECT DISTINCT pool, holder FROM x WHERE NOT op AND holder % 5 = 0) GROUP BY pool),
+run AS (SELECT pool, CAST(0 AS BIGINT) AS i, false AS taken, CAST(0 AS HUGEINT) AS amount, CAST(NULL AS HUGEINT) AS held, CAST(NULL AS HUGEINT) AS principal, CAST(pool + 1000000 AS HUGEINT) AS total, CAST((pool + 1000000) * 30007 AS HUGEINT) AS balance,
+  CAST(400000 AS HUGEINT) AS own, coalesce(hs, MAP {-1: CAST(0 AS HUGEINT)}) AS hs, coalesce(ps, MAP {-1: CAST(0 AS HUGEINT)}) AS ps FROM (SELECT DISTINCT pool FROM x) LEFT JOIN h USING (pool)
+ UNION ALL
+ SELECT pool, i, ok, CASE WHEN ok THEN amt ELSE 0 END, CASE WHEN op THEN NULL WHEN ok THEN h1 ELSE h0 END, CASE WHEN op THEN NULL WHEN ok THEN p1 ELSE p0 END, CASE WHEN ok THEN t ELSE total END, CASE WHEN ok THEN b ELSE balance END,
+  CASE WHEN ok THEN o ELSE own END, CASE WHEN ok AND NOT op THEN map_concat(hs, MAP {holder: h1}) ELSE hs END, CASE WHEN ok AND NOT op THEN map_concat(ps, MAP {holder: p1}) ELSE ps END
+ FROM (SELECT *, CASE WHEN n <= 0 THEN false WHEN s = 1 THEN NOT frozen AND coalesce(amt * 10 <= available, true) AND (op OR t * 3000 <= own * 10000) WHEN n > total THEN false WHEN op THEN n <= own AND (frozen OR t * 3000 <= o * 10000)
+   WHEN n > h0 THEN false ELSE coalesce(bound * 100 <= 10 * CASE WHEN t = 0 THEN h1 * 1000 ELSE h1 * b // (t * 10) END, true) END AS ok
+  FROM (SELECT *, CAST(total + s * n AS HUGEINT) AS t, CAST(balance + s * amt * 10 AS HUGEINT) AS b, CAST(own + CASE WHEN op THEN s * n ELSE 0 END AS HUGEINT) AS o, CAST(h0 + s * n AS HUGEINT) AS h1,
+    CAST(CASE WHEN s = 1 THEN p0 + amt WHEN h0 = 0 THEN 0 ELSE p0 - p0 * n // h0 END AS HUGEINT) AS p1
+   FROM (SELECT x.*, total, balance, own, hs, ps, coalesce(map_extract(hs, holder)[1], 0) AS h0, coalesce(map_extract(ps, holder)[1], 0) AS p0, CASE WHEN total = 0 THEN n * 1000 ELSE n * balance // (total * 10) END AS amt
+    FROM run JOIN x ON x.pool = run.pool AND x.i = run.i + 1))))
+SELECT pool, seq, holder, kind, CAST(n AS BIGINT) AS shares, taken, CAST(amount AS BIGINT) AS amount, CAST(held AS BIGINT) AS held, CAST(principal AS BIGINT) AS principal, CAST(total AS BIGINT) AS total, CAST(balance AS VARCHAR) AS balance,
+ CASE WHEN taken AND s = -1 THEN ts + CASE WHEN op THEN 0 ELSE pool % 3 * 86400000 END END AS pays_at FROM run JOIN x USING (pool, i)"""
+
+
 def _recursive(body: str) -> str:
     return sql("samples", "operations", body=RUN + body).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 SQL = {
+    "staking_ledger": sql("samples", body=STAKING).replace("WITH ", "WITH RECURSIVE ", 1),
     "ordered_debits": _recursive("SELECT seq, kind, CASE WHEN ok THEN 'applied' WHEN kind = 'l1_withdraw' AND amount > 0 THEN 'noop' ELSE 'violation' END AS status FROM run JOIN k USING (i)"),
     "ordered_balances": _recursive(""", last AS (SELECT b FROM run ORDER BY i DESC LIMIT 1), u AS (SELECT unnest(b) AS balance, unnest(range(0, len(b))) AS j FROM last)
 SELECT j // 2 AS account, j % 2 + 1 AS asset, CAST(balance AS VARCHAR) AS balance FROM u WHERE balance <> 0"""),

@@ -112,13 +112,30 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a transaction log: ``(seq, ts, account, market, value, slot, tx_type)`` and the fields that single kinds carry."""
     e = samples(spark, sf_dir)
     out = e.select(F.col("event_id").alias("seq"), "ts", "account", "market", F.abs("value").alias("value"), (F.col("account") % 17).alias("slot"), (F.col("event_id") % 45).alias("tx_type"))
-    even = F.col("seq") % 2 == 0
+    even, turn = F.col("seq") % 2 == 0, F.call_function("div", F.col("seq"), F.lit(45).cast("long"))
     return out.withColumns({
         "strategy": F.col("value") % 8, "cooldown": F.when(even, F.col("value")), "pool": F.when(~even, F.col("account")), "index": F.col("seq") + FIRST_SUB_ACCOUNT,
         "from_strategy": F.col("slot") % 4, "to_strategy": F.col("market") % 4, "limit": F.lit(8_000).cast("long"), "least": F.lit(2_000).cast("long"),
+        "direction": turn % 2, "position": turn % 5 - 1, "isolated": (F.col("account") + F.col("market")) % 4 != 0, "market_status": (F.col("market") != 9).cast("long"),
+        "cross_available": (F.col("account") % 100 + 1) * 200_000_000, "isolated_available": F.col("seq") % 7 * 2_000_000_000,
+        "pool_total": F.col("slot") * 7 + 1_000_003, "pool_value": F.col("market") * 1_001 + 2_000_029,
     })
 
 
+def stakes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events as stakes and unstakes of 17 pools, with the pools and holdings at first, as ``operators.staking`` takes them; accounts up to 16 are the pools' operators."""
+    e, pool, v = samples(spark, sf_dir), F.col("account") % 17, F.abs("value")
+    rows = e.select(
+        pool.alias("pool"), F.col("event_id").alias("seq"), "ts", F.col("account").alias("holder"), F.when(F.col("event_id") * 7 % 5 < 3, "stake").otherwise("unstake").alias("kind"),
+        v.alias("shares"), (F.col("account") < 17).alias("is_operator"), F.when(F.col("event_id") % 13 == 0, 100_000_000).alias("available"), F.when(F.col("event_id") % 11 == 0, v * 300).alias("bound"),
+    )
+    total = F.col("pool") + 1_000_000
+    long = lambda x: F.lit(x).cast("long")
+    pools = e.select(pool.alias("pool")).distinct().select("pool", total.alias("total"), (total * 30_007).alias("balance"), long(400_000).alias("operator_shares"), long(3_000).alias("min_rate"), (F.col("pool") % 8 == 7).alias("frozen"), (F.col("pool") % 3 * 86_400_000).alias("lockup"))
+    holdings = e.where("account >= 17 AND account % 5 = 0").select(pool.alias("pool"), F.col("account").alias("holder")).distinct()
+    return rows, pools, holdings.withColumns({"shares": F.col("holder") * 100, "principal": F.col("holder") * 1_000})
+
+
 def config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(account, seq, mode, account_type, balance, locked, tav, im, funded)``: every third event asks for an asset mode, in a state that is made up."""
     e = samples(spark, sf_dir).where(F.col("event_id") % 3 == 0)
