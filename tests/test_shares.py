@@ -1,8 +1,8 @@
-"""Staking pools against rows taken one by one."""
+"""Shares of pools against rows taken one by one."""
 
 import random
 
-from tidebook.operators import staking
+from tidebook.operators import shares
 
 ROWS = "pool long, seq long, ts long, holder long, kind string, shares long, is_operator boolean, available decimal(38,0), bound long"
 POOLS = "pool long, total long, balance decimal(38,0), operator_shares long, min_rate long, frozen boolean, lockup long"
@@ -47,7 +47,7 @@ def one_by_one(rows, pools, unit, holdings):
 
 def results(spark, rows, pools, unit, holdings):
     first = spark.createDataFrame(holdings, "pool long, holder long, shares long, principal long") if holdings else None
-    got = staking.staking(spark.createDataFrame(rows, ROWS).repartition(3), spark.createDataFrame(pools, POOLS), unit, first)
+    got = shares.pool_shares(spark.createDataFrame(rows, ROWS).repartition(3), spark.createDataFrame(pools, POOLS), unit, first)
     return {r["seq"]: (r["taken"], r["amount"], r["held"], r["principal"], r["total"], int(r["balance"]), r["pays_at"]) for r in got.collect()}
 
 
@@ -84,3 +84,22 @@ def test_chains_and_bounds(spark):
     assert [got[i][0] for i in range(11)] == [False, False, True, True, False, True, False, True, False, False, False]
     assert got[5] == (True, 4_000, 6, 6_000, 16, 16_000, 5) and got[7][4:6] == (12, 12_000)
     assert results(spark, [], pools, 1, []) == {}
+
+
+def test_public_pools(spark):
+    """Fees, cooldowns, marks, what is free and forced returns, computed by hand."""
+    from decimal import Decimal
+
+    schema = ROWS + ", free decimal(38,0)"
+    pools = spark.createDataFrame([(0, 1_000, Decimal(1_000_000), 1_000, 0, False, 0, 200_000, 50)], POOLS + ", fee_rate long, cooldown long")
+    row = lambda seq, holder, kind, n, available=None, free=None: (0, seq, seq * 10, holder, kind, n, holder == 0, available and Decimal(available), None, free and Decimal(free))
+    rows = [
+        row(0, 1, "mint", 100), row(1, 1, "burn", 10), row(2, 1, "force_burn", 10), row(3, None, "mark", None, 1_090_000), row(4, 0, "force_burn", 5), row(5, 1, "burn", 100, None, 150_000),
+        row(6, 1, "burn", 40, None, 200_000), row(7, 0, "burn", 20), row(8, None, "mark", None, -9_000_000), row(9, 1, "burn", 1), row(10, 2, "mint", 1, 10), row(11, None, "mark", None),
+    ]
+    got = {r["seq"]: r for r in shares.pool_shares(spark.createDataFrame(rows, schema), pools).collect()}
+    assert [got[i]["taken"] for i in range(12)] == [True, False, True, True, False, False, True, True, True, False, False, False]
+    assert (got[0]["amount"], got[0]["principal"], got[2]["amount"], got[2]["fee_shares"], got[2]["held"], got[2]["principal"]) == (100_000, 100_000, 10_000, 0, 90, 90_000)
+    # the value doubles from 1,090,000 to 2,180,000 for 1,090 shares: 40 shares are worth 80,000, the profit 40,000, the fee 8,000 or 4 shares
+    assert (got[6]["fee_shares"], got[6]["amount"], got[6]["held"], got[6]["principal"], got[6]["total"], int(got[6]["balance"])) == (4, 72_000, 50, 50_000, 1_054, 2_108_000)
+    assert (got[7]["amount"], got[7]["total"], int(got[8]["balance"])) == (40_000, 1_034, 2_068_000 - 9_000_000)

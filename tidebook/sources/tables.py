@@ -123,7 +123,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stakes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events as stakes and unstakes of 17 pools, with the pools and holdings at first, as ``operators.staking`` takes them; accounts up to 16 are the pools' operators."""
+    """Events as stakes and unstakes of 17 pools, with the pools and holdings at first, as ``operators.shares`` takes them; accounts up to 16 are the pools' operators."""
     e, pool, v = samples(spark, sf_dir), F.col("account") % 17, F.abs("value")
     rows = e.select(
         pool.alias("pool"), F.col("event_id").alias("seq"), "ts", F.col("account").alias("holder"), F.when(F.col("event_id") * 7 % 5 < 3, "stake").otherwise("unstake").alias("kind"),
@@ -146,6 +146,17 @@ def config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pool_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same events as requests to 17 public pools: one in ten marks the pool's value, four buy, five give back, one of these forced."""
+    rows, pools, holdings = stakes(spark, sf_dir)
+    k, value = F.col("seq") * 7 % 10, samples(spark, sf_dir).select(F.col("event_id").alias("seq"), "value")
+    kind = F.when(k == 0, "mark").when(k < 5, "mint").when(k < 9, "burn").otherwise("force_burn")
+    available = F.when(k == 0, F.col("value") * 20_000).otherwise(F.col("available").cast("long"))
+    free = F.when(F.col("seq") % 3 == 0, F.col("shares") * 40_000)
+    rows = rows.join(value, "seq").withColumns({"kind": kind, "available": available, "free": free, "bound": F.lit(None).cast("long")}).drop("value")
+    return rows, pools.withColumns({"lockup": F.lit(0).cast("long"), "fee_rate": F.lit(100_000).cast("long"), "cooldown": F.col("pool") % 2 * 40_000_000}), holdings
+
+
 def funding_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(market, ts, prefix)`` of 25 markets: the running sum of daily rates, which are made of the day's order totals."""
     o = table(spark, sf_dir, "orders")
