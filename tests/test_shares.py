@@ -103,3 +103,25 @@ def test_public_pools(spark):
     # the value doubles from 1,090,000 to 2,180,000 for 1,090 shares: 40 shares are worth 80,000, the profit 40,000, the fee 8,000 or 4 shares
     assert (got[6]["fee_shares"], got[6]["amount"], got[6]["held"], got[6]["principal"], got[6]["total"], int(got[6]["balance"])) == (4, 72_000, 50, 50_000, 1_054, 2_108_000)
     assert (got[7]["amount"], got[7]["total"], int(got[8]["balance"])) == (40_000, 1_034, 2_068_000 - 9_000_000)
+
+
+def test_quotients(spark):
+    """Bigints and wide decimals give the same, also where a pool's total times the unit is beyond a bigint."""
+    from tidebook.operators import risk
+
+    rows = [(1, 1, 5 * 10**17, 9 * 10**17, 4 * 10**18), (1, 2, 7, 0, 10), (1, 3, 3, 10, -10), (2, 4, -9, 2, 10**15), (2, 5, None, 5, 5)]
+    df = spark.createDataFrame([(*r[:2], r[2], r[3], r[4]) for r in rows], "pool long, holder long, shares long, total long, tav long")
+    want = {1: 2222222222222, 2: 7000, 3: 0, 4: -4500000000, 5: None}
+    for data in (df, df.withColumn("tav", df["tav"].cast("decimal(38,0)"))):
+        got = {r["holder"]: r["value"] if r["value"] is None else int(r["value"]) for r in risk.share_values(data).collect()}
+        assert got == want
+
+
+def test_margin_moves(spark):
+    """Only rows whose source has enough move anything, in collateral units; nulls refuse."""
+    from tidebook.operators import handlers
+
+    row = lambda account, value, direction, **f: (29, account, 3, value, direction, f.get("position", 5), f.get("isolated", True), f.get("status", 1), f.get("cross", 50_000_000), f.get("own", 20_000_000))
+    rows = [row(1, 50, 1), row(1, 20, 0), row(2, 51, 1), row(3, 21, 0), row(4, 1, 1, position=0), row(5, 1, 1, isolated=False), row(6, 1, 1, status=0), row(7, 0, 1), row(8, 1, 2), row(9, 1, None), row(10, 1, 1, cross=None), row(11, 2**60, 1)]
+    log = spark.createDataFrame(rows, "tx_type long, account long, market long, value long, direction long, position long, isolated boolean, market_status long, cross_available long, isolated_available long")
+    assert {(r["account"], r["place"]): int(r["amount"]) for r in handlers.margin_moves(log).collect()} == {(1, -1): -30_000_000, (1, 3): 30_000_000}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,12 +39,18 @@ def mul_div(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
 
 
 def mul_div_longs(a: Column, b: Column, c: Column) -> Column:
-    """a x b / c of bigints, rounded toward zero, in built-in functions: the product of two fits 38 digits, and less its remainder it divides exactly. Null where c is 0 or the result has over 32 digits."""
+    """a x b / c of bigints (c: up to 28 digits), rounded toward zero, in built-in functions: the product of two fits 38 digits, and less its remainder it divides exactly. Null where c is 0 or the result has over 32 digits."""
     short = lambda x: x.cast("decimal(19,0)")
-    product, d = (short(a) * short(b)).cast("decimal(38,0)"), F.nullif(short(c), F.lit(0).cast("decimal(19,0)"))
+    product, d = (short(a) * short(b)).cast("decimal(38,0)"), F.nullif(c.cast("decimal(28,0)"), F.lit(0).cast("decimal(28,0)"))
     return F.try_divide((product - product % d).cast("decimal(38,0)"), d).cast("decimal(38,0)")
 
 
+def quotient(df: DataFrame, a: Column, b: Column, c: Column) -> Column:
+    """a x b / c over the rows of ``df``, rounded toward zero: in built-in functions if a and b are integers by their types, else in Arrow batches."""
+    whole = all(isinstance(f.dataType, T.IntegralType) for f in df.select(a.alias("a"), b.alias("b")).schema.fields)
+    return (mul_div_longs if whole else mul_div)(a, b, c)
+
+
 @F.pandas_udf(T.BooleanType())
 def product_at_most(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Whether a x b <= c x d."""

@@ -10,7 +10,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wide import mul_div
+from ..functions.wide import mul_div, quotient
 from ..model.units import EMPTY_VALUE, SHARE_TICK, USDC_TICK
 from .folds import ordered_fold
 
@@ -21,7 +21,7 @@ STAKE_FACTOR = 10  # a holder's principal in a pool is bound by this many times
 
 def staking_value(shares: Column, balance: Column, total: Column, unit: int = 1) -> Column:
     """shares x balance div (total x unit); null in an empty pool."""
-    return mul_div(shares, balance, (total * unit).cast(WIDE))
+    return mul_div(shares, balance, (total.cast(WIDE) * unit).cast(WIDE))
 
 
 def redeemable(available: Column, total: Column, value: Column) -> Column:
@@ -35,7 +35,7 @@ def operator_fee(shares_value: Column, principal: Column, rate: Column, total: C
     ``tav`` is the pool's account value in quote units, ``rate`` in 1e-6.
     """
     profit = F.greatest(shares_value - principal, F.lit(0)).cast(WIDE)
-    return F.coalesce(mul_div((profit * rate).cast(WIDE), total, (F.abs(tav) * USDC_TICK).cast(WIDE)), F.lit(0).cast(WIDE))
+    return F.coalesce(mul_div((profit * rate).cast(WIDE), total, (F.abs(tav).cast(WIDE) * USDC_TICK).cast(WIDE)), F.lit(0).cast(WIDE))
 
 
 def holds_least(operator: Column, total: Column, min_rate: Column) -> Column:
@@ -55,7 +55,7 @@ def may_mint(principal: Column, added: Column, staked_value: Column) -> Column:
 
 def redemptions(holdings: DataFrame, now: int, cooldown: int, main_pool: int) -> DataFrame:
     """Every holder's value, fee and right to redeem, for which only the main pool's holders wait; ``(pool, holder, shares, principal, entered, total, tav, rate, is_operator)``."""
-    value = mul_div(F.col("shares"), F.abs("tav"), F.col("total"))
+    value = quotient(holdings, F.col("shares"), F.abs("tav"), F.col("total"))
     rows = holdings.withColumn("value", value)
     fee = operator_fee(F.col("value"), F.col("principal"), F.col("rate"), F.col("total"), F.col("tav"))
     free = cooled_down(F.lit(now).cast("long"), F.col("entered"), cooldown, F.col("is_operator") | (F.col("pool") != main_pool))

@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import trunc_div
-from ..functions.wide import mul_div, product_at_most, zero_price, zero_quote
-from ..model.units import COLLATERAL_SCALE, FULL_LIQUIDATION, INSURANCE_FUND, MARGIN_SCALE, MAX_POSITION, PARTIAL_LIQUIDATION, UNIFIED
+from ..functions.wide import product_at_most, quotient, zero_price, zero_quote
+from ..model.units import COLLATERAL_SCALE, EMPTY_VALUE, FULL_LIQUIDATION, INSURANCE_FUND, MARGIN_SCALE, MAX_POSITION, PARTIAL_LIQUIDATION, UNIFIED
 
 WIDE = "decimal(38,0)"
 REQUIREMENTS = ("im", "mm", "cm")
@@ -179,7 +179,7 @@ def health_improved(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def share_values(holdings: DataFrame) -> DataFrame:
     """Value of pool shares: shares x 1000 in an empty pool, else shares x |TAV| div (total x 1e6); ``(pool, holder, shares, total, tav)``."""
-    value = F.when(F.col("total") == 0, wide(F.col("shares") * 1000)).otherwise(mul_div(F.col("shares"), F.abs("tav"), wide(F.col("total") * COLLATERAL_SCALE)))
+    value = F.when(F.col("total") == 0, wide(wide(F.col("shares")) * EMPTY_VALUE)).otherwise(quotient(holdings, F.col("shares"), F.abs("tav"), wide(wide(F.col("total")) * COLLATERAL_SCALE)))
     return holdings.select("pool", "holder", value.alias("value"))
 
 
