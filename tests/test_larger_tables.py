@@ -1,10 +1,16 @@
 """What only shows on larger tables: keys beyond those of the small ones, and ties."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from tidebook import plans
+from tidebook.operators import asof, folds
 
 from .test_queries import TABLES, rows
 
+FILL = "taker long, maker long, market long, side long, base long, quote long, fee_rate long, ts long, ok long, ln long"
+
 
 def against_sql(spark, name, data):
     duck = duckdb.connect()
@@ -31,3 +37,15 @@ def test_health_changes_of_funds(spark):
 
 def test_wide_binary_of_large_keys(spark, tmp_path):
     against_sql(spark, "wide_binary", moved(spark, tmp_path, o_orderkey=9_000_000, l_orderkey=9_000_000))
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_fills_of_one_time_and_line_go_by_lots(spark, down):
+    fills = [(1, 2, 0, 1, 5, 50, 0, 100, 1, 1), (1, 2, 0, 1, 7, 90, 0, 100, 1, 1), (1, 2, 0, -1, 4, 30, 0, 200, 2, 1)]
+    both = spark.createDataFrame(sorted(fills, reverse=down), FILL).coalesce(1)
+    marks = spark.createDataFrame([(0, 0, 3), (0, 150, 8)], "market long, ts long, prefix long")
+    got = asof.fill_funding(both, marks, 1000).where("account = 1").orderBy("ts", "position").collect()
+    assert [(r["position"], int(r["funding"])) for r in got] == [(0, 0), (5, 0), (12, -60)]
+    grown = [(1, 2, 0, 1, 5, 52, 0, 100, 1, 1), (1, 2, 0, 1, 7, 90, 0, 100, 1, 1)]
+    one = folds.entry_quotes(spark.createDataFrame(sorted(grown, reverse=down), FILL).coalesce(1)).where(F.col("account") == 1).first()
+    assert (one["position"], int(one["entry_quote"]), int(one["realised"])) == (12, 50 + 90, 50 - 52)

@@ -51,12 +51,12 @@ def running(rows: DataFrame, keys: list[str], order: list[str], width: int, tota
 
 
 def party_fills(fills: DataFrame, marks: DataFrame, width: int) -> DataFrame:
-    """Two rows a fill, its taker's and its maker's (accounts from -2 down): signed lots, position before, and the market's funding prefix now and at the party's fill before."""
+    """Two rows a fill, its taker's and its maker's (accounts from -2 down): signed lots, position before, and the market's funding prefix now and at the party's fill before. Fills of one time, order and line go by their lots."""
     d = F.col("side") * F.col("base")
     priced = as_of(fills, marks, ["market"], "ts", "prefix", width).withColumn("prefix", F.coalesce("prefix", F.lit(0)))
     rows = F.array(F.struct(F.col("taker").alias("account"), d.alias("d")), F.struct((-F.col("maker") - 2).alias("account"), (-d).alias("d")))
     both = priced.select("market", "ts", "ok", "ln", "prefix", F.inline(rows))
-    return running(both, ["account", "market"], ["ts", "ok", "ln"], width, "d", "prefix")
+    return running(both, ["account", "market"], ["ts", "ok", "ln", "d"], width, "d", "prefix")
 
 
 def fill_funding(fills: DataFrame, marks: DataFrame, width: int) -> DataFrame:

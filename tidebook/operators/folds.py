@@ -81,11 +81,11 @@ def change_position(p: int, e: int, d: int, q: int) -> tuple[int, int, int]:
 
 
 def entry_quotes(fills: DataFrame) -> DataFrame:
-    """Final position, entry quote and realised profit of each party (takers and makers) and market, folded in fill order."""
+    """Final position, entry quote and realised profit of each party (takers and makers) and market, folded in fill order, those of one time, order and line by lots and quote."""
 
     def step(state, row):
         p, e, r = state
         p, e, more = change_position(p, e, row.d, row.quote)
         return (p, e, r + more), []
 
-    return ordered_fold(parties(fills), ["account", "market"], ["ts", "ok", "ln"], lambda k: (0, 0, 0), step, lambda k, s: [(*k, s[0], Decimal(s[1]), Decimal(s[2]))], "account long, market long, position long, entry_quote decimal(38,0), realised decimal(38,0)")
+    return ordered_fold(parties(fills), ["account", "market"], ["ts", "ok", "ln", "d", "quote"], lambda k: (0, 0, 0), step, lambda k, s: [(*k, s[0], Decimal(s[1]), Decimal(s[2]))], "account long, market long, position long, entry_quote decimal(38,0), realised decimal(38,0)")
