@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebook import plans
 from tidebook.operators import asof, folds
+from tidebook.streaming import runs, timers
 
 from .test_queries import TABLES, rows
 
@@ -49,3 +50,14 @@ def test_fills_of_one_time_and_line_go_by_lots(spark, down):
     grown = [(1, 2, 0, 1, 5, 52, 0, 100, 1, 1), (1, 2, 0, 1, 7, 90, 0, 100, 1, 1)]
     one = folds.entry_quotes(spark.createDataFrame(sorted(grown, reverse=down), FILL).coalesce(1)).where(F.col("account") == 1).first()
     assert (one["position"], int(one["entry_quote"]), int(one["realised"])) == (12, 50 + 90, 50 - 52)
+
+
+def test_timers_are_kept_in_groups(spark, tmp_path):
+    arms = [("unlock", 3, i, 1_000 + i, 900_000) for i in range(640)] + [("unlock", None, 7, 1_000, 1_005), ("unlock", None, 7, 1_010, 0)]
+    spark.createDataFrame(arms, "kind string, account long, id long, ts long, due long").write.parquet(f"{tmp_path}/in")
+    with runs.conf(spark, spark__sql__streaming__stateStore__providerClass=runs.ROCKSDB):
+        stream = timers.timer_fires(runs.read_stream(spark, f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        stream.awaitTermination()
+    held = max(o["numRowsTotal"] for p in stream.recentProgress for o in p["stateOperators"])
+    assert 11 <= held < 100  # of 640 armed timers
+    assert [tuple(r) for r in spark.read.schema(timers.FIRED).parquet(f"{tmp_path}/out").collect()] == [("unlock", None, 7, 1_005)]
