@@ -125,3 +125,22 @@ def test_margin_moves(spark):
     rows = [row(1, 50, 1), row(1, 20, 0), row(2, 51, 1), row(3, 21, 0), row(4, 1, 1, position=0), row(5, 1, 1, isolated=False), row(6, 1, 1, status=0), row(7, 0, 1), row(8, 1, 2), row(9, 1, None), row(10, 1, 1, cross=None), row(11, 2**60, 1)]
     log = spark.createDataFrame(rows, "tx_type long, account long, market long, value long, direction long, position long, isolated boolean, market_status long, cross_available long, isolated_available long")
     assert {(r["account"], r["place"]): int(r["amount"]) for r in handlers.margin_moves(log).collect()} == {(1, -1): -30_000_000, (1, 3): 30_000_000}
+
+
+def test_one_pass_and_blocks(spark, monkeypatch):
+    """Rows are taken in one pass, not in rounds; blocks of them pass on what pools and holders have."""
+    from decimal import Decimal
+
+    rng = random.Random(5)
+    pools = [(0, 9_000, Decimal(9_000_001), 4_000, 3_000, False, 5), (1, 5_000, Decimal(9_999_999), 5_000, 100, False, 0)]
+    holdings = [(0, 3, 2_000, 900), (1, 4, 3_000, 777), (1, 99, 50, 5)]
+    rows = [(rng.randrange(2), i, i * 3, rng.randrange(1, 7), rng.choice(["stake", "unstake"]), rng.randrange(1, 900), False, None, None) for i in range(300)]
+    rows += [(p, 300 + p, 950, 0, "unstake", 10, True, None, None) for p in (0, 1)]
+    writes = []
+    cut = shares.written
+    monkeypatch.setattr(shares, "written", lambda df, label: writes.append(label) or cut(df, label))
+    want = one_by_one(rows, pools, 1, holdings)
+    assert results(spark, rows, pools, 1, holdings) == want and not writes
+    whole = shares.pool_shares
+    monkeypatch.setattr(shares, "pool_shares", lambda *a: whole(*a, block=90))
+    assert results(spark, rows, pools, 1, holdings) == want and len(writes) > 4

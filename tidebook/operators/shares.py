@@ -12,9 +12,8 @@ can't be forced. Rows of unknown pools, of other kinds and with null shares are
 
 Of a holder's profit (what the shares are worth over their part of the principal) the operator gets ``fee_rate`` in 1e-6, in shares: these change hands, the others are burnt and paid.
 
-What a holder has depends on which rows their pool took, and the pool's price on which rows its holders could cover. So each round streams every holder's rows, with
-the pools' decisions of the round before, then every pool's rows with those of the holders. The first row that was decided otherwise than one by one has seen right numbers
-in the next round, so when a round changes nothing all rows are right. Either stream has a few numbers of state, whatever the number of holders.
+A pool's rows go through one sorted stream, one after the other, with the pool's three numbers and those of the holders that have rows in it. Streams run over blocks of
+``seq`` of about ``BLOCK`` rows, one after the other, which pass on pools and holders as tables, so what a stream holds is bounded by a block, whatever the number of holders.
 """
 
 from __future__ import annotations
@@ -30,14 +29,13 @@ from .folds import ordered_fold
 from .pools import PRINCIPAL_UNIT, STAKE_FACTOR
 
 MOST, MOST_PRINCIPAL = 2**60, 2**56
-OPEN, MARK, FORCED = "open", "mark", "force_burn"
+OPEN, HOLDING, MARK, FORCED = "open", "holding", "mark", "force_burn"
 BUYS, RETURNS = ("stake", "mint"), ("unstake", "burn", FORCED)
 ROW = "pool long, seq long, ts long, holder long, kind string, shares long, is_operator boolean, available decimal(38,0), bound long, free decimal(38,0), min_rate long, frozen boolean, lockup long, fee_rate long, cooldown long"
-HELD = "covered boolean, held long, left long, principal long, principal_left long"
-JUDGED = "ok boolean, amount long"
-MOVED = "taken boolean, held_after long, principal_after long, fee_shares long, total long, balance decimal(38,0), pays_at long"
-N = len(ROW.split(", "))
+CARRIED = "turn int, principal long, entered long"
+OUT = "pool long, seq long, holder long, kind string, shares long, taken boolean, amount long, held long, principal long, fee_shares long, total long, balance decimal(38,0), pays_at long, entered long"
 FIRST = -(2**63)
+BLOCK = 2_000_000
 
 
 def price(shares: int, total: int, balance: int, unit: int) -> int:
@@ -45,27 +43,24 @@ def price(shares: int, total: int, balance: int, unit: int) -> int:
     return shares * EMPTY_VALUE if total == 0 else shares * abs(balance) // (total * unit)
 
 
-def hold(state: tuple[int, int, int], row) -> tuple[tuple[int, int, int], list]:
-    """One holder's shares, principal and time of purchase after a row, and whether they cover it."""
+def hold(state: tuple[int, int, int | None], row, amount: int) -> tuple[bool, tuple[int, int, int | None]]:
+    """Whether a holder covers a row that costs ``amount``, and their shares, principal and time of purchase after it."""
     held, principal, entered = state
-    if row.kind == OPEN:
-        return (row.shares, row.amount, entered), []
-    if row.is_operator or row.kind == MARK:
-        return state, [(*row[:N], row.kind != FORCED, None, None, None, None)]
-    left, rest, covered = held, principal, False
-    if row.shares is not None and 0 < row.shares < MOST:
-        if row.kind in BUYS:
-            left, rest = held + row.shares, principal + row.amount
-            covered, entered = left < MOST and rest < MOST_PRINCIPAL, row.ts
-        elif row.shares <= held and (row.kind == FORCED or row.cooldown == 0 or row.ts >= entered + row.cooldown):
-            left, rest, covered = held - row.shares, principal - principal * row.shares // held, True
-    if not covered:
-        left, rest = held, principal
-    return (left, rest, entered) if covered and row.ok else state, [(*row[:N], covered, held, left, principal, rest)]
-
-
-def judge(state: tuple[int, int, int], row, unit: int) -> tuple[bool, int, int, tuple[int, int, int]]:
-    """Whether the pool takes a row that its holder covers, what it moves, the operator's fee in shares, and the pool's total, balance and operator's shares after it."""
+    if row.shares is None or not 0 < row.shares < MOST:
+        return False, state
+    if row.kind in BUYS:
+        left, rest = held + row.shares, principal + amount
+        return (True, (left, rest, row.ts)) if left < MOST and rest < MOST_PRINCIPAL else (False, state)
+    if row.shares <= held and (row.kind == FORCED or row.cooldown == 0 or row.ts >= (entered or 0) + row.cooldown):
+        return True, (held - row.shares, principal - principal * row.shares // held, entered)
+    return False, state
+
+
+def judge(state: tuple[int, int, int], row, unit: int, left: int, paid: int) -> tuple[bool, int, int, tuple[int, int, int]]:
+    """Whether the pool takes a row that its holder covers, what it moves, the operator's fee in shares, and the pool's total, balance and operator's shares after it.
+
+    After a return the holder has ``left`` shares and ``paid`` less principal.
+    """
     total, balance, own = state
     n, refused = row.shares, (False, 0, 0, state)
     if row.min_rate is None:
@@ -87,58 +82,99 @@ def judge(state: tuple[int, int, int], row, unit: int) -> tuple[bool, int, int,
     if row.is_operator:
         if not row.frozen and (total - n) * row.min_rate > (own - n) * SHARE_TICK:
             return refused
-    elif row.fee_rate and row.covered:
-        profit = amount - (row.principal - row.principal_left)
-        fee = max(profit, 0) * row.fee_rate * total * unit // (FEE_TICK * balance)
+    elif row.fee_rate:
+        fee = max(amount - paid, 0) * row.fee_rate * total * unit // (FEE_TICK * balance)
         amount = price(n - fee, total, balance, unit)
     after = total - n + fee, balance - amount * unit, own - own_change + fee
-    if row.bound is not None and not row.is_operator and row.bound * PRINCIPAL_UNIT > STAKE_FACTOR * price(row.left, after[0], after[1], unit):
+    if row.bound is not None and not row.is_operator and row.bound * PRINCIPAL_UNIT > STAKE_FACTOR * price(left, after[0], after[1], unit):
         return refused
     return True, amount, fee, after
 
 
 def pool_step(unit: int):
-    """The step of a pool's stream."""
+    """The step of a pool's stream; its state is the pool's total, balance and operator's shares, and those of its holders by holder."""
+    nobody = (0, 0, None)
 
     def step(state, row):
+        pool, holders = state
         if row.kind == OPEN:
-            return (row.shares, int(row.available), row.left), []
-        ok, amount, fee, after = judge(state, row, unit)
-        taken = ok and row.covered
-        state = after if taken else state
+            return ((row.shares, int(row.available), row.principal), holders), []
+        if row.kind == HOLDING:
+            holders[row.holder] = (row.shares, row.principal, row.entered)
+            return state, []
+        own = after = None if row.is_operator or row.kind == MARK else holders.get(row.holder, nobody)
+        if own is None:
+            ok, amount, fee, changed = judge(pool, row, unit, 0, 0)
+            taken = ok and row.kind != FORCED
+        else:
+            # a purchase's price doesn't depend on what its holder has, a return's cover not on the price
+            buys = row.kind in BUYS
+            ok, amount, fee, changed = judge(pool, row, unit, 0, 0) if buys else (True, 0, 0, pool)
+            covered, after = hold(own, row, amount) if ok else (False, own)
+            if covered and not buys:
+                ok, amount, fee, changed = judge(pool, row, unit, after[0], own[1] - after[1])
+            taken = ok and covered
+            if taken:
+                own = holders[row.holder] = after
+        if taken:
+            pool = changed
         pays_at = row.ts + (0 if row.is_operator else row.lockup) if taken and row.kind in RETURNS else None
-        held, principal = (row.left, row.principal_left) if taken else (row.held, row.principal)
-        return state, [(*row[:N], ok, amount, taken, held, principal, fee if taken else 0, state[0], Decimal(state[1]), pays_at)]
+        held, principal, entered = own or (None, None, None)
+        return (pool, holders), [(row.pool, row.seq, row.holder, row.kind, row.shares, taken, amount if taken else 0, held, principal, fee if taken else 0, pool[0], Decimal(pool[1]), pays_at, entered)]
+
+    def finish(key, state):
+        (total, balance, own), holders = state
+        rows = [(key[0], FIRST, h, HOLDING, s, None, None, None, p, None, None, None, None, e) for h, (s, p, e) in holders.items()]
+        return [*rows, (key[0], FIRST, None, OPEN, total, None, None, None, own, None, None, Decimal(balance), None, None)]
+
+    return step, finish
+
 
-    return step
+def cuts(rows: DataFrame, block: int) -> list[int]:
+    """The numbers at which ``rows`` are cut into blocks of about ``block`` rows."""
+    parts = -(-rows.count() // block)
+    if parts < 2:
+        return []
+    return sorted(set(rows.agg(F.percentile_approx("seq", [k / parts for k in range(1, parts)])).first()[0]))
 
 
-def pool_shares(rows: DataFrame, pools: DataFrame, unit: int = 1, holdings: DataFrame | None = None) -> DataFrame:
+def pool_shares(rows: DataFrame, pools: DataFrame, unit: int = 1, holdings: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Every row with ``taken``, the ``amount`` that it moves, what its holder has after it (null for operators), the operator's fee in shares, the pool after it, and when a return pays.
 
     Holders wait the pool's lockup (0: paid at once), operators don't.
     """
     spark = rows.sparkSession
     names = [c.split()[0] for c in ROW.split(", ")]
-    empty = spark.createDataFrame([], f"{ROW}, {JUDGED}")
+    empty = spark.createDataFrame([], f"{ROW}, {CARRIED}")
     rows = rows if "free" in rows.columns else rows.withColumn("free", F.lit(None))
     pools = pools.withColumns({c: F.lit(0).cast("long") for c in ("fee_rate", "cooldown") if c not in pools.columns})
-    opening = pools.select("pool", F.lit(FIRST).cast("long").alias("seq"), F.lit(OPEN).alias("kind"), F.col("total").alias("shares"), F.col("balance").cast("decimal(38,0)").alias("available"), F.col("operator_shares").alias("left"))
     known = rows.join(pools.select("pool", "min_rate", "frozen", "lockup", "fee_rate", "cooldown"), "pool", "left")
     known = known.withColumns({"available": F.col("available").cast("decimal(38,0)"), "free": F.col("free").cast("decimal(38,0)"), "is_operator": F.coalesce("is_operator", F.lit(False)), **{c: F.coalesce(c, F.lit(0)).cast("long") for c in ("lockup", "fee_rate", "cooldown")}})
-    known = empty.unionByName(known.select(*names).withColumns({"ok": F.lit(True), "amount": F.lit(0).cast("long")}))
-    first = None
+    known = empty.unionByName(known.select(*names).withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    opening = lambda df: empty.unionByName(df.withColumns({"seq": F.lit(FIRST), "turn": F.lit(0)}), allowMissingColumns=True)
+    start = opening(pools.select("pool", F.lit(OPEN).alias("kind"), F.col("total").alias("shares"), F.col("balance").cast("decimal(38,0)").alias("available"), F.col("operator_shares").alias("principal")))
     if holdings is not None:
-        first = holdings.select("pool", "holder", F.lit(FIRST).cast("long").alias("seq"), F.lit(OPEN).alias("kind"), "shares", F.col("principal").alias("amount"))
-        first = empty.unionByName(first, allowMissingColumns=True)
-    decided, before = written(known, "shares"), None
-    while True:
-        asked = decided.select(*names, "ok", "amount")
-        asked = asked if first is None else asked.unionByName(first)
-        covered = ordered_fold(asked, ["pool", "holder"], ["seq"], lambda k: (0, 0, 0), hold, lambda k, s: [], f"{ROW}, {HELD}")
-        streams = covered.unionByName(opening, allowMissingColumns=True)
-        decided = written(ordered_fold(streams, ["pool"], ["seq"], lambda k: (0, 0, 0), pool_step(unit), lambda k, s: [], f"{ROW}, {JUDGED}, {MOVED}"), "shares")
-        state = tuple(decided.agg(F.count_if("ok"), F.sum(F.xxhash64("pool", "seq", "ok", "amount").cast("decimal(38,0)"))).first())
-        if state == before:
-            return decided.select("pool", "seq", "holder", "kind", "shares", "taken", F.when(F.col("taken"), F.col("amount")).otherwise(0).cast("long").alias("amount"), F.col("held_after").alias("held"), F.col("principal_after").alias("principal"), "fee_shares", "total", "balance", "pays_at")
-        before = state
+        start = start.unionByName(opening(holdings.select("pool", "holder", F.lit(HOLDING).alias("kind"), "shares", "principal")))
+    edges, done = cuts(rows, block), []
+    if edges:
+        known, start = written(known, "shares"), written(start, "shares")
+    step, finish = pool_step(unit)
+    for low, high in zip([None, *edges], [*edges, None]):
+        own = known if low is None else known.where(F.col("seq") > low)
+        own = own if high is None else own.where(F.col("seq") <= high)
+        # what holders without rows in this block have stays in the table
+        active = own.select("pool", "holder").distinct().withColumn("active", F.lit(True)) if edges else None
+        here = start if active is None else start.join(active, (start["pool"] == active["pool"]) & start["holder"].eqNullSafe(active["holder"]), "left").select(*(start[c] for c in start.columns), ((start["kind"] == OPEN) | F.col("active").isNotNull()).alias("here"))
+        stream = own.unionByName(here if active is None else here.where("here").drop("here"))
+        folded = ordered_fold(stream, ["pool"], ["seq", "turn"], lambda k: ((0, 0, 0), {}), step, finish if high is not None else lambda k, s: [], OUT)
+        if edges:
+            folded = written(folded, "shares")
+        done.append(folded.where(F.col("taken").isNotNull()))
+        if high is not None:
+            ends = opening(folded.where(F.col("taken").isNull()).select("pool", "holder", "kind", "shares", F.col("balance").alias("available"), "principal", "entered"))
+            quiet = here.where("NOT here").drop("here")
+            start = written(ends.unionByName(quiet), "shares")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.drop("entered")
