@@ -40,7 +40,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], width: int, tota
 
     Buckets are cut by the first column of ``order``.
     """
-    rows = rows.withColumn("__b", bucket(F.col(order[0]), width))
+    rows = rows.withColumn("__b", bucket(F.col(order[0]), width)).repartition(*keys, "__b")  # dealt out once for sums, windows and the join
     ends = rows.groupBy(*keys, "__b").agg(F.sum(total).alias("__sum"), F.max_by(held, F.struct(*order)).alias("__held"))
     w = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     ends = ends.select(*keys, "__b", F.coalesce(F.sum("__sum").over(w), F.lit(0)).alias("__start"), F.last("__held").over(w).alias("__edge"))
@@ -67,8 +67,11 @@ def fill_funding(fills: DataFrame, marks: DataFrame, width: int) -> DataFrame:
 
 def funding_balance(fills: DataFrame, marks: DataFrame, width: int) -> DataFrame:
     """By market the funding settled at fills by those who received and by those who paid, and what is owed at the last mark; these sum to 0, as every lot has two parties."""
-    settled = fill_funding(fills, marks, width).groupBy("market").agg(wide(F.sum(F.greatest("funding", wide(0)))).alias("received"), wide(F.sum(F.least("funding", wide(0)))).alias("paid"))
-    ends = party_fills(fills, marks, width).groupBy("account", "market").agg(F.sum("d").alias("position"), F.max_by("prefix", F.struct("ts", "ok", "ln")).alias("last"))
+    owed = wide(funding_owed(wide(F.col("before")), F.coalesce("last", "prefix"), F.col("prefix")))
+    rows = party_fills(fills, marks, width).select("account", "market", "ts", "ok", "ln", "d", "prefix", owed.alias("funding"))
+    total = lambda x, name: wide(F.sum(x)).alias(name)
+    ends = rows.groupBy("account", "market").agg(F.sum("d").alias("position"), F.max_by("prefix", F.struct("ts", "ok", "ln")).alias("last"), total(F.greatest("funding", wide(0)), "received"), total(F.least("funding", wide(0)), "paid"))
     now = marks.groupBy("market").agg(F.max_by("prefix", "ts").alias("now"))
-    owed = ends.join(now, "market").groupBy("market").agg(wide(F.sum(wide(funding_owed(wide(F.col("position")), F.col("last"), F.col("now"))))).alias("outstanding"))
-    return settled.join(owed, "market").withColumn("total", wide(F.col("received") + F.col("paid") + F.col("outstanding")))
+    left = wide(funding_owed(wide(F.col("position")), F.col("last"), F.col("now")))
+    sums = ends.join(now, "market", "left").groupBy("market").agg(total("received", "received"), total("paid", "paid"), total(left, "outstanding")).where("outstanding IS NOT NULL")
+    return sums.withColumn("total", wide(F.col("received") + F.col("paid") + F.col("outstanding")))
