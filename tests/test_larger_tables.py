@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebook import plans
 from tidebook.operators import asof, folds
+from tidebook.sources import reports
 from tidebook.streaming import runs, timers
 
 from .test_queries import TABLES, rows
@@ -61,3 +62,17 @@ def test_timers_are_kept_in_groups(spark, tmp_path):
     held = max(o["numRowsTotal"] for p in stream.recentProgress for o in p["stateOperators"])
     assert 11 <= held < 100  # of 640 armed timers
     assert [tuple(r) for r in spark.read.schema(timers.FIRED).parquet(f"{tmp_path}/out").collect()] == [("unlock", None, 7, 1_005)]
+
+
+def test_documents_packed(spark, tmp_path):
+    """Packed documents give what single files do, from few files."""
+    docs = [(f"b{i % 2}", "v0.0.1", "m 1", "20240101-000001", f'{{"code_release": "{i % 90}", "wall_seconds": 1.5}}') for i in range(120)]
+    made = spark.createDataFrame(docs, "benchmark string, release string, machine string, run string, document string").coalesce(2)
+    got = []
+    for packed in (False, True):
+        place = tmp_path / str(packed)
+        reports.write_documents(made, str(place), packed)
+        got.append(sorted(tuple(r)[:3] + tuple(r)[5:] for r in reports.read_documents(spark, str(place), packed).select("benchmark", "release", "machine", "run", "digest", "copies", "content").collect()))
+        assert (len(list(place.rglob("part-*"))) > 50) != packed
+    assert [(r[0], *r[3:]) for r in got[0]] and len(got[1]) == 90
+    assert [r[:3] + r[3:4] for r in got[0]] == [r[:3] + r[3:4] for r in got[1]] and sum(r[3] for r in got[1]) == 120

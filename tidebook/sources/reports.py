@@ -1,7 +1,7 @@
 """Telemetry documents as files, from their bytes to a partitioned report.
 
 Documents lie under ``benchmark=../release=../machine=../run=<yyyymmdd-hhmmss>/``, one a file. They are read as bytes and known by their digests, so that
-byte-identical copies count once, before anything is parsed; what can't be parsed or has no time is left out and can be listed.
+byte-identical copies count once, before anything is parsed; many small ones are better kept ``packed``. What can't be parsed or has no time is left out and can be listed.
 """
 
 from __future__ import annotations
@@ -16,14 +16,22 @@ KEYS = ["benchmark", "release", "machine", "run"]
 REPORT = "release string, machine string, run string, n bigint, least double, most double, mean double, machines_for_10 double, minutes double, benchmark string"
 
 
-def write_documents(rows: DataFrame, path: str) -> None:
-    """Rows ``(benchmark, release, machine, run, document)`` as one file each."""
-    rows.select(*KEYS, F.col("document").alias("value")).write.partitionBy(*KEYS).option("maxRecordsPerFile", 1).text(path)
+def write_documents(rows: DataFrame, path: str, packed: bool = False) -> None:
+    """Rows ``(benchmark, release, machine, run, document)`` as one file each; ``packed``: as rows of Parquet files in the same folders, so that the number of files doesn't grow with that of documents."""
+    out = rows.select(*KEYS, F.col("document").alias("value"))
+    if packed:
+        out.write.partitionBy(*KEYS).parquet(path)
+    else:
+        out.write.partitionBy(*KEYS).option("maxRecordsPerFile", 1).text(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """``(benchmark, release, machine, run, digest, copies, content)`` of the distinct documents under ``path``; of copies the first path gives the keys."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    if packed:
+        lines = spark.read.schema("value string").option("recursiveFileLookup", True).parquet(path)
+        files = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("content"))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
     ones = files.groupBy(F.sha2("content", 256).alias("digest")).agg(F.min_by(F.struct("path", "content"), "path").alias("f"), F.count("*").alias("copies"))
     key = lambda k: F.url_decode(F.regexp_extract("f.path", f"/{k}=([^/]*)/", 1)).alias(k)
     return ones.select(*map(key, KEYS), "digest", "copies", F.trim(F.col("f.content").cast("string")).alias("content"))
