@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook import plans
-from tidebook.operators import asof, folds
+from tidebook.operators import asof, folds, ledger, positions
 from tidebook.sources import reports
 from tidebook.streaming import runs, timers
 
-from .test_queries import TABLES, rows
+from .test_queries import DATA, TABLES, rows
 
 FILL = "taker long, maker long, market long, side long, base long, quote long, fee_rate long, ts long, ok long, ln long"
 
@@ -76,3 +76,20 @@ def test_documents_packed(spark, tmp_path):
         assert (len(list(place.rglob("part-*"))) > 50) != packed
     assert [(r[0], *r[3:]) for r in got[0]] and len(got[1]) == 90
     assert [r[:3] + r[3:4] for r in got[0]] == [r[:3] + r[3:4] for r in got[1]] and sum(r[3] for r in got[1]) == 120
+
+
+def reads(df, column):
+    """How often a plan reads the table that has ``column``."""
+    return sum("Relation [" in line and f"{column}#" in line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+
+@pytest.mark.parametrize("name", ["delta_sequence", "account_deltas"])
+def test_changes_between_states_are_one_pass(spark, name):
+    assert reads(plans.queries()[name](spark, DATA), "l_orderkey") <= 1
+
+
+def test_changes_between_states(spark):
+    fills = spark.createDataFrame([(1, 2, 0, 1, 5, 50, 0, 100, 2, 1), (1, 2, 0, 1, 7, 90, 0, 100, 3, 1), (1, 3, 1, -1, 4, 30, 0, 100, 4, 1), (3, 2, 0, 1, 6, 60, 0, 100, 5, 1), (3, 2, 0, -1, 6, 60, 0, 100, 7, 1)], FILL)
+    early, rows = F.col("ok") % 2 == 0, lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(positions.position_changes(fills, early)) == [(1, 0, 7)]
+    assert rows(positions.spot_changes(fills, early)) == rows(ledger.state_deltas(positions.spot_deltas(fills.where(early)), positions.spot_deltas(fills), ["account", "asset"], "amount"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.wide import mul_div_longs
 from ..model.units import COLLATERAL_SCALE, EMPTY_VALUE, MASTER, MAX_TRANSFER, SIMPLE, SUB, TX_TYPES, UNIFIED
+from .debits import written
 from .ledger import delta_encoded, last_fields, last_values
 
 WIDE = "decimal(38,0)"
@@ -149,8 +150,12 @@ def merged_batches(batches: DataFrame) -> DataFrame:
 
 
 def delta_sequence(changes: DataFrame, group: int) -> DataFrame:
-    """Published changes ``(account, market, delta)``: for each account its index as the difference from the account before, the number of its entries, then the entries by market."""
+    """Published changes ``(account, market, delta)``: for each account its index as the difference from the account before, the number of its entries, then the entries by market.
+
+    The entries are worked out once and written: the steps between accounts are found over the numbers alone, in several passes.
+    """
     rows = changes.groupBy("account").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("market", "delta"))).alias("entries"))
     text = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["market"], e["delta"])), " ")
+    rows = written(rows.select("account", "n", text.alias("entries")), "entries")
     steps = delta_encoded(rows.select("account"), group)
-    return rows.join(steps, "account").select("account", F.col("delta").alias("step"), "n", text.alias("entries"))
+    return rows.join(steps, "account").select("account", F.col("delta").alias("step"), "n", "entries")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .debits import written
+
 
 def blocks(log: DataFrame, size: int) -> DataFrame:
     """The log cut into groups of ``size`` consecutive rows."""
@@ -28,7 +30,8 @@ def batches(summary: DataFrame, size: int) -> DataFrame:
 
 
 def edges(groups: DataFrame, value: str, parts: int = 64) -> DataFrame:
-    """``(g, edge)``: for each group number ``g`` the ``value`` of the nearest earlier group, by windows over ``parts`` ranges of groups and one over the ranges."""
+    """``(g, edge)``: for each group number ``g`` the ``value`` of the nearest earlier group, by windows over ``parts`` ranges of groups and one over the ranges. The groups are written, so that they are worked out once."""
+    groups = written(groups.select("g", value), "groups")
     low, high = groups.agg(F.min("g"), F.max("g")).first()
     width = max(1, ((high or 0) - (low or 0)) // parts + 1)
     rows = groups.select("g", value, F.call_function("div", F.col("g") - (low or 0), F.lit(width).cast("long")).alias("part"))

@@ -19,6 +19,13 @@ def position_fold(fills: DataFrame) -> DataFrame:
     return fills.groupBy(F.col("taker").alias("account"), "market").agg(F.sum(F.col("side") * F.col("base")).alias("position"), F.sum(-F.col("side") * F.col("quote")).alias("cash"))
 
 
+def position_changes(fills: DataFrame, early: Column) -> DataFrame:
+    """Net change ``delta`` of every account and market from the state of the ``early`` fills to that of all, without zeros: both states are summed in one pass."""
+    d = F.col("side") * F.col("base")
+    both = fills.groupBy(F.col("taker").alias("account"), "market").agg(F.sum(d).alias("after"), F.sum(F.when(early, d)).alias("before"))
+    return both.select("account", "market", (F.col("after") - F.coalesce("before", F.lit(0).cast("long"))).alias("delta")).where("delta <> 0")
+
+
 def running_position(fills: DataFrame) -> DataFrame:
     """Each fill with its account's position in the market after it."""
     w = W.partitionBy("taker", "market").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
@@ -69,8 +76,8 @@ def open_interest_changes(fills: DataFrame) -> DataFrame:
     return rows.groupBy("market", *ORDER).agg(F.sum(F.abs("after") - F.abs(F.col("after") - F.col("d"))).alias("change"))
 
 
-def spot_deltas(fills: DataFrame, size_unit: int = 1_000_000, quote_unit: int = 1_000_000, maker_part: int = 4) -> DataFrame:
-    """Six signed balance rows a trade (buyer, seller and fee account, in base and quote), summed by account and asset.
+def spot_rows(fills: DataFrame, *others: str, size_unit: int = 1_000_000, quote_unit: int = 1_000_000, maker_part: int = 4) -> DataFrame:
+    """Six signed balance rows ``(account, asset, amount)`` a trade: buyer, seller and fee account, in base and quote; with some ``others`` of its columns.
 
     Amounts are in the assets' own units, ``size_unit`` a lot and ``quote_unit`` a quote unit. The buyer pays its fee in base, the seller in quote: amount x (unit div 1e6) x
     its rate, which is ``fee_rate`` for the taker and a part of it for the maker. Asset 0 is quote, others are markets + 1. The sums over accounts are 0 for every asset.
@@ -86,7 +93,20 @@ def spot_deltas(fills: DataFrame, size_unit: int = 1_000_000, quote_unit: int =
     asset, cash, house = F.col("market") + 1, F.lit(0).cast("long"), F.lit(-1).cast("long")
     row = lambda account, what, amount: F.struct(account.alias("account"), what.alias("asset"), wide(amount).alias("amount"))
     rows = F.array(row(buyer, asset, base - base_fee), row(buyer, cash, -quote), row(seller, asset, -base), row(seller, cash, quote - quote_fee), row(house, asset, base_fee), row(house, cash, quote_fee))
-    return fills.select(F.inline(rows)).groupBy("account", "asset").agg(wide(F.sum("amount")).alias("amount")).where("amount <> 0")
+    return fills.select(*others, F.inline(rows))
+
+
+def spot_deltas(fills: DataFrame, size_unit: int = 1_000_000, quote_unit: int = 1_000_000, maker_part: int = 4) -> DataFrame:
+    """The rows of ``spot_rows`` summed by account and asset, without zeros."""
+    rows = spot_rows(fills, size_unit=size_unit, quote_unit=quote_unit, maker_part=maker_part)
+    return rows.groupBy("account", "asset").agg(F.sum("amount").cast("decimal(38,0)").alias("amount")).where("amount <> 0")
+
+
+def spot_changes(fills: DataFrame, early: Column) -> DataFrame:
+    """Net change ``delta`` of every account and asset from the balances of the ``early`` fills to those of all, without zeros: one sum, to which an early row's amount adds and from which it is taken. Rows that add nothing to it are not moved."""
+    amount, none = F.col("amount"), F.lit(0).cast("decimal(38,0)")
+    rows = spot_rows(fills.withColumn("early", F.coalesce(early, F.lit(False))), "early").select("account", "asset", F.when(F.col("early"), none).otherwise(amount).alias("amount"))
+    return rows.where("amount <> 0").groupBy("account", "asset").agg(F.sum("amount").cast("decimal(38,0)").alias("delta")).where("delta <> 0")
 
 
 def trade_parties(fills: DataFrame, accounts: DataFrame, field: str, fee_account: int) -> DataFrame:

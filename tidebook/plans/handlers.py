@@ -117,7 +117,7 @@ QUERIES = {
     "metadata_stamps": lambda s, d: handlers.stamps(samples(s, d).withColumnRenamed("event_id", "seq")),
     "due_timers": _timers,
     "merged_batches": lambda s, d: handlers.merged_batches(_batches(s, d)),
-    "delta_sequence": lambda s, d: handlers.delta_sequence(ledger.account_deltas(positions.position_fold(fills(s, d).where(F.col("ok") % 2 == 0)), positions.position_fold(fills(s, d))), 128),
+    "delta_sequence": lambda s, d: handlers.delta_sequence(positions.position_changes(fills(s, d), F.col("ok") % 2 == 0), 128),
     "transaction_statuses": lambda s, d: _judged(s, d).groupBy("block_number", "status").agg(F.count("*").alias("n")),
     "transaction_balances": lambda s, d: rules.balance_changes(_judged(s, d)),
     "whitelist_faults": lambda s, d: rules.whitelist(_judged(s, d), accounts(s, d).select(F.col("account").alias("account_index"), (F.col("account") % 3).alias("account_type")), s.createDataFrame([(0, k) for k in KINDS] + [(1, "l2_transfer")], "account_type long, kind string")).groupBy("account_type", "kind").agg(F.count("*").alias("n")),

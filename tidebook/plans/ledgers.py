@@ -46,7 +46,7 @@ QUERIES = {
     "soft_withdrawals": lambda s, d: ledger.soft_withdrawals(fills(s, d).join(accounts(s, d), F.col("taker") == F.col("account")).select("account", (F.col("quote") - 500_000).alias("amount"), F.greatest(F.col("collateral"), F.lit(0).cast("long")).alias("available"))),
     "fifo_unlock_heads": lambda s, d: ledger.fifo_heads(_unlocks(s, d), NOW).fillna(0, ["head_ts", "head_amount"]),
     "delta_encoded_accounts": lambda s, d: ledger.delta_encoded(accounts(s, d), 128),
-    "account_deltas": lambda s, d: ledger.account_deltas(positions.position_fold(fills(s, d).where(F.col("ok") % 2 == 0)), positions.position_fold(fills(s, d))),
+    "account_deltas": lambda s, d: positions.position_changes(fills(s, d), F.col("ok") % 2 == 0),
     "last_market_updates": lambda s, d: ledger.last_values(samples(s, d), ["market"], ["ts", "event_id"], ["ts", "value", "kind"]),
     "account_nonce_gaps": lambda s, d: ledger.nonce_gaps(_log(s, d)),
     "range_check_report": lambda s, d: ledger.rule_report(fills(s, d), {"base_5_bits": in_bits(F.col("base"), 5), "quote_23_bits": in_bits(F.col("quote"), 23), "fee_16_bits": in_bits(F.col("fee_rate"), 16), "own_account": F.col("taker") != F.col("maker")}),
