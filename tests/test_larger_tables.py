@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidebook import plans
 from tidebook.operators import asof, folds, ledger, positions
 from tidebook.sources import reports
+from tidebook.streaming import positions as stream_positions
 from tidebook.streaming import runs, timers
 
 from .test_queries import DATA, TABLES, rows
@@ -93,3 +94,17 @@ def test_changes_between_states(spark):
     early, rows = F.col("ok") % 2 == 0, lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(positions.position_changes(fills, early)) == [(1, 0, 7)]
     assert rows(positions.spot_changes(fills, early)) == rows(ledger.state_deltas(positions.spot_deltas(fills.where(early)), positions.spot_deltas(fills), ["account", "asset"], "amount"))
+
+
+def test_positions_are_kept_in_groups(spark, tmp_path):
+    rows = [(i, i % 3, i, 1, 5) for i in range(640)] + [(None, 1, 700, 2, 9), (7, None, 701, 3, 8)]
+    for part, some in enumerate((rows, [(5, 2, 4, 1, 5), (5, 2, 900, 1, 7), (None, 1, 699, 1, 1)])):
+        spark.createDataFrame(some, "account long, market long, seq long, d long, q long").write.parquet(f"{tmp_path}/in/part={part}")
+        sink, stream = runs.versions(f"{tmp_path}/out"), stream_positions.fold_positions(runs.read_stream(spark, f"{tmp_path}/in").drop("part"))
+        query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/cp").outputMode("update").trigger(availableNow=True).start()
+        query.awaitTermination()
+        held = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+        assert 10 <= held < 20  # of 642 keys
+    assert sorted(map(tuple, stream_positions.late_rows(spark.read.parquet(f"{tmp_path}/out")).collect()), key=str) == [(5, 2, 4), (None, 1, 699)]
+    found = {(r["account"], r["market"]): (r["position"], r["entry_quote"], r["n"]) for r in runs.latest(spark, f"{tmp_path}/out", ["account", "market"]).collect()}
+    assert len(found) == 642 and found[5, 2] == (2, "12", 2) and found[None, 1] == (2, "8", 1) and found[7, None] == (3, "6", 1) and found[6, 0] == (1, "5", 1)
