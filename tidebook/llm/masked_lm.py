@@ -44,6 +44,7 @@ MASK, ROUNDS, FIRST_BATCH, BATCH, RATE, SEED, HELD = 8, 2, 256, 4096, 0.05, 42,
 SHARD_WORDS, CHUNK, FAN = 4_000_000, 65_536, 16
 VOCABULARY = CLASSES * WORDS
 KNOWN, UNSEEN, SCALE = 1 << 20, 0.5, 1e9
+SAFE = 600
 _U = np.uint64
 SHAPES = {"e": (VOCABULARY + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (CLASSES, HIDDEN, WORDS), "ob": (CLASSES, WORDS)}
 
@@ -186,16 +187,25 @@ def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield c, order[edge[c] : edge[c + 1]]
 
 
-def log_probabilities(net: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The conditional log-probability of each target."""
-    h = net["e"][ctx].reshape(len(ctx), -1) @ net["w"]
+def turned(net: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """What each id adds to the hidden layer from each place of the window: worked out once a network, so that a prediction adds rows instead of multiplying by ``w``."""
+    return [net["e"] @ w for w in net["w"].reshape(2 * SIDE, DIM, HIDDEN)]
+
+
+def log_probabilities(net: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray, inputs: list[np.ndarray] | None = None) -> np.ndarray:
+    """The conditional log-probability of each target; ``inputs`` are the network's ``turned`` embeddings."""
+    inputs = turned(net) if inputs is None else inputs
+    h = inputs[0].take(ctx[:, 0], axis=0)
+    for k in range(1, len(inputs)):
+        h += inputs[k].take(ctx[:, k], axis=0)
     h += net["b"]
     np.maximum(h, 0, out=h)
 
     def picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        x -= x.max(axis=1, keepdims=True)
+        if not -SAFE < x.min() <= x.max() < SAFE:  # else exponentials neither overflow nor vanish
+            x -= x.max(axis=1, keepdims=True)
         chosen = x[np.arange(len(x)), at]
-        return chosen - np.log(np.exp(x, out=x).sum(axis=1))
+        return chosen - np.log(np.exp(x, out=x) @ np.ones(x.shape[1]))
 
     out = picked(h @ net["c"] + net["cb"], target // WORDS).astype(np.float64)
     for c, rows in by_class(target):
@@ -369,6 +379,7 @@ def scored(ids: DataFrame, net: dict[str, np.ndarray], key: str = "doc_id", coun
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = {k: v.astype(np.float64) for k, v in sent.value.items()}
+        inputs = turned(model)
         for whole in batches:
             sizes = np.cumsum(whole.column("n_words").to_numpy())
             first = 0
@@ -381,7 +392,7 @@ def scored(ids: DataFrame, net: dict[str, np.ndarray], key: str = "doc_id", coun
                 around = neighbours(flat, at)
                 for i in range(0, len(flat), 16_384):
                     where = np.arange(i, min(len(flat), i + 16_384))
-                    each[where] = log_probabilities(model, windows(*around, where), flat[where])
+                    each[where] = log_probabilities(model, windows(*around, where), flat[where], inputs)
                 n = np.diff(at)
                 # double precision, rounded, so that equal texts get equal sums in any block
                 total = np.round(np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)).astype(float), 6)
