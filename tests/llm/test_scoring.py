@@ -18,3 +18,9 @@ def test_log_probabilities(size):
     want = m.softmax(h @ net["c"] + net["cb"])[np.arange(500), kind] + m.softmax(inner)[np.arange(500), place]
     got = m.log_probabilities(net, ctx, target, m.turned(net))
     assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+def test_packed_counts_of_any_size():
+    of, entries = toxicity.packed(np.array([0, 0, 1]), np.array([5, toxicity.BUCKETS - 1, 7]), np.array([3, 70_000, toxicity.MOST]))
+    assert entries.dtype == np.uint32
+    assert list(zip(of, entries // (toxicity.MOST + 1), entries & toxicity.MOST)) == [(0, 5, 3), *((0, toxicity.BUCKETS - 1, n) for n in (32_767, 32_767, 4_466)), (1, 7, 32_767)]

@@ -356,3 +356,26 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
         start += len(ids)
     last = corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(str(tmp_path / "mixing")), str(tmp_path)).collect()
     assert sorted((r["start"], r["doc_id"]) for r in last if r["doc_id"] is not None) == [(s, i) for i, s, _ in rows if i is not None] and sum(r["n_tokens"] for r in last) == start
+
+
+def test_near_duplicates_take_few_jobs(spark):
+    # of each exchange the driver keeps a thread and a stage for a while: with many of them the pipeline's driver outgrew its memory
+    rows = [(i, prose(i, 40)) for i in range(30)] + [(30 + i, prose(i, 40) + " end") for i in range(10)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few jobs", "near duplicates")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == plain_groups(rows)
+    assert len(tracker.getJobIdsForGroup("few jobs")) <= 110
+
+
+def test_components_of_nothing_and_of_stars(spark):
+    assert components(spark.createDataFrame([(3, 3), (None, 1)], "a long, b long")).count() == 0
+    star = [(1, 7 + i) for i in range(2500)]  # more than HOT_ROWS links of one node
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {1: 1} | {b: 1 for _, b in star}
+    late = [(9000, i) for i in range(2, 2500)]  # the centre is the largest
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(late, "a long, b long")).collect()}
+    assert got == {9000: 2} | {b: 2 for _, b in late}

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import buffers, mix, runs, shingles, slices, word_hashes
-from .common import bounded, components, spread_join, table, words_of, written
+from .common import bounded, components, hot_from, spread_join, table, words_of, written
 from .decontamination import bitmap
 
 SIZE, SIMILARITY, BANDS, ROWS, AGREE, BLOCK, BLOCKS, MOST_BLOCK, BLOCK_BYTES = 5, 0.8, 20, 4, 50, 256, 64, 16_384, 8_000_000
@@ -110,11 +110,14 @@ def signatures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 def ends(pairs: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
     """``pairs`` with the ``columns`` of both ends, named with ``_a`` and ``_b``; ``values`` is keyed by ``id``. Ends of very many pairs are no single task's group."""
-    total = pairs.count()
+    both = pairs.select(F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("id")) for side in "ab"))).alias("end"))
+    found = both.groupBy("end").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    total, largest = (found[0] or 0) // 2, found[1] or 0
     counts = {side: pairs.groupBy(side).agg(F.count("*").alias("n")) for side in "ab"}
     for side, other in ("ab", "ba"):
-        own = values.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)).join(counts[side], side)
-        pairs = spread_join(pairs, own, side, other, total)
+        own = values.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+        own = own.join(counts[side], side) if largest > hot_from(total) else own
+        pairs = spread_join(pairs, own, side, other, total, largest)
     return pairs
 
 
@@ -247,17 +250,17 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     signed = written(signatures(df, text, key), "signatures")
     firsts = (F.first(c).alias(c) for c in ("bytes", "bands", "registers"))
     classes = written(signed.groupBy("digest").agg(F.min(key).alias("id"), F.count("*").alias("n"), *firsts), "classes")
-    n_classes = classes.count()
+    n_classes, n_signed, most_copies = (n or 0 for n in classes.agg(F.count("*"), F.sum("n"), F.max("n")).first())
     rows = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
-    met = written(spread_join(rows, sizes, "bucket", "id", BANDS * n_classes), "buckets")
-    n_met = met.count()
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")), "sizes")
+    n_met, most_met = (n or 0 for n in sizes.agg(F.sum("n"), F.max("n")).first())
+    met = written(spread_join(rows, sizes, "bucket", "id", BANDS * n_classes, most_met), "buckets")
 
     # a text that meets most others is likely the one that its group's copies were made from
     degrees = met.groupBy("id").agg(F.sum("size").alias("degree"))
     shared = met.select("bucket", "id").join(degrees, "id")
     centres = shared.groupBy("bucket").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("centre"), F.count("*").alias("n"))
-    stars = spread_join(met.select("bucket", "id"), centres, "bucket", "id", n_met).where("id <> centre")
+    stars = spread_join(met.select("bucket", "id"), centres, "bucket", "id", n_met, most_met).where("id <> centre")
     stars = written(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     near = written(agreeing(stars, classes), "candidates")
     links = written(verified(near, texts_of(df, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), text, key)), "links")
@@ -265,20 +268,18 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     placed = written(met.join(first, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component")), "placed")
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("bucket", "n", F.col("n").alias("size"))
-    rest = written(spread_join(placed, open_, "bucket", "id", n_met).withColumnRenamed("size", "n"), "open")
+    rest = written(spread_join(placed, open_, "bucket", "id", n_met, most_met).withColumnRenamed("size", "n"), "open")
     hits = written(contested(rest.join(classes.select("id", "registers"), "id")), "contested")
-    texts = texts_of(df, hits.select("id").distinct(), text, key)
-    fights = written(hits.join(rest.drop("n"), ["bucket", "id"]).join(classes.select("id", "bytes", "registers"), "id"), "fights")
-    blocks = F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), blocks_of(F.count("*"))).cast("int")
-    sized = fights.groupBy("bucket").agg(blocks.alias("blocks"), F.count("*").alias("n"))
-    more = written(across(spread_join(fights.drop("bytes"), sized, "bucket", "id", n_met).join(texts, "id")), "links")
-    second = components(more).select(F.col("id").alias("component"), F.col("component").alias("joined"))
-
     every = classes.select("digest", F.col("id").alias("exact_id"), "n").join(first.withColumnRenamed("id", "exact_id"), "exact_id", "left")
-    every = written(every.withColumn("component", F.coalesce("component", "exact_id")), "joined")
-    groups = every.groupBy("component").agg(F.count("*").alias("n")).join(second, "component", "left").withColumn("joined", F.coalesce("joined", "component"))
-    every = spread_join(every.withColumnRenamed("n", "copies"), groups, "component", "exact_id", n_classes).select("digest", "exact_id", "joined", F.col("copies").alias("n"))
-    members = spread_join(signed.select(F.col(key).alias("__key"), "digest"), every, "digest", "__key", signed.count()).groupBy("__key")
+    every = written(every.withColumn("joined", F.coalesce("component", "exact_id")).drop("component"), "joined")
+    if not hits.isEmpty():
+        texts = texts_of(df, hits.select("id").distinct(), text, key)
+        fights = written(hits.join(rest.drop("n"), ["bucket", "id"]).join(classes.select("id", "bytes", "registers"), "id"), "fights")
+        blocks = F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), blocks_of(F.count("*"))).cast("int")
+        sized = fights.groupBy("bucket").agg(blocks.alias("blocks"), F.count("*").alias("n"))
+        more = written(across(spread_join(fights.drop("bytes"), sized, "bucket", "id", n_met, most_met).join(texts, "id")), "links")
+        every = rejoined(every, more, n_classes)
+    members = spread_join(signed.select(F.col(key).alias("__key"), "digest"), every, "digest", "__key", n_signed, most_copies).groupBy("__key")
     members = members.agg(F.min("exact_id").alias("exact_id"), F.min("joined").alias("component_id"))
     own = df.select(F.col(key).cast("long").alias(key))
     known = own.where(F.col(key).isNotNull()).join(members, F.col(key) == F.col("__key"), "left")
@@ -287,6 +288,14 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     return known.unionByName(missing).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
+def rejoined(every: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """``every`` with the column ``joined``, a component, led through the ``links`` between components; ``total`` is its number of rows."""
+    second = components(links).select(F.col("id").alias("joined"), F.col("component").alias("now"))
+    groups = every.groupBy("joined").agg(F.count("*").alias("n")).join(second, "joined", "left")
+    found = spread_join(every.withColumnRenamed("n", "copies"), groups, "joined", "exact_id", total)
+    return found.select("digest", "exact_id", F.coalesce("now", "joined").alias("joined"), F.col("copies").alias("n"))
+
+
 def texts_of(df: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
     """Rows ``(id, words)`` of the ``wanted`` identifiers.
 

@@ -35,6 +35,8 @@ from .language_id import held_out
 
 SIZES, BUCKETS, DIM, PAD, TOGETHER = (3, 4, 5), 1 << 17, 4, 300, 32
 TRAIN_ROWS, TRAIN_BYTES, LEAST_DOCS, STEPS, EPOCHS, BATCH, RATE, DECAY = (3000, 1500), 20_000, 3, 300, 6, 64, 0.5, 1e-5
+PIECES = 64
+MOST = (1 << 15) - 1  # a bucket and a count up to this take 32 bits together
 _U = np.uint64
 
 
@@ -61,34 +63,41 @@ def grams(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def bags(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' bags: text, bucket and share of the text's n-grams, in order of text."""
+    """The texts' bags: text, bucket and how often the text has it, in order of text."""
     text, bucket = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for where, b in grams(data):
         text.append(np.searchsorted(at, where, "right") - 1)
         bucket.append(b)
     keys, counts = np.unique(np.concatenate(text) * BUCKETS + np.concatenate(bucket), return_counts=True)
-    of = keys // BUCKETS
-    total = np.bincount(of, counts, len(at) - 1)
-    return of, keys % BUCKETS, counts / (total[of] + PAD)
+    return keys // BUCKETS, keys % BUCKETS, counts
+
+
+def packed(of: np.ndarray, bucket: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and, in four bytes, bucket and count of each entry; what a count is above ``MOST`` goes into more entries."""
+    parts = -(-counts // MOST)
+    turn = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    counts = np.minimum(np.repeat(counts, parts) - turn * MOST, MOST)
+    return np.repeat(of, parts), (np.repeat(bucket, parts) * (MOST + 1) + counts).astype(np.uint32)
 
 
 def sample_bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and share of the n-grams that ``LEAST_DOCS`` texts have, the first of each text's, and in how many texts each bucket occurs.
+    """Bucket and count (``packed``) of the n-grams that ``LEAST_DOCS`` texts have, the first of each text's, its number of all n-grams, and in how many texts each bucket occurs.
 
-    Bags are made twice, so that what goes is never held: eight bytes an n-gram that stays are all that is.
+    Bags are made twice, so that what goes is never held: four bytes an n-gram that stays are all that is.
     """
     seen = np.zeros(BUCKETS, np.int64)
     for i in range(0, len(column), TOGETHER):
         seen += np.bincount(bags(*buffers(column.slice(i, TOGETHER)))[1], minlength=BUCKETS)
-    buckets, shares, sizes = bytearray(), bytearray(), []
+    entries, sizes, totals = bytearray(), [], []
     for i in range(0, len(column), TOGETHER):
         block = column.slice(i, TOGETHER)
-        of, bucket, share = bags(*buffers(block))
+        of, bucket, counts = bags(*buffers(block))
+        totals.append(np.bincount(of, counts, len(block)))
         keep = seen[bucket] >= LEAST_DOCS
-        buckets += bucket[keep].astype(np.int32).tobytes()
-        shares += share[keep].astype(np.float32).tobytes()
-        sizes.append(np.bincount(of[keep], minlength=len(block)))
-    return np.frombuffer(buckets, np.int32), np.frombuffer(shares, np.float32), np.append(0, np.cumsum(np.concatenate(sizes))), seen
+        of, entry = packed(of[keep], bucket[keep], counts[keep])
+        entries += entry.tobytes()
+        sizes.append(np.bincount(of, minlength=len(block)))
+    return np.frombuffer(entries, np.uint32), np.append(0, np.cumsum(np.concatenate(sizes))), np.concatenate(totals), seen
 
 
 def train(texts: list[str] | pa.Array, labels: np.ndarray, seed: int = 42) -> tuple[np.ndarray, float]:
@@ -99,7 +108,7 @@ def train(texts: list[str] | pa.Array, labels: np.ndarray, seed: int = 42) -> tu
     if n == 0 or labels.min() == labels.max():
         share = float(np.clip(labels.mean() if n else 0.0, 1e-6, 1 - 1e-6))
         return weight, float(np.log(share / (1 - share)))
-    bucket, share, first, seen = sample_bags(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+    entries, first, total, seen = sample_bags(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
     e = (rng.random((BUCKETS, DIM), np.float32) - 0.5) * 0.1 * (seen >= LEAST_DOCS)[:, None].astype(np.float32)
     w = (rng.random((DIM, 2), np.float32) - 0.5)
     c = np.zeros(2, np.float32)
@@ -114,7 +123,8 @@ def train(texts: list[str] | pa.Array, labels: np.ndarray, seed: int = 42) -> tu
             sizes = first[docs + 1] - first[docs]
             entry = np.repeat(first[docs] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
             row = np.repeat(np.arange(len(docs)), sizes)
-            b, s = bucket[entry], share[entry]
+            b, s = entries[entry] // np.uint32(MOST + 1), entries[entry] & np.uint32(MOST)
+            s = (s / (total[docs][row] + PAD)).astype(np.float32)
             mean = np.stack([np.bincount(row, e[b, k] * s, len(docs)) for k in range(DIM)], axis=1).astype(np.float32)
             logits = mean @ w + c
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -142,7 +152,8 @@ def training_sample(df: DataFrame, labels: DataFrame, text: str = "text", key: s
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = [known.where((F.col("y") == y) & (F.col("h") <= hash_bound(sizes.get(y, 0), k))).orderBy("h", "__key").limit(k) for y, k in enumerate(TRAIN_ROWS)]
     few = parts[0].unionByName(parts[1])  # bounded
-    rows = short.join(F.broadcast(few), ["__key", "t"]).dropDuplicates(["__key", "y"]).select("y", "h", bag_text(F.col("__text")).alias("t"))
+    # dealt out into PIECES, so that no task sends the driver one large block
+    rows = short.join(F.broadcast(few), ["__key", "t"]).repartition(PIECES, "__key", "y").dropDuplicates(["__key", "y"]).select("y", "h", bag_text(F.col("__text")).alias("t"))
     found = rows.toArrow().sort_by([("h", "ascending"), ("y", "ascending"), ("t", "ascending")])
     texts = found.column("t").cast(pa.large_string()).combine_chunks()
     return texts, found.column("y").to_numpy().astype(np.int64)
