@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidebook.llm import masked_lm as m
+from tidebook.llm import toxicity
 
 
 @pytest.mark.parametrize("size", [0.3, 40.0])
