@@ -1,5 +1,7 @@
 """What only shows on larger tables: keys beyond those of the small ones, and ties."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +143,31 @@ def test_products_beyond_bigints(spark):
     rows = spark.createDataFrame([(a, b, c) for a in values for b in values for c in (3, 0, -7, 2**14)] + [(None, 1, 2)], "a long, b long, c long")
     for a, b, c, p in rows.select("*", risk.product(*map(F.col, "abc"))).collect():
         assert p is None if a is None else int(p) == a * b * c
+
+
+def test_funding_balance_deals_out_fills_once(spark):
+    plan = plans.queries()["funding_balance"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(account" in line for line in plan.split("\n")) == 1
+
+
+@pytest.mark.parametrize("width", [7, 1000])
+def test_funding_balance(spark, width):
+    """Against the fills one after the other; some before all marks, some in a market without marks, of which there is no row."""
+    rng = random.Random(5)
+    fills = [(rng.randrange(4), rng.randrange(3), rng.randrange(3), rng.choice([-1, 1]), rng.randrange(1, 9), rng.randrange(-20, 100), i, 1) for i in range(200)]
+    marks = [(m, t, rng.randrange(-(10**9), 10**9)) for m in range(2) for t in range(-5, 90, 13)]
+    state, want = {}, {m: [0, 0, 0] for m in range(2)}
+    for taker, maker, market, side, base, ts, _, _ in sorted(fills, key=lambda f: f[5:]):
+        prefix = max(((t, p) for m, t, p in marks if m == market and t <= ts), default=(0, 0))[1]
+        for account, d in ((taker, side * base), (-maker - 2, -side * base)):
+            p, last = state.get((account, market), (0, prefix))
+            if market < 2:
+                want[market][p * (last - prefix) < 0] += p * (last - prefix)
+            state[account, market] = (p + d, prefix)
+    for (_, market), (p, last) in state.items():
+        if market < 2:
+            want[market][2] += p * (last - max((t, x) for m, t, x in marks if m == market)[1])
+    f = spark.createDataFrame(fills, "taker long, maker long, market long, side long, base long, ts long, ok long, ln long")
+    got = asof.funding_balance(f, spark.createDataFrame(marks, "market long, ts long, prefix long"), width)
+    assert {r["market"]: [int(r[c]) for c in ("received", "paid", "outstanding")] for r in got.collect()} == want
+    assert all(r["total"] == 0 for r in got.collect())

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .risk import funding_owed, wide
+from .debits import written
+from .risk import funding_owed, product, wide
 
 
 def bucket(time: Column, width: int) -> Column:
@@ -65,13 +66,29 @@ def fill_funding(fills: DataFrame, marks: DataFrame, width: int) -> DataFrame:
     return party_fills(fills, marks, width).select("account", "market", "ts", "ok", "ln", F.col("before").alias("position"), owed.alias("funding"))
 
 
-def funding_balance(fills: DataFrame, marks: DataFrame, width: int) -> DataFrame:
-    """By market the funding settled at fills by those who received and by those who paid, and what is owed at the last mark; these sum to 0, as every lot has two parties."""
-    owed = wide(funding_owed(wide(F.col("before")), F.coalesce("last", "prefix"), F.col("prefix")))
-    rows = party_fills(fills, marks, width).select("account", "market", "ts", "ok", "ln", "d", "prefix", owed.alias("funding"))
+def funding_balance(fills: DataFrame, marks: DataFrame, width: int, times: DataFrame | None = None) -> DataFrame:
+    """By market the funding settled at fills by those who received and by those who paid, and what is owed at the last mark; these sum to 0, as every lot has two parties.
+
+    Fills between two marks settle at the first of them, so a party's lots are summed by mark, and a key's window has a row a mark at most. Rows are dealt out once; what mark applies is looked up by
+    market and time before that, in a table of the ``times`` ``(market, ts)`` of all fills (others may be among them). That table and the marks are written, so that their size is known and they are sent to all where small.
+    """
+    known = marks.where("prefix IS NOT NULL").groupBy("market", "ts").agg(F.max("prefix").alias("prefix"))
+    known = written(known.withColumn("n", F.row_number().over(W.partitionBy("market").orderBy("ts"))), "marks")
+    times = fills if times is None else times
+    times = written(as_of(times.select("market", "ts").where("market IS NOT NULL AND ts IS NOT NULL").distinct(), known, ["market"], "ts", "n", width), "times")
+    d, n = F.col("side") * F.col("base"), F.when(F.col("ts").isNotNull(), F.coalesce("n", F.lit(0)))  # 0: before all marks; null: no time, which is last
+    rows = F.array(F.struct(F.col("taker").alias("account"), d.alias("d")), F.struct((-F.col("maker") - 2).alias("account"), (-d).alias("d")))
+    both = fills.join(times, ["market", "ts"], "left").select("market", n.alias("n"), F.inline(rows)).repartition("account", "market")
+    lots = both.groupBy("account", "market", "n").agg(F.sum("d").alias("d")).join(known.select("market", "n", "prefix"), ["market", "n"], "left").withColumn("prefix", F.coalesce("prefix", F.lit(0).cast("long")))
+    w = W.partitionBy("account", "market").orderBy(F.asc_nulls_last("n"))
+    end = w.rowsBetween(W.unboundedPreceding, 0)
+    steps = lots.select("market", "prefix", "d", F.sum("d").over(end).alias("after"), F.coalesce(F.lag("prefix").over(w), "prefix").alias("last"), F.lead(F.lit(1)).over(w).isNull().alias("ends"))
+    after = F.coalesce("after", F.lit(0))
+    funding, zero = product(after - F.coalesce("d", F.lit(0)), F.col("last") - F.col("prefix")), wide(0)
     total = lambda x, name: wide(F.sum(x)).alias(name)
-    ends = rows.groupBy("account", "market").agg(F.sum("d").alias("position"), F.max_by("prefix", F.struct("ts", "ok", "ln")).alias("last"), total(F.greatest("funding", wide(0)), "received"), total(F.least("funding", wide(0)), "paid"))
+    sums = steps.select("market", "ends", after.alias("position"), "prefix", funding.alias("funding")).groupBy("market").agg(
+        total(F.greatest("funding", zero), "received"), total(F.least("funding", zero), "paid"), total(F.when(F.col("ends"), product(F.col("position"), F.col("prefix"))), "settled"), total(F.when(F.col("ends"), F.col("position")), "lots")
+    )
     now = marks.groupBy("market").agg(F.max_by("prefix", "ts").alias("now"))
-    left = wide(funding_owed(wide(F.col("position")), F.col("last"), F.col("now")))
-    sums = ends.join(now, "market", "left").groupBy("market").agg(total("received", "received"), total("paid", "paid"), total(left, "outstanding")).where("outstanding IS NOT NULL")
-    return sums.withColumn("total", wide(F.col("received") + F.col("paid") + F.col("outstanding")))
+    out = sums.join(now, "market").select("market", "received", "paid", wide(F.col("settled") - wide(F.col("lots") * F.col("now"))).alias("outstanding")).where("outstanding IS NOT NULL")
+    return out.withColumn("total", wide(F.col("received") + F.col("paid") + F.col("outstanding")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import asof, debits, shares
-from ..sources.tables import fills, funding_marks, operations, pool_requests, sql, stakes
+from ..sources.tables import fill_times, fills, funding_marks, operations, pool_requests, sql, stakes
 
 MONTH = 30 * 86_400_000
 
@@ -28,7 +28,7 @@ def _funding(spark, d):
 
 
 def _balance(spark, d):
-    out = asof.funding_balance(_pooled(spark, d), funding_marks(spark, d), MONTH)
+    out = asof.funding_balance(_pooled(spark, d), funding_marks(spark, d), MONTH, fill_times(spark, d).withColumn("market", F.col("market") % 25))
     return out.select("market", *(F.col(c).cast("string").alias(c) for c in ("received", "paid", "outstanding", "total")))
 
 

@@ -38,15 +38,21 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(taker, maker, market, side, base, quote, fee_rate, ts, ok, ln)``; side is the taker's."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("taker"), F.col("l_suppkey").alias("maker"), F.col("l_partkey").alias("market"),
+    """``(taker, maker, market, side, base, quote, fee_rate, ts, ok, ln)``; side is the taker's. Integers are made before the join, as they move in less than what they are made of."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("maker"), F.col("l_partkey").alias("market"),
         F.when(F.col("l_linestatus") == "O", F.lit(1)).otherwise(F.lit(-1)).cast("long").alias("side"),
         F.round("l_quantity").cast("long").alias("base"), cents("l_extendedprice").alias("quote"),
         F.round(F.col("l_tax") * 1_000_000).cast("long").alias("fee_rate"), millis("l_shipdate").alias("ts"),
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"),
     )
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("taker"))
+    return lines.join(orders, "ok").select("taker", "maker", "market", "side", "base", "quote", "fee_rate", "ts", "ok", "ln")
+
+
+def fill_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(market, ts)`` of all line items, also of those without an order, which are no fills."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("market"), millis("l_shipdate").alias("ts"))
 
 
 def resting_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
