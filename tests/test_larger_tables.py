@@ -1,12 +1,14 @@
 """What only shows on larger tables: keys beyond those of the small ones, and ties."""
 
 import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidebook import plans
+from tidebook.functions.wide import zero_quote
 from tidebook.operators import asof, debits, folds, ledger, positions, risk
 from tidebook.sources import reports
 from tidebook.streaming import positions as stream_positions
@@ -171,3 +173,30 @@ def test_funding_balance(spark, width):
     got = asof.funding_balance(f, spark.createDataFrame(marks, "market long, ts long, prefix long"), width)
     assert {r["market"]: [int(r[c]) for c in ("received", "paid", "outstanding")] for r in got.collect()} == want
     assert all(r["total"] == 0 for r in got.collect())
+
+
+def test_positions_are_not_dealt_out_by_strategy(spark):
+    with runs.conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = plans.queries()["zero_prices"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(account#" in plan and not re.search(r"hashpartitioning\(account#\w+, strategy#", plan)
+
+
+def test_deleverages_of_hot_and_tied_positions(spark):
+    """Against all pairs: two markets, sizes with ties within and across powers of two, funds with and without other funds."""
+    rng = random.Random(6)
+    rows = [(a, m, rng.choice([-1, 1]) * rng.randrange(1, 40), m, 1, rng.choice([0, 0, 3]), rng.randrange(2), rng.randrange(-9, 9), rng.randrange(1, 5)) for a in range(60) for m in range(2)]
+    made = spark.createDataFrame(rows, "account long, market long, position long, strategy long, status long, account_type long, open_orders long, gain long, health int")
+    wide = {c: F.lit(v).cast("decimal(38,0)") for c, v in (("notional", 1000), ("mm", 30_000))}
+    made = made.withColumns(wide | {"gain": F.col("gain").cast("decimal(38,0)"), "tav": (F.col("gain") * 500_000).cast("decimal(38,0)"), "maintenance": F.lit(300).cast("long")})
+    funds = [(a, s, rng.randrange(5)) for a, m, *rest in rows if m == 0 and rest[3] == 3 for s in (0, 1)]
+    got = {(r["market"], r["account"]): r for r in risk.deleverages(made, spark.createDataFrame(funds, "account long, strategy long, tav long").withColumn("tav", F.col("tav").cast("decimal(38,0)"))).collect()}
+    quotes = {(r["market"], r["account"]): int(r["q"]) for r in made.select("market", "account", zero_quote(F.col("notional"), F.col("mm"), F.col("tav"), F.signum("position").cast("long"), F.col("maintenance")).alias("q")).collect()}
+    want = {}
+    for a, m, p, s, _, kind, open_orders, _, health in rows:
+        if health >= 3 and (open_orders == 0 or kind == 3):
+            offers = [(-g, b) for b, n, x, _, _, k, _, g, _ in rows if n == m and k != 3 and x * p < 0 and abs(x) >= abs(p)]
+            adl = quotes[m, a] > 0 and bool(offers)
+            others = [(-t, b) for b, z, t in funds if z == s and b != a]
+            want[m, a] = (p, quotes[m, a], min(offers)[1] if adl else min(others)[1], adl)
+    assert {k: (r["position"], int(r["quote"]), r["counterparty"], r["adl"]) for k, r in got.items()} == want
+    assert 0 < sum(w[3] for w in want.values()) < len(want)

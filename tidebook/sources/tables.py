@@ -92,17 +92,22 @@ def perps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nets(fills: DataFrame) -> DataFrame:
+    """Net lots and cash ``(account, market, position, net)`` of the takers."""
+    return fills.groupBy(F.col("taker").alias("account"), "market").agg(F.sum(F.col("side") * F.col("base")).alias("position"), F.sum(F.col("side") * F.col("quote")).alias("net"))
+
+
 def margin_positions(fills: DataFrame) -> DataFrame:
     """``(account, market, position, entry_quote, last_prefix, fraction, isolated, allocated, open_orders)`` of the takers; the entry quote is the size of the net cash."""
-    return held(fills.groupBy(F.col("taker").alias("account"), "market").agg(F.sum(F.col("side") * F.col("base")).alias("position"), F.sum(F.col("side") * F.col("quote")).alias("net")))
+    return held(nets(fills))
 
 
-def held(nets: DataFrame) -> DataFrame:
-    """``margin_positions`` of net lots and cash ``(account, market, position, net)``; insurance funds have no isolated positions."""
+def held(nets: DataFrame, *also: str) -> DataFrame:
+    """``margin_positions`` of net lots and cash ``(account, market, position, net)``, with the columns ``also``; insurance funds have no isolated positions."""
     net = nets.withColumn("net", F.abs("net"))
     entry = F.when(F.col("position") == 0, F.lit(0).cast("long")).otherwise(F.col("net"))
     isolated = ((F.col("account") + F.col("market")) % 4 == 0) & (F.col("account") % 40 != 0)
-    out = net.select("account", "market", "position", entry.alias("entry_quote"), ((F.col("account") % 201 - 100) * 1_000_000).alias("last_prefix"), F.when(F.col("account") % 3 == 0, 800).otherwise(0).cast("long").alias("fraction"), isolated.alias("isolated"))
+    out = net.select("account", "market", "position", entry.alias("entry_quote"), ((F.col("account") % 201 - 100) * 1_000_000).alias("last_prefix"), F.when(F.col("account") % 3 == 0, 800).otherwise(0).cast("long").alias("fraction"), isolated.alias("isolated"), *also)
     allocated = F.when(F.col("isolated"), F.col("entry_quote") * 100_000).otherwise(F.lit(0).cast("long"))
     return out.select("*", allocated.alias("allocated"), ((F.col("account") + F.col("market")) % 5 == 0).cast("long").alias("open_orders"))
 
